@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring
+from . import bpe, lm_scoring
 from .common import id_remainder
 
 
@@ -12,12 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lm_scoring.score(docs, id_remainder(7) != 2)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_bpe": op3_bpe,
 }
 ORACLES: dict[str, str] = {}
