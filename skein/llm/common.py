@@ -158,5 +158,14 @@ def unplanes(data: bytes, dtype, width: int | None = None) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit values as planes of their differences."""
+    return planes(np.diff(x, prepend=U64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, U64), dtype=U64)
+
+
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
