@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm_scoring
+from . import bpe, lm_scoring, token_files
 from .common import id_remainder
 
 
@@ -28,8 +28,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_checksums(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_bpe": op3_bpe,
+    "op4_token_files": op4_token_files,
 }
 ORACLES: dict[str, str] = {}
