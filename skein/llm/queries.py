@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lm_scoring, token_files
+from . import bpe, language_id, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder
 
 
@@ -24,6 +25,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, id_remainder(7) != 2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), id_remainder(3) != 1)
+    scored = toxicity.score(docs.withColumn("held_out", id_remainder(3) == 1), model, "doc_id long, held_out boolean")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -32,9 +40,25 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_checksums(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, id_remainder(4) != 2)
+    return language_id.identify(docs.withColumn("held_out", id_remainder(4) == 2), model, "doc_id long, held_out boolean")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"), id_remainder(5) != 0)
+    scored = quality.score(docs.withColumn("held_out", id_remainder(5) == 0), model, "doc_id long, held_out boolean")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
