@@ -27,9 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Fixed value: the white space that \s stands for in the tokenizer's patterns.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_SPACES = re.compile(f"[{_SPACE}]+")
+from .common import WHITE
+
+_SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 KEPT = 400_000
 
@@ -141,7 +141,7 @@ class Tokenizer:
         longest = max(len(t.removesuffix(self.end_mark)) if self.end_mark else len(t) for t in self.vocab)
         self.transducer = Transducer(ids, sufficient_lookahead(bare), longest)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern.replace(r"\s", _SPACE)).findall
+        self.split = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.old: dict[str, tuple] = {}
         self.kept = _Kept(self)

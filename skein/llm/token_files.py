@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import planes, unplanes, work_path
+from .common import WHITE, planes, unplanes, work_path
 
 MAGIC, SCALE, LANES, BLOCK = b"SKRA0001", 18, 16, 8192
 FRAME_TOKENS = 1 << 20
@@ -146,9 +147,14 @@ def decode_frame(data: bytes, only: slice = slice(None)) -> np.ndarray:
 
 # --- the tokenizer --------------------------------------------------------------------------------------------------
 
-# White space other than single blanks and single line ends between two words.
-_IRREGULAR = re.compile(r"[^\S \n]|[\x1c-\x1f]|[ \n]{2}|^[ \n]")
-_UNITS = re.compile(r"\s*\S+|\s+")
+# White space other than blanks and line ends, and what else Python's str methods take for white space.
+_RARE = re.compile("[" + WHITE.replace(" ", "").replace("\n", "") + "\x1c-\x1f]")
+_UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+
+
+def _regular(text: str) -> bool:
+    """Whether only single blanks and single line ends part the words."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text))
 
 
 class ByteEncoder:
@@ -157,7 +163,7 @@ class ByteEncoder:
     Units that come again are looked up in a bounded table of two generations.
     """
 
-    KEPT = 500_000
+    KEPT = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -176,19 +182,15 @@ class ByteEncoder:
             return b""
         if any(s in text for s in self.specials):  # a special string splits the text first
             return self.raw(text)
-        if _IRREGULAR.search(text):
-            out = b"".join([self.raw(u) for u in _UNITS.findall(text)]) if len(text) < 64 else b"".join(map(self.kept.__getitem__, self._marked(text)))
-        else:
+        if _regular(text):
             first, *rest = text.replace("\n", " \n").split(" ")
             out = self.kept["\r" + first] + b"".join(map(self.kept.__getitem__, rest))
+        else:
+            out = b"".join([self.kept["\r" + u] for u in _UNITS.findall(text)])
         if len(self.kept) > self.KEPT:
             self.old, self.kept = self.kept, _Units(self)
         return out
 
-    @staticmethod
-    def _marked(text: str):
-        return ("\r" + u for u in _UNITS.findall(text))
-
 
 class _Units(dict):
     """Unit -> ids. A unit stands for itself after a blank, unless it begins with a line end or with \\r, which marks one that stands as it is."""
@@ -206,6 +208,12 @@ class _Units(dict):
         return got
 
 
+@lru_cache(2)
+def encoder_for(path: str) -> ByteEncoder:
+    """One for all tasks of a worker, which then share its table."""
+    return ByteEncoder(path)
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -213,7 +221,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_tok
     """Encode docs(doc_id, text), the end id after each, and write the files to `path` in ascending order of doc_id."""
 
     def run(batches):
-        encoder = ByteEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         file, frame = TaskContext.get().partitionId(), 0
         ids, parts, size = [], [], 0
