@@ -27,7 +27,7 @@ from .subwords import Buffer
 from .toxicity import _KINDS
 
 BITS, SIZES, SWITCH = 16, (1, 2, 3, 4), 12.0
-ROWS, CHARS = 1_500, 3_000_000
+ROWS, CHARS, SHARES = 1_500, 3_000_000, 50
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -170,7 +170,8 @@ def learn(docs: DataFrame, usable, rows: int = ROWS, chars: int = CHARS) -> Mode
     known = docs.filter(usable & F.col("lang").isNotNull() & F.length("text").between(1, max(1, chars // 20)))
     key = F.xxhash64("doc_id", F.lit(11))
     ids = known.select("doc_id", "lang", key.alias("_h"))
-    few = ids.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= rows)
+    ids = ids.withColumn("_s", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(SHARES)))  # a language may hold most rows
+    few = ids.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy("_h"))).filter(F.col("_r") <= max(1, rows // SHARES))
     got = known.select("doc_id", "lang", "text").join(F.broadcast(few.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     kept = sorted(((r["lang"], r["doc_id"], r["text"]) for r in got.toLocalIterator()), key=lambda r: (r[0], (r[1] * 0x9E3779B97F4A7C15) % 2**64))
     total: dict[str, int] = {}
