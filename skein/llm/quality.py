@@ -2,7 +2,7 @@
 
 One dictionary is trained on good labelled texts and one on bad ones. A text that resembles the good ones compresses
 better with their dictionary; the difference of the two compressed sizes, divided by their sum, is calibrated to a score
-by a logistic fit on labelled texts that neither dictionary saw. Long texts are compressed in pieces of `PIECE`
+by an isotonic fit, with a little of a logistic one, on labelled texts that neither dictionary saw. Long texts are compressed in pieces of `PIECE`
 bytes, whole, and the sizes added up, so a dictionary tells on every piece and memory stays bounded.
 
 Dictionaries and calibration are fitted on a bounded sample: at most `rows` labelled rows and `chars` characters.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .subwords import labelled, platt
 from .toxicity import _KINDS
 
-DICTIONARY, LEVEL, PIECE = 112_640, 3, 2048
-ROWS, CHARS = 8_000, 16_000_000
+DICTIONARY, LEVEL, PIECE = 112_640, 3, 512
+ROWS, CHARS = 8_000, 10_000_000
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -42,11 +42,17 @@ def train_dictionary(texts: list[str]) -> bytes:
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, slope: float = 1.0, offset: float = 0.0):
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, slope: float = 1.0, offset: float = 0.0, steps=((), ())):
+        self.good, self.bad, self.slope, self.offset, self.steps = good, bad, slope, offset, steps
 
     def _compressors(self):
-        kind = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) if d else zstandard.ZstdCompressor(level=LEVEL)
+        def kind(dictionary: bytes):
+            if not dictionary:
+                return zstandard.ZstdCompressor(level=LEVEL)
+            own = zstandard.ZstdCompressionDict(dictionary)
+            own.precompute_compress(level=LEVEL)  # else each call digests it again
+            return zstandard.ZstdCompressor(dict_data=own, level=LEVEL, write_content_size=False, write_dict_id=False)
+
         return kind(self.good), kind(self.bad)
 
     def differences(self, texts: list[str | None], compressors=None) -> np.ndarray:
@@ -62,7 +68,24 @@ class Model:
         return out
 
     def score(self, texts: list[str | None], compressors=None) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts, compressors) + self.offset, -40, 40)))
+        d = self.differences(texts, compressors)
+        smooth = 1 / (1 + np.exp(-np.clip(self.slope * d + self.offset, -40, 40)))
+        if not len(self.steps[0]):
+            return smooth
+        return 0.95 * np.interp(d, *self.steps) + 0.05 * smooth  # the logistic part orders what the steps leave level
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising step function closest to y over x (pool adjacent violators), as points to interpolate between."""
+    names, place = np.unique(x, return_inverse=True)
+    blocks: list[list[float]] = []  # sum, weight, sum of x * weight
+    for s, w, at in zip(np.bincount(place, weights=y), np.bincount(place), names):
+        blocks.append([s, w, at * w])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    s, w, at = np.array(blocks).T
+    return at / w, (s + 0.5 * s.sum() / w.sum()) / (w + 0.5)  # shrunk a little, so that no small block is certain
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
@@ -73,7 +96,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     model = Model(train_dictionary(pick(1)), train_dictionary(pick(0)))
     d = model.differences([t for t, h in zip(texts, held) if h])
     a, b = platt(d, y[held])
-    return Model(model.good, model.bad, max(a, 0.0), b)
+    return Model(model.good, model.bad, max(a, 0.0), b, isotonic(d, y[held]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable, rows: int = ROWS, chars: int = CHARS) -> Model:
