@@ -25,7 +25,7 @@ from .common import in_blocks
 from .subwords import Buffer, labelled, platt
 
 BITS, SIZES, DIM, WINDOW = 17, (3, 4, 5), 8, 12
-ROWS, CHARS = 8_000, 16_000_000
+ROWS, CHARS = 8_000, 18_000_000
 
 
 def _number(counts: np.ndarray) -> np.ndarray:
@@ -46,16 +46,16 @@ class Model:
 
     def window_logits(self, buffer: Buffer) -> np.ndarray:
         size = len(buffer.bytes) - 6
-        total, number = np.zeros(size), np.zeros(size, np.float64)
+        total, number = np.zeros(size, np.float32), np.zeros(size, np.uint8)
         for n in SIZES:
             ids, inside = buffer.ngrams(n, BITS)
-            total += np.where(inside, self.weights[ids], 0)
+            total += np.where(inside, self.weights[ids], np.float32(0))
             number += inside
         first = _windows(buffer)
         if not len(first):
             return np.zeros(0)
         at = buffer.starts[first] - 1
-        return np.add.reduceat(total, at) / np.maximum(np.add.reduceat(number, at), 1) + self.offset
+        return np.add.reduceat(total, at).astype(float) / np.maximum(np.add.reduceat(number, at, dtype=np.int64), 1) + self.offset
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         buffer = Buffer([t or "" for t in texts])
@@ -79,52 +79,81 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed:
     held = np.arange(len(y)) % 5 == 4
     seen = [t for t, h in zip(texts, held) if not h]
     own = y[~held]
-    buffer = Buffer(seen)
-    first = _windows(buffer)
-    number = _number(buffer.counts)
-    text_of = np.repeat(np.arange(len(seen)), number)
-    at = np.append(buffer.starts[first] - 1, len(buffer.bytes) - 6)
-    parts = [buffer.ngrams(n, BITS) for n in SIZES]
-    ids = np.stack([p[0] for p in parts], axis=1)
-    inside = np.stack([p[1] for p in parts], axis=1)
-    toxic = own[text_of] == 1
-    clean = np.flatnonzero(~toxic)
-    logits = _telling(ids, inside, buffer, own, at)
+    telling = _telling(seen, own)
+    look = lambda buffer: _most_telling(buffer, telling)
     limit, model = 5.0, None
     for _ in range(rounds):
+        logits, text_of = map(np.concatenate, zip(*((look(b), np.repeat(k, _number(b.counts))) for k, b in _parts(seen))))
+        toxic = own[text_of] == 1
+        if model:
+            limit = float(np.quantile(logits[~toxic], 0.9995))
         best = np.full(len(seen), -np.inf)
         np.maximum.at(best, text_of, logits)
-        chosen = np.flatnonzero(toxic & ((logits >= best[text_of]) | (logits > limit)))
-        rng.shuffle(clean)
-        negative = clean[: max(20_000, min(3 * len(chosen), 60_000))]
-        positive = chosen if len(chosen) <= 20_000 else rng.choice(chosen, 20_000, replace=False)
-        weights, offset = _train(ids, inside, at, positive, negative, rng, epochs)
+        positive = np.flatnonzero(toxic & ((logits >= best[text_of]) | (logits > limit)))
+        positive = positive if len(positive) <= 15_000 else np.sort(rng.choice(positive, 15_000, replace=False))
+        clean = np.flatnonzero(~toxic)
+        hard = clean[np.argsort(-logits[clean], kind="stable")[: len(positive)]]
+        negative = np.union1d(hard, rng.choice(clean, min(len(clean), 40_000), replace=False))
+        runs = _runs(seen, np.union1d(positive, negative))
+        weights, offset = _train(*runs, toxic[np.union1d(positive, negative)].astype(int), rng, epochs)
         model = Model(weights, offset, 1.0, 0.0)
-        logits = model.window_logits(buffer)
-        limit = float(np.quantile(logits[~toxic], 0.9995)) if len(clean) else 0.0
+        look = model.window_logits
     a, b = platt(model.evidence([t for t, h in zip(texts, held) if h]), y[held])
     return Model(model.weights, model.offset, max(a, 0.0), b)
 
 
-def _telling(ids, inside, buffer: Buffer, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where to look first: of each run, how far its most telling bucket is from occurring in as many clean texts as toxic ones, in standard deviations."""
+def _parts(texts: list[str], size: int = 1_000_000):
+    """The texts' indices and words, about `size` characters at a time."""
+    sizes = np.cumsum([len(t) for t in texts])
+    part = sizes // size
+    for k in np.unique(part):
+        own = np.flatnonzero(part == k)
+        yield own, Buffer([texts[i] for i in own])
+
+
+def _telling(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """How far each bucket is from occurring in as many clean texts as toxic ones, in standard deviations."""
     found = np.zeros((2, 1 << BITS))
-    for k in range(len(y)):
-        a, b = buffer.begins[k] - 1, buffer.begins[k + 1] - 1
-        found[y[k], np.unique(ids[a:b][inside[a:b]])] += 1
+    for own, buffer in _parts(texts):
+        parts = [buffer.ngrams(n, BITS) for n in SIZES]
+        for k, i in enumerate(own):
+            a, b = buffer.begins[k] - 1, buffer.begins[k + 1] - 1
+            found[y[i], np.unique(np.concatenate([ids[a:b][inside[a:b]] for ids, inside in parts]))] += 1
     n = np.bincount(y, minlength=2)
     p = found.sum(0) / n.sum()
-    z = (found[1] / n[1] - found[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))
-    return np.maximum.reduceat(np.where(inside, z[ids], 0).max(1), at[:-1])
+    return ((found[1] / n[1] - found[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))).astype(np.float32)
+
+
+def _most_telling(buffer: Buffer, telling: np.ndarray) -> np.ndarray:
+    """Where to look first: of each run, the figure of its most telling bucket."""
+    most = np.zeros(len(buffer.bytes) - 6, np.float32)
+    for n in SIZES:
+        ids, inside = buffer.ngrams(n, BITS)
+        np.maximum(most, np.where(inside, telling[ids], np.float32(0)), out=most)
+    first = _windows(buffer)
+    return np.maximum.reduceat(most, buffer.starts[first] - 1) if len(first) else most[:0]
+
+
+def _runs(texts: list[str], chosen: np.ndarray):
+    """Buckets, whether they count, and begins of the chosen runs, which are numbered through all texts."""
+    pieces, done = [], 0
+    for _, buffer in _parts(texts):
+        at = np.append(buffer.starts[_windows(buffer)] - 1, len(buffer.bytes) - 6)
+        data = buffer.bytes.tobytes()
+        for w in chosen[(chosen >= done) & (chosen < done + len(at) - 1)] - done:
+            pieces.append(" ".join(data[at[w] : at[w + 1]].decode().split()))
+        done += len(at) - 1
+    buffer = Buffer(pieces)
+    parts = [buffer.ngrams(n, BITS) for n in SIZES]
+    return np.stack([p[0] for p in parts], axis=1), np.stack([p[1] for p in parts], axis=1), buffer.begins - 1
 
 
-def _train(ids, inside, at, positive, negative, rng, epochs: int):
+def _train(ids, inside, at, y, rng, epochs: int):
     e = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     u = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     c = np.zeros(2, np.float32)
     e_square, u_square = np.full(1 << BITS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
-    runs = np.concatenate([positive, negative])
-    y = np.concatenate([np.ones(len(positive), int), np.zeros(len(negative), int)])
+    runs = np.arange(len(y))
     for _ in range(epochs):
         order = rng.permutation(len(runs))
         for k in range(0, len(order), 256):
