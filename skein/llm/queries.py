@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, lm_scoring, quality, token_files, toxicity
+from . import bpe, fingerprints, language_id, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder
 
 
@@ -46,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", id_remainder(4) == 2), model, "doc_id long, held_out boolean")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.learn(docs, _table(spark, sf_dir, "labels"), id_remainder(5) != 0)
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
