@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language_id, lm_scoring, quality, token_files, toxicity
+from . import bpe, decontamination, fingerprints, language_id, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder
 
 
@@ -50,6 +50,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.learn(docs, _table(spark, sf_dir, "labels"), id_remainder(5) != 0)
@@ -64,6 +68,9 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontamination.ORACLE,
+}
