@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, language_id, lm_scoring, quality, token_files, toxicity
+from . import bpe, decontamination, fingerprints, language_id, license_scan, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder
 
 
@@ -50,6 +50,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,9 +72,11 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
+    "op7_license_scan": license_scan.oracle(),
     "op8_decontamination": decontamination.ORACLE,
 }
