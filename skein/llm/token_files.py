@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, planes, unplanes, work_path
+from .bpe import byte_symbols
+from .common import WHITE, in_blocks, planes, unplanes, work_path
 
 MAGIC, SCALE, LANES, BLOCK = b"SKRA0001", 18, 16, 8192
-FRAME_TOKENS = 1 << 20
+FRAME_TOKENS = 1 << 22
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<8sIIII")
 FRAMES = "file int, frame int, n_tokens long, ids array<long>, lengths binary, data binary"
@@ -160,7 +162,9 @@ def _regular(text: str) -> bool:
 class ByteEncoder:
     """The library's encoding of texts, by units that its split never joins: a word with the white space before it.
 
-    Units that come again are looked up in a bounded table of two generations.
+    A unit stands for itself after a blank, unless it begins with a line end or with \\r, which marks one that stands as it
+    is. Units that come again are looked up in a bounded table of two generations. New ones go to the library: those that
+    its split takes for one word and a sentence's end straight to its model.
     """
 
     KEPT = 700_000
@@ -171,41 +175,65 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.old: dict[str, bytes] = {}
-        self.kept = _Units(self)
-
-    def raw(self, unit: str) -> bytes:
-        return np.array(self.library.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):  # a special string splits the text first
-            return self.raw(text)
+        self.kept: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.symbols = byte_symbols()
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def raw(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, units: list[str]) -> None:
+        """Put units into the table."""
+        for u in dict.fromkeys(units):
+            if (got := self.old.get(u)) is None:
+                mark = u[0] in "\r\n"
+                word = u[1:] if mark else " " + u
+                core = word.rstrip(".,:;!?")
+                if core[not mark :].isalpha():  # letters and what ends a sentence: the split is plain, the model does the rest
+                    tail = word[len(core) :]
+                    if tail not in self.tails:
+                        self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
+                    ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]
+                    got = array("I", [*self.line_end, *ids, *self.tails[tail]] if u[0] == "\n" else [*ids, *self.tails[tail]]).tobytes()
+                else:
+                    got = self.raw(word if u[0] != "\n" else u)
+            self.kept[u] = got
+
+    def units(self, text: str) -> list[str]:
         if _regular(text):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            out = self.kept["\r" + first] + b"".join(map(self.kept.__getitem__, rest))
-        else:
-            out = b"".join([self.kept["\r" + u] for u in _UNITS.findall(text)])
-        if len(self.kept) > self.KEPT:
-            self.old, self.kept = self.kept, _Units(self)
+            out = text.replace("\n", " \n").split(" ")
+            out[0] = "\r" + out[0]
+            return out
+        return ["\r" + u for u in _UNITS.findall(text)]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list = []
+        missing: list[str] = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif any(s in t for s in self.specials):  # a special string splits the text first
+                out.append(self.raw(t))
+            else:
+                units = self.units(t)
+                found = list(map(self.kept.get, units))
+                if None in found:
+                    missing += [u for u, x in zip(units, found) if x is None]
+                    out.append((units, found))
+                else:
+                    out.append(b"".join(found))
+        self.learn(missing)
+        kept = self.kept
+        out = [x if type(x) is bytes else b"".join([y if y is not None else kept[u] for u, y in zip(*x)]) for x in out]
+        if len(kept) > self.KEPT:
+            self.old, self.kept = kept, {}
         return out
 
-
-class _Units(dict):
-    """Unit -> ids. A unit stands for itself after a blank, unless it begins with a line end or with \\r, which marks one that stands as it is."""
-
-    def __init__(self, encoder: ByteEncoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, unit: str) -> bytes:
-        if (got := dict.get(self.encoder.old, unit)) is None:
-            whole = unit[1:] if unit[:1] == "\r" else unit if unit[:1] == "\n" else " " + unit
-            got = self.encoder.raw(whole)
-        if len(unit) < 64:
-            self[unit] = got
-        return got
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(2)
@@ -231,10 +259,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_tok
             lengths = np.fromiter((len(p) // 4 for p in parts), np.uint32, len(parts))
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([frame], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([planes(lengths)], pa.binary()), pa.array([encode_frame(tokens)], pa.binary())], ["file", "frame", "n_tokens", "ids", "lengths", "data"])
 
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for own, texts in in_blocks(batches, 2_000_000, 2):
+            for doc_id, encoded in zip(own, encoder.encode_many(texts)):
                 ids.append(doc_id)
-                parts.append(encoder.encode(text) + end)
+                parts.append(encoded + end)
                 size += len(parts[-1]) // 4
                 if size >= frame_tokens:
                     yield close()
