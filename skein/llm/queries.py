@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, language_id, license_scan, lm_scoring, quality, token_files, toxicity
+from . import bpe, decontamination, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder
 
 
@@ -58,6 +58,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), width=4, over=85, under=100)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.learn(docs, _table(spark, sf_dir, "labels"), id_remainder(5) != 0)
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
