@@ -21,11 +21,14 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import WHITE
 
@@ -182,7 +185,7 @@ class Tokenizer:
         return [i for c in self.chunks(text or "") for i in self.chunk(c)]
 
     def pieces(self, text: str | None):
-        """(ids as text, decoded, number) of each chunk, from the bounded table where it has them."""
+        """(ids as text, decoded, number, ids as 32-bit integers) of each chunk, from the bounded table where it has them."""
         out = list(map(self.kept.__getitem__, self.chunks(text or "")))
         if len(self.kept) > KEPT:
             self.old, self.kept = self.kept, _Kept(self)
@@ -201,7 +204,7 @@ class _Kept(dict):
         t = self.tokenizer
         if (got := dict.get(t.old, chunk)) is None:
             ids = t.chunk(chunk)
-            got = (" ".join(map(str, ids)), TokenDecoder(t).text(ids), len(ids))
+            got = (" ".join(map(str, ids)), TokenDecoder(t).text(ids), len(ids), array("i", ids).tobytes())
         if len(chunk) < 64:
             self[chunk] = got
         return got
@@ -295,3 +298,27 @@ def round_trip(docs: DataFrame, path: str, carry: str = "doc_id long") -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(*names, "text").mapInArrow(run, f"{carry}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_rows(docs: DataFrame, path: str) -> DataFrame:
+    """docs with ids, n_tokens and decoded_sha256 in place of the text."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        t = tokenizer(path)
+        for b in batches:
+            values, counts, decoded = [], [], []
+            for text in b.column(len(names)).to_pylist():
+                parts = [p for p in t.pieces(text) if p[2]]
+                values.append(b"".join([p[3] for p in parts]))
+                counts.append(len(values[-1]) // 4)
+                d = hashlib.sha256()
+                for i in range(0, len(parts), 8192):
+                    d.update(((" " if i else "") + " ".join([p[1] for p in parts[i : i + 8192]])).encode())
+                decoded.append(d.hexdigest())
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids, pa.array(counts, pa.int64()), pa.array(decoded)], [*names, "ids", "n_tokens", "decoded_sha256"])
+
+    schema = StructType([*(docs.schema[n] for n in names), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded_sha256", StringType())])
+    return docs.select(*names, "text").mapInArrow(run, schema)

@@ -31,6 +31,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filter_rows(df: DataFrame, column: str, judge) -> DataFrame:
+    """The rows of df for which judge(list of the column's values) says True, a thousand rows at a time; columns as they were."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                yield part.filter(pa.array(judge(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def id_remainder(modulus: int, column: str = "doc_id"):
     """crc32 of the id as text, mod modulus. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

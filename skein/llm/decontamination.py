@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, in_blocks
+from .common import U64, Words, filter_rows, in_blocks
 
 WIDTH, THRESHOLD = 5, 0.8
 GROUP_ITEMS, GROUP_CHARS = 20_000, 20_000_000
@@ -122,6 +122,20 @@ def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float
     return out
 
 
+def remove(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, group_items: int = GROUP_ITEMS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """docs without the rows that hold at least `threshold` of some item; columns as they were."""
+    spark = docs.sparkSession
+    for group in item_groups(items, group_items, group_chars):
+        own = spark.sparkContext.broadcast(Items([i for i, _ in group], [t for _, t in group], width, threshold))
+
+        def judge(texts, own=own):
+            found = {t for t, _, _ in own.value.find(texts)}
+            return [i not in found for i in range(len(texts))]
+
+        docs = filter_rows(docs, "text", judge)
+    return docs
+
+
 ORACLE = """
 with w as (
   select doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
