@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import lexical_queries
+
+_PAIRS = lexical_queries.QUERIES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in _PAIRS.items()}
+ORACLES: dict[str, str] = {k: v[1] for k, v in _PAIRS.items() if v[1]}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return lexical_queries.text_search(spark, sf_dir)
