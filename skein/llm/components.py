@@ -1,20 +1,67 @@
-"""Connected components of a table of links, by smallest labels and pointer jumping; nothing is collected."""
+"""Connected components of a table of links, by smallest labels; nothing is collected.
+
+Tasks first replace the links they hold by a spanning forest. If what is left of all of them is within `BOUND` links, one
+task joins them; beyond that, rounds of smallest labels and pointer jumping do, each written to a work table.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+BOUND = 1_000_000
+
+
+def _forest(whole: bool, size: int = 2_000_000):
+    """Per task, links as (node, smallest node of its tree), `size` links at a time; with `whole`, all of them together and roots too."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while x != root:
+                parent[x], x = root, parent.get(x, x)
+            return root
+
+        def close():
+            nodes = list(parent)
+            roots = [find(x) for x in nodes]
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(a), find(b)
+                if whole:
+                    parent.setdefault(x, x)
+                    parent.setdefault(y, y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            if not whole and len(parent) > size:
+                yield close()
+                parent.clear()
+        if parent:
+            yield close()
+
+    return run
+
+
+def components(links: DataFrame, bound: int = BOUND, most_rounds: int = 60) -> DataFrame:
+    """links(a, b) -> node, label: the smallest node that is reachable. Nodes without links are not in it."""
+    forest = cut(links.select("a", "b").mapInArrow(_forest(False), "a long, b long"), "forest")
+    if forest.count() <= bound:
+        return forest.coalesce(1).mapInArrow(_forest(True), "a long, b long").toDF("node", "label")
+    return _by_rounds(forest, most_rounds)
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links(a, b) -> node, label: the smallest node that is reachable. Nodes without links are not in it.
 
-    Each round a node takes the smallest label around it, then the label of its label; chains halve in length. Rounds are
-    written to work tables, so a lost executor costs at most one of them.
-    """
-    both = links.filter("a <> b").select("a", "b").unionByName(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _by_rounds(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Each round a node takes the smallest label around it, then the label of its label; chains halve in length."""
+    both = links.filter("a <> b").unionByName(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(both.distinct(), "links")
     labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     total = F.sum(F.col("label").cast("decimal(38,0)"))

@@ -7,10 +7,9 @@ one block more than they can differ in), so a set skips all lists of blocks in w
 doesn't bring together texts that share only it. A block without shingles says nothing and is left out, unless a set has
 so many that only such blocks might agree.
 
-Answers are derived incrementally. In each list, one set is compared with the others; those that link need no comparison
-with one another, for the link's component is the answer. What fails is compared with the rest of the list, but only with
-sets whose known distance from the first one lets them be near enough (Jaccard distance is a metric), and only until it
-is linked.
+Answers are derived incrementally. Among sets that lists brought together, one set's links are computed first; they answer
+for all sets that link with it, which are one component then and need no answers of their own: a link between one of them
+and another set is found from the other one's side.
 
 Texts are read in blocks, whose agreeing signatures meet in shards; stars of agreeing sets give families, and a family's
 texts are compared in one task if they fit `family_bytes`, else in as many tasks as pairs of its parts need, so no task
@@ -99,16 +98,6 @@ class Scheme:
     def _key(k, block, content) -> np.ndarray:
         return mix(content + mix((k.astype(U64) << U64(32)) + block.astype(U64) + U64(1)))
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
-        """Whether two sets link, and their Jaccard distance."""
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        both = int((b[at] == a).sum())
-        union = len(a) + len(b) - both
-        return self.under * both >= self.over * union, 1 - both / union
-
 
 # --- signatures meet --------------------------------------------------------------------------------------------------
 
@@ -187,90 +176,82 @@ def _stars(batches):
 # --- families are compared --------------------------------------------------------------------------------------------
 
 
-def link_family(sets: Sets, scheme: Scheme, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets of a family that links connect; with parts, only those between two parts are sought, or all if there is one."""
+def link_family(sets: Sets, scheme: Scheme) -> list[tuple[int, int]]:
+    """Links that connect all sets of a family which links connect.
+
+    Sets are numbered by size, so in each shingle's index list those that a set can link with are one block, and the rest
+    of the list is skipped. One pass over a set's blocks counts its shared shingles with all sets at once. The first set
+    answers for all that link with it: they are one component already, and a link of theirs to another set is found from
+    that one's side. So only the sets that don't link with it need passes of their own, until all are connected.
+    """
     n = len(sets.sizes)
+    order = np.argsort(sets.sizes, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    sizes = sets.sizes[order]
+    owner = np.repeat(np.arange(n), sets.sizes)
+    _, shingle, counts = np.unique(sets.values, return_inverse=True, return_counts=True)
+    shared = counts[shingle] > 1
+    shingle, owner = shingle[shared], owner[shared]
+    first = np.searchsorted(owner, np.arange(n + 1))
+    lists = np.sort(shingle * n + rank[owner])
+    weight = np.bincount(owner, weights=counts[shingle], minlength=n)
+
+    def row(i: int) -> np.ndarray:
+        """The sets that link with set i."""
+        size = int(sets.sizes[i])
+        low = int(np.searchsorted(sizes, -(-scheme.over * size // scheme.under)))
+        high = int(np.searchsorted(sizes, scheme.under * size // scheme.over, "right"))
+        own = shingle[first[i] : first[i + 1]] * n
+        a, b = np.searchsorted(lists, own + low), np.searchsorted(lists, own + high)
+        length = b - a
+        at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
+        both = np.bincount(lists[at] - np.repeat(own, length) - low, minlength=high - low)
+        linked = np.flatnonzero(scheme.under * both >= scheme.over * (size + sizes[low:high] - both))
+        return order[linked + low]
+
     label, members = list(range(n)), [[i] for i in range(n)]
     links: list[tuple[int, int]] = []
-    known: dict[tuple[int, int], float] = {}
-
-    def compare(i: int, j: int) -> float:
-        key = (i, j) if i < j else (j, i)
-        if key not in known:
-            a, b = sorted((int(sets.sizes[i]), int(sets.sizes[j])))
-            if scheme.under * a < scheme.over * b:
-                known[key] = 1 - a / b  # a lower bound will do
-            else:
-                linked, known[key] = scheme.links(sets.of(i), sets.of(j))
-                if linked:
-                    links.append(key)
-                    x, y = label[i], label[j]
-                    if len(members[x]) < len(members[y]):
-                        x, y = y, x
-                    for k in members[y]:
-                        label[k] = x
-                    members[x] += members[y]
-                    members[y] = []
-        return known[key]
-
-    keys, who = scheme.signatures(sets, np.flatnonzero(sets.sizes > 0))
-    order = np.argsort(keys, kind="stable")
-    keys, who = keys[order], who[order]
-    cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ U64(1))), len(keys))
-    near = 1 - scheme.over / scheme.under + 1e-9
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2:
-            continue
-        run = who[a:b].tolist()
-        first = run[0]
-        for i in run[1:]:
-            if label[i] != label[first]:
-                compare(first, i)
-        groups: dict[int, list[int]] = {}
-        for i in run:
-            groups.setdefault(label[i], []).append(i)
-        if len(groups) == 1:
-            continue
-        main = max(groups.values(), key=len)
-        for i in run:
-            if label[i] == label[main[0]]:
-                continue
-            far = known.get((min(first, i), max(first, i)))
-            for j in run:
-                if label[i] == label[j] or (parts is not None and parts[i] == parts[j]):
-                    continue
-                other = known.get((min(first, j), max(first, j)))
-                if far is not None and other is not None and _exact(sets, scheme, first, i) and _exact(sets, scheme, first, j) and abs(far - other) > near:
-                    continue
-                compare(i, j)
+    start = int(np.argmax(weight)) if n else 0
+    queue = [start] if n else []
+    answered: set[int] = set()
+    for i in queue:
+        found = row(i).tolist()
+        for j in found:
+            x, y = label[i], label[j]
+            if x != y:
+                links.append((i, j))
+                if len(members[x]) < len(members[y]):
+                    x, y = y, x
+                for k in members[y]:
+                    label[k] = x
+                members[x] += members[y]
+                members[y] = []
+        if i == start:
+            answered = set(found)
+            queue += [k for k in range(n) if k not in answered and k != start and sets.sizes[k]]
+        if len(members[label[start]]) == n:
+            break
     return links
 
 
-def _exact(sets: Sets, scheme: Scheme, i: int, j: int) -> bool:
-    """Whether their distance was measured, not only bounded."""
-    a, b = sorted((int(sets.sizes[i]), int(sets.sizes[j])))
-    return scheme.under * a >= scheme.over * b
-
-
 def _compare(width: int, over: int, under: int):
     def run(batches):
         def close(rows):
             sets = Sets([r[2] for r in rows], width)
             right = [k for k, r in enumerate(rows) if sets.nodes[k] == r[1]]
             sets = Sets([rows[k][2] for k in right], width) if len(right) < len(rows) else sets
-            parts = np.array([rows[k][3] for k in right])
-            scheme = Scheme(over, under, int(sets.sizes.max(initial=1)))
-            found = link_family(sets, scheme, parts if len(set(parts.tolist())) > 1 else None)
+            found = link_family(sets, Scheme(over, under, int(sets.sizes.max(initial=1))))
             return pa.RecordBatch.from_arrays([pa.array([int(sets.nodes[i]) for i, _ in found], pa.int64()), pa.array([int(sets.nodes[j]) for _, j in found], pa.int64())], ["a", "b"])
 
         rows, group = [], None
         for b in batches:
-            for task, node, text, part in zip(*(b.column(c).to_pylist() for c in ("task", "node", "text", "part"))):
+            for task, node, text in zip(*(b.column(c).to_pylist() for c in ("task", "node", "text"))):
                 if task != group and rows:
                     yield close(rows)
                     rows = []
                 group = task
-                rows.append((task, node, text, part))
+                rows.append((task, node, text))
         if rows:
             yield close(rows)
 
@@ -302,8 +283,8 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
     few = members.count() <= FEW
     wanted = members.select("node", F.col("least").alias("doc_id"))
     found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    work = split.select("node", "label", "part", F.explode(tasks).alias("t")).withColumn("task", F.xxhash64("label", "t.i", "t.j")).select("node", "task", "part")
-    dealt = work.join(found.select("node", "text"), "node").repartition("task").sortWithinPartitions("task").select("task", "node", "text", "part")
+    work = split.select("node", "label", "part", F.explode(tasks).alias("t")).withColumn("task", F.xxhash64("label", "t.i", "t.j")).select("node", "task")
+    dealt = work.join(found.select("node", "text"), "node").repartition("task").sortWithinPartitions("task").select("task", "node", "text")
     links = dealt.mapInArrow(_compare(width, over, under), "a long, b long")
     linked = components(links)
 
