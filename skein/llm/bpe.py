@@ -34,7 +34,7 @@ from .common import WHITE
 
 _SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-KEPT = 400_000
+KEPT = 150_000
 
 
 def byte_symbols() -> dict[int, str]:
