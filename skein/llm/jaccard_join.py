@@ -33,7 +33,7 @@ from .common import U64, Words, cut, in_blocks, mix, planes, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
-BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 4_000_000, 16_000_000, 48_000_000, 200_000
+BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 4_000_000, 16_000_000, 32_000_000, 200_000
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -41,10 +41,18 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.i
 class Sets:
     """The distinct shingles of several texts: values side by side, ascending in each set."""
 
-    def __init__(self, texts: list[str | None], width: int):
-        hashes, number = Words(texts).shingles(width)
-        bounds = np.concatenate(([0], np.cumsum(number)))
-        sets = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
+    def __init__(self, texts: list[str | None], width: int, chars: int = 4_000_000):
+        sets: list[np.ndarray] = []
+        part: list[str | None] = []
+        size = 0
+        for k, t in enumerate(texts, 1):
+            part.append(t)
+            size += len(t or "")
+            if size >= chars or k == len(texts):  # what counting words takes is many times the sets' own size
+                hashes, number = Words(part).shingles(width)
+                bounds = np.concatenate(([0], np.cumsum(number)))
+                sets += [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
+                part, size = [], 0
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.values = np.concatenate(sets) if sets else np.zeros(0, U64)
@@ -189,8 +197,10 @@ def link_family(sets: Sets, scheme: Scheme) -> list[tuple[int, int]]:
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     sizes = sets.sizes[order]
-    owner = np.repeat(np.arange(n), sets.sizes)
-    _, shingle, counts = np.unique(sets.values, return_inverse=True, return_counts=True)
+    often = np.bincount((sets.values >> U64(42)).astype(np.int32), minlength=1 << 22)
+    shared = np.flatnonzero(often[(sets.values >> U64(42)).astype(np.int32)] > 1)  # without most of those in one set only
+    owner = np.searchsorted(sets.first, shared, "right") - 1
+    _, shingle, counts = np.unique(sets.values[shared], return_inverse=True, return_counts=True)
     shared = counts[shingle] > 1
     shingle, owner = shingle[shared], owner[shared]
     first = np.searchsorted(owner, np.arange(n + 1))
@@ -239,8 +249,9 @@ def _compare(width: int, over: int, under: int):
     def run(batches):
         def close(rows):
             sets = Sets([r[2] for r in rows], width)
-            right = [k for k, r in enumerate(rows) if sets.nodes[k] == r[1]]
-            sets = Sets([rows[k][2] for k in right], width) if len(right) < len(rows) else sets
+            if any(node != r[1] for node, r in zip(sets.nodes, rows)):  # an id that is not one text's only
+                sets = Sets([r[2] for node, r in zip(sets.nodes, rows) if node == r[1]], width)
+            rows.clear()
             found = link_family(sets, Scheme(over, under, int(sets.sizes.max(initial=1))))
             return pa.RecordBatch.from_arrays([pa.array([int(sets.nodes[i]) for i, _ in found], pa.int64()), pa.array([int(sets.nodes[j]) for _, j in found], pa.int64())], ["a", "b"])
 
@@ -249,7 +260,6 @@ def _compare(width: int, over: int, under: int):
             for task, node, text in zip(*(b.column(c).to_pylist() for c in ("task", "node", "text"))):
                 if task != group and rows:
                     yield close(rows)
-                    rows = []
                 group = task
                 rows.append((task, node, text))
         if rows:
