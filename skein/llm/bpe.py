@@ -30,11 +30,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WHITE
+from .common import WHITE, slices
 
 _SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-KEPT = 150_000
+KEPT = 100_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [t.encode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -266,7 +266,7 @@ def decode(encoded: DataFrame, path: str, readable: bool = True) -> DataFrame:
     def run(batches):
         t = tokenizer(path)
         kind = TextDecoder if readable else TokenDecoder
-        for b in batches:
+        for b in slices(batches):
             texts = [kind(t).text(ids or ()) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -282,7 +282,7 @@ def round_trip(docs: DataFrame, path: str, carry: str = "doc_id long") -> DataFr
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             counts, ids, decoded = [], [], []
             for text in b.column(len(names)).to_pylist():
                 parts = [p for p in t.pieces(text) if p[2]]
@@ -306,7 +306,7 @@ def encode_rows(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             values, counts, decoded = [], [], []
             for text in b.column(len(names)).to_pylist():
                 parts = [p for p in t.pieces(text) if p[2]]

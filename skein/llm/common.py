@@ -32,13 +32,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def filter_rows(df: DataFrame, column: str, judge) -> DataFrame:
-    """The rows of df for which judge(list of the column's values) says True, a thousand rows at a time; columns as they were."""
+    """The rows of df for which judge(list of the column's values) says True, some at a time; columns as they were."""
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                yield part.filter(pa.array(judge(part.column(column).to_pylist()), pa.bool_()))
+        for part in slices(batches):
+            yield part.filter(pa.array(judge(part.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -141,11 +139,18 @@ class Words:
         return out, number
 
 
+def slices(batches, rows: int = 400):
+    """Batches of at most so many rows: fewer texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def in_blocks(batches, size: int, columns: int):
     """Group rows of Arrow batches (the second column is the text) into lists of about `size` characters."""
     rows: list[list] = [[] for _ in range(columns)]
     total = 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             for to, v in zip(rows, row):
                 to.append(v)

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .subwords import labelled, platt
 from .toxicity import _KINDS
 
@@ -109,7 +110,7 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame
 
     def run(batches):
         compressors = model._compressors()
-        for b in batches:
+        for b in slices(batches):
             scores = model.score(b.column(len(names)).to_pylist(), compressors)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores)], [*names, "score"])
 

@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame
     schema = f"_row struct<{', '.join(c.replace(' ', ':', 1) for c in keep.split(', '))}>, score double"
 
     def run(batches):
-        for rows, texts in in_blocks(batches, 4_000_000, 2):
+        for rows, texts in in_blocks(batches, 1_500_000, 2):
             kind = pa.struct([pa.field(n, _KINDS[c.split()[1]]) for n, c in zip(names, keep.split(", "))])
             yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(model.score(texts))], ["_row", "score"])
 
