@@ -51,7 +51,8 @@ def frequency(term: Term, field: str) -> Column:
     if len(term.words) == 1:
         word = term.words[0]
         return F.size(F.filter(terms, (lambda x: F.startswith(x, F.lit(word))) if term.prefix else (lambda x: x == word)))
-    return F.size(starts(term.words, terms, term.prefix))
+    line = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f"(?= {' '.join(term.words)}{'' if term.prefix else ' '})"))  # looks ahead, so overlaps count
 
 
 def found(term: Term) -> Column:
