@@ -176,7 +176,53 @@ def stream_watermark(s, d):
     return s.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", "n")
 
 
+def parse_query(s, d):
+    """What the parser makes of some queries."""
+    from skein.operators.query import parse
+
+    texts = ['"quarterly report" budget* -draft', "udi license", "a OR b", "name:report don't", "foo:bar title:\"x y\""]
+    rows = [(t, str(len(q.positives)), str(len(q.negatives)), q.any_of) for t in texts for q in [parse(t)]]
+    return s.createDataFrame(rows, "query string, positives string, negatives string, any_of boolean")
+
+
+def read_text(s, d):
+    """The documents' texts as files of one line each, read back as whole files."""
+    base = _folder(s)
+    C.table(s, d, "documents").filter(F.col("text").isNotNull()).select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).repartitionByRange(4, "value").write.text(f"{base}/texts")
+    x = E.read_text(s, f"{base}/texts").filter(F.length("text") > 0)
+    return x.select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line")).select(F.md5("line").alias("line_md5"))
+
+
+def ink_ratio(s, d):
+    x = C.table(s, d, "events").groupBy((F.col("user_id") % 20).alias("image")).agg(F.collect_list((F.abs("value") * 10).cast("int") % 256).alias("pixels"))
+    return x.select("image", F.round(E.ink_ratio(F.col("pixels")), 6).alias("ink"), (E.ink_ratio(F.col("pixels")) >= 0.005).alias("worth_reading"))
+
+
+def match_anchors(s, d):
+    """Anchors of each passage's snippet, by an Arrow UDF."""
+    from skein.functions.anchors import anchors
+
+    @F.pandas_udf("array<string>")
+    def run(snippets: pd.Series) -> pd.Series:
+        return snippets.map(lambda t: anchors(t, "ering"))
+
+    x = C.passages(s, d).filter(F.arrays_overlap(T.tokens(F.col("body")), F.array(F.lit("ering"))))
+    return x.select("passage_id", F.size(run(T.snippet(F.col("body"), ["ering"]))).alias("n_anchors"))
+
+
+def effective_mode(s, d):
+    from skein.engine import MODES
+    from skein.engine import effective_mode as effective
+
+    return s.createDataFrame([(m, r, effective(m, r)) for m in MODES for r in (True, False)], "requested string, ready boolean, effective string")
+
+
 QUERIES = {
+    "parse_query": (parse_query, """select * from (values ('"quarterly report" budget* -draft', '2', '1', false), ('udi license', '2', '0', false), ('a OR b', '2', '0', true), ('name:report don''t', '2', '0', false), ('foo:bar title:"x y"', '2', '0', false)) t(query, positives, negatives, any_of)"""),
+    "read_text": (read_text, "select md5(replace(text, chr(10), ' ')) as line_md5 from documents where text is not null"),
+    "ink_ratio": (ink_ratio, "select user_id % 20 as image, round(avg(((trunc(abs(value) * 10)::int % 256) < 242)::int), 6) as ink, avg(((trunc(abs(value) * 10)::int % 256) < 242)::int) >= 0.005 as worth_reading from events group by 1"),
+    "match_anchors": (match_anchors, ""),
+    "effective_mode": (effective_mode, "select requested, ready, case when ready then requested else 'text' end as effective from (values ('text'), ('semantic'), ('hybrid')) a(requested), (values (true), (false)) b(ready)"),
     "markdown_to_text": (markdown_to_text, MARKDOWN_SQL),
     "extract_html": (extract_html, HTML_SQL),
     "html_documents": (html_documents, ""),
