@@ -35,7 +35,7 @@ def vector_exact_topk(s, d):
 def vector_ann(s, d):
     v = C.vectors(s, d)
     centres = V.train_cells(v, 16)
-    return V.approximate_top(V.cells(v, centres), centres, probe(s, d), 10, 10).select("key", F.round("score", 6).alias("score"))
+    return V.approximate_top(V.cells(v, centres), centres, probe(s, d), 10, 13).select("key", F.round("score", 6).alias("score"))
 
 
 def _scored(s, d):
