@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -139,11 +141,19 @@ class Words:
         return out, number
 
 
+def tidy() -> None:
+    """Give freed memory back: a worker waits for its next task with what it has, beside the workers that are busy."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int = 400):
     """Batches of at most so many rows: fewer texts are Python strings at a time."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    tidy()
 
 
 def in_blocks(batches, size: int, columns: int):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, in_blocks, mix, planes, unplanes
+from .common import U64, Words, cut, in_blocks, mix, planes, tidy, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
@@ -148,6 +148,8 @@ def _meet(table: pa.Table) -> pa.Table:
     blocks = np.repeat(np.arange(len(rows)), [len(r["a"]) // 6 for r in rows])
     order = np.argsort(keys, kind="stable")
     keys, who, blocks = keys[order], who[order], blocks[order]
+    del order
+    tidy()
     new = np.diff(keys, prepend=keys[:1] ^ U64(1)) != 0
     start = np.flatnonzero(new)
     leader = np.repeat(start, np.diff(np.append(start, len(keys))))
@@ -264,6 +266,7 @@ def _compare(width: int, over: int, under: int):
                 rows.append((task, node, text))
         if rows:
             yield close(rows)
+        tidy()
 
     return run
 
