@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontamination, jaccard_join, language_id, toxicity
-from skein.llm.common import filter_rows, work_path
+from skein.llm.common import filter_rows, small_batches, work_path
 from skein.llm.queries import tokenizer_path
 
 TOXIC, WIDTH, OVER, UNDER, FEW = 0.7, 5, 80, 100, 200_000
@@ -22,16 +22,19 @@ ORACLE_SQL = None  # classifiers and a tokenizer are not SQL
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that could be learnt stay; without a letter, or without a text, a row goes."""
+    small_batches(spark)
     model = language_id.learn(docs, F.lit(True))
     return filter_rows(docs, "text", lambda texts: [name != language_id.UNKNOWN for name in model.predict(texts)[0]])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return filter_rows(docs, "text", lambda texts: (model.score(texts) < TOXIC).tolist())
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = jaccard_join.join(docs, WIDTH, OVER, UNDER).filter("doc_id is not null")
     path = work_path(spark, "groups")
     groups.write.parquet(path)
@@ -46,11 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, their number, and the SHA-256 of what they decode to."""
+    small_batches(spark)
     return bpe.encode_rows(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -17,6 +17,11 @@ U64 = np.uint64
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Send texts to Python some hundred rows at a time: whole texts are long, and each batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table in the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
