@@ -34,7 +34,7 @@ from .common import WHITE, slices
 
 _SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-KEPT = 100_000
+KEPT, KEPT_IN_STAGES = 400_000, 120_000  # words in a generation of the table; fewer where other operators' workers share the memory
 
 
 def byte_symbols() -> dict[int, str]:
@@ -126,7 +126,8 @@ class Transducer:
 class Tokenizer:
     """Reads the tokenizer's file and encodes as it says."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
+        self.most = most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -174,8 +175,14 @@ class Tokenizer:
                     part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
                 else:
                     part = part.lower()
-                for w in self.split(part):
-                    out += self.word(w)
+                core = part.rstrip(".,:;!?")
+                if core.isalpha():  # letters and what ends a sentence: the split is plain
+                    out += self.word(core)
+                    if len(core) < len(part):
+                        out += self.word(part[len(core) :])
+                else:
+                    for w in self.split(part):
+                        out += self.word(w)
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -187,7 +194,7 @@ class Tokenizer:
     def pieces(self, text: str | None):
         """(ids as text, decoded, number, ids as 32-bit integers) of each chunk, from the bounded table where it has them."""
         out = list(map(self.kept.__getitem__, self.chunks(text or "")))
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.most:
             self.old, self.kept = self.kept, _Kept(self)
             self.old.tokenizer = None
         return out
@@ -222,7 +229,11 @@ class TokenDecoder:
         return out
 
     def text(self, ids) -> str:
-        return "".join(map(self.feed, ids))
+        out = " ".join(map(self.surface.__getitem__, ids))
+        if out and self.begun:
+            out = " " + out
+        self.begun = self.begun or bool(out)
+        return out
 
 
 class TextDecoder:
@@ -244,8 +255,9 @@ class TextDecoder:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(path: str, most: int = KEPT) -> Tokenizer:
+    """One for all tasks of a worker, which then share its table."""
+    return Tokenizer(path, most)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -305,7 +317,7 @@ def encode_rows(docs: DataFrame, path: str) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        t = tokenizer(path)
+        t = tokenizer(path, KEPT_IN_STAGES)
         for b in slices(batches):
             values, counts, decoded = [], [], []
             for text in b.column(len(names)).to_pylist():
