@@ -7,6 +7,7 @@ character recognition are left to parsers that a caller passes in.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable
@@ -214,3 +215,21 @@ def extract_structured(files: DataFrame, parser: Callable[[bytes, str], tuple[st
 def ink_ratio(pixels: Column, dark: int = 242) -> Column:
     """The share of grey values below `dark`."""
     return F.coalesce(F.try_divide(F.size(F.filter(pixels, lambda p: p < dark)), F.size(pixels)), F.lit(0.0))
+
+
+def metadata_value(tree, key: str):
+    """The value of a key wherever it is first met in nested dictionaries and lists, depth first."""
+    below = tree.values() if isinstance(tree, dict) else tree if isinstance(tree, list) else ()
+    if isinstance(tree, dict) and key in tree:
+        return tree[key]
+    return next((v for b in below if (v := metadata_value(b, key)) is not None), None)
+
+
+def metadata_text(document: Column, key: str) -> Column:
+    """The same for a column of JSON documents; the value as text."""
+
+    @F.pandas_udf("string")
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(lambda d: None if d is None or (v := metadata_value(json.loads(d), key)) is None else v if isinstance(v, str) else json.dumps(v))
+
+    return run(document)

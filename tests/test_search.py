@@ -214,3 +214,18 @@ def test_stream_resumes(spark, tmp_path):
     write([("/a", 3, "delete", "2024-01-01 00:00:02"), ("/c", 4, "delete", "2024-01-01 00:00:03"), ("/c", 5, "upsert", "2024-01-01 00:00:04")])
     S.run(S.read(spark, str(tmp_path / "in")), v, load, str(tmp_path / "cp")).awaitTermination()
     assert {r["path"] for r in v.current()[1].collect()} == {"/b", "/c"}
+
+
+def test_metadata(spark):
+    from skein.sources.extract import metadata_text
+
+    rows = [('{"a": [{"b": 1}, {"text": "found"}]}',), ('{"a": 2}',), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "d string").coalesce(1).select(metadata_text(F.col("d"), "text")).collect()]
+    assert got == ["found", None, None]
+
+
+def test_page_routing(spark):
+    from skein.sources.extract import route_pages
+
+    p = spark.createDataFrame([(1, 0, "text", False, "v", True), (1, 1, " ", False, "x" * 40, True), (1, 2, None, True, "v", True), (1, 200, "t", True, "v", True)], "doc int, page int, structured string, needs_ocr boolean, viewer string, has_ink boolean")
+    assert [r["route"] for r in route_pages(p).orderBy("page").collect()] == ["structured", "viewer", "ocr", "viewer"]
