@@ -11,7 +11,8 @@ Answers are derived incrementally. Among sets that lists brought together, one s
 for all sets that link with it, which are one component then and need no answers of their own: a link between one of them
 and another set is found from the other one's side.
 
-Texts are read in blocks, whose agreeing signatures meet in shards; stars of agreeing sets give families, and a family's
+Texts are read in blocks, whose agreeing signatures meet in shards; stars of agreeing sets of a size class give families,
+so passages that texts share by chance chain only texts of like size, and a family's
 texts are compared in one task if they fit `family_bytes`, else in as many tasks as pairs of its parts need, so no task
 holds an unbounded group. Equal sets are one node throughout. Sets and nodes are known by 64-bit hashes.
 
@@ -78,14 +79,17 @@ class Scheme:
         self.differ = 2 * high * (under - over) // (under + over)  # what two linked sets of a class can differ in
         self.blocks = self.differ + 1 + np.where(self.differ > 0, np.minimum(3, self.differ) + self.differ // 20, 0)
 
-    def signatures(self, sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, index of the set) of all lists that the chosen sets are in: those of their class and of the next larger one."""
+    def classes(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.low, sizes, "right") - 1
+
+    def signatures(self, sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, index of the set, 0 or 1) of all lists that the chosen sets are in: those of their class and of the next larger one."""
         sizes = sets.sizes[chosen]
         owner = np.repeat(np.arange(len(chosen)), sizes)
         values = sets.values[np.repeat(sets.first[chosen], sizes) + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
         sums = np.concatenate(([U64(0)], np.cumsum(mix(values), dtype=U64)))
-        own = np.searchsorted(self.low, sizes, "right") - 1
-        keys, who = [], []
+        own = self.classes(sizes)
+        keys, who, ups = [], [], []
         for up in (0, 1):
             k = own + up
             m = self.blocks[k]
@@ -100,7 +104,8 @@ class Scheme:
                 empty = np.setdiff1d(np.arange(m[i]), block[at[held == i]])
                 keys.append(self._key(np.full(len(empty), k[i]), empty, np.zeros(len(empty), U64)))
                 who.append(np.full(len(empty), i))
-        return np.concatenate(keys), chosen[np.concatenate(who)]
+            ups.append(np.full(sum(map(len, who)) - sum(map(len, ups)), up))
+        return np.concatenate(keys), chosen[np.concatenate(who)], np.concatenate(ups)
 
     @staticmethod
     def _key(k, block, content) -> np.ndarray:
@@ -122,8 +127,8 @@ def _read(width: int, over: int, under: int, shards: int, block_chars: int):
             chosen = first[usable & (names != 0)]
             if len(chosen):
                 scheme = Scheme(over, under, int(sets.sizes.max()))
-                keys, who = scheme.signatures(sets, chosen)
-                who = of_text[who]
+                keys, who, ups = scheme.signatures(sets, chosen)
+                who = 2 * of_text[who] + ups
                 shard = (((keys >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 keys, who, shard = keys[order], who[order], shard[order]
@@ -169,11 +174,21 @@ def _texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(unplanes(r["a"], np.int64)), pa.array(node, mask=node == 0)], ["doc_id", "n_shingles", "node"])
 
 
-def _places(batches):
-    for b in batches:
-        for r in b.to_pylist():
-            node = np.frombuffer(r["c"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), r["block"])), pa.array(np.arange(len(node))), pa.array(node)], ["block", "place", "node"])
+def _places(over: int, under: int):
+    """Of each set of each block and each of its two classes: its place in messages, its node, and both as a vertex of the class's graph."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                node = np.frombuffer(r["c"], np.int64)
+                sizes = np.zeros(len(node), np.int64)
+                sizes[unplanes(r["b"], np.int32)] = unplanes(r["a"], np.int64)
+                own = Scheme(over, under, int(sizes.max(initial=1))).classes(sizes)
+                for up in (0, 1):
+                    vertex = mix(node.view(U64) + mix((own + up + 1).astype(U64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), r["block"])), pa.array(2 * np.arange(len(node)) + up), pa.array(node), pa.array(vertex)], ["block", "place", "node", "vertex"])
+
+    return run
 
 
 def _stars(batches):
@@ -278,12 +293,14 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
     shards = max(1, int(-(-chars * 7 * (under - over) // (under * shard_bytes // 10 * 3 // 2))))
     met = cut(docs.mapInArrow(_read(width, over, under, shards, block_chars), _MESSAGE).groupBy("shard").applyInArrow(_meet, _MESSAGE), "jaccard-stars")
     texts = met.filter("kind = 1").mapInArrow(_texts, "doc_id long, n_shingles long, node long")
-    places = met.filter("kind = 1").mapInArrow(_places, "block long, place long, node long")
+    places = met.filter("kind = 1").mapInArrow(_places(over, under), "block long, place long, node long, vertex long")
     stars = met.filter("kind = 2").mapInArrow(_stars, "block_a long, place_a long, block_b long, place_b long")
     named = stars
     for k in "ab":
-        named = named.join(places.select(F.col("block").alias(f"block_{k}"), F.col("place").alias(f"place_{k}"), F.col("node").alias(k)), [f"block_{k}", f"place_{k}"])
+        named = named.join(places.select(F.col("block").alias(f"block_{k}"), F.col("place").alias(f"place_{k}"), F.col("vertex").alias(k)), [f"block_{k}", f"place_{k}"])
     families = components(named.select("a", "b"))
+    vertices = places.groupBy("vertex").agg(F.first("node").alias("node"))
+    families = families.withColumnRenamed("node", "vertex").join(vertices, "vertex").select("node", "label")
 
     nodes = texts.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
     members = cut(nodes.join(families, "node"), "jaccard-members")
@@ -295,6 +312,7 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
     )
     few = members.count() <= FEW
     wanted = members.select("node", F.col("least").alias("doc_id"))
+    wanted = wanted.distinct()  # a set is in two classes
     found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
     work = split.select("node", "label", "part", F.explode(tasks).alias("t")).withColumn("task", F.xxhash64("label", "t.i", "t.j")).select("node", "task")
     dealt = work.join(found.select("node", "text"), "node").repartition("task").sortWithinPartitions("task").select("task", "node", "text")
