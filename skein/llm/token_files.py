@@ -177,7 +177,7 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.old: dict[str, bytes] = {}
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Units(self.learn)
         self.model = self.library.model
         self.symbols = byte_symbols()
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
@@ -186,22 +186,20 @@ class ByteEncoder:
     def raw(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, units: list[str]) -> None:
-        """Put units into the table."""
-        for u in dict.fromkeys(units):
-            if (got := self.old.get(u)) is None:
-                mark = u[0] in "\r\n"
-                word = u[1:] if mark else " " + u
-                core = word.rstrip(".,:;!?")
-                if core[not mark :].isalpha():  # letters and what ends a sentence: the split is plain, the model does the rest
-                    tail = word[len(core) :]
-                    if tail not in self.tails:
-                        self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
-                    ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]
-                    got = array("I", [*self.line_end, *ids, *self.tails[tail]] if u[0] == "\n" else [*ids, *self.tails[tail]]).tobytes()
-                else:
-                    got = self.raw(word if u[0] != "\n" else u)
-            self.kept[u] = got
+    def learn(self, u: str) -> bytes:
+        """The ids of a unit that the newer table doesn't have."""
+        if (got := self.old.get(u)) is not None:
+            return got
+        mark = u[0] in "\r\n"
+        word = u[1:] if mark else " " + u
+        core = word.rstrip(".,:;!?")
+        if not core[not mark :].isalpha():
+            return self.raw(word if u[0] != "\n" else u)
+        tail = word[len(core) :]  # letters and what ends a sentence: the split is plain, the model does the rest
+        if tail not in self.tails:
+            self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]
+        return array("I", [*self.line_end, *ids, *self.tails[tail]] if u[0] == "\n" else [*ids, *self.tails[tail]]).tobytes()
 
     def units(self, text: str) -> list[str]:
         if _regular(text):
@@ -210,32 +208,28 @@ class ByteEncoder:
             return out
         return ["\r" + u for u in _UNITS.findall(text)]
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = []
-        missing: list[str] = []
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif any(s in t for s in self.specials):  # a special string splits the text first
-                out.append(self.raw(t))
-            else:
-                units = self.units(t)
-                found = list(map(self.kept.get, units))
-                if None in found:
-                    missing += [u for u, x in zip(units, found) if x is None]
-                    out.append((units, found))
-                else:
-                    out.append(b"".join(found))
-        self.learn(missing)
-        kept = self.kept
-        out = [x if type(x) is bytes else b"".join([y if y is not None else kept[u] for u, y in zip(*x)]) for x in out]
-        if len(kept) > self.KEPT:
-            self.old, self.kept = kept, {}
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if any(s in text for s in self.specials):  # a special string splits the text first
+            return self.raw(text)
+        out = b"".join(map(self.kept.__getitem__, self.units(text)))
+        if len(self.kept) > self.KEPT:
+            self.old, self.kept = self.kept, _Units(self.learn)
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+
+class _Units(dict):
+    """Units and their ids; new ones are learnt when they are asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self[unit] = self.learn(unit)
+        return got
 
 
 @lru_cache(2)
@@ -262,9 +256,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_tok
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([frame], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([planes(lengths)], pa.binary()), pa.array([encode_frame(tokens)], pa.binary())], ["file", "frame", "n_tokens", "ids", "lengths", "data"])
 
         for own, texts in in_blocks(batches, 2_000_000, 2):
-            for doc_id, encoded in zip(own, encoder.encode_many(texts)):
+            for doc_id, text in zip(own, texts):
                 ids.append(doc_id)
-                parts.append(encoded + end)
+                parts.append(encoder.encode(text) + end)
                 size += len(parts[-1]) // 4
                 if size >= frame_tokens:
                     yield close()
