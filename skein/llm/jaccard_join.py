@@ -1,11 +1,11 @@
 """Operator 9, n-gram Jaccard join: exact links between sets of word shingles, by set-relation skipping.
 
-Index lists are skipped by position. A set is kept in the order of its shingles' hashes and cut into blocks by fixed
-positions of the hash range; a list holds the sets that agree in one whole block (same size class, block number and
-content). Two sets that link differ in so few shingles that they agree in at least one of their blocks (pigeonhole over
-one block more than they can differ in), so a set skips all lists of blocks in which it differs, and a frequent passage
-doesn't bring together texts that share only it. A block without shingles says nothing and is left out, unless a set has
-so many that only such blocks might agree.
+Index lists are skipped by position. A set is kept in the order of its shingles' hashes and cut into groups of three
+blocks by fixed positions of the hash range; a list holds the sets that agree in two whole blocks of a group (same size
+class, position and content). Two sets that link differ in so few shingles that some group holds at most one difference
+(pigeonhole over more groups than half of what they can differ in), and two of its blocks agree. So a set skips all other
+lists, and a frequent passage seldom brings together texts that share only it. Two blocks without shingles say nothing and
+are left out, unless a set has so many that only such ones might agree.
 
 Answers are derived incrementally. Among sets that lists brought together, one set's links are computed first; they answer
 for all sets that link with it, which are one component then and need no answers of their own: a link between one of them
@@ -76,8 +76,10 @@ class Scheme:
         low.append(low[-1] * under // over + 1)
         self.low = np.array(low)
         high = self.low[1:] - 1
-        self.differ = 2 * high * (under - over) // (under + over)  # what two linked sets of a class can differ in
-        self.blocks = self.differ + 1 + np.where(self.differ > 0, np.minimum(3, self.differ) + self.differ // 20, 0)
+        differ = 2 * high * (under - over) // (under + over)  # what two linked sets of a class can differ in
+        fewest = differ // 2 + 1  # of so many groups of blocks, one holds at most one difference
+        self.spare = fewest // 6 + np.minimum(2, fewest // 4)
+        self.groups = fewest + self.spare
 
     def classes(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
@@ -92,19 +94,32 @@ class Scheme:
         keys, who, ups = [], [], []
         for up in (0, 1):
             k = own + up
-            m = self.blocks[k]
+            m = 3 * self.groups[k]
             block = (((values >> U64(32)) * m[owner].astype(U64)) >> U64(32)).astype(np.int64)
             at = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
             end = np.append(at[1:], len(values))
-            keys.append(self._key(k[owner[at]], block[at], sums[end] - sums[at]))
-            held = owner[at]
-            who.append(held)
-            full = np.bincount(held, minlength=len(chosen))
-            for i in np.flatnonzero(m - full >= m - self.differ[k]):  # all agreeing blocks of a link might be empty
-                empty = np.setdiff1d(np.arange(m[i]), block[at[held == i]])
-                keys.append(self._key(np.full(len(empty), k[i]), empty, np.zeros(len(empty), U64)))
-                who.append(np.full(len(empty), i))
-            ups.append(np.full(sum(map(len, who)) - sum(map(len, ups)), up))
+            holder, group = owner[at], block[at] // 3
+            new = (np.diff(holder, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
+            place = np.cumsum(new) - 1
+            holder, group = holder[new], group[new]
+            content, there = np.zeros((len(group), 3), U64), np.zeros((len(group), 3), bool)
+            content[place, block[at] % 3] = sums[end] - sums[at]
+            there[place, block[at] % 3] = True
+            for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+                live = there[:, i] | there[:, j]
+                keys.append(self._key(k[holder[live]], 3 * group[live] + pair, mix(content[live, i]) + content[live, j]))
+                who.append(holder[live])
+                ups.append(np.full(len(who[-1]), up))
+            single = there.sum(1) == 1
+            empty = self.groups[k] - np.bincount(holder, minlength=len(chosen)) + np.bincount(holder[single], minlength=len(chosen))
+            for x in np.flatnonzero(empty >= 1 + self.spare[k]):  # all agreeing pairs of blocks of a link might be empty
+                mine = slice(*np.searchsorted(holder, [x, x + 1]))
+                bare = np.setdiff1d(np.arange(self.groups[k[x]]), group[mine])
+                half = group[mine][single[mine]]
+                names = np.concatenate([3 * np.repeat(bare, 3) + np.tile([0, 1, 2], len(bare)), 3 * half + 2 - there[mine][single[mine]].argmax(1)])
+                keys.append(self._key(np.full(len(names), k[x]), names, np.full(len(names), mix(np.zeros(1, U64))[0])))
+                who.append(np.full(len(names), x))
+                ups.append(np.full(len(names), up))
         return np.concatenate(keys), chosen[np.concatenate(who)], np.concatenate(ups)
 
     @staticmethod
