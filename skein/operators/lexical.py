@@ -154,8 +154,16 @@ def search(indexed: DataFrame, query: Query, limit: int = 20, where: Column | No
     """source_id, score, best_passage of the best `limit` sources: candidates are the best passages by rank, before their multipliers."""
     candidates = matched(with_tokens(indexed), query, where).orderBy(F.desc("rank"), "passage_id").limit(max(limit * 8, 200))
     rows = with_signals(candidates, query).withColumn("score", F.col("rank") * F.col("multiplier"))
-    out = roll_up(rows).join(document_coverage(rows, query), "source_id")
-    return out.select("source_id", (F.col("total") * F.col("factor")).alias("score"), "best_passage").orderBy(F.desc("score"), "source_id").limit(limit)
+    # roll_up and document_coverage in one pass, so that the matching isn't done twice
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "passage_id"))
+    rows = rows.select("source_id", "passage_id", "score", F.array_union("body_c", "heading_c").alias("cover"), nth.alias("nth"))
+    share = F.element_at(F.array(*map(F.lit, SHARES)), F.least("nth", F.lit(3)))
+    out = rows.groupBy("source_id").agg(
+        F.sum(F.when(F.col("nth") <= 3, F.col("score") * share)).alias("total"), F.max(F.when(F.col("nth") == 1, F.col("passage_id"))).alias("best_passage"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("cover")))).alias("covered"),
+    )
+    score = F.col("total") * coverage_factor(query.ranking, F.col("covered"))
+    return out.select("source_id", score.alias("score"), "best_passage").orderBy(F.desc("score"), "source_id").limit(limit)
 
 
 # --- the second ranker --------------------------------------------------------------------------------------------------
