@@ -34,7 +34,7 @@ from .common import WHITE, slices
 
 _SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-KEPT, KEPT_IN_STAGES = 400_000, 120_000  # words in a generation of the table; fewer where other operators' workers share the memory
+KEPT, KEPT_IN_STAGES = 400_000, 60_000  # words in a generation of the table; fewer where other operators' workers share the memory
 
 
 def byte_symbols() -> dict[int, str]:

@@ -34,7 +34,7 @@ from .common import U64, Words, cut, in_blocks, mix, planes, tidy, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
-BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 4_000_000, 16_000_000, 32_000_000, 200_000
+BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 16_000_000, 32_000_000, 200_000
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -42,7 +42,7 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.i
 class Sets:
     """The distinct shingles of several texts: values side by side, ascending in each set."""
 
-    def __init__(self, texts: list[str | None], width: int, chars: int = 4_000_000):
+    def __init__(self, texts: list[str | None], width: int, chars: int = 1_500_000):
         sets: list[np.ndarray] = []
         part: list[str | None] = []
         size = 0
