@@ -1,7 +1,7 @@
 """Operator 6, document fingerprints by winnowing.
 
 Every run of K bytes of a text (lower-cased in A-Z) is hashed with a rolling hash; from each window of W successive hashes
-the smallest is kept, the rightmost of equal ones, with its position. Any match of at least W + K - 1 bytes between two
+the smallest is kept, the rightmost of equal ones, with its position. Any match of at least W + K - 1 = 15 bytes between two
 texts lies over a common window and so shares a kept hash. A text of fewer than W runs has one window, one of fewer than K
 bytes has one run. Two fingerprints' likeness is the Jaccard similarity of their sets of hashes.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, _BYTE, _PIECE, cut, mix, powers
 
-K, W = 32, 96
+K, W = 8, 8
 
 
 def _kgrams(data: np.ndarray) -> np.ndarray:
@@ -106,9 +106,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 _NAMES = "doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next"
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_DEALT = f"{_RESULT}, part int, head binary, tail binary"
-_BLANK = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-_SCHEMA = pa.schema(list(zip([*_NAMES.split(", "), "part", "head", "tail"], _BLANK)))
+_DEALT = "ids array<long>, sizes array<long>, texts binary, part int, head binary, tail binary"
+_SCHEMA = pa.schema({"ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "part": pa.int32(), "head": pa.binary(), "tail": pa.binary()})
 
 
 def _compressed(batches):
@@ -136,28 +135,42 @@ def _compare(group: list[tuple[tuple[int, str], str]]) -> list[pa.Array]:
     ]
 
 
+def _row(ids: list, sizes: list | None, texts: bytes | None, *ends) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([ids, sizes, texts, *(ends or [None] * 3)], _SCHEMA)], schema=_SCHEMA)
+
+
 def _within(batches):
-    """Results of all documents of a range but its last one; and one row with the range's first text and its last document."""
+    """All documents of a range but its last one, in groups with the text that follows, compressed together; and one row with the range's first text and its last document."""
     part, head, held = TaskContext.get().partitionId(), None, None
-    group, size = [], 0
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    ids, texts, size = [], [], 0
     for b in batches:
         for doc_id, data in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            text = zstandard.decompress(data).decode()
+            text = zstandard.decompress(data)
             if held is None:
                 head = data
             else:
-                group.append((held[:2], text))
+                ids.append(held[0])
+                texts.append(held[1])
                 size += len(held[1])
             held = (doc_id, text, data)
             if size > 1_500_000:
-                done = _compare(group)
-                yield pa.RecordBatch.from_arrays([*done, *(pa.nulls(len(group), k) for k in _BLANK[7:])], schema=_SCHEMA)
-                group, size = [], 0
-    if group:
-        done = _compare(group)
-        yield pa.RecordBatch.from_arrays([*done, *(pa.nulls(len(group), k) for k in _BLANK[7:])], schema=_SCHEMA)
+                yield _row(ids, [len(t) for t in [*texts, text]], squeeze(b"".join([*texts, text])))
+                ids, texts, size = [], [], 0
+    if ids:
+        yield _row(ids, [len(t) for t in [*texts, held[1]]], squeeze(b"".join([*texts, held[1]])))
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), *(pa.nulls(1, k) for k in _BLANK[1:7]), pa.array([part], pa.int32()), pa.array([head]), pa.array([held[2]])], schema=_SCHEMA)
+        yield _row([held[0]], None, None, part, head, held[2])
+
+
+def _answer(batches):
+    for b in batches:
+        for ids, sizes, packed in zip(*(b.column(c) for c in ("ids", "sizes", "texts"))):
+            data = zstandard.decompress(packed.as_py())
+            ends = np.cumsum([0, *sizes.as_py()]).tolist()
+            texts = [data[i:j].decode() for i, j in zip(ends, ends[1:])]
+            pairs = [((doc_id, t), following) for doc_id, t, following in zip(ids.as_py(), texts, texts[1:])]
+            yield pa.RecordBatch.from_arrays(_compare(pairs), _NAMES.split(", "))
 
 
 def _across(batches):
@@ -172,7 +185,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     Texts are dealt once by ranges of the id, compressed. A range answers for all its documents but the last, whose next
     one heads the next range; those ends, two texts a range, are joined by the ranges' numbers. After the last document
-    comes the first.
+    comes the first. The work table holds compressed texts: fingerprints are larger than the texts and go to the result only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     packed = rows.mapInArrow(_compressed, "doc_id long, text binary, tie long")
@@ -183,8 +196,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     numbers = ends.select("part")  # one row a range
     following = numbers.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.partitionBy()).alias("least"))
     following = following.select("part", F.coalesce("next", "least").alias("next"))
-    tails = ends.select("part", "doc_id", "tail").join(following, "part")
+    tails = ends.select("part", F.element_at("ids", 1).alias("doc_id"), "tail").join(following, "part")
     heads = ends.select(F.col("part").alias("next"), "head")
     last = tails.join(heads, "next").select("doc_id", "tail", "head").mapInArrow(_across, _RESULT)
-    names = _NAMES.split(", ")
-    return dealt.filter(F.col("part").isNull()).select(*names).unionByName(last.select(*names))
+    return dealt.filter(F.col("part").isNull()).select("ids", "sizes", "texts").mapInArrow(_answer, _RESULT).unionByName(last)

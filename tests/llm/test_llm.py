@@ -274,6 +274,14 @@ def test_winnowing_keeps_the_rightmost_smallest():
     assert places.tolist() == kept and hashes.tolist() == [h[p] for p in kept]
 
 
+def test_edited_short_texts_keep_a_hash(spark):
+    whole = " ".join(prose(200, 31, 900))
+    texts = [whole[i * 260 : i * 260 + n] for i, n in enumerate(n for n in (30, 60, 90, 126, 180, 253) for _ in range(3))]
+    assert len(texts[-1]) == 253
+    rows = fingerprints.compare_edited(table(spark, texts)).collect()
+    assert len(rows) == len(texts) and all(r["near_edited"] > 0 for r in rows)
+
+
 def test_license_scan(spark):
     mit = license_scan.SENTENCES["mit-grant"].capitalize() + ".\n" + license_scan.SENTENCES["mit-notice"] + "."
     wrapped = "Licensed under the Apache License,\nversion 2.0. All rights reserved."
