@@ -66,3 +66,17 @@ def test_neighbours_are_found_in_cells(spark):
         exact = {r["key"] for r in V.exact_top(v, q, 10).collect()}
         found += len(exact & {r["key"] for r in V.approximate_top(celled, centres, q, 10, 13).collect()})
     assert found >= 45  # of 50
+
+
+def test_whole_texts_are_decoded(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skein.plans import text_queries as Q
+
+    rows = [(i, "a" * 500 + end) for i, end in enumerate(["ä 日本", "ä 日本", "ä", "", "", "日本"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda: {r["doc_id"]: r["same"] for r in Q.decode_text(spark, str(tmp_path)).collect()}
+    assert got() == dict.fromkeys(range(6), True)
+    decode = Q.E.decode_text
+    monkeypatch.setattr(Q.E, "decode_text", lambda c: F.substring(decode(c), 1, 400))
+    assert got() == dict.fromkeys(range(6), False)
