@@ -24,6 +24,7 @@ SENTENCES = {
     "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-ref": "released under the bsd license",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "cc-by-nc-4-ref": "licensed under cc by nc 4 0",
@@ -31,12 +32,15 @@ SENTENCES = {
     "cc-by-sa-4-ref": "licensed under cc by sa 4 0",
     "gpl2-ref": "this work is licensed under the gnu general public license version 2",
     "gpl3-ref": "this work is licensed under the gnu general public license version 3",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "lgpl3-ref": "this work is licensed under the gnu lesser general public license version 3",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-ref": "released under the mit license",
     "mpl2-ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "all rights reserved",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 # Rules, each a licence and the identifiers that make it, in order.
 RULES = [
@@ -44,8 +48,24 @@ RULES = [
     ("Apache-2.0", ["apache2-ref"]), ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]), ("BSD", ["bsd-ref"]),
     ("CC-BY-4.0", ["cc-by-4-ref"]), ("CC-BY-NC-4.0", ["cc-by-nc-4-ref"]), ("CC-BY-SA-4.0", ["cc-by-sa-4-ref"]), ("GPL-2.0", ["gpl2-ref"]),
     ("GPL-3.0", ["gpl3-ref"]), ("LGPL-3.0", ["lgpl3-ref"]), ("MIT", ["mit-grant", "mit-notice"]), ("MIT", ["mit-ref"]), ("MPL-2.0", ["mpl2-ref"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]), ("ISC", ["isc-grant"]), ("ISC", ["isc-grant-and"]), ("Zlib", ["zlib-grant"]),
     ("all-rights-reserved", ["reserved"]),
 ]
+# The GNU notice by licence and version. "(at your option) ..." is a sentence of its own where it begins a line.
+GNU = [("GPL", "general", "2"), ("GPL", "general", "3"), ("LGPL", "lesser general", "2 1"), ("LGPL", "lesser general", "3"), ("AGPL", "affero general", "3")]
+for _short, _long, _version in GNU:
+    _name = f"{_short}-{_version.replace(' ', '.') if ' ' in _version else _version + '.0'}-or-later"
+    for _what in ("program", "library"):
+        for _part, _rest in (("", " at your option any later version"), ("-wrapped", "")):
+            _id = f"{_name.lower()}-{_what}{_part}"
+            SENTENCES[_id] = f"this {_what} is free software you can redistribute it and or modify it under the terms of the gnu {_long} public license as published by the free software foundation either version {_version} of the license or{_rest}"
+            RULES.append((_name, [_id]))
+# Licences whose SPDX header line is known.
+SPDX = """AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only
+GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib""".split()
+for _name in SPDX:
+    SENTENCES[f"spdx-{_name.lower()}"] = "spdx license identifier " + _name.lower().replace("-", " ").replace(".", " ")
+    RULES.append((_name, [f"spdx-{_name.lower()}"]))
 # Every sentence above holds one of these.
 TRIGGERS = ["licen", "reserved", "permission", "redistribut"]
 

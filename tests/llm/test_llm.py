@@ -282,6 +282,21 @@ def test_edited_short_texts_keep_a_hash(spark):
     assert len(rows) == len(texts) and all(r["near_edited"] > 0 for r in rows)
 
 
+def test_more_notices_are_known(spark):
+    gnu = "This %s is free software%s you can redistribute it and/or modify\nit under the terms of the GNU %s as published by\nthe Free Software Foundation%s either version %s of the License, or\n(at your option) any later version.\n"
+    bsd = ["conditions", "source", "binary", "endorse"]
+    want = {
+        gnu % ("program", ":", "General Public License", ",", "3"): "GPL-3.0-or-later", gnu % ("program", ";", "General Public License", ";", "2"): "GPL-2.0-or-later",
+        gnu % ("library", ";", "Lesser General Public License", ";", "2.1"): "LGPL-2.1-or-later", gnu % ("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0-or-later",
+        (gnu % ("program", ":", "General Public License", ",", "3")).replace("\n", " "): "GPL-3.0-or-later",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+        "// SPDX-License-Identifier: LGPL-3.0-or-later\n#include <a.h>": "LGPL-3.0-or-later", "# SPDX-License-Identifier: MIT": "MIT",
+    }
+    texts = [*want, "\n".join(license_scan.SENTENCES[f"bsd-{k}"].capitalize() + "." for k in bsd)]
+    got = {r["doc_id"]: r["licences"].split() for r in license_scan.report(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(want))] == [[x] for x in want.values()] and "BSD-3-Clause" in got[len(want)]
+
+
 def test_license_scan(spark):
     mit = license_scan.SENTENCES["mit-grant"].capitalize() + ".\n" + license_scan.SENTENCES["mit-notice"] + "."
     wrapped = "Licensed under the Apache License,\nversion 2.0. All rights reserved."
