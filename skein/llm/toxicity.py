@@ -6,7 +6,9 @@ what it misspells. A text's evidence is that of its most toxic run, so a few wor
 one; a logistic fit on texts held back from the embeddings turns it into a score. Labels are of whole texts: rounds of
 training keep, of each toxic text, only the runs that the round before found most toxic.
 
-The model is fitted on a bounded sample: at most `rows` labelled rows and `chars` characters, whatever the corpus. A run's
+The model is fitted on a bounded sample: at most `rows` labelled rows and `chars` characters, whatever the corpus. Of its
+runs a round trains on at most `toxic_runs` toxic ones, drawn at random from those that were kept, on as many clean ones as
+these, the most toxic by the round before, and on at most `clean_runs` clean ones drawn at random. A run's
 softmax is linear in its average, so scoring needs one number a bucket; texts of any length are scored whole.
 
 Defined cases: a text that is null or without words has one empty run, whose logit is the offset; without both labels in
@@ -26,6 +28,7 @@ from .subwords import Buffer, labelled, platt
 
 BITS, SIZES, DIM, WINDOW = 17, (3, 4, 5), 8, 12
 ROWS, CHARS = 8_000, 18_000_000
+TOXIC_RUNS, CLEAN_RUNS = 15_000, 40_000
 
 
 def _number(counts: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.shift, -40, 40)))
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed: int = 5) -> Model:
+def fit(texts: list[str], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed: int = 5, toxic_runs: int = TOXIC_RUNS, clean_runs: int = CLEAN_RUNS) -> Model:
     """Train embeddings and softmax together; calibrate on every fifth text, which they don't see."""
     rng = np.random.default_rng(seed)
     if len(set(y.tolist())) < 2:
@@ -90,10 +93,10 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed:
         best = np.full(len(seen), -np.inf)
         np.maximum.at(best, text_of, logits)
         positive = np.flatnonzero(toxic & ((logits >= best[text_of]) | (logits > limit)))
-        positive = positive if len(positive) <= 15_000 else np.sort(rng.choice(positive, 15_000, replace=False))
+        positive = positive if len(positive) <= toxic_runs else np.sort(rng.choice(positive, toxic_runs, replace=False))
         clean = np.flatnonzero(~toxic)
         hard = clean[np.argsort(-logits[clean], kind="stable")[: len(positive)]]
-        negative = np.union1d(hard, rng.choice(clean, min(len(clean), 40_000), replace=False))
+        negative = np.union1d(hard, rng.choice(clean, min(len(clean), clean_runs), replace=False))
         runs = _runs(seen, np.union1d(positive, negative))
         weights, offset = _train(*runs, toxic[np.union1d(positive, negative)].astype(int), rng, epochs)
         model = Model(weights, offset, 1.0, 0.0)
@@ -200,5 +203,5 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame
 _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable, rows: int = ROWS, chars: int = CHARS) -> Model:
-    return fit(*labelled(docs, labels, "toxic", usable, rows, chars))
+def learn(docs: DataFrame, labels: DataFrame, usable, rows: int = ROWS, chars: int = CHARS, toxic_runs: int = TOXIC_RUNS, clean_runs: int = CLEAN_RUNS) -> Model:
+    return fit(*labelled(docs, labels, "toxic", usable, rows, chars), toxic_runs=toxic_runs, clean_runs=clean_runs)

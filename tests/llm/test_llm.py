@@ -106,6 +106,16 @@ def test_lm_probabilities_sum_to_one():
 # --- 2, 5, 10: classifiers ----------------------------------------------------------------------------------------------
 
 
+def test_bounds_of_toxic_and_clean_runs_are_parameters(monkeypatch):
+    texts, seen, train = prose(400, 4, 300), [], toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda ids, inside, at, y, *a: seen.append(y) or train(ids, inside, at, y, *a))
+    y = np.array([0, 1] * 200)
+    toxicity.fit(texts, y, epochs=1)
+    toxicity.fit(texts, y, epochs=1, toxic_runs=10, clean_runs=20)
+    assert all(y.sum() > 10 and (y == 0).sum() > 30 for y in seen[:2])
+    assert len(seen) == 4 and all(y.sum() == 10 and 20 <= (y == 0).sum() <= 30 for y in seen[2:])
+
+
 def test_toxicity_finds_misspellings(spark):
     clean, others = (prose(1600, 3, 400)[k] for k in (slice(900), slice(900, None)))  # of one vocabulary
     rng = random.Random(5)
