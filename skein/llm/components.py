@@ -6,46 +6,53 @@ task joins them; beyond that, rounds of smallest labels and pointer jumping do,
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-BOUND = 1_000_000
+BOUND = 500_000
 
 
-def _forest(whole: bool, size: int = 2_000_000):
-    """Per task, links as (node, smallest node of its tree), `size` links at a time; with `whole`, all of them together and roots too."""
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the links, and the smallest node that each one reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[label]
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
 
-    def run(batches):
-        parent: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.get(root, root)) != root:
-                root = up
-            while x != root:
-                parent[x], x = root, parent.get(x, x)
-            return root
+def _forest(whole: bool, size: int = 500_000):
+    """Per task, links as (node, smallest node of its tree), some links at a time; with `whole`, all of them together and roots too."""
 
+    def run(batches):
         def close():
-            nodes = list(parent)
-            roots = [find(x) for x in nodes]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = find(a), find(b)
-                if whole:
-                    parent.setdefault(x, x)
-                    parent.setdefault(y, y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            if not whole and len(parent) > size:
+            nodes, roots = smallest(*(np.concatenate(p) for p in parts))
+            keep = slice(None) if whole else nodes != roots
+            return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["a", "b"])
+
+        parts, n = ([], []), 0
+        for b in batches:
+            for to, column in zip(parts, b.columns):
+                to.append(column.to_numpy())
+            n += b.num_rows
+            if not whole and n > size:
                 yield close()
-                parent.clear()
-        if parent:
+                parts, n = ([], []), 0
+        if n:
             yield close()
 
     return run

@@ -4,17 +4,19 @@ Index lists are skipped by position. A set is kept in the order of its shingles'
 blocks by fixed positions of the hash range; a list holds the sets that agree in two whole blocks of a group (same size
 class, position and content). Two sets that link differ in so few shingles that some group holds at most one difference
 (pigeonhole over more groups than half of what they can differ in), and two of its blocks agree. So a set skips all other
-lists, and a frequent passage seldom brings together texts that share only it. Two blocks without shingles say nothing and
-are left out, unless a set has so many that only such ones might agree.
+lists. Two blocks that hold only common shingles (or none) say little, and their list is skipped too, unless a set has so
+many such blocks that no others might agree; common ones are those whose hashed counter, over all texts, stands out. So
+passages that many texts share don't bring these texts together.
 
-Answers are derived incrementally. Among sets that lists brought together, one set's links are computed first; they answer
-for all sets that link with it, which are one component then and need no answers of their own: a link between one of them
-and another set is found from the other one's side.
+Answers are derived incrementally. Among sets that lists brought together, one set's shared shingles with all others are
+counted by a pass over its index lists; the answers of a set most like it follow from them by the lists of the shingles in
+which the two differ alone, and so on from set to set (`link_family`).
 
-Texts are read in blocks, whose agreeing signatures meet in shards; stars of agreeing sets of a size class give families,
-so passages that texts share by chance chain only texts of like size, and a family's
-texts are compared in one task if they fit `family_bytes`, else in as many tasks as pairs of its parts need, so no task
-holds an unbounded group. Equal sets are one node throughout. Sets and nodes are known by 64-bit hashes.
+Texts are read in blocks, whose agreeing signatures meet in shards, one entry a block and signature; stars of agreeing sets
+of a size class give families. A family's texts are compared in one task if they fit `family_bytes`. A larger one is dealt
+over tasks once, each with a few of the family's sets beside its own: those that end in one component with most of them
+need no more. Only the rest meets all parts again. Equal sets are one node throughout. Sets and nodes are known by 64-bit
+hashes, signatures within a shard by 40 bits (what agrees by chance is compared like the others).
 
 Defined cases: a text with fewer words than a shingle has one shingle of all its words; without words or text, a set is
 empty and links with nothing; a row with a null id links with nothing and has a null component; repeated rows give a row
@@ -34,7 +36,8 @@ from .common import U64, Words, cut, in_blocks, mix, planes, tidy, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
-BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 16_000_000, 32_000_000, 200_000
+PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 12_000_000, 24_000_000, 12_000_000, 200_000
+COUNTERS, CHUNKS, SHARDS, CENTRES = 20, 64, 48, 4  # bits of a counter's number, pieces of the counters, least shards, sets beside each part
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -42,7 +45,7 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.i
 class Sets:
     """The distinct shingles of several texts: values side by side, ascending in each set."""
 
-    def __init__(self, texts: list[str | None], width: int, chars: int = 1_500_000):
+    def __init__(self, texts: list[str | None], width: int, chars: int = PART_CHARS):
         sets: list[np.ndarray] = []
         part: list[str | None] = []
         size = 0
@@ -64,6 +67,70 @@ class Sets:
     def of(self, i: int) -> np.ndarray:
         return self.values[self.first[i] : self.first[i + 1]]
 
+    def flat(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in `chosen`, value) of each shingle of the chosen sets."""
+        sizes = self.sizes[chosen]
+        owner = np.repeat(np.arange(len(chosen)), sizes)
+        return owner, self.values[np.repeat(self.first[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(owner))]
+
+    def some(self, chosen: np.ndarray) -> Sets:
+        out = object.__new__(Sets)
+        out.sizes, out.nodes = self.sizes[chosen], self.nodes[chosen]
+        out.first = np.concatenate(([0], np.cumsum(out.sizes)))
+        out.values = self.flat(chosen)[1]
+        return out
+
+
+# --- common shingles --------------------------------------------------------------------------------------------------
+
+
+def _tally(width: int):
+    """Per task: how many different sets hold a shingle of each counter, in pieces."""
+
+    def run(batches):
+        counts = np.zeros(1 << COUNTERS, np.int64)
+        for _, texts in in_blocks(batches, PART_CHARS, 2):
+            sets = Sets(texts, width)
+            first = np.unique(sets.nodes, return_index=True)[1]
+            counts += np.bincount(_counter(sets.flat(first)[1]), minlength=len(counts))
+        piece = len(counts) // CHUNKS
+        for k in range(CHUNKS):
+            own = counts[k * piece : (k + 1) * piece]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes(np.diff(at, prepend=0).astype(np.int32))]), pa.array([planes(own[at])])], ["piece", "at", "count"])
+
+    return run
+
+
+def _sum_tallies(batches):
+    piece = (1 << COUNTERS) // CHUNKS
+    totals: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, at, count in zip(*(c.to_pylist() for c in b.columns)):
+            own = totals.setdefault(k, np.zeros(piece, np.int64))
+            own[np.cumsum(unplanes(at, np.int32))] += unplanes(count, np.int64)
+    for k, own in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], ["piece", "totals"])
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values & U64((1 << COUNTERS) - 1)).astype(np.int64)
+
+
+def common_counters(docs: DataFrame, width: int) -> np.ndarray:
+    """Which counters stand out: over 5 robust deviations above the median. The driver gets 2**COUNTERS sums, whatever the corpus."""
+    tallies = docs.mapInArrow(_tally(width), "piece int, at binary, count binary")
+    totals = np.zeros((CHUNKS, (1 << COUNTERS) // CHUNKS), np.int64)
+    for r in tallies.repartition(CHUNKS, "piece").mapInArrow(_sum_tallies, "piece int, totals binary").toLocalIterator():
+        totals[r["piece"]] = np.frombuffer(r["totals"], np.int64)
+    middle = np.median(totals)
+    spread = max(1.4826 * np.median(np.abs(totals - middle)), middle**0.5, 1.0)
+    return totals.reshape(-1) > middle + 5 * spread
+
+
+# --- signatures -------------------------------------------------------------------------------------------------------
+
 
 class Scheme:
     """Size classes and blocks for links of sets with over * union <= under * intersection."""
@@ -84,13 +151,19 @@ class Scheme:
     def classes(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, "right") - 1
 
-    def signatures(self, sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signature, index of the set, 0 or 1) of all lists that the chosen sets are in: those of their class and of the next larger one."""
-        sizes = sets.sizes[chosen]
-        owner = np.repeat(np.arange(len(chosen)), sizes)
-        values = sets.values[np.repeat(sets.first[chosen], sizes) + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    def signatures(self, sets: Sets, chosen: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, index of the set, 0 or 1) of all lists that the chosen sets are in: those of their class and of the next larger one.
+
+        A block speaks if it holds a shingle that isn't common. Of a link's groups with at most one difference there are
+        more than `spare`; so if a set has at most that many groups with two silent blocks or three, one of those groups
+        has two agreeing blocks of which one speaks, and lists of silent pairs can be left out.
+        """
+        owner, values = sets.flat(chosen)
         sums = np.concatenate(([U64(0)], np.cumsum(mix(values), dtype=U64)))
-        own = self.classes(sizes)
+        rare = np.ones(len(values), bool) if common is None else ~common[_counter(values)]
+        spoken = np.concatenate(([0], np.cumsum(rare)))
+        own = self.classes(sets.sizes[chosen])
+        nothing = mix(np.zeros(1, U64))[0]
         keys, who, ups = [], [], []
         for up in (0, 1):
             k = own + up
@@ -102,22 +175,20 @@ class Scheme:
             new = (np.diff(holder, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
             place = np.cumsum(new) - 1
             holder, group = holder[new], group[new]
-            content, there = np.zeros((len(group), 3), U64), np.zeros((len(group), 3), bool)
+            content, speaks = np.zeros((len(group), 3), U64), np.zeros((len(group), 3), bool)
             content[place, block[at] % 3] = sums[end] - sums[at]
-            there[place, block[at] % 3] = True
+            speaks[place, block[at] % 3] = spoken[end] > spoken[at]
+            silent = self.groups[k] - np.bincount(holder[speaks.sum(1) >= 2], minlength=len(chosen))
+            all_lists = silent > self.spare[k]
             for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                live = there[:, i] | there[:, j]
+                live = speaks[:, i] | speaks[:, j] | all_lists[holder]
                 keys.append(self._key(k[holder[live]], 3 * group[live] + pair, mix(content[live, i]) + content[live, j]))
                 who.append(holder[live])
                 ups.append(np.full(len(who[-1]), up))
-            single = there.sum(1) == 1
-            empty = self.groups[k] - np.bincount(holder, minlength=len(chosen)) + np.bincount(holder[single], minlength=len(chosen))
-            for x in np.flatnonzero(empty >= 1 + self.spare[k]):  # all agreeing pairs of blocks of a link might be empty
-                mine = slice(*np.searchsorted(holder, [x, x + 1]))
-                bare = np.setdiff1d(np.arange(self.groups[k[x]]), group[mine])
-                half = group[mine][single[mine]]
-                names = np.concatenate([3 * np.repeat(bare, 3) + np.tile([0, 1, 2], len(bare)), 3 * half + 2 - there[mine][single[mine]].argmax(1)])
-                keys.append(self._key(np.full(len(names), k[x]), names, np.full(len(names), mix(np.zeros(1, U64))[0])))
+            for x in np.flatnonzero(all_lists):  # groups without any shingle
+                bare = np.setdiff1d(np.arange(self.groups[k[x]]), group[slice(*np.searchsorted(holder, [x, x + 1]))])
+                names = 3 * np.repeat(bare, 3) + np.tile([0, 1, 2], len(bare))
+                keys.append(self._key(np.full(len(names), k[x]), names, np.full(len(names), nothing)))
                 who.append(np.full(len(names), x))
                 ups.append(np.full(len(names), up))
         return np.concatenate(keys), chosen[np.concatenate(who)], np.concatenate(ups)
@@ -127,59 +198,126 @@ class Scheme:
         return mix(content + mix((k.astype(U64) << U64(32)) + block.astype(U64) + U64(1)))
 
 
-# --- signatures meet --------------------------------------------------------------------------------------------------
+def _row(kind, shard, block, ids=None, a=None, b=None, c=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((kind, shard, block, ids, a, b, c), _SCHEMA)], schema=_SCHEMA)
 
 
-def _read(width: int, over: int, under: int, shards: int, block_chars: int):
+def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: where each new one starts, and where the first of the same is, for each that isn't the first."""
+    new = np.diff(keys, prepend=keys[:1] ^ U64(1)) != 0
+    start = np.flatnonzero(new)
+    return new, np.repeat(start, np.diff(np.append(start, len(keys))))[~new]
+
+
+class _Block:
+    """The sets of some million characters: their rows, and one entry for each of their signatures."""
+
+    def __init__(self, number: int, shards: int):
+        self.number, self.shards, self.chars, self.seen = number, shards, 0, {}
+        self.ids, self.sizes, self.of_text, self.keys, self.who = [], [], [], [], []
+
+    def add(self, ids, texts, width, over, under, common):
+        sets = Sets(texts, width)
+        index = np.empty(len(texts), np.int64)
+        chosen = []
+        for i, (node, doc_id) in enumerate(zip(sets.nodes.tolist(), ids)):
+            known = self.seen.get(node)
+            if known is None:
+                known = self.seen[node] = [len(self.seen), False]
+            index[i] = known[0]
+            if node and doc_id is not None and not known[1]:
+                known[1] = True
+                chosen.append(i)
+        if chosen:
+            keys, who, ups = Scheme(over, under, int(sets.sizes.max())).signatures(sets, np.array(chosen), common)
+            self.keys.append(keys)
+            self.who.append((2 * index[who] + ups).astype(np.int32))
+        self.ids += ids
+        self.sizes.append(sets.sizes)
+        self.of_text.append(index)
+        self.chars += sum(len(t or "") + 16 for t in texts)
+
+    def rows(self):
+        names = np.fromiter(self.seen, np.int64, len(self.seen))
+        yield _row(1, self.number % self.shards, self.number, self.ids, planes(np.concatenate(self.sizes)), planes(np.concatenate(self.of_text).astype(np.int32)), names.tobytes())
+        if not self.keys:
+            return
+        keys, who = np.concatenate(self.keys), np.concatenate(self.who)
+        self.keys = self.who = None
+        order = np.argsort(keys, kind="stable")
+        keys, who = keys[order], who[order]
+        new, leader = _starts(keys)
+        pairs = np.unique((who[leader].astype(U64) << U64(32)) | who[~new].astype(U64))
+        if len(pairs):
+            here = np.full(len(pairs), self.number)
+            yield _row(2, self.number % self.shards, self.number, None, _pairs(here, pairs >> U64(32)), _pairs(here, pairs & U64(0xFFFFFFFF)))
+        keys, who = keys[new], who[new]
+        shard = (((keys >> U64(32)) * U64(self.shards)) >> U64(32)).astype(np.int64)
+        order = np.lexsort((who, shard))
+        keys, who, shard = keys[order], who[order], shard[order]
+        bounds = np.searchsorted(shard, np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
+            i, j = bounds[s], bounds[s + 1]
+            yield _row(0, s, self.number, None, planes(keys[i:j], 5), planes(np.diff(who[i:j], prepend=np.int32(0))))
+
+
+def _pairs(blocks: np.ndarray, places: np.ndarray) -> bytes:
+    return np.stack([blocks.astype(np.int64), places.astype(np.int64)], axis=1).tobytes()
+
+
+def _read(width: int, over: int, under: int, shards: int, block_chars: int, common: bytes):
     def run(batches):
-        block = TaskContext.get().partitionId() << 20
-        for ids, texts in in_blocks(batches, block_chars, 2):
-            sets = Sets(texts, width)
-            names, first, of_text = np.unique(sets.nodes, return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([block % shards], pa.int32()), pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([planes(sets.sizes)]), pa.array([planes(of_text.astype(np.int32))]), pa.array([names.tobytes()])], schema=_SCHEMA)
-            known = np.array([i is not None for i in ids])
-            usable = np.bincount(of_text, weights=known, minlength=len(names)) > 0
-            chosen = first[usable & (names != 0)]
-            if len(chosen):
-                scheme = Scheme(over, under, int(sets.sizes.max()))
-                keys, who, ups = scheme.signatures(sets, chosen)
-                who = 2 * of_text[who] + ups
-                shard = (((keys >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                keys, who, shard = keys[order], who[order], shard[order]
-                bounds = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(bounds)):
-                    i, j = bounds[s], bounds[s + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([s], pa.int32()), pa.array([block]), pa.array([None], pa.list_(pa.int64())), pa.array([planes(keys[i:j], 6)]), pa.array([planes(np.diff(who[i:j].astype(np.int32), prepend=np.int32(0)))]), pa.array([None], pa.binary())], schema=_SCHEMA)
-            block += 1
+        hot = np.unpackbits(np.frombuffer(common, np.uint8)).astype(bool)
+        block = _Block(TaskContext.get().partitionId() << 20, shards)
+        for ids, texts in in_blocks(batches, min(block_chars, PART_CHARS), 2):
+            block.add(ids, texts, width, over, under, hot)
+            if block.chars >= block_chars:
+                yield from block.rows()
+                block = _Block(block.number + 1, shards)
+        if block.ids:
+            yield from block.rows()
+        tidy()
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Stars of the sets that agree in a signature: (block, index) of the first one and of each other one. Rows of texts pass."""
-    texts = table.filter(pc.equal(table.column("kind"), 1))
-    rows = table.filter(pc.equal(table.column("kind"), 0)).to_pylist()
-    if not rows:
-        return texts
-    rows.sort(key=lambda r: r["block"])
-    keys = np.concatenate([unplanes(r["a"], U64, 6) for r in rows])
-    who = np.concatenate([np.cumsum(unplanes(r["b"], np.int32), dtype=np.int64) for r in rows])
-    blocks = np.repeat(np.arange(len(rows)), [len(r["a"]) // 6 for r in rows])
-    order = np.argsort(keys, kind="stable")
-    keys, who, blocks = keys[order], who[order], blocks[order]
-    del order
+    """Stars of the sets that agree in a signature: (block, place) of the first one and of each other one. Other rows pass."""
+    kind = table.column("kind")
+    others = table.filter(pc.not_equal(kind, 0))
+    table = table.filter(pc.equal(kind, 0))
+    if not table.num_rows:
+        return others
+    number = table.column("block").to_numpy()
+    keys, who = [], []
+    for a, b in zip(table.column("a"), table.column("b")):
+        keys.append(unplanes(a.as_buffer(), U64, 5))
+        who.append(np.cumsum(unplanes(b.as_buffer(), np.int32), dtype=np.int32))
+    row = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    keys, who = np.concatenate(keys), np.concatenate(who)
+    del table
+    if len(keys) < 1 << 24:  # the place beside the key: one plain sort
+        keys <<= U64(24)
+        keys |= np.arange(len(keys), dtype=U64)
+        keys.sort()
+        order = (keys & U64((1 << 24) - 1)).astype(np.int64)
+        keys >>= U64(24)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    new, leader = _starts(keys)
+    x, y = order[leader], order[~new]
+    del keys, order
+    pack = lambda at: (row[at].astype(U64) << U64(32)) | who[at].astype(U64)
+    x, y = pack(x), pack(y)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (np.diff(x) != 0) | (np.diff(y) != 0)
+    a, b = (_pairs(number[(v[fresh] >> U64(32)).astype(np.int64)], v[fresh] & U64(0xFFFFFFFF)) for v in (x, y))
+    del row, who, x, y
     tidy()
-    new = np.diff(keys, prepend=keys[:1] ^ U64(1)) != 0
-    start = np.flatnonzero(new)
-    leader = np.repeat(start, np.diff(np.append(start, len(keys))))
-    other = np.flatnonzero(~new)
-    pack = lambda at: (blocks[at].astype(U64) << U64(32)) | who[at].astype(U64)
-    pairs = np.unique(np.stack([pack(leader[other]), pack(other)], axis=1), axis=0)
-    number = np.array([r["block"] for r in rows])
-    names = [np.stack([number[(p >> U64(32)).astype(np.int64)], (p & U64(0xFFFFFFFF)).astype(np.int64)], axis=1) for p in pairs.T]
-    stars = pa.Table.from_pylist([{"kind": 2, "shard": -1, "block": -1, "ids": None, "a": names[0].tobytes(), "b": names[1].tobytes(), "c": None}], schema=_SCHEMA)
-    return pa.concat_tables([texts, stars])
+    return pa.concat_tables([others, pa.Table.from_batches([_row(2, -1, -1, None, a, b)])]) if len(a) else others
 
 
 def _texts(batches):
@@ -216,101 +354,172 @@ def _stars(batches):
 # --- families are compared --------------------------------------------------------------------------------------------
 
 
-def link_family(sets: Sets, scheme: Scheme) -> list[tuple[int, int]]:
-    """Links that connect all sets of a family which links connect.
+class Index:
+    """Index lists of a family: per shared shingle the sets that hold it, numbered by size, so that those that a set can link with are one block."""
+
+    def __init__(self, sets: Sets, scheme: Scheme):
+        self.sets, self.scheme, n = sets, scheme, len(sets.sizes)
+        self.n = n
+        self.order = np.argsort(sets.sizes, kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[self.order] = np.arange(n)
+        self.sizes = sets.sizes[self.order]
+        owner = np.repeat(np.arange(n), sets.sizes)
+        values = sets.values
+        if len(values) > 100_000:  # most shingles are in one set only
+            slot = (values >> U64(44)).astype(np.int32)
+            shared = np.bincount(slot, minlength=1 << 20)[slot] > 1
+            values, owner = values[shared], owner[shared]
+        _, shingle, counts = np.unique(values, return_inverse=True, return_counts=True)
+        shared = counts[shingle] > 1
+        self.shingle, owner = shingle[shared], owner[shared]  # ascending in each set
+        self.first = np.searchsorted(owner, np.arange(n + 1))
+        self.lists = np.sort(self.shingle * n + self.rank[owner])
+        self.counts = counts
+        self.weight = np.bincount(owner, weights=counts[self.shingle], minlength=n)
 
-    Sets are numbered by size, so in each shingle's index list those that a set can link with are one block, and the rest
-    of the list is skipped. One pass over a set's blocks counts its shared shingles with all sets at once. The first set
-    answers for all that link with it: they are one component already, and a link of theirs to another set is found from
-    that one's side. So only the sets that don't link with it need passes of their own, until all are connected.
-    """
-    n = len(sets.sizes)
-    order = np.argsort(sets.sizes, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    sizes = sets.sizes[order]
-    often = np.bincount((sets.values >> U64(42)).astype(np.int32), minlength=1 << 22)
-    shared = np.flatnonzero(often[(sets.values >> U64(42)).astype(np.int32)] > 1)  # without most of those in one set only
-    owner = np.searchsorted(sets.first, shared, "right") - 1
-    _, shingle, counts = np.unique(sets.values[shared], return_inverse=True, return_counts=True)
-    shared = counts[shingle] > 1
-    shingle, owner = shingle[shared], owner[shared]
-    first = np.searchsorted(owner, np.arange(n + 1))
-    lists = np.sort(shingle * n + rank[owner])
-    weight = np.bincount(owner, weights=counts[shingle], minlength=n)
-
-    def row(i: int) -> np.ndarray:
-        """The sets that link with set i."""
-        size = int(sets.sizes[i])
-        low = int(np.searchsorted(sizes, -(-scheme.over * size // scheme.under)))
-        high = int(np.searchsorted(sizes, scheme.under * size // scheme.over, "right"))
-        own = shingle[first[i] : first[i + 1]] * n
-        a, b = np.searchsorted(lists, own + low), np.searchsorted(lists, own + high)
+    def of(self, i: int) -> np.ndarray:
+        return self.shingle[self.first[i] : self.first[i + 1]]
+
+    def count(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set holds, by its number: a pass over their lists."""
+        a, b = np.searchsorted(self.lists, shingles * self.n), np.searchsorted(self.lists, (shingles + 1) * self.n)
         length = b - a
         at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
-        both = np.bincount(lists[at] - np.repeat(own, length) - low, minlength=high - low)
-        linked = np.flatnonzero(scheme.under * both >= scheme.over * (size + sizes[low:high] - both))
-        return order[linked + low]
+        return np.bincount(self.lists[at] - np.repeat(shingles * self.n, length), minlength=self.n)
+
+    def derive(self, both: np.ndarray, i: int, j: int) -> np.ndarray:
+        """What set j shares with all sets, from what set i shares: the lists of what they differ in, if that is less than all lists of j."""
+        ours, theirs = self.of(i), self.of(j)
+        less, more = np.setdiff1d(ours, theirs, True), np.setdiff1d(theirs, ours, True)
+        if self.counts[less].sum() + self.counts[more].sum() >= self.weight[j]:
+            return self.count(theirs)
+        return both - self.count(less) + self.count(more)
+
+    def links(self, i: int, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other sets that link with set i, and how much each shares with it, most first."""
+        size, over, under = int(self.sets.sizes[i]), self.scheme.over, self.scheme.under
+        low = int(np.searchsorted(self.sizes, -(-over * size // under)))
+        high = int(np.searchsorted(self.sizes, under * size // over, "right"))
+        own = both[low:high]
+        at = np.flatnonzero(under * own >= over * (size + self.sizes[low:high] - own))
+        at = at[at + low != self.rank[i]]
+        at = at[np.argsort(size + self.sizes[low:high][at] - 2 * own[at], kind="stable")]
+        return self.order[at + low], own[at]
+
+
+def link_family(sets: Sets, scheme: Scheme) -> list[tuple[int, int]]:
+    """Links that connect all sets of a family which links connect.
 
-    label, members = list(range(n)), [[i] for i in range(n)]
+    The set with the longest lists is answered by a pass over them. It answers for all sets that link with it: they are one
+    component already, and a link of theirs to another set is found from that one's side. Every other set needs its answer.
+    A set that linked with an answered one derives it from that one's; a set without such takes a pass of its own. It ends
+    early when all sets are connected.
+    """
+    index = Index(sets, scheme)
+    n = index.n
+    label = np.arange(n)
     links: list[tuple[int, int]] = []
-    start = int(np.argmax(weight)) if n else 0
-    queue = [start] if n else []
-    answered: set[int] = set()
-    for i in queue:
-        found = row(i).tolist()
-        for j in found:
-            x, y = label[i], label[j]
-            if x != y:
+    live = np.flatnonzero(sets.sizes > 0)
+    if len(live) < 2:
+        return links
+    start = int(np.argmax(index.weight))
+    todo = np.zeros(n, bool)
+    todo[live] = True
+    done = np.zeros(n, bool)
+
+    def join(i: int, found: np.ndarray) -> None:
+        for j in found[label[found] != label[i]].tolist():
+            if label[j] != label[i]:
                 links.append((i, j))
-                if len(members[x]) < len(members[y]):
-                    x, y = y, x
-                for k in members[y]:
-                    label[k] = x
-                members[x] += members[y]
-                members[y] = []
-        if i == start:
-            answered = set(found)
-            queue += [k for k in range(n) if k not in answered and k != start and sets.sizes[k]]
-        if len(members[label[start]]) == n:
+                label[label == label[j]] = label[i]
+
+    both = index.count(index.of(start))
+    found, _ = index.links(start, both)
+    join(start, found)
+    todo[start] = todo[found] = False
+    for seed in np.flatnonzero(todo).tolist():
+        if (label[live] == label[start]).all():
             break
+        if done[seed]:
+            continue
+        i, both = seed, index.count(index.of(seed))
+        while True:  # from each set to the one most like it
+            done[i] = True
+            found, _ = index.links(i, both)
+            join(i, found)
+            near = found[todo[found] & ~done[found]]
+            if not len(near):
+                break
+            both = index.derive(both, i, int(near[0]))
+            i = int(near[0])
     return links
 
 
 def _compare(width: int, over: int, under: int):
+    """Rows (task, node, text), a task's side by side: links within each task."""
+
     def run(batches):
-        def close(rows):
-            sets = Sets([r[2] for r in rows], width)
-            if any(node != r[1] for node, r in zip(sets.nodes, rows)):  # an id that is not one text's only
-                sets = Sets([r[2] for node, r in zip(sets.nodes, rows) if node == r[1]], width)
-            rows.clear()
-            found = link_family(sets, Scheme(over, under, int(sets.sizes.max(initial=1))))
-            return pa.RecordBatch.from_arrays([pa.array([int(sets.nodes[i]) for i, _ in found], pa.int64()), pa.array([int(sets.nodes[j]) for _, j in found], pa.int64())], ["a", "b"])
-
-        rows, group = [], None
+        def close(tasks):
+            nodes = [r for t in tasks for r in t[0]]
+            sets = Sets([r for t in tasks for r in t[1]], width)
+            right = sets.nodes == np.array(nodes, np.int64)  # not so where an id is of several texts
+            scheme = Scheme(over, under, int(sets.sizes.max(initial=1)))
+            at, a, b = 0, [], []
+            for own, _ in tasks:
+                chosen = np.arange(at, at + len(own))[right[at : at + len(own)]]
+                chosen = chosen[np.unique(sets.nodes[chosen], return_index=True)[1]]
+                at += len(own)
+                for i, j in link_family(sets.some(chosen), scheme):
+                    a.append(int(sets.nodes[chosen[i]]))
+                    b.append(int(sets.nodes[chosen[j]]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        tasks, group, size = [], None, 0
         for b in batches:
             for task, node, text in zip(*(b.column(c).to_pylist() for c in ("task", "node", "text"))):
-                if task != group and rows:
-                    yield close(rows)
-                group = task
-                rows.append((task, node, text))
-        if rows:
-            yield close(rows)
+                if task != group:
+                    if size >= PART_CHARS:
+                        yield close(tasks)
+                        tasks, size = [], 0
+                    group = task
+                    tasks.append(([], []))
+                tasks[-1][0].append(node)
+                tasks[-1][1].append(text)
+                size += len(text or "")
+        if tasks:
+            yield close(tasks)
         tidy()
 
     return run
 
 
+def _numbers(count: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+
+def _rest(large: DataFrame, links: DataFrame, family_bytes: int) -> DataFrame:
+    """Tasks (task, node, least) for sets of large families that links haven't joined with the most of them: shares of these sets beside each part."""
+    group = components(links).withColumnRenamed("label", "group")
+    found = cut(large.join(group, "node", "left").withColumn("group", F.coalesce("group", "node")), "jaccard-large")
+    main = found.groupBy("label", "group").count().groupBy("label").agg(F.max_by("group", "count").alias("main"))
+    rest = found.join(main, "label").filter("group <> main").drop("main")
+    shares = rest.groupBy("label").agg(F.ceil(F.sum("bytes") / family_bytes).alias("shares"))
+    parts = found.join(shares, "label").withColumn("share", F.explode(_numbers("shares")))
+    rest = rest.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("node"), "shares")).withColumn("part", F.explode(_numbers("parts")))
+    return parts.drop("shares").unionByName(rest.drop("shares")).select(F.xxhash64("label", "part", "share").alias("task"), "node", "least")
+
+
 def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UNDER, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id. Two sets link if under * intersection >= over * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, int(-(-chars * 7 * (under - over) // (under * shard_bytes // 10 * 3 // 2))))
-    met = cut(docs.mapInArrow(_read(width, over, under, shards, block_chars), _MESSAGE).groupBy("shard").applyInArrow(_meet, _MESSAGE), "jaccard-stars")
+    shards = max(SHARDS, -(-chars * 7 * (under - over) // ((under + over) * shard_bytes)))  # about 7 / 6 signatures of 6 bytes
+    common = np.packbits(common_counters(docs, width)).tobytes()
+    met = cut(docs.mapInArrow(_read(width, over, under, shards, block_chars, common), _MESSAGE).groupBy("shard").applyInArrow(_meet, _MESSAGE), "jaccard-stars")
     texts = met.filter("kind = 1").mapInArrow(_texts, "doc_id long, n_shingles long, node long")
     places = met.filter("kind = 1").mapInArrow(_places(over, under), "block long, place long, node long, vertex long")
-    stars = met.filter("kind = 2").mapInArrow(_stars, "block_a long, place_a long, block_b long, place_b long")
-    named = stars
+    named = met.filter("kind = 2").mapInArrow(_stars, "block_a long, place_a long, block_b long, place_b long")
     for k in "ab":
         named = named.join(places.select(F.col("block").alias(f"block_{k}"), F.col("place").alias(f"place_{k}"), F.col("vertex").alias(k)), [f"block_{k}", f"place_{k}"])
     families = components(named.select("a", "b"))
@@ -318,20 +527,26 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
     families = families.withColumnRenamed("node", "vertex").join(vertices, "vertex").select("node", "label")
 
     nodes = texts.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
-    members = cut(nodes.join(families, "node"), "jaccard-members")
-    totals = members.groupBy("label").agg(F.sum(F.col("size") * 16 + 400).alias("bytes"))
-    split = members.join(totals, "label").withColumn("n", F.greatest(F.lit(1), F.ceil(2 * F.col("bytes") / family_bytes) - 1))
-    split = split.withColumn("part", F.pmod(F.xxhash64("node"), F.col("n")))
-    tasks = F.when(F.col("n") <= 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, F.col("part")).cast("long").alias("i"), F.greatest(k, F.col("part")).cast("long").alias("j")))
-    )
-    few = members.count() <= FEW
-    wanted = members.select("node", F.col("least").alias("doc_id"))
-    wanted = wanted.distinct()  # a set is in two classes
-    found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    work = split.select("node", "label", "part", F.explode(tasks).alias("t")).withColumn("task", F.xxhash64("label", "t.i", "t.j")).select("node", "task")
-    dealt = work.join(found.select("node", "text"), "node").repartition("task").sortWithinPartitions("task").select("task", "node", "text")
-    links = dealt.mapInArrow(_compare(width, over, under), "a long, b long")
+    members = nodes.join(families, "node").withColumn("bytes", F.col("size") * 16 + 400)
+    totals = members.groupBy("label").agg(F.ceil(F.sum("bytes") / family_bytes).alias("parts"))
+    members = cut(members.join(totals, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "jaccard-members")
+
+    def compared(work: DataFrame) -> DataFrame:
+        """Links between the sets of each task of work(task, node, least)."""
+        wanted = work.select("node", F.col("least").alias("doc_id")).distinct()
+        found = docs.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "doc_id")
+        dealt = work.select("task", "node").join(found.select("node", "text"), "node").repartition("task").sortWithinPartitions("task")
+        return cut(dealt.select("task", "node", "text").mapInArrow(_compare(width, over, under), "a long, b long"), "jaccard-links")
+
+    own = F.xxhash64("label", "part").alias("task")
+    large = members.filter("parts > 1")
+    if large.isEmpty():
+        links = compared(members.select(own, "node", "least"))
+    else:
+        centres = large.groupBy("label", "parts").agg(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "least")) for k in range(CENTRES))).alias("c"))
+        beside = centres.select("label", F.explode(_numbers("parts")).alias("part"), "c").select("label", "part", F.explode("c").alias("c"))
+        links = compared(members.select(own, "node", "least").unionByName(beside.select(own, "c.node", "c.least")))
+        links = links.unionByName(compared(_rest(large, links, family_bytes)))
     linked = components(links)
 
     least = nodes.join(linked, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
