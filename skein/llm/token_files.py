@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ FRAMES = "file int, frame int, n_tokens long, ids array<long>, lengths binary, d
 
 def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that occur, and their shares of 2**SCALE, each at least 1."""
-    symbols, counts = np.unique(tokens, return_counts=True)
+    counts = np.bincount(tokens)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << SCALE
     if len(symbols) > total:
         raise ValueError("more symbols than the table's scale can hold")
@@ -59,7 +62,7 @@ def frequencies(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _lanes(tokens: np.ndarray, fill: int) -> np.ndarray:
     """tokens as [step, block * lane]."""
     blocks = max(1, -(-len(tokens) // BLOCK))
-    padded = np.full(blocks * BLOCK, fill, np.int64)
+    padded = np.full(blocks * BLOCK, fill, np.int32)
     padded[: len(tokens)] = tokens
     return np.ascontiguousarray(padded.reshape(blocks, BLOCK // LANES, LANES).transpose(1, 0, 2).reshape(BLOCK // LANES, -1))
 
@@ -69,7 +72,9 @@ def encode_frame(tokens: np.ndarray) -> bytes:
         body = _HEAD.pack(MAGIC, 0, 0, 0, 0)
         return body + struct.pack("<I", zlib.crc32(body))
     symbols, share = frequencies(tokens)
-    place = np.searchsorted(symbols, tokens)
+    places = np.zeros(int(symbols[-1]) + 1, np.int32)
+    places[symbols] = np.arange(len(symbols))
+    place = places[tokens]
     grid = _lanes(place, int(np.argmax(share)))
     steps, width = grid.shape
     blocks = width // LANES
@@ -153,20 +158,25 @@ def decode_frame(data: bytes, only: slice = slice(None)) -> np.ndarray:
 
 # White space other than blanks and line ends, and what else Python's str methods take for white space.
 _RARE = re.compile("[" + WHITE.replace(" ", "").replace("\n", "") + "\x1c-\x1f]")
+_RARE_ASCII = re.compile("[\t\x0b-\r\x1c-\x1f]")
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_END, _WHOLE = "\x1f", "\x1d"  # units that stand for the end of a document and for a text that is encoded by itself
 
 
 def _regular(text: str) -> bool:
     """Whether only single blanks and single line ends part the words."""
-    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text))
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not (_RARE_ASCII if text.isascii() else _RARE).search(text)
 
 
 class ByteEncoder:
     """The library's encoding of texts, by units that its split never joins: a word with the white space before it.
 
     A unit stands for itself after a blank, unless it begins with a line end or with \\r, which marks one that stands as it
-    is. Units that come again are looked up in a bounded table of two generations. New ones go to the library: those that
-    its split takes for one word and a sentence's end straight to its model.
+    is. Arrow splits a block of texts into units and numbers the different ones; those that came before are looked up in a
+    bounded table of two generations. New ones go to the library: those that its split takes for one word and a sentence's
+    end straight to its model.
     """
 
     KEPT = 850_000
@@ -180,8 +190,9 @@ class ByteEncoder:
         self.kept = _Units(self.learn)
         self.model = self.library.model
         self.symbols = byte_symbols()
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.tails: dict[str, list[int]] = {"": []}
+        self.blank = self.symbols[32]
+        self.line_end = self.raw("\n")
+        self.tails: dict[str, bytes] = {"": b""}
 
     def raw(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -195,29 +206,42 @@ class ByteEncoder:
         core = word.rstrip(".,:;!?")
         if not core[not mark :].isalpha():
             return self.raw(word if u[0] != "\n" else u)
-        tail = word[len(core) :]  # letters and what ends a sentence: the split is plain, the model does the rest
-        if tail not in self.tails:
-            self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
-        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.symbols))]
-        return array("I", [*self.line_end, *ids, *self.tails[tail]] if u[0] == "\n" else [*ids, *self.tails[tail]]).tobytes()
-
-    def units(self, text: str) -> list[str]:
-        if _regular(text):
-            out = text.replace("\n", " \n").split(" ")
-            out[0] = "\r" + out[0]
-            return out
-        return ["\r" + u for u in _UNITS.findall(text)]
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):  # a special string splits the text first
-            return self.raw(text)
-        out = b"".join(map(self.kept.__getitem__, self.units(text)))
+        if len(core) < len(word) or u[0] == "\n":  # letters and what ends a sentence: the split is plain
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.raw(tail)
+            return (self.line_end if u[0] == "\n" else b"") + self.kept["\r" + core if mark else core[1:]] + self.tails[tail]
+        text = core if core.isascii() else core.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(self.blank + text[1:] if text[0] == " " else text)]).tobytes()
+
+    def block(self, texts: list[str | None], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, `end` after each one's, and how many each has."""
+        whole: dict[str, bytes] = {_END: end}
+        lines = []
+        for k, t in enumerate(texts):
+            if not t:
+                lines.append(_END)
+            elif _regular(t) and not any(s in t for s in self.specials):
+                lines.append(f"\r{t.replace("\n", " \n") if "\n" in t else t} {_END}")
+            else:
+                name = f"{_WHOLE}{k}"
+                whole[name] = self.raw(t) if any(s in t for s in self.specials) else b"".join([self.kept["\r" + u] for u in _UNITS.findall(t)])
+                lines.append(f"{name} {_END}")
+        parts = pc.split_pattern(pa.array(lines, pa.string()), " ")
+        coded = parts.values.dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary
+        units = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), " ")[0].as_py().split(" ")  # quicker than one by one
+        ids = [whole[u] if u[0] in "\x1d\x1f" else self.kept[u] for u in units]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        own = sizes[at]
+        ends = np.cumsum(own)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends + own, own)
+        place += np.arange(len(place))
+        bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy()]
         if len(self.kept) > self.KEPT:
             self.old, self.kept = self.kept, _Units(self.learn)
-        return out
+        return flat[place], np.diff(bounds)
 
 
 class _Units(dict):
@@ -248,27 +272,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, frame_tok
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         file, frame = TaskContext.get().partitionId(), 0
-        ids, parts, size = [], [], 0
+        ids, lengths, parts = [], [], []
 
         def close():
-            tokens = np.frombuffer(b"".join(parts), "<u4")
-            lengths = np.fromiter((len(p) // 4 for p in parts), np.uint32, len(parts))
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([frame], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([planes(lengths)], pa.binary()), pa.array([encode_frame(tokens)], pa.binary())], ["file", "frame", "n_tokens", "ids", "lengths", "data"])
-
-        for own, texts in in_blocks(batches, 2_000_000, 2):
-            for doc_id, text in zip(own, texts):
-                ids.append(doc_id)
-                parts.append(encoder.encode(text) + end)
-                size += len(parts[-1]) // 4
-                if size >= frame_tokens:
-                    yield close()
-                    frame, ids, parts, size = frame + 1, [], [], 0
+            tokens = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([frame], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([planes(np.concatenate(lengths).astype(np.uint32))], pa.binary()), pa.array([encode_frame(tokens)], pa.binary())], ["file", "frame", "n_tokens", "ids", "lengths", "data"])
+
+        for own, texts in in_blocks(batches, 4_000_000, 2):
+            ids += own
+            tokens, sizes = encoder.block(texts, end)
+            parts.append(tokens)
+            lengths.append(sizes)
+            if sum(map(len, parts)) >= frame_tokens:
+                yield close()
+                frame, ids, lengths, parts = frame + 1, [], [], []
         if ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, FRAMES).write.option("compression", "none").parquet(path)
+    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ordered.select("doc_id", "text").mapInArrow(run, FRAMES).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
