@@ -36,8 +36,9 @@ from .common import U64, Words, cut, in_blocks, mix, planes, tidy, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
-PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 12_000_000, 24_000_000, 12_000_000, 200_000
+PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 12_000_000, 24_000_000, 6_000_000, 200_000
 COUNTERS, CHUNKS, SHARDS, CENTRES = 20, 64, 48, 4  # bits of a counter's number, pieces of the counters, least shards, sets beside each part
+SALTS, OFTEN = 16, 500
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
@@ -494,6 +495,15 @@ def _compare(width: int, over: int, under: int):
     return run
 
 
+def _with(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts (one row a key) of their key, which may be that of a third of all rows: facts are sent to all if few, else the key is salted."""
+    facts = cut(facts, "jaccard-facts")
+    if facts.count() <= FEW:
+        return rows.join(F.broadcast(facts), key)
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", (F.pmod(F.xxhash64("node"), F.lit(SALTS))).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def _numbers(count: str):
     return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
@@ -503,10 +513,10 @@ def _rest(large: DataFrame, links: DataFrame, family_bytes: int) -> DataFrame:
     group = components(links).withColumnRenamed("label", "group")
     found = cut(large.join(group, "node", "left").withColumn("group", F.coalesce("group", "node")), "jaccard-large")
     main = found.groupBy("label", "group").count().groupBy("label").agg(F.max_by("group", "count").alias("main"))
-    rest = found.join(main, "label").filter("group <> main").drop("main")
+    rest = cut(_with(found, main, "label").filter("group <> main").drop("main"), "jaccard-rest")
     shares = rest.groupBy("label").agg(F.ceil(F.sum("bytes") / family_bytes).alias("shares"))
-    parts = found.join(shares, "label").withColumn("share", F.explode(_numbers("shares")))
-    rest = rest.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("node"), "shares")).withColumn("part", F.explode(_numbers("parts")))
+    parts = _with(found, shares, "label").withColumn("share", F.explode(_numbers("shares")))
+    rest = _with(rest, shares, "label").withColumn("share", F.pmod(F.xxhash64("node"), "shares")).withColumn("part", F.explode(_numbers("parts")))
     return parts.drop("shares").unionByName(rest.drop("shares")).select(F.xxhash64("label", "part", "share").alias("task"), "node", "least")
 
 
@@ -526,10 +536,10 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
     vertices = places.groupBy("vertex").agg(F.first("node").alias("node"))
     families = families.withColumnRenamed("node", "vertex").join(vertices, "vertex").select("node", "label")
 
-    nodes = texts.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"))
+    nodes = texts.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.count("*").alias("copies"))
     members = nodes.join(families, "node").withColumn("bytes", F.col("size") * 16 + 400)
     totals = members.groupBy("label").agg(F.ceil(F.sum("bytes") / family_bytes).alias("parts"))
-    members = cut(members.join(totals, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "jaccard-members")
+    members = cut(_with(members, totals, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "jaccard-members")
 
     def compared(work: DataFrame) -> DataFrame:
         """Links between the sets of each task of work(task, node, least)."""
@@ -549,9 +559,17 @@ def join(docs: DataFrame, width: int = WIDTH, over: int = OVER, under: int = UND
         links = links.unionByName(compared(_rest(large, links, family_bytes)))
     linked = components(links)
 
-    least = nodes.join(linked, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    answer = least.join(whole, "label").select("node", "component_id")
-    done = texts.filter("doc_id is not null and node is not null").join(answer, "node").select("doc_id", "n_shingles", "component_id")
+    labelled = nodes.join(linked, "node")
+    whole = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    joined = _with(labelled.select("node", "label"), whole, "label").select("node", "component_id")
+    answer = nodes.join(joined, "node", "left").select("node", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    answer = cut(answer, "jaccard-answers")
+    named = texts.filter("doc_id is not null and node is not null")
+    often = answer.filter(F.col("copies") >= OFTEN)
+    if not 0 < often.count() <= FEW:
+        done = named.join(answer, "node")
+    else:  # a text of very many copies
+        done = named.join(F.broadcast(often), "node").unionByName(named.join(F.broadcast(often), "node", "left_anti").join(answer.filter(F.col("copies") < OFTEN), "node"))
+    done = done.select("doc_id", "n_shingles", "component_id")
     alone = texts.filter("doc_id is null or node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return done.unionByName(alone)
