@@ -3,11 +3,14 @@
 The merge list fixes how far to the right of a token a merge can still matter: `sufficient_lookahead` follows chains of
 ever earlier merges through it. `Transducer` reads symbols, keeps at most a window of them, and emits a token once at
 least that many symbols (and one longest token) follow it, since no continuation can change it then. So words of any
-length are encoded in constant memory. Words shorter than the window are merged at once and kept in a bounded table.
-`TextDecoder` turns ids back into text one by one, holding only the bytes of an unfinished character.
+length are encoded in constant memory; a word that ends within the first window is stable at its end. What recent words
+became is kept in a bounded table. `TextDecoder` turns ids back into text one by one, a state machine that holds only the
+bytes of an unfinished character; `TokenDecoder` gives the tokenizer's own decoding, token strings with spaces between.
 
 Texts are encoded as the tokenizer's file says: special strings first, then NFC, white space, lower case, the split
-pattern, bytes, merges, with the word-end mark on a word's last symbol. The file is a parameter and read where it lies.
+pattern, bytes, merges, with the word-end mark on a word's last symbol. What a letter is and its lower case are the
+library's where a text isn't ASCII. The file is a parameter and read where it lies. A text is read in stretches that end at
+white space, so beside the text itself only a stretch is held.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; a null id, repeated rows and ties need
 nothing special, each row gives one row; an empty table gives an empty result; other columns are ignored.
@@ -20,21 +23,23 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from tokenizers import Tokenizer as Library
+
 from .common import WHITE, slices
 
 _SPACES = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-KEPT, KEPT_IN_STAGES = 400_000, 60_000  # words in a generation of the table; fewer where other operators' workers share the memory
+_ID, _NONE = (1 << 24) - 1, 1 << 62
+KEPT, KEPT_IN_STAGES = 500_000, 60_000  # words in a generation of the table; fewer where other operators' workers share the memory
 
 
 def byte_symbols() -> dict[int, str]:
@@ -61,9 +66,9 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
 
 
 class Transducer:
-    """Symbols in, token ids out as soon as they are stable."""
+    """Symbols in, token ids out as soon as they are stable. A pair's merge is one number: its rank, then the new id."""
 
-    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], lookahead: int, longest: int):
+    def __init__(self, ranks: dict[tuple[int, int], int], lookahead: int, longest: int):
         self.ranks, self.margin = ranks, lookahead + longest
         self.window = 4 * self.margin
 
@@ -71,21 +76,17 @@ class Transducer:
         """All merges of a short sequence."""
         if len(ids) > 40:
             return self._merge_long(ids)
-        ranks = self.ranks
-        pairs = [ranks.get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, p in enumerate(pairs):
-                if p is not None and (best is None or p < best):
-                    best, at = p, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            pairs[at : at + 1] = []
+        rank = self.ranks.get
+        pairs = [rank(p, _NONE) for p in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != _NONE:
+            at = pairs.index(best)
+            ids[at : at + 2] = [best & _ID]
+            del pairs[at]
             if at:
-                pairs[at - 1] = ranks.get((ids[at - 1], ids[at]))
+                pairs[at - 1] = rank((ids[at - 1], ids[at]), _NONE)
             if at < len(pairs):
-                pairs[at] = ranks.get((ids[at], ids[at + 1]))
+                pairs[at] = rank((ids[at], ids[at + 1]), _NONE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links."""
@@ -95,11 +96,11 @@ class Transducer:
         heapq.heapify(heap)
         gone = [False] * n
         while heap:
-            (_, new), i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = right[i]
             if gone[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], gone[j], right[i] = new, True, right[j]
+            ids[i], gone[j], right[i] = best & _ID, True, right[j]
             if right[i] >= 0:
                 left[right[i]] = i
             for x, y in ((left[i], i), (i, right[i])):
@@ -109,18 +110,19 @@ class Transducer:
 
     def stream(self, symbols, width):
         """Token ids of an endless sequence of symbols; width(id) is a token's number of symbols."""
-        held: list[int] = []
-        for s in symbols:
-            held.append(s)
-            if len(held) >= self.window:
-                end, limit = 0, len(held) - self.margin
-                for t in self.merge(list(held)):
-                    if end + width(t) > limit:
-                        break
-                    end += width(t)
-                    yield t
-                del held[:end]
-        yield from self.merge(held)
+        source, held = iter(symbols), []
+        while True:
+            held += islice(source, self.window - len(held))
+            if len(held) < self.window:  # the end: all is stable
+                yield from self.merge(held)
+                return
+            end, limit = 0, len(held) - self.margin
+            for t in self.merge(list(held)):
+                if end + width(t) > limit:
+                    break
+                end += width(t)
+                yield t
+            del held[:end]
 
 
 class Tokenizer:
@@ -137,31 +139,39 @@ class Tokenizer:
         self.end_mark = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         bare = [tuple(x.removesuffix(self.end_mark) if self.end_mark else x for x in m) for m in merges]
-        ids = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        ids = {(self.vocab[a], self.vocab[b]): rank << 24 | self.vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.bytes = byte_symbols()
         self.of_symbol = {c: b for b, c in self.bytes.items()}
-        self.plain = {b: self.vocab[c] for b, c in self.bytes.items()}
-        self.last = {b: self.vocab[c + self.end_mark] for b, c in self.bytes.items()}
+        self.plain = {c: self.vocab[c] for c in self.of_symbol}
+        self.last = {c: self.vocab[c + self.end_mark] for c in self.of_symbol}
+        self.raw = {i: self._bytes(t) for i, t in self.surface.items()}
         longest = max(len(t.removesuffix(self.end_mark)) if self.end_mark else len(t) for t in self.vocab)
         self.transducer = Transducer(ids, sufficient_lookahead(bare), longest)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern.replace(r"\s", WHITE)).findall
+        self.split = re.compile(pattern.replace(r"\s", WHITE).replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")).findall  # of ASCII
+        library = Library.from_file(path)
+        self.normal, self.words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.reader = TextDecoder(self)
         self.old: dict[str, tuple] = {}
         self.kept = _Kept(self)
 
+    def _bytes(self, surface: str) -> bytes:
+        """What a token stands for; the end of a word is a space."""
+        if surface in self.special:
+            return surface.encode()
+        ended = bool(self.end_mark) and surface.endswith(self.end_mark)
+        return bytes(self.of_symbol[c] for c in (surface.removesuffix(self.end_mark) if ended else surface)) + b" " * ended
+
     def width(self, token: int) -> int:
         return len(self.surface[token].removesuffix(self.end_mark)) if self.end_mark else len(self.surface[token])
 
     def word(self, word: str) -> list[int]:
-        """The ids of one word of the split."""
-        data = word.encode()
-        if len(data) < self.transducer.window:
-            ids = [self.plain[b] for b in data[:-1]]
-            ids.append(self.last[data[-1]])
-            return self.transducer.merge(ids)
-        end = len(data) - 1
-        return list(self.transducer.stream((self.last[b] if i == end else self.plain[b] for i, b in enumerate(data)), self.width))
+        """The ids of one word of the split, given as the stand-ins of its bytes."""
+        plain = self.plain
+        symbols = [plain[c] for c in word[:-1]]
+        symbols.append(self.last[word[-1]])
+        return list(self.transducer.stream(symbols, self.width))
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a stretch without white space."""
@@ -171,10 +181,10 @@ class Tokenizer:
                 out.append(self.special[part])
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                else:
-                    part = part.lower()
+                    for w, _ in self.words(self.normal(part)):
+                        out += self.word(w)
+                    continue
+                part = part.lower()
                 core = part.rstrip(".,:;!?")
                 if core.isalpha():  # letters and what ends a sentence: the split is plain
                     out += self.word(core)
@@ -182,22 +192,35 @@ class Tokenizer:
                         out += self.word(part[len(core) :])
                 else:
                     for w in self.split(part):
-                        out += self.word(w)
+                        out += self.word(w if w.isprintable() else w.translate(self.bytes))
         return out
 
     def chunks(self, text: str) -> list[str]:
         return text.split() if not _ODD.search(text) else [c for c in _SPACES.split(text) if c]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.chunks(text or "") for i in self.chunk(c)]
+        return [i for part in stretches(text or "") for c in self.chunks(part) for i in self.chunk(c)]
 
     def pieces(self, text: str | None):
-        """(ids as text, decoded, number, ids as 32-bit integers) of each chunk, from the bounded table where it has them."""
-        out = list(map(self.kept.__getitem__, self.chunks(text or "")))
-        if len(self.kept) > self.most:
-            self.old, self.kept = self.kept, _Kept(self)
-            self.old.tokenizer = None
-        return out
+        """For each stretch of the text, what its chunks became: their ids as text, decoded, numbers, ids as 32-bit integers, readable."""
+        for part in stretches(text or ""):
+            columns = tuple(zip(*map(self.kept.__getitem__, self.chunks(part))))
+            if columns and 0 in columns[2]:
+                columns = tuple(zip(*(p for p in zip(*columns) if p[2])))
+            if columns:
+                yield columns
+            if len(self.kept) > self.most:
+                self.old, self.kept = self.kept, _Kept(self)
+                self.old.tokenizer = None
+
+
+def stretches(text: str, size: int = 60_000):
+    """The text in parts that end at white space."""
+    at = 0
+    while at < len(text):
+        end = len(text) if at + size >= len(text) else next((m.end() for m in [_SPACES.search(text, at + size)] if m), len(text))
+        yield text if end - at == len(text) else text[at:end]
+        at = end
 
 
 class _Kept(dict):
@@ -211,7 +234,7 @@ class _Kept(dict):
         t = self.tokenizer
         if (got := dict.get(t.old, chunk)) is None:
             ids = t.chunk(chunk)
-            got = (" ".join(map(str, ids)), TokenDecoder(t).text(ids), len(ids), array("i", ids).tobytes())
+            got = (" ".join(map(str, ids)), TokenDecoder(t).text(ids), len(ids), array("i", ids).tobytes(), t.reader.text(ids))
         if len(chunk) < 64:
             self[chunk] = got
         return got
@@ -240,18 +263,16 @@ class TextDecoder:
     """Ids to readable text, one by one: bytes of an unfinished character are held back, word ends become spaces."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.t, self.state = tokenizer, codecs.getincrementaldecoder("utf-8")("replace")
+        self.raw, self.state = tokenizer.raw, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token: int) -> str:
-        s = self.t.surface[token]
-        if s in self.t.special:
-            return self.state.decode(b"", True) + s
-        ended = bool(self.t.end_mark) and s.endswith(self.t.end_mark)
-        s = s.removesuffix(self.t.end_mark) if ended else s
-        return self.state.decode(bytes(self.t.of_symbol[c] for c in s)) + (" " if ended else "")
+        return self.state.decode(self.raw[token])
 
     def text(self, ids) -> str:
-        return "".join(map(self.feed, ids)) + self.state.decode(b"", True)
+        """What all the ids become, and the end; the next id begins another text."""
+        out = self.state.decode(b"".join([self.raw[i] for i in ids]), True)
+        self.state.reset()
+        return out
 
 
 @lru_cache(2)
@@ -285,52 +306,67 @@ def decode(encoded: DataFrame, path: str, readable: bool = True) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+class Digest:
+    """SHA-256 of parts with `gap` between any two."""
+
+    def __init__(self, gap: str = ""):
+        self.gap, self.begun, self.state = gap, False, hashlib.sha256()
+
+    def add(self, parts) -> None:
+        self.state.update(((self.gap if self.begun else "") + self.gap.join(parts)).encode("utf-8", "surrogatepass"))
+        self.begun = True
+
+
 def round_trip(docs: DataFrame, path: str, carry: str = "doc_id long") -> DataFrame:
-    """Encode and decode each text and keep the digests: the columns of `carry`, then n_tokens, ids_sha256, decoded_sha256.
+    """Encode and decode each text and keep the digests: the columns of `carry`, n_tokens, ids_sha256, decoded_sha256, readable_sha256.
 
-    A text's digests are fed piece by piece, in runs of a few thousand chunks.
+    decoded is the tokenizer's own decoding, readable the text of the state machine. Digests are fed stretch by stretch.
     """
     names = [c.split()[0] for c in carry.split(", ")]
+    kinds = ["ids_sha256", "decoded_sha256", "readable_sha256"]
 
     def run(batches):
         t = tokenizer(path)
         for b in slices(batches):
-            counts, ids, decoded = [], [], []
+            counts, hexes = [], ([], [], [])
             for text in b.column(len(names)).to_pylist():
-                parts = [p for p in t.pieces(text) if p[2]]
-                a, d = hashlib.sha256(), hashlib.sha256()
-                for i in range(0, len(parts), 8192):
-                    own = parts[i : i + 8192]
-                    gap = " " if i else ""
-                    a.update((gap + " ".join([p[0] for p in own])).encode())
-                    d.update((gap + " ".join([p[1] for p in own])).encode())
-                counts.append(sum([p[2] for p in parts]))
-                ids.append(a.hexdigest())
-                decoded.append(d.hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, decoded, readable = digests = Digest(" "), Digest(" "), Digest()
+                n = 0
+                for own in t.pieces(text):
+                    ids.add(own[0])
+                    decoded.add(own[1])
+                    readable.add(own[4])
+                    n += sum(own[2])
+                counts.append(n)
+                for to, d in zip(hexes, digests):
+                    to.append(d.state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts, pa.int64()), *map(pa.array, hexes)], [*names, "n_tokens", *kinds])
+
+    return docs.select(*names, "text").mapInArrow(run, f"{carry}, n_tokens long, " + ", ".join(f"{k} string" for k in kinds))
+
 
-    return docs.select(*names, "text").mapInArrow(run, f"{carry}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+MADE = ("ids", "n_tokens", "decoded_sha256")
 
 
 def encode_rows(docs: DataFrame, path: str) -> DataFrame:
-    """docs with ids, n_tokens and decoded_sha256 in place of the text."""
-    names = [c for c in docs.columns if c != "text"]
+    """docs with ids, n_tokens and decoded_sha256 in place of the text; columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in ("text", *MADE)]
 
     def run(batches):
         t = tokenizer(path, KEPT_IN_STAGES)
         for b in slices(batches):
             values, counts, decoded = [], [], []
             for text in b.column(len(names)).to_pylist():
-                parts = [p for p in t.pieces(text) if p[2]]
-                values.append(b"".join([p[3] for p in parts]))
+                digest, own_ids = Digest(" "), []
+                for own in t.pieces(text):
+                    own_ids += own[3]
+                    digest.add(own[1])
+                values.append(b"".join(own_ids))
                 counts.append(len(values[-1]) // 4)
-                d = hashlib.sha256()
-                for i in range(0, len(parts), 8192):
-                    d.update(((" " if i else "") + " ".join([p[1] for p in parts[i : i + 8192]])).encode())
-                decoded.append(d.hexdigest())
+                decoded.append(digest.state.hexdigest())
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids, pa.array(counts, pa.int64()), pa.array(decoded)], [*names, "ids", "n_tokens", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids, pa.array(counts, pa.int64()), pa.array(decoded)], [*names, *MADE])
 
     schema = StructType([*(docs.schema[n] for n in names), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded_sha256", StringType())])
     return docs.select(*names, "text").mapInArrow(run, schema)
