@@ -25,8 +25,10 @@ def small_batches(spark: SparkSession, rows: int = 400) -> None:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table in the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # single machine, as in tests
-        base = tempfile.mkdtemp(prefix="skein-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skein-")  # a single machine
     return f"{base.rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
 
 
@@ -53,23 +55,6 @@ def id_remainder(modulus: int, column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(df: DataFrame, key: str, rows: int, chars: int) -> list:
-    """At most `rows` rows and about `chars` characters of df(key, text, ...), in the order of a hash of the key.
-
-    This is the documented bound on what a classifier is fitted on; it does not grow with the corpus.
-    """
-    size = F.coalesce(F.length("text"), F.lit(0))
-    few = df.withColumn("_n", size).withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit("sample")))
-    few = few.filter(F.col("_n") <= max(1, chars // 20)).orderBy("_h", key).limit(rows)
-    kept, total = [], 0
-    for r in few.toLocalIterator():
-        total += r["_n"]
-        if total > chars:
-            break
-        kept.append(r)
-    return kept
-
-
 # --- hashed words ---------------------------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)

@@ -6,8 +6,8 @@ script are its candidates. A word's score for a language is the sum of smoothed
 break a span and mixed texts get several. A text's language is the one with most letters on the path; its score is that
 share of the letters.
 
-The tables are fitted on a bounded sample, `rows` rows and `chars` characters of each language, whatever the corpus; texts
-of any length are labelled whole.
+The tables are fitted on a bounded sample, `rows` rows and `chars` characters of each language and `total` characters in
+all, whatever the corpus (`learn`); more than `MOST` languages are refused. Texts of any length are labelled whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is any text if nothing could be learnt; ties
 go to the language first in the alphabet; repeated rows give a row each; null ids are never held out; rows without a
@@ -19,15 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_blocks
-from .subwords import Buffer
+from .subwords import Buffer, fetch_texts, one_text
 from .toxicity import _KINDS
 
 BITS, SIZES, SWITCH = 16, (1, 2, 3, 4), 12.0
-ROWS, CHARS, SHARES = 1_500, 3_000_000, 50
+ROWS, CHARS, TOTAL, MOST = 1_500, 3_000_000, 100_000_000, 2_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -59,7 +59,9 @@ def scripts(data: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, languages: list[str], tables: dict[int, np.ndarray], allowed: np.ndarray):
-        self.languages, self.tables, self.allowed = languages, tables, allowed
+        self.languages, self.tables = languages, tables
+        self.learnt = allowed.any(1)  # the scripts that some language is written in; a word in another one is anyone's
+        self.allowed = allowed | ~self.learnt[:, None]
 
     def word_scores(self, buffer: Buffer) -> tuple[np.ndarray, np.ndarray]:
         """[word, language] scores, and letters of each word."""
@@ -91,6 +93,17 @@ class Model:
         cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
         return [(a, b, self.languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
+    def foreign(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text, the share of letters in words of a script that no learnt language is written in; 0 without letters."""
+        buffer = Buffer([t or "" for t in texts])
+        script = scripts(buffer.bytes[: len(buffer.bytes) - 6])
+        letters = buffer.word_sums((script > 0).astype(np.int64))
+        own = np.maximum.reduceat(script, buffer.starts - 1) if len(buffer.starts) else script[:0]
+        owner = np.repeat(np.arange(len(texts)), buffer.counts)
+        total = np.bincount(owner, weights=letters, minlength=len(texts))
+        odd = np.bincount(owner, weights=np.where(self.learnt[own], 0, letters), minlength=len(texts))
+        return odd / np.maximum(total, 1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
@@ -110,8 +123,8 @@ class Model:
 def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
     """The best path through each text's words, all texts side by side: longest first, so those still running are a prefix."""
     words, k = scores.shape
-    path = np.zeros(words, np.int8)
-    came = np.full(words, -1, np.int8)  # where a switch into any language came from
+    path = np.zeros(words, np.int32)
+    came = np.full(words, -1, np.int32)  # where a switch into any language came from
     stays = np.ones((words, k), bool)
     order = np.argsort(-counts, kind="stable")
     begin = first[:-1][order]
@@ -160,28 +173,25 @@ def fit(texts: list[str], languages: list[str]) -> Model:
         tables[n][:, :-1] = np.log(p) - np.log(prior)  # only differences between languages count
     letters[:, 0] = 0
     share = letters / np.maximum(letters.sum(1, keepdims=True), 1)
-    allowed = (share >= 0.01).T
-    allowed[~allowed.any(1)] = True
-    return Model(names, tables, allowed)
-
-
-def learn(docs: DataFrame, usable, rows: int = ROWS, chars: int = CHARS) -> Model:
-    """Fit on docs(doc_id, text, lang): of each language at most `rows` rows and about `chars` characters, by a hash of the id."""
-    known = docs.filter(usable & F.col("lang").isNotNull() & F.length("text").between(1, max(1, chars // 20)))
-    key = F.xxhash64("doc_id", F.lit(11))
-    ids = known.select("doc_id", "lang", key.alias("_h"))
-    ids = ids.withColumn("_s", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(SHARES)))  # a language may hold most rows
-    few = ids.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_s").orderBy("_h"))).filter(F.col("_r") <= max(1, rows // SHARES))
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(few.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    kept = sorted(((r["lang"], r["doc_id"], r["text"]) for r in got.toLocalIterator()), key=lambda r: (r[0], (r[1] * 0x9E3779B97F4A7C15) % 2**64))
-    total: dict[str, int] = {}
-    texts, languages = [], []
-    for lang, _, text in kept:
-        total[lang] = total.get(lang, 0) + len(text)
-        if total[lang] <= chars:
-            texts.append(text)
-            languages.append(lang)
-    return fit(texts, languages)
+    return Model(names, tables, (share >= 0.01).T)
+
+
+def learn(docs: DataFrame, usable, rows: int = ROWS, chars: int = CHARS, total: int = TOTAL) -> Model:
+    """Fit on docs(doc_id, text, lang): of each language at most `rows` rows and `chars` characters, `total` in all, by a hash of the id.
+
+    Texts of over a twentieth of `chars` are left out, and rows that share an id and a language count once. Languages are
+    counted first; then a row stays if its hash is within the share that gives a fifth more rows than wanted.
+    """
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    number = counts.count()
+    if number > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    chars = min(chars, total // max(1, number))
+    share = (F.xxhash64("doc_id", F.lit(11)).cast("double") / 2.0**64 + 0.5) * F.col("_n") <= 1.2 * rows + 20
+    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").filter(share & F.length("text").between(1, max(1, chars // 20)))
+    kept = fetch_texts(one_text(drawn, ["lang", "doc_id"]), ["lang", "doc_id"], rows, chars, 11)
+    return fit([text for _, _, text in kept], [lang for lang, _, _ in kept])
 
 
 def identify(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame:

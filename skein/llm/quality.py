@@ -8,7 +8,8 @@ bytes, whole, and the sizes added up, so a dictionary tells on every piece and m
 Dictionaries and calibration are fitted on a bounded sample: at most `rows` labelled rows and `chars` characters.
 
 Defined cases: a text that is null or empty has difference 0 and gets that difference's score; without both labels in the
-sample every score is 0.12 or 0.88, by the label there is, or 0.5 without any; repeated rows give a row each; an empty
+sample every score is 0.12 or 0.88, by the label there is, or 0.5 without any; a sample too small to hold a third back is
+calibrated on itself; repeated rows give a row each; an empty
 table gives an empty result; null ids count as the id ""; other columns are ignored.
 """
 
@@ -91,9 +92,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], y: np.ndarray) -> Model:
     held = np.arange(len(y)) % 3 == 2
-    if len(set(y[~held].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return Model(b"", b"", 0.0, 0.0 if not len(y) else 2.0 if y.mean() > 0.5 else -2.0)
-    pick = lambda label: [t for t, v, h in zip(texts, y, held) if v == label and not h]
+    few = len(set(y[~held].tolist())) < 2 or not held.any()
+    if few:
+        held = np.ones(len(y), bool)
+    pick = lambda label: [t for t, v, h in zip(texts, y, held) if v == label and (few or not h)]
     model = Model(train_dictionary(pick(1)), train_dictionary(pick(0)))
     d = model.differences([t for t, h in zip(texts, held) if h])
     a, b = platt(d, y[held])

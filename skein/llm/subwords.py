@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import _SPACE
+from .common import _SPACE, cut
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -50,29 +51,50 @@ class Buffer:
         return np.add.reduceat(values, self.starts - 1)
 
 
+def fetch_texts(rows: DataFrame, keys: list[str], most: int, chars: int, seed: int) -> list[tuple]:
+    """(*keys, text) in the order of a hash of the id: for each value of the first key at most `most` rows and `chars` characters.
+
+    rows(*keys, text) are distinct in their keys, of which the last is the id, and are bounded by whoever chose them. The
+    driver first gets their lengths only, and then the texts that are within the bounds.
+    """
+    rows = cut(rows.select(*keys, "text"), "sample")
+    sizes = rows.select(*keys, F.length("text").alias("n"), F.xxhash64(keys[-1], F.lit(seed)).alias("h")).collect()
+    used: dict = {}
+    chosen = []
+    for r in sorted(sizes, key=lambda r: (r["h"], r[keys[-1]])):
+        got = used.setdefault(r[0], [0, 0])
+        if got[0] < most and got[1] + r["n"] <= chars:
+            got[0] += 1
+            got[1] += r["n"]
+            chosen.append(tuple(r[k] for k in keys))
+    if not chosen:
+        return []
+    kinds = [rows.schema[k] for k in keys]
+    wanted = rows.sparkSession.createDataFrame(chosen, StructType(kinds))
+    texts = {tuple(r[k] for k in keys): r["text"] for r in rows.join(F.broadcast(wanted), keys).toLocalIterator()}
+    return [(*k, texts[k]) for k in chosen]
+
+
+def one_text(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each combination of keys; of several texts the one with the smallest hash."""
+    best = df.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("_t"))
+    return best.select(*keys, "_t.text")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, usable, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels 0/1 of at most `rows` rows (half of either label where there are enough) and about `chars` characters.
+    """Texts and labels 0/1 of at most `rows` rows and `chars` characters, half of either for each label.
 
     The sample is chosen by a hash of the id among the labels' rows that are `usable`; only its ids, at most `rows`, are
-    broadcast to the documents. Rows without a text or a label 0/1 are left out, and texts of over a twentieth of `chars`.
+    broadcast to the documents. Rows without a text or a label 0/1 are left out, and texts of over a twentieth of `chars`;
+    rows that share an id count once.
     """
     known = labels.filter(usable & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min(column).alias("_y"), F.max(column).alias("_z")).filter("_y = _z").drop("_z")
     key = F.xxhash64("doc_id", F.lit(7))
     few = known.filter("_y = 0").orderBy(key).limit(rows // 2).unionByName(known.filter("_y = 1").orderBy(key).limit(rows // 2))
     got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").filter(F.length("text").between(1, max(1, chars // 20)))
-    kept: list = []
-    for r in got.toLocalIterator():
-        kept.append((r["doc_id"], r["text"], r["_y"]))
-    kept.sort()
-    kept.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) % 2**64)
-    texts, y, total = [], [], [0, 0]
-    for _, text, label in kept:
-        total[label] += len(text)
-        if total[label] <= chars // 2:
-            texts.append(text)
-            y.append(label)
-    return texts, np.array(y, np.int64)
+    kept = fetch_texts(one_text(got, ["_y", "doc_id"]), ["_y", "doc_id"], rows // 2, chars // 2, 7)
+    return [text for _, _, text in kept], np.array([y for y, _, _ in kept], np.int64)
 
 
 def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

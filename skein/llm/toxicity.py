@@ -12,7 +12,8 @@ these, the most toxic by the round before, and on at most `clean_runs` clean one
 softmax is linear in its average, so scoring needs one number a bucket; texts of any length are scored whole.
 
 Defined cases: a text that is null or without words has one empty run, whose logit is the offset; without both labels in
-the sample every score is 0 (or 1, if all are toxic); repeated rows give a row each; an empty table gives an empty result;
+the sample every score is under 1e-17 (or over 1 - 1e-17, if all are toxic), and without words in texts of both every
+score is about the share of toxic ones; a sample too small to hold texts of both labels back is calibrated on itself; repeated rows give a row each; an empty table gives an empty result;
 null ids are never held out; other columns are ignored.
 """
 
@@ -80,8 +81,13 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed:
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 40.0 if len(y) and y[0] else -40.0)
     held = np.arange(len(y)) % 5 == 4
-    seen = [t for t, h in zip(texts, held) if not h]
-    own = y[~held]
+    worded = np.array([bool(t.split()) for t in texts])
+    if any(not (worded & (y == label)).any() for label in (0, 1)):  # nothing tells the labels apart
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, *platt(np.zeros(len(y)), y))
+    if any(not (worded & ~held & (y == label)).any() for label in (0, 1)) or len(set(y[held].tolist())) < 2:
+        seen, own, held = texts, y, np.ones(len(y), bool)  # too few to hold any back: calibrated on what was seen
+    else:
+        seen, own = [t for t, h in zip(texts, held) if not h], y[~held]
     telling = _telling(seen, own)
     look = lambda buffer: _most_telling(buffer, telling)
     limit, model = 5.0, None
