@@ -1,10 +1,11 @@
 """Operator 8, benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
 
-Items are partitioned by the size of their set of word shingles. A partition's signature is that many of an item's
-smallest hashes (a bottom-m MinHash sketch) that any document holding `threshold` of the item's shingles must hold at least
-one of them: m = size - ceil(threshold * size) + 1. A long document is probed against all partitions' signatures in one
-pass over its shingles, so a short item inside it is found whatever the document's length, and no match is missed. Each
-candidate pair is verified with the exact share of the item's shingles that the document holds.
+Items are partitioned by the size of their set of word shingles, in classes that double. A partition has one signature
+length: its items' m smallest hashes (bottom-m MinHash), with m such that a document that holds `threshold` of any item of
+the class must hold one of them: the largest size - ceil(threshold * size) + 1 in the class. A long document is probed
+against the partitions one after the other, each a table of its own, so a short item inside it is found whatever the
+document's length, and no match is missed. Each candidate pair is verified with the exact share of the item's shingles
+that the document holds. Items with fewer words than a shingle are partitions by themselves, by their number of words.
 
 Words are runs of bytes other than white space, lower-cased in A-Z. The signatures of one group of items go to all tasks;
 a group has at most `group_items` items and `group_chars` characters, and more items make more groups, each its own pass.
@@ -39,29 +40,32 @@ class Items:
         self.sets = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
         #: Of each item, how many words its shingles have.
         self.widths = np.minimum(words.counts, width)
-        keys, owners = [], []
-        for i, s in enumerate(self.sets):
-            need = -(-int(round(threshold * 1_000_000)) * len(s) // 1_000_000)
-            keys.append(s[: len(s) - need + 1 if len(s) else 0])
-            owners.append(np.full(len(keys[-1]), i))
-        key, owner = np.concatenate(keys) if keys else np.zeros(0, U64), np.concatenate(owners) if owners else np.zeros(0, int)
-        self.by_width = {}
-        for w in np.unique(self.widths[owner]) if len(owner) else ():
-            own = self.widths[owner] == w
-            order = np.argsort(key[own], kind="stable")
-            k, o = key[own][order], owner[own][order]
-            names, first = np.unique(k, return_index=True)
+        sizes = np.array([len(x) for x in self.sets], np.int64)
+        need = -(-int(round(threshold * 1_000_000)) * sizes // 1_000_000)
+        spare = sizes - need + 1
+        #: Per (words of a shingle, size class): the signatures, where each one's items begin, the items, and a filter.
+        self.partitions = {}
+        classes = np.frexp(np.maximum(sizes, 1).astype(float))[1] - 1
+        for w, c in sorted(set(zip(self.widths[sizes > 0].tolist(), classes[sizes > 0].tolist()))):
+            own = np.flatnonzero((self.widths == w) & (classes == c) & (sizes > 0))
+            m = int(spare[own].max())
+            keys = np.concatenate([self.sets[i][:m] for i in own])
+            owners = np.repeat(own, np.minimum(sizes[own], m))
+            order = np.argsort(keys, kind="stable")
+            names, first = np.unique(keys[order], return_index=True)
             table = np.zeros(1 << 20, bool)
             table[names >> U64(44)] = True
-            self.by_width[int(w)] = (names, np.append(first, len(k)), o, table)
+            self.partitions[w, c] = (names, np.append(first, len(keys)), owners[order], table)
 
     def find(self, texts: list[str | None]):
         """(text's index, item's index, shared shingles) of each pair that holds."""
-        words = Words(texts)
-        for w, (names, first, owners, table) in self.by_width.items():
-            hashes, number = words.shingles(w)
-            if w < self.width:  # only runs of exactly so many words
-                hashes, number = _exact_runs(words, hashes, number, w)
+        words, before = Words(texts), None
+        for (w, _), (names, first, owners, table) in self.partitions.items():
+            if w != before:
+                before = w
+                hashes, number = words.shingles(w)
+                if w < self.width:  # only runs of exactly so many words
+                    hashes, number = _exact_runs(words, hashes, number, w)
             bounds = np.concatenate(([0], np.cumsum(number)))
             at = np.flatnonzero(table[hashes >> U64(44)])
             place = np.searchsorted(names, hashes[at])
@@ -138,19 +142,18 @@ def remove(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: flo
 
 ORACLE = """
 with w as (
-  select doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
   from documents),
-d as (
-  select distinct doc_id, unnest(case when len(words) < 5 then [words] else list_transform(range(1, len(words) - 3), lambda i: words[i:i+4]) end) as s
-  from w where len(words) > 0),
 v as (
-  select item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+  select row_number() over () as q, item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
   from benchmark),
+widths as (select distinct least(len(words), 5) as n from v where len(words) > 0),
+d as (select distinct r, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: words[i:i + n - 1])) as s from w, widths where len(words) >= n),
 i as (
-  select distinct item_id, unnest(list_transform(range(1, len(words) - 3), lambda k: words[k:k+4])) as s
-  from v where len(words) >= 5),
-n as (select item_id, count(*) as n_item_shingles from i group by item_id),
-p as (select doc_id, item_id, count(*) as n_shared from d join i using (s) group by doc_id, item_id)
+  select distinct q, n, unnest(list_transform(range(1, len(words) - n + 2), lambda i: words[i:i + n - 1])) as s
+  from (select q, words, least(len(words), 5) as n from v where len(words) > 0)),
+n as (select q, count(*) as n_item_shingles from i group by q),
+p as (select r, q, count(*) as n_shared from d join i using (n, s) group by r, q)
 select doc_id, item_id, n_item_shingles, n_shared, n_shared::double / n_item_shingles as containment
-from p join n using (item_id) where n_shared * 10 >= n_item_shingles * 8
+from p join n using (q) join w using (r) join v using (q) where n_shared * 10 >= n_item_shingles * 8
 """
