@@ -104,8 +104,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 # --- edited texts ---------------------------------------------------------------------------------------------------
 
-_NAMES = "doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next"
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
+_NAMES = ", ".join(c.split()[0] for c in _RESULT.split(", "))
 _DEALT = "ids array<long>, sizes array<long>, texts binary, part int, head binary, tail binary"
 _SCHEMA = pa.schema({"ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "texts": pa.binary(), "part": pa.int32(), "head": pa.binary(), "tail": pa.binary()})
 
@@ -122,16 +122,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def _compare(group: list[tuple[tuple[int, str], str]]) -> list[pa.Array]:
     """The result's columns for pairs of (a document, the next one's text), each next text being the next pair's own."""
     texts = [t for (_, t), _ in group]
     changed = [edited(t, f) for (_, t), f in group]
     prints = winnow([t.encode() for t in [*texts, group[-1][1], *changed]])
     own, new = [p[0] for p in prints[: len(texts) + 1]], [p[0] for p in prints[len(texts) + 1 :]]
+    places = [p[1].astype(np.int32) for p in prints]
     return [
         pa.array([d for (d, _), _ in group], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()), pa.array([as_text(h) for h in own[:-1]], pa.string()), pa.array([as_text(h) for h in new], pa.string()),
         pa.array([likeness(a, b) for a, b in zip(own, new)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(own, own[1:])], pa.float64()),
+        _lists(places[: len(texts)]), _lists(places[len(texts) + 1 :]),
     ]
 
 
