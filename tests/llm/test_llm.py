@@ -208,18 +208,40 @@ def test_bpe_is_the_librarys(spark, library):
         assert (got[i]["n_tokens"], got[i]["decoded_sha256"]) == (len(ids), decoded)
         assert got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[i]["ids"] == ids and rows[i]["decoded_sha256"] == decoded
+    readable = "hello wörld 😀 "
+    assert bpe.round_trip(table(spark, ["Hello wörld 😀"]), path).first()["readable_sha256"] == hashlib.sha256(readable.encode()).hexdigest()
+    clash = table(spark, ["a b"]).withColumns({c: F.lit("x") for c in bpe.MADE})
+    assert bpe.encode_rows(clash, path).select("n_tokens", "source").first() == (2, None)
     back = bpe.decode(bpe.encode(table(spark, ["Hello wörld 😀"]), path), path).first()["text"]
     assert back == "hello wörld 😀 "
     assert bpe.round_trip(table(spark, []), path).count() == 0
 
 
+def test_every_code_point_is_read_as_the_library_reads_it(library):
+    t, h = bpe.Tokenizer(queries.tokenizer_path("word_bpe_49k.json")), library["word_bpe_49k.json"]
+    for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 997)]:
+        x = f"a{chr(c)}b {chr(c)}. A{chr(c)}"
+        assert t.encode(x) == h.encode(x, add_special_tokens=False).ids, hex(c)
+
+
+def test_words_pass_the_transducer_and_the_state_machine(spark, monkeypatch):
+    path, seen = queries.tokenizer_path("word_bpe_49k.json"), []
+    stream, text = bpe.Transducer.stream, bpe.TextDecoder.text
+    monkeypatch.setattr(bpe.Transducer, "stream", lambda self, s, w: seen.append("e") or stream(self, s, w))
+    monkeypatch.setattr(bpe.TextDecoder, "text", lambda self, ids: seen.append("d") or text(self, ids))
+    t = bpe.Tokenizer(path)
+    parts = [p for own in t.pieces("Two wörds\t" + "long " * 30_000 + "z" * 5000) for p in zip(*own)]
+    assert sum(p[2] for p in parts) == 30_000 + 2 + len(t.encode("z" * 5000)) + t.encode("Two wörds").__len__() - 2
+    assert seen.count("d") == 4 and seen.count("e") >= 4
+    assert "".join(p[4] for p in parts) == "two wörds " + "long " * 30_000 + "z" * 5000 + " "
+
+
 def test_streamed_words_are_whole_words():
     t = bpe.Tokenizer(queries.tokenizer_path("word_bpe_49k.json"))
     rng = random.Random(3)
     for n in (1300, 5000):
         w = "".join(rng.choice("aaabers") for _ in range(n))
-        data = w.encode()
-        ids = [t.plain[b] for b in data[:-1]] + [t.last[data[-1]]]
+        ids = [t.plain[c] for c in w[:-1]] + [t.last[w[-1]]]
         assert t.word(w) == t.transducer.merge(ids)
 
 
@@ -304,7 +326,7 @@ def test_more_notices_are_known(spark):
     }
     texts = [*want, "\n".join(license_scan.SENTENCES[f"bsd-{k}"].capitalize() + "." for k in bsd)]
     got = {r["doc_id"]: r["licences"].split() for r in license_scan.report(table(spark, texts)).collect()}
-    assert [got[i] for i in range(len(want))] == [[x] for x in want.values()] and "BSD-3-Clause" in got[len(want)]
+    assert [got[i] for i in range(len(want))] == [[x] for x in want.values()] and got[len(want)] == ["BSD-3-Clause"]
 
 
 def test_license_scan(spark):
@@ -313,7 +335,12 @@ def test_license_scan(spark):
     r = {x["doc_id"]: x for x in license_scan.report(table(spark, [mit, wrapped, license_scan.SENTENCES["mit-notice"], *ODD])).collect()}
     assert r[0]["licences"] == "MIT" and r[1]["licences"] == "Apache-2.0 all-rights-reserved" and r[2]["licences"] == "" and r[2]["n_sentences"] == 1
     assert all(r[i]["n_sentences"] == 0 for i in range(3, 3 + len(ODD)))
-    assert all(any(t in s for t in license_scan.TRIGGERS) for s in license_scan.SENTENCES.values())
+    triggers = license_scan.triggers_of(license_scan.SENTENCES)
+    assert len(triggers) < 12 and all(any(t in s for t in triggers) for s in license_scan.SENTENCES.values())
+    own = license_scan.scan(table(spark, ["Do as you like. Really."]), {"free": "do as you like"}, [("Free", ["free"])]).first()
+    assert own["licences"] == ["Free"] and [f["place"] for f in own["found"]] == [0]
+    other = "Redistribution and use in source and binary forms, with or without modification, are permitted.\nReleased under the new BSD licence.\nThis package is licensed under the GPLv3 License!"
+    assert license_scan.scan(table(spark, [other])).first()["licences"] == ["BSD-3-Clause", "GPL-3.0"]
     plan = license_scan.report(table(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
