@@ -90,11 +90,17 @@ def matched(tokenised: DataFrame, query: Query, where: Column | None = None) ->
 def span(phrases, terms: Column) -> Column:
     """The smallest distance within which all phrases begin; null unless all occur."""
 
+    return span_of([starts(p, terms) for p in phrases])
+
+
+def span_of(places: list[Column]) -> Column:
+    """The smallest distance within which each list has a place."""
+
     def begins(number: int) -> Column:
-        return F.transform(starts(phrases[number], terms), lambda x: F.struct(x.alias("at"), F.lit(number).alias("term")))
+        return F.transform(places[number], lambda x: F.struct(x.alias("at"), F.lit(number).alias("term")))
 
-    events = F.array_sort(F.concat(*map(begins, range(len(phrases)))))
-    none = F.struct(F.array(*(F.lit(-1) for _ in phrases)).alias("last"), F.lit(None).cast("int").alias("best"))
+    events = F.array_sort(F.concat(*map(begins, range(len(places)))))
+    none = F.struct(F.array(*(F.lit(-1) for _ in places)).alias("last"), F.lit(None).cast("int").alias("best"))
 
     def step(state: Column, e: Column) -> Column:
         last = F.transform(state["last"], lambda v, i: F.when(i == e["term"], e["at"]).otherwise(v))
@@ -153,10 +159,14 @@ def document_coverage(rows: DataFrame, query: Query) -> DataFrame:
 def search(indexed: DataFrame, query: Query, limit: int = 20, where: Column | None = None) -> DataFrame:
     """source_id, score, best_passage of the best `limit` sources: candidates are the best passages by rank, before their multipliers."""
     candidates = matched(with_tokens(indexed), query, where).orderBy(F.desc("rank"), "passage_id").limit(max(limit * 8, 200))
-    rows = with_signals(candidates, query).withColumn("score", F.col("rank") * F.col("multiplier"))
-    # roll_up and document_coverage in one pass, so that the matching isn't done twice
+    rows = with_signals(candidates, query).withColumn("score", F.col("rank") * F.col("multiplier")).withColumn("cover", F.array_union("body_c", "heading_c"))
+    return by_source(rows, query, limit)
+
+
+def by_source(rows: DataFrame, query: Query, limit: int) -> DataFrame:
+    """Sources of scored passages (source_id, passage_id, score, cover): roll_up and document_coverage in one pass."""
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "passage_id"))
-    rows = rows.select("source_id", "passage_id", "score", F.array_union("body_c", "heading_c").alias("cover"), nth.alias("nth"))
+    rows = rows.select("source_id", "passage_id", "score", "cover", nth.alias("nth"))
     share = F.element_at(F.array(*map(F.lit, SHARES)), F.least("nth", F.lit(3)))
     out = rows.groupBy("source_id").agg(
         F.sum(F.when(F.col("nth") <= 3, F.col("score") * share)).alias("total"), F.max(F.when(F.col("nth") == 1, F.col("passage_id"))).alias("best_passage"),
@@ -201,9 +211,17 @@ def rerank_v2(rows: DataFrame, query: Query) -> DataFrame:
     return rows.withColumn("score", value * F.when(share(F.concat_ws(" ", low["filename"], low["title"])) == 1, 2.0).otherwise(1.0))
 
 
-def search_v2(indexed: DataFrame, query: Query, limit: int = 20, offset: int = 0, after: Column | None = None) -> DataFrame:
-    """source_id, score, best_passage. Filters (`after`) apply after the cut of candidates."""
-    candidates = matched_v2(with_tokens(indexed, "path"), query).orderBy(F.desc("bm25"), "passage_id").limit(min(max(min(max(limit + offset, 1), 200) * 40, 2000), 20000))
-    rows = rerank_v2(candidates if after is None else candidates.filter(after), query)
+def candidates_v2(limit: int, offset: int) -> int:
+    return min(max(min(max(limit + offset, 1), 200) * 40, 2000), 20000)
+
+
+def page(rows: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One page of the sources of reranked passages."""
     out = roll_up(rows)
     return out.select("source_id", F.col("total").alias("score"), "best_passage").orderBy(F.desc("score"), "source_id").offset(offset).limit(limit)
+
+
+def search_v2(indexed: DataFrame, query: Query, limit: int = 20, offset: int = 0, after: Column | None = None) -> DataFrame:
+    """source_id, score, best_passage. Filters (`after`) apply after the cut of candidates."""
+    candidates = matched_v2(with_tokens(indexed, "path"), query).orderBy(F.desc("bm25"), "passage_id").limit(candidates_v2(limit, offset))
+    return page(rerank_v2(candidates if after is None else candidates.filter(after), query), limit, offset)

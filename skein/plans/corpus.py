@@ -5,11 +5,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.chunking import chunk_rows
 from skein.functions.text import parent
+from skein.operators import inverted
+from skein.sources.storage import shared_folder
 
 # File types by document number.
 EXTENSIONS = ["txt", "md", "pdf", "docx", "csv", "xlsx", "html", "png"]
@@ -55,6 +59,29 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).join(f, "source_id")
 
 
+@dataclass(frozen=True)
+class Store:
+    """The corpus indexed once: passages with their files' names as a table, and the inverted index over them."""
+
+    indexed: DataFrame
+    index: inverted.Index
+
+
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The stored index of the tables in a folder; built at the first search, kept for the session's later ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        at = shared_folder(spark, "store")
+        indexed(spark, sf_dir).repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
+        rows = spark.read.parquet(f"{at}/passages")
+        inverted.write(rows, at)
+        _stores[key] = Store(rows, inverted.Index.read(spark, at))
+    return _stores[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
 

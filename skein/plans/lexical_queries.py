@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import inverted as I
 from skein.operators import lexical as L
 from skein.operators.query import parse
 
@@ -122,11 +123,11 @@ def _toks(s, d, path="folder"):
 
 
 def _match_query(q):
-    return (lambda s, d: _toks(s, d).filter(L.matches(q)).select("passage_id", "source_id")), _with() + f"select passage_id, source_id from toks where {_matches(q)}"
+    return (lambda s, d: I.scored(C.store(s, d).index, q).select("passage_id", "source_id")), _with() + f"select passage_id, source_id from toks where {_matches(q)}"
 
 
 def _candidates(s, d):
-    return L.matched(_toks(s, d), PAIR).orderBy(F.desc("rank"), "passage_id").limit(200)
+    return I.scored(C.store(s, d).index, PAIR).orderBy(F.desc("rank"), "passage_id").limit(200)
 
 
 def _r(name: str, digits: int = 6):
@@ -148,12 +149,12 @@ def doc_freq(s, d):
 
 
 def bm25(s, d):
-    return L.matched(_toks(s, d), PAIR).select("passage_id", _r("bm25"))
+    return I.scored(C.store(s, d).index, PAIR).select("passage_id", _r("bm25"))
 
 
 def metadata_penalty(s, d):
     q = parse("doc the")
-    return L.matched(_toks(s, d), q).select("passage_id", F.col("body_hits").cast("long").alias("body_hits"), _r("rank"))
+    return I.scored(C.store(s, d).index, q).select("passage_id", F.col("body_hits").cast("long").alias("body_hits"), _r("rank"))
 
 
 def proximity(s, d):
@@ -167,11 +168,11 @@ def proximity_v2(s, d):
 
 
 def passage_multiplier(s, d):
-    return L.with_signals(L.matched(_toks(s, d), EITHER), EITHER).select("passage_id", _r("multiplier"))
+    return I.with_signals(I.scored(C.store(s, d).index, EITHER), EITHER).select("passage_id", _r("multiplier"))
 
 
 def document_coverage(s, d):
-    rows = L.with_signals(L.matched(_toks(s, d), EITHER), EITHER)
+    rows = I.with_signals(I.scored(C.store(s, d).index, EITHER), EITHER)
     return L.document_coverage(rows, EITHER).select("source_id", F.col("covered").cast("long").alias("covered"), _r("factor"))
 
 
@@ -181,19 +182,22 @@ def passage_rollup(s, d):
 
 def top3_passages(s, d):
     w = L.Window.partitionBy("source_id").orderBy(F.desc("rank"), "passage_id")
-    return L.matched(_toks(s, d), EITHER).withColumn("nth", F.row_number().over(w).cast("long")).filter("nth <= 3").select("source_id", "nth", "passage_id")
+    return I.scored(C.store(s, d).index, EITHER).withColumn("nth", F.row_number().over(w).cast("long")).filter("nth <= 3").select("source_id", "nth", "passage_id")
 
 
 def text_search(s, d):
-    return L.search(C.indexed(s, d), PAIR).select("source_id", _r("score"), "best_passage")
+    return I.search(C.store(s, d).index, PAIR).select("source_id", _r("score"), "best_passage")
 
 
 def text_search_v2(s, d):
-    return L.search_v2(C.indexed(s, d), PAIR).select("source_id", _r("score"), "best_passage")
+    x = C.store(s, d)
+    return I.search_v2(x.index, x.indexed, PAIR).select("source_id", _r("score"), "best_passage")
 
 
 def rerank_v2(s, d):
-    rows = L.matched_v2(_toks(s, d, "path"), PAIR).orderBy(F.desc("bm25"), "passage_id").limit(2000)
+    x = C.store(s, d)
+    best = I.scored_v2(x.index, PAIR).orderBy(F.desc("bm25"), "passage_id").limit(2000).select("passage_id", "bm25")
+    rows = x.indexed.join(F.broadcast(best), "passage_id").withColumn("body_t", T.tokens(F.col("body")))
     return L.rerank_v2(rows, PAIR).select("passage_id", _r("score"))
 
 

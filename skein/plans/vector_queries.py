@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import inverted as I
 from skein.operators import lexical as L
 from skein.operators import vectors as V
 
@@ -114,7 +115,7 @@ def _matches(s, d, k=500):
 
 
 def _semantic(s, d, limit=20):
-    return V.semantic_search(_matches(s, d), C.indexed(s, d), F.col("extension").isin("txt", "md", "pdf", "png"), False, limit)
+    return V.semantic_search(_matches(s, d), C.store(s, d).indexed, F.col("extension").isin("txt", "md", "pdf", "png"), False, limit)
 
 
 def semantic_search(s, d):
@@ -131,8 +132,11 @@ def document_lane(s, d):
     """The document lane: one card a source, by label; the first passage stands for it."""
     lane = _scored(s, d).select(C.source_id("key").alias("source_id"), "score")
     first = L.Window.partitionBy("source_id").orderBy("ordinal", "passage_id")
-    p = C.passages(s, d).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("source_id", "passage_id")
-    return p.join(F.broadcast(lane), "source_id").orderBy(F.desc("score"), "source_id").limit(30).select("source_id", "passage_id", F.round("score", 6).alias("score"))
+    passages = C.store(s, d).indexed.select("source_id", "passage_id", "ordinal")
+    top = lane.join(passages.select("source_id"), "source_id", "left_semi").orderBy(F.desc("score"), "source_id").limit(30)
+    p = passages.join(F.broadcast(top), "source_id")  # 30 rows
+    p = p.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return p.orderBy(F.desc("score"), "source_id").limit(30).select("source_id", "passage_id", F.round("score", 6).alias("score"))
 
 
 def lane_fusion(s, d):
@@ -142,8 +146,9 @@ def lane_fusion(s, d):
 
 
 def hybrid_rrf(s, d):
-    hits = L.search(C.indexed(s, d), PAIR)
-    named = hits.join(C.passages(s, d).select(F.col("passage_id").alias("best_passage"), "body"), "best_passage")
+    x = C.store(s, d)
+    hits = I.search(x.index, PAIR)
+    named = x.indexed.select(F.col("passage_id").alias("best_passage"), "body").join(F.broadcast(hits), "best_passage")  # at most 20 rows
     lexical = V.positions(named.select("source_id", "score", "body"))
     exact = F.contains(F.lower("body"), F.lit("onth"))
     return V.fuse(lexical, V.positions(_semantic(s, d)), 0.35, 20, exact).select("source_id", "exact", F.round("score", 8).alias("score"))
