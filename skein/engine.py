@@ -1,24 +1,38 @@
-"""The engine: an index as tables in a folder, built from files, and searches over it."""
+"""The engine: an index as segments in a folder, built from files, kept up to date, and searches over it.
+
+An index is what its newest manifest names. Each build or change writes a new segment (files, passages, postings) and a
+table of tombstones, then the manifest, so a search sees one generation whole and a failed job leaves the last one as it
+was. Statistics are kept exact: what a change takes away is counted before it goes. `compact` merges segments and removes
+what no manifest in use names. Vectors are a snapshot, stored by cells, and what was embedded since.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions.chunking import chunk_rows
 from skein.functions.embedding import DIMENSIONS, embed_column, embed_texts
 from skein.operators import filters as X
-from skein.operators import lexical as L
+from skein.operators import inverted
 from skein.operators import maintenance as M
 from skein.operators import vectors as V
 from skein.operators.query import parse
 from skein.sources import discovery, extract
+from skein.sources.manifest import Log, Manifest, listed, remove
 
 MODES = ("text", "semantic", "hybrid")
+IMAGES = ("png", "jpg", "jpeg", "heic", "tif", "tiff")
+SEGMENTS = 8  # with more than so many, a change is followed by a merge
+FEW = 200_000  # rows that may be sent to all
+CELLED, PROBED = 50_000, 0.25  # vectors from which a snapshot is searched by cells, and the share of cells
 
 
 @dataclass(frozen=True)
@@ -31,6 +45,8 @@ class SearchRequest:
     limit: int = 20
     semantic_weight: float = 0.35
     cursor: str | None = None
+    ranker: int = 1
+    group_copies: bool = False
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -49,123 +65,336 @@ def effective_mode(requested: str, ready: bool) -> str:
 
 
 class Engine:
-    """Tables files, passages and vectors below `base`, and a generation that grows with each build."""
+    """An index below `base`."""
 
     def __init__(self, spark: SparkSession, base: str, policy: X.Policy | None = None):
         self.spark, self.base, self.policy = spark, base.rstrip("/"), policy or X.Policy()
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/g{self.generation()}/{name}")
+        self.log = Log(spark, self.base)
 
     def generation(self) -> int:
-        try:
-            return self.spark.read.schema("generation long").parquet(f"{self.base}/generations").agg(F.max("generation")).first()[0] or 0
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+        return self.log.current().generation
+
+    # --- reading what is live ---
+
+    def _live(self, m: Manifest, rows: DataFrame) -> DataFrame:
+        """rows(source_id, sequence, ...) without those that a later change replaced or deleted."""
+        if not m.tombstones:
+            return rows
+        dead = self.spark.read.parquet(f"{self.base}/{m.tombstones}")
+        dead = F.broadcast(dead) if m.n_tombstones <= FEW else dead
+        return rows.join(dead.withColumnRenamed("source_id", "_gone"), (F.col("source_id") == F.col("_gone")) & (F.col("sequence") <= F.col("upto")), "left_anti")
+
+    def _table(self, name: str, m: Manifest | None = None, schema: str | None = None) -> DataFrame:
+        m = m or self.log.current()
+        if not m.segments:
+            raise LookupError("there is no index here yet")
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        parts = [reader.parquet(f"{self.base}/{s}/{name}").withColumn("sequence", F.lit(n)) for s, n in m.segments.items()]
+        return self._live(m, reduce(DataFrame.unionByName, parts))
+
+    def files(self) -> DataFrame:
+        return self._table("files")
+
+    def passages(self) -> DataFrame:
+        return self._table("passages")
+
+    def index_of(self, m: Manifest) -> inverted.Index:
+        return inverted.Index(self._table("postings", m, inverted.POSTINGS), m.counts)
 
     # --- building ---
 
     def index_folder(self, root: str, root_id: str = "root", parser: Callable = extract.parse) -> int:
         """Index the files below a folder that the policy doesn't exclude."""
-        listed = discovery.discover(self.spark, root, root_id)
-        kept = listed.filter(~self.policy.excluded(F.col("path"), F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/"))))
-        content = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "").alias("path"), "content")
+        m = self.index(self.read_folder(root, root_id, parser), {root_id: discovery.plain_path(root)})
+        return m.generation
+
+    def read_folder(self, root: str, root_id: str = "root", parser: Callable = extract.parse) -> DataFrame:
+        """Files and their texts. Contents are read where the listing is, in one scan; files over the size limit aren't read at all."""
+        kept = discovery.discover(self.spark, root, root_id, content=True).filter(~self.policy.excluded(F.col("path"), F.lit(discovery.plain_path(root))))
         plain = F.when(~extract.looks_binary(F.col("content")), extract.decode_text(F.col("content")))
-        structured = extract.extract_structured(kept.join(content, "path").select("source_id", "content", "extension"), parser)
-        texts = structured.select("source_id", F.coalesce("text", F.when(F.col("error") == "unsupported", plain)).alias("text"), "error")
-        rows = kept.drop("availability").join(texts, "source_id").withColumn("availability", extract.extraction_status(F.when(F.col("error") != "unsupported", F.col("error")), F.col("text")))
-        return self.index(rows.withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz")))
-
-    def index(self, rows: DataFrame) -> int:
-        """Build the next generation from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text."""
-        number = self.generation() + 1
-        at = f"{self.base}/g{number}"
+        rows = extract.extract_structured(kept.drop("availability"), parser).drop("availability")
+        rows = rows.withColumn("text", F.coalesce("text", F.when(F.col("error") == "unsupported", plain)))
+        rows = rows.withColumn("availability", extract.extraction_status(F.when(F.col("error") != "unsupported", F.col("error")), F.col("text")))
+        return rows.drop("content", "error").withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz"))
+
+    def _segment(self, rows: DataFrame, name: str) -> dict[str, int]:
+        """Write a segment from files with their texts, and count it."""
+        at = f"{self.base}/{name}"
         title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ")
-        rows.withColumn("title", title).withColumn("folder", T.parent(F.col("path"))).drop("error").write.parquet(f"{at}/source")
+        rows.drop("error").withColumn("title", title).withColumn("folder", T.parent(F.col("path"))).write.parquet(f"{at}/source")
         source = self.spark.read.parquet(f"{at}/source")
         files = source.drop("text")
         files.write.parquet(f"{at}/files")
-        cut = chunk_rows(source.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0), "source_id", "text")
-        empty = source.filter(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).select("source_id", F.lit(0).alias("ordinal"), F.lit("").alias("body"))
+        has = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+        cut = chunk_rows(source.filter(has), "source_id", "text")
+        empty = source.filter(~has).select("source_id", F.lit(0).alias("ordinal"), F.lit("").alias("body"))
         p = cut.unionByName(empty)  # a file without text is found by its name
-        kind = F.when(F.col("extension").isin("png", "jpg", "jpeg", "heic", "tif", "tiff"), "image").otherwise("section")
+        kind = F.when(F.col("extension").isin(*IMAGES), "image").otherwise("section")
         p = p.withColumn("passage_id", F.xxhash64("source_id", "ordinal")).join(files.select("source_id", "root_id", "path", "filename", "title", "folder", "extension", "modified_at", "availability"), "source_id").withColumn("location_kind", kind)
-        p.repartition("source_id").sortWithinPartitions("source_id", "ordinal").write.parquet(f"{at}/passages")
-        self.spark.createDataFrame([(number,)], "generation long").coalesce(1).write.mode("append").parquet(f"{self.base}/generations")
-        return number
-
-    def embed(self, embed: Callable[[list[str]], list] | None = None) -> None:
-        """Vectors of all passages that have text."""
-        p = self._table("passages").filter(F.length("body") > 0)
-        p.select("passage_id", embed_column(F.col("body"), embed).alias("embedding")).write.mode("overwrite").parquet(f"{self.base}/g{self.generation()}/vectors")
+        p.repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
+        inverted.write(self.spark.read.parquet(f"{at}/passages"), at)
+        remove(self.spark, f"{at}/source")
+        return inverted.Index.read(self.spark, at).counts
+
+    def index(self, rows: DataFrame, roots: dict[str, str] | None = None) -> Manifest:
+        """Build anew from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text."""
+        m, name = self.log.current(), f"segment-{uuid4().hex}"
+        counts = self._segment(rows, name)
+        fresh = Manifest(generation=m.generation, batch=m.batch)
+        return self.log.publish(fresh.after(sequence=m.sequence + 1, segments={name: m.sequence + 1}, counts=counts, roots=(m.roots | roots) if roots else m.roots))
+
+    def apply(self, rows: DataFrame | None = None, gone: DataFrame | None = None, batch: int | None = None) -> Manifest:
+        """Put in files with their texts, in place of what is there of the same source, and take out the sources `gone`(source_id)."""
+        m, name = self.log.current(), f"segment-{uuid4().hex}"
+        if batch is not None and batch <= m.batch:
+            return m  # a batch that comes again has been applied
+        if not m.segments:
+            return self.index(rows) if rows is not None else m
+        parts = [x.select("source_id") for x in (rows, gone) if x is not None]
+        at = f"tombstones-{uuid4().hex}"
+        dead = reduce(DataFrame.unionByName, parts).withColumn("upto", F.lit(m.sequence))
+        if m.tombstones:
+            dead = dead.unionByName(self.spark.read.parquet(f"{self.base}/{m.tombstones}"))
+        dead.groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{at}")
+        number = self.spark.read.parquet(f"{self.base}/{at}").count()
+        touched = self.spark.read.parquet(f"{self.base}/{at}").filter(F.col("upto") == m.sequence).select("source_id")
+        old = inverted.statistics(self._table("passages", m).join(touched, "source_id", "left_semi")).first().asDict()
+        counts = {k: m.counts[k] - old[k] for k in m.counts}
+        segments = dict(m.segments)
+        if rows is not None:
+            new = self._segment(rows, name)
+            counts = {k: counts[k] + new[k] for k in counts}
+            segments[name] = m.sequence + 1
+        out = self.log.publish(m.after(sequence=m.sequence + 1, segments=segments, counts=counts, tombstones=at, n_tombstones=number, batch=m.batch if batch is None else batch))
+        return self.compact() if len(segments) > SEGMENTS else out
+
+    def reconcile(self, root: str, root_id: str = "root", parser: Callable = extract.parse, complete: bool = True, batch: int | None = None) -> Manifest:
+        """Bring the index in line with a scan of a root: new and changed files come in, missing ones go if the scan was complete."""
+        m = self.log.current()
+        rows = self.read_folder(root, root_id, parser)
+        if not m.segments:
+            return self.index(rows, {root_id: discovery.plain_path(root)})
+        known = self._table("files", m).filter(F.col("root_id") == root_id)
+        seen = known.select("source_id", F.col("size").alias("_s"), F.col("modified_at").alias("_m"))
+        changed = rows.join(seen, "source_id", "left").filter(~(F.col("size").eqNullSafe(F.col("_s")) & F.col("modified_at").eqNullSafe(F.col("_m")))).drop("_s", "_m")
+        gone = M.reconcile(known, discovery.discover(self.spark, root, root_id), complete, self.policy.excluded(F.col("path"), F.lit(discovery.plain_path(root))))
+        return self.apply(changed, gone.select("source_id"), batch)
+
+    def compact(self, keep: int = 2) -> Manifest:
+        """Merge all segments into one, without what is gone, and remove folders that the last `keep` generations don't name."""
+        m, name = self.log.current(), f"segment-{uuid4().hex}"
+        number, at = m.sequence + 1, f"{self.base}/{name}"
+        self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
+        self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
+        keys = ["bucket", "term", "passage_id"]
+        self._table("postings", m, inverted.POSTINGS).drop("sequence").repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(f"{at}/postings")
+        vectors = self._vectors(m)
+        out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
+        if vectors is not None:
+            if m.embedded >= max(m.segments.values()):
+                out = replace(self._with_snapshot(out, vectors.withColumn("sequence", F.lit(number))), embedded=number)
+            else:  # some passages of the merged segment have none yet: all are embedded again
+                out = replace(out, snapshot=None, deltas=(), centres=(), n_snapshot=0, embedded=0)
+        out = self.log.publish(out)
+        self.clean(keep)
+        return out
+
+    def clean(self, keep: int = 2) -> None:
+        """Remove folders that none of the last `keep` generations names; a search that began earlier fails."""
+        rows = self.log._rows().orderBy(F.desc("generation")).limit(max(1, keep)).collect()
+        named = set()
+        for r in rows:
+            x = json.loads(r["body"])
+            named |= Manifest(**x | {"deltas": tuple(x["deltas"]), "centres": ()}).folders()
+        for f in listed(self.spark, self.base):
+            if f.split("-")[0] in ("segment", "tombstones", "vectors", "cards") and f not in named:
+                remove(self.spark, f"{self.base}/{f}")
+
+    # --- vectors ---
+
+    def _vectors(self, m: Manifest) -> DataFrame | None:
+        """passage_id, source_id, sequence, embedding of all live vectors."""
+        sets = [s for s in (m.snapshot, *m.deltas) if s]
+        if not sets:
+            return None
+        parts = [self.spark.read.parquet(f"{self.base}/{s}").select("passage_id", "source_id", "sequence", "embedding") for s in sets]
+        return self._live(m, reduce(DataFrame.unionByName, parts))
+
+    def _with_snapshot(self, m: Manifest, vectors: DataFrame) -> Manifest:
+        """A manifest with the vectors as its snapshot, stored by cells."""
+        name = f"vectors-{uuid4().hex}"
+        n = vectors.count()
+        number = max(1, min(1024, n // 1000))
+        centres = V.train_cells(vectors.withColumn("key", F.col("passage_id")), number) if n else None
+        celled = V.cells(vectors, centres) if n else vectors.withColumn("cell", F.lit(0))
+        celled.repartitionByRange("cell", "passage_id").write.partitionBy("cell").parquet(f"{self.base}/{name}")
+        kept = tuple(tuple(map(float, c)) for c in centres) if n else ()
+        return replace(m, snapshot=name if n else None, deltas=(), centres=kept, n_snapshot=n)
+
+    def embed(self, embed: Callable[[list[str]], list] | None = None) -> Manifest:
+        """Vectors of all passages with text that have none yet. They are added beside the snapshot; a new one is made where enough has changed."""
+        m = self.log.current()
+        name = f"vectors-{uuid4().hex}"
+        p = self._table("passages", m).filter((F.length("body") > 0) & (F.col("sequence") > m.embedded))
+        p.select("passage_id", "source_id", "sequence", embed_column(F.col("body"), embed).alias("embedding")).write.parquet(f"{self.base}/{name}")
+        out = replace(m, deltas=(*m.deltas, name), embedded=m.sequence)
+        live = self._vectors(out)
+        counts = live.agg(F.count("*")).first()[0], sum(self.spark.read.parquet(f"{self.base}/{d}").count() for d in out.deltas)
+        old = m.n_snapshot
+        removed = max(0, old + counts[1] - counts[0])
+        facts = self.spark.range(1).select(V.rebuild_needed(F.lit(old), F.lit(counts[1]), F.lit(removed))).first()[0]
+        if facts:
+            out = self._with_snapshot(out, live)
+        return self.log.publish(replace(out, generation=m.generation + 1))
+
+    def embed_cards(self, cards: DataFrame, embed: Callable[[list[str]], list] | None = None) -> Manifest:
+        """The document lane: cards(source_id, text), one for a source; with it, semantic searches fuse both lanes."""
+        name = f"cards-{uuid4().hex}"
+        cards.select("source_id", embed_column(F.col("text"), embed).alias("embedding")).write.parquet(f"{self.base}/{name}")
+        return self.log.publish(self.log.current().after(cards=name))
 
     def ready(self) -> bool:
-        try:
-            return not self._table("vectors").isEmpty()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
+        m = self.log.current()
+        return bool(m.snapshot or m.deltas)
 
     # --- searching ---
 
     def search(self, request: SearchRequest, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
         """source_id, score, path, filename, extension, modified_at, snippet; best first."""
-        mode = effective_mode(request.mode, request.mode == "text" or self.ready())
-        passages = self._table("passages")
+        m = self.log.current()
+        mode = effective_mode(request.mode, bool(m.snapshot or m.deltas))
         query = parse(request.query) if mode != "semantic" else None
-        offset = self._offset(request.cursor)
+        offset = self._offset(request.cursor, m)
+        most = request.limit + offset
         if mode == "text":
-            hits = L.search(passages, query, request.limit + offset, request.filters.column()).offset(offset)
+            hits = self._lexical(m, query, request, most)
         else:
-            near = self._semantic(passages, request, embed)
-            if mode == "semantic":
-                hits = near
-            else:
-                lexical = L.search(passages, query, request.limit, request.filters.column())
-                plain = request.query.strip().strip('"').lower()
-                text = passages.select(F.col("passage_id").alias("best_passage"), F.concat_ws("\n", F.lower("filename"), F.lower("body")).alias("seen"))
-                first = V.positions(lexical.join(text, "best_passage"))
-                fused = V.fuse(first, V.positions(near), request.semantic_weight, request.limit, F.contains("seen", F.lit(plain)))
-                best = lexical.select("source_id", F.col("best_passage").alias("a")).join(near.select("source_id", F.col("best_passage").alias("b")), "source_id", "full_outer")
-                hits = fused.join(best, "source_id").select("source_id", "score", F.coalesce("a", "b").alias("best_passage"), "exact")
+            near = self._semantic(m, request, embed, most)
+            hits = near if mode == "semantic" else self._hybrid(m, self._lexical(m, query, request, most), near, request, most)
+        first = [F.desc("exact")] if "exact" in hits.columns else []
+        order = [*first, F.desc("score"), F.asc("source_id")]
+        hits = hits.orderBy(*order).offset(offset).limit(request.limit)
         terms = [w for p in query.ranking for w in p] if query else []
-        info = passages.select(F.col("passage_id").alias("best_passage"), "path", "filename", "extension", "modified_at", "body")
+        info = self._read_passages(m, hits)
         snippet = T.snippet(F.col("body"), terms) if terms else T.short_excerpt(F.col("body"))
-        first = [F.desc("exact")] if "exact" in hits.columns else []
-        out = hits.join(info, "best_passage").orderBy(*first, F.desc("score"), "source_id")
-        return out.select("source_id", "score", "path", "filename", "extension", "modified_at", snippet.alias("snippet"), T.highlights(snippet, terms).alias("highlights") if terms else F.array().alias("highlights"))
-
-    def _semantic(self, passages: DataFrame, request: SearchRequest, embed) -> DataFrame:
-        vector = (embed or embed_texts)([request.query])[0]
+        out = info.filter(~self._excluded(m)).orderBy(*order)
+        out = out.select("source_id", "score", "path", "filename", "extension", "modified_at", snippet.alias("snippet"), T.highlights(snippet, terms).alias("highlights") if terms else F.array().alias("highlights"), *(["exact"] if first else []))
+        return self._grouped(out, first) if request.group_copies else out.drop("exact")
+
+    def _grouped(self, out: DataFrame, first: list[Column]) -> DataFrame:
+        """With the source that leads a group of near copies, and which copy of it a hit is. At most 200 rows."""
+        placed = out.withColumn("position", F.row_number().over(Window.orderBy(*first, F.desc("score"), "source_id")))
+        return M.near_duplicates(placed).drop("signature", "position", "exact")
+
+    def _excluded(self, m: Manifest) -> Column:
+        """Whether the policy of now leaves a hit's path out of its longest root."""
+        root = F.lit(None).cast("string")
+        for r in sorted(m.roots.values(), key=len):
+            root = F.when(X.under(F.col("path"), r), F.lit(r)).otherwise(root)
+        return F.coalesce(self.policy.excluded(F.col("path"), root) & root.isNotNull(), F.lit(False))
+
+    def _read_passages(self, m: Manifest, hits: DataFrame) -> DataFrame:
+        """hits(best_passage, ...) with their passages. Their numbers, 200 at most, go into the scan, whose row groups are sorted by them."""
+        rows = hits.collect()
+        found = self.spark.createDataFrame(rows, hits.schema)
+        wanted = reduce(lambda a, b: a | b, (F.col("passage_id") == r["best_passage"] for r in rows), F.lit(False))
+        info = self._table("passages", m).filter(wanted).select(F.col("passage_id").alias("best_passage"), "path", "filename", "extension", "modified_at", "body")
+        return info.join(F.broadcast(found), "best_passage")
+
+    def _lexical(self, m: Manifest, query, request: SearchRequest, limit: int) -> DataFrame:
         filtered = request.filters != X.Filters()
-        k = V.CANDIDATES_FILTERED if filtered else V.CANDIDATES
-        scored = self._table("vectors").select("passage_id", V.cosine_to(list(vector))("embedding").alias("score"))
+        if request.ranker == 2:
+            where = request.filters.column_v2() if filtered else None
+            return inverted.search_v2(self.index_of(m), self._table("passages", m), query, limit, 0, where)
+        return inverted.search(self.index_of(m), query, limit, self._table("files", m) if filtered else None, request.filters.column() if filtered else None)
+
+    def _semantic(self, m: Manifest, request: SearchRequest, embed, limit: int) -> DataFrame:
+        vector = [float(x) for x in (embed or embed_texts)([request.query])[0]]
+        k = max(limit, V.CANDIDATES_FILTERED if request.filters != X.Filters() else V.CANDIDATES)
+        columns = ["passage_id", "source_id", "sequence", "embedding"]
+        parts = [self.spark.read.parquet(f"{self.base}/{d}").select(columns) for d in m.deltas]
+        if m.snapshot:
+            rows = self.spark.read.parquet(f"{self.base}/{m.snapshot}")
+            if m.n_snapshot >= CELLED:
+                rows = rows.filter(F.col("cell").isin(*V.nearest_cells(m.centres, vector, PROBED)))
+            parts.append(rows.select(columns))
+        scored = self._live(m, reduce(DataFrame.unionByName, parts)).select("passage_id", V.cosine_to(vector)("embedding").alias("score"))
         top = scored.orderBy(F.desc("score"), "passage_id").limit(k)
-        images = bool(request.filters.extensions & {"png", "jpg", "jpeg", "heic", "tif", "tiff"})
-        return V.semantic_search(top, passages, request.filters.column(), images, request.limit).withColumnRenamed("passage_id", "best_passage")
+        passages = self._table("passages", m)
+        images = bool(request.filters.extensions & set(IMAGES))
+        near = V.semantic_search(top, passages, request.filters.column(), images, limit).withColumnRenamed("passage_id", "best_passage")
+        if not m.cards:
+            return near
+        cards = self.spark.read.parquet(f"{self.base}/{m.cards}").select("source_id", V.cosine_to(vector)("embedding").alias("score"))
+        wanted = self._table("files", m).filter(request.filters.column()).select("source_id")
+        lane = cards.join(wanted, "source_id", "left_semi").orderBy(F.desc("score"), "source_id").limit(limit)
+        fused = V.fuse(V.positions(near), V.positions(lane), 0.5, limit).drop("exact")
+        heads = passages.filter("ordinal = 0").select("source_id", F.col("passage_id").alias("_head")).join(F.broadcast(lane.select("source_id")), "source_id")
+        best = fused.join(near.select("source_id", "best_passage"), "source_id", "left").join(heads, "source_id", "left")
+        return best.select("source_id", "score", F.coalesce("best_passage", "_head").alias("best_passage"))
+
+    def _hybrid(self, m: Manifest, lexical: DataFrame, near: DataFrame, request: SearchRequest, limit: int) -> DataFrame:
+        """Both lists fused by rank; hits whose name or text holds the query as it stands come first."""
+        plain = request.query.strip().strip('"').lower()
+        info = self._read_passages(m, lexical)
+        first = V.positions(info.select("source_id", "score", "best_passage", F.concat_ws("\n", F.lower("filename"), F.lower("body")).alias("seen")))
+        fused = V.fuse(first, V.positions(near), request.semantic_weight, limit, F.contains("seen", F.lit(plain)))
+        best = lexical.select("source_id", F.col("best_passage").alias("a")).join(near.select("source_id", F.col("best_passage").alias("b")), "source_id", "full_outer")
+        return fused.join(best, "source_id").select("source_id", "score", F.coalesce("a", "b").alias("best_passage"), "exact")
 
     def cursor(self, offset: int) -> str:
         return f"{self.generation()}:{offset}"
 
-    def _offset(self, cursor: str | None) -> int:
+    def _offset(self, cursor: str | None, m: Manifest) -> int:
         if not cursor:
             return 0
         generation, _, offset = cursor.partition(":")
-        if int(generation) != self.generation():
+        if int(generation) != m.generation:
             raise StaleCursor("the index has changed; search again")
         return int(offset)
 
+    # --- history and saved searches ---
+
+    def _kept(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def record(self, query: str) -> None:
+        """Add a query to the history."""
+        row = self.spark.createDataFrame([(query,)], "query string").select(F.unix_micros(F.current_timestamp()).alias("id"), "query", M.normalise_query(F.col("query")).alias("normalized_query"), F.current_timestamp().cast("timestamp_ntz").alias("searched_at"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.base}/history")
+
+    def history(self, limit: int = 50) -> DataFrame:
+        rows = self._kept("history", "id long, query string, normalized_query string, searched_at timestamp_ntz")
+        return M.coalesce_history(rows).orderBy(F.desc("searched_at"), F.desc("id")).limit(limit)
+
+    def clear_history(self) -> None:
+        remove(self.spark, f"{self.base}/history")
+
+    def save_search(self, name: str, request: SearchRequest, pinned: bool = False, deleted: bool = False) -> None:
+        """Keep a search under a name; saving again replaces it."""
+        body = json.dumps(asdict(request), default=sorted)
+        row = self.spark.createDataFrame([(name, body, pinned, deleted)], "name string, request string, pinned boolean, deleted boolean")
+        row.withColumn("saved_at", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{self.base}/saved")
+
+    def saved_searches(self) -> DataFrame:
+        """Pinned ones first, then by name."""
+        rows = self._kept("saved", "name string, request string, pinned boolean, deleted boolean, saved_at long")
+        newest = M.latest(rows, ["name"], [F.desc("saved_at")]).filter("not deleted")
+        return newest.orderBy(F.desc("pinned"), F.lower("name")).select("name", "request", "pinned")
+
     # --- reports ---
 
     def health(self) -> DataFrame:
         none = self.spark.createDataFrame([], "root_id string, discovery_error_count long")
-        return M.health(self._table("files"), self._table("passages"), self.spark.createDataFrame([], "source_id string"), none)
+        return M.health(self.files(), self.passages(), self.spark.createDataFrame([], "source_id string"), none)
 
     def issues(self, limit: int = 100) -> DataFrame:
-        return M.issues(self._table("files"), limit)
+        return M.issues(self.files(), limit)
 
     def dimensions(self) -> int:
         return DIMENSIONS

@@ -82,6 +82,12 @@ def train_cells(vectors: DataFrame, number: int, sample: int = 20_000, rounds: i
     return c
 
 
+def nearest_cells(centres, query: list[float], share: float) -> list[int]:
+    """The cells nearest a query, as many as the share of all says."""
+    c = np.asarray(centres, np.float64)
+    return np.argsort(-(c @ np.asarray(query)), kind="stable")[: max(1, int(np.ceil(share * len(c))))].tolist()
+
+
 def approximate_top(celled: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int) -> DataFrame:
     """The k most similar rows of the `probes` cells nearest the query; stored by cell, only those are read."""
     near = np.argsort(-(centres @ np.asarray(query)), kind="stable")[:probes].tolist()

@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import extension, filename
 
+from .extract import SOURCE_BYTES
+
 
 def identity(volume: Column, path: Column) -> Column:
     """A stable id of a file: the SHA-256 of its volume and path."""
     return F.sha2(F.concat_ws(":", volume, path), 256)
 
 
-def discover(spark: SparkSession, root: str, root_id: str = "root", pattern: str | None = None) -> DataFrame:
-    """Files below a folder in any store that Spark reads; hidden ones are skipped, unreadable ones don't fail the listing."""
+def plain_path(path: str) -> str:
+    """A path as listings have it: without a store's name, and without a slash at the end."""
+    return "/" + re.sub(r"^[a-z0-9]+:/*(?=/)", "", path).strip("/")
+
+
+def discover(spark: SparkSession, root: str, root_id: str = "root", pattern: str | None = None, content: bool = False) -> DataFrame:
+    """Files below a folder in any store that Spark reads; hidden ones are skipped, unreadable ones don't fail the listing.
+
+    With `content` the files' bytes come along; files over the size limit come without, and aren't read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.load(root).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
+    rows = reader.load(root)
+    if content:
+        large = rows.filter(F.col("length") > SOURCE_BYTES).drop("content").withColumn("content", F.lit(None).cast("binary"))
+        rows = rows.filter(F.col("length") <= SOURCE_BYTES).unionByName(large)
     path = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
+    rows = rows.select(path.alias("path"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), *(["content"] if content else [])).filter(~inside_of(root, F.col("path")).rlike(r"/\."))
     return rows.select(
-        identity(F.lit(root_id), path).alias("source_id"), F.lit(root_id).alias("root_id"), path.alias("path"), filename(path).alias("filename"),
-        extension(path).alias("extension"), "modified_at", "size", F.lit("available").alias("availability"),
-    ).filter(~F.col("path").rlike(r"/\."))
-
+        identity(F.lit(root_id), F.col("path")).alias("source_id"), F.lit(root_id).alias("root_id"), "path", filename(F.col("path")).alias("filename"),
+        extension(F.col("path")).alias("extension"), "modified_at", "size", F.lit("available").alias("availability"), *(["content"] if content else []),
+    )
 
-def restat(spark: SparkSession, paths: list[str], root_id: str = "root") -> DataFrame:
-    """Some files again."""
-    from functools import reduce
 
-    return reduce(DataFrame.unionByName, (discover(spark, p, root_id) for p in paths))
+def inside_of(root: str, path: Column) -> Column:
+    """What of a path is below the root; what is above it doesn't count as hidden."""
+    return F.substring(path, F.lit(len(plain_path(root)) + 1), F.length(path))
