@@ -1,12 +1,13 @@
-"""Where to look for a snippet in the text that it came from; UTF-16 offsets."""
+"""Where to look for a snippet in the text that it came from: runs of its words, as columns; UTF-16 offsets."""
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from skein.operators.query import split_words
+from skein.functions.text import collapse, tokens
 
-# Words of an anchor, its units and how many there are.
+# Words of an anchor, its characters and how many there are.
 SIZES, LONGEST, SHORTEST, MOST = (18, 12, 8, 5), 180, 12, 12
 
 
@@ -19,31 +20,33 @@ def to_utf16(text: str, location: int, length: int) -> tuple[int, int]:
     return utf16_length(text[:location]), utf16_length(text[location : location + length])
 
 
-def _bounded(text: str) -> str:
-    data = text.encode("utf-16-le")
-    if len(data) <= 2 * LONGEST:
-        return text
-    head = data[: 2 * LONGEST].decode("utf-16-le", "ignore")
-    space = head.rfind(" ")
-    return head[:space] if space >= SHORTEST else head
-
-
-def anchors(snippet: str, highlight: str | None = None) -> list[str]:
-    """Runs of words to search for, from the longest around the highlight on."""
-    fold = lambda s: " ".join(split_words(s))
-    mark = fold(highlight or "")
-    parts = [" ".join(p.split()) for p in re.split("…|\\.\\.\\.", snippet)]
-    parts = sorted(filter(None, parts), key=lambda p: (not (mark and mark in fold(p)), -len(p)))
-    out: dict[str, None] = {}
-    for p in parts[:3]:
-        words = p.split()
-        if len(words) < 3:
-            continue
-        middle = next((i for i, w in enumerate(words) if mark and mark in fold(w)), len(words) // 2)
-        for n in (min(s, len(words)) for s in SIZES):
-            last = len(words) - n
-            for start in (min(max(middle - n // 2, 0), last), min(middle, last), min(max(middle - n + 1, 0), last)):
-                a = _bounded(" ".join(words[start : start + n]))
-                if len(a) >= SHORTEST:
-                    out.setdefault(a)
-    return list(out)[:MOST]
+def anchors(snippet: Column, highlight: Column) -> Column:
+    """Runs of words to search for, longest first: of each stretch between ellipses that holds the highlight, those that hold it.
+
+    A run of n words takes the highlighted word at its middle, at its end or at its beginning. Without any such stretch the
+    longest one is taken, about its middle. Runs that are too short to tell, and repeated ones, are left out; long ones end
+    at a word within the limit.
+    """
+    mark = F.array_join(tokens(highlight), " ")
+    holds = lambda text: (mark != "") & F.contains(F.array_join(tokens(text), " "), mark)
+    stretches = F.filter(F.transform(F.split(snippet, r"…|\.\.\."), collapse), lambda s: F.size(F.split(s, " ")) >= 3)
+    marked = F.filter(stretches, holds)
+    longest = F.slice(F.transform(F.array_sort(F.transform(stretches, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"]), 1, 1)
+    chosen = F.when(F.size(marked) > 0, marked).otherwise(longest)
+
+    def runs(stretch: Column) -> Column:
+        words = F.split(stretch, " ")
+        hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: holds(F.element_at(words, i)))
+        at = F.coalesce(F.try_element_at(hits, F.lit(1)), F.floor(F.size(words) / 2).cast("int") + 1)
+
+        def of(size: Column) -> Column:
+            n = F.least(size, F.size(words))
+            first = lambda ahead: F.greatest(F.lit(1), F.least(at - ahead, F.size(words) - n + 1)).cast("int")
+            return F.transform(F.array(first(F.floor(n / 2)), first(n - 1), first(F.lit(0))), lambda k: F.array_join(F.slice(words, k, n), " "))
+
+        return F.flatten(F.transform(F.array(*map(F.lit, SIZES)), of))
+
+    # a word that would go over the limit ends the run
+    bounded = lambda s: F.when(F.length(s) <= LONGEST, s).otherwise(F.regexp_extract(s, rf"^(.{{0,{LONGEST}}})(?: |$)", 1))
+    found = F.transform(F.flatten(F.transform(chosen, runs)), bounded)
+    return F.slice(F.array_distinct(F.filter(found, lambda s: F.length(s) >= SHORTEST)), 1, MOST)

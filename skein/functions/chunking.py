@@ -13,7 +13,8 @@ _WORDS = re.compile(r"[^ \t\n\x0b\f\r]+").findall
 
 
 def chunk(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
-    """Passages of at most `target` words. Paragraphs are packed whole; only an over-long run of words is cut with overlap."""
+    """Passages of at most `target` words. Paragraphs are packed whole; only an over-long run of words is cut, with an overlap of half a passage at most."""
+    overlap = max(0, min(overlap, target // 2))
     step = max(target - overlap, 1)
     out, held = [], []
     for line in unicodedata.normalize("NFC", text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):

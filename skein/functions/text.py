@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _folding() -> tuple[str, str]:
+    """Letters and what is left of them without their marks, as Unicode decomposes them; then the marks themselves, which go."""
+    letters, marks = {}, []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.category(c)[0] == "L":
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").lower()
+            if bare != c and len(bare) == 1:
+                letters[c] = bare
+    return "".join(letters) + "".join(marks), "".join(letters.values())
+
+
+ACCENTED, PLAIN = _folding()
+# The forms of full and half width, and the usual ones.
+WIDE = "".join(c for c in map(chr, range(0xFF01, 0xFFEF)) if len(unicodedata.normalize("NFKC", c)) == 1 and unicodedata.normalize("NFKC", c) != c) + "\u3000"
+NARROW = "".join(unicodedata.normalize("NFKC", c) for c in WIDE)
+ESCAPED = "\\`*_[]()#|<>~!"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -16,6 +34,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+def fold_width(text: Column) -> Column:
+    """Letters, digits and signs of full or half width as usual ones."""
+    return F.translate(text, WIDE, NARROW)
+
+
 def tokens(text: Column) -> Column:
     """The index's terms in order: runs of letters and digits, folded. A null text has none."""
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -26,11 +49,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def filename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -71,14 +89,16 @@ def short_excerpt(body: Column, size: int = 420) -> Column:
 
 
 def occurrences(text: Column, term: str) -> Column:
-    """Positions from 0 at which the folded term begins, without overlaps."""
-    low = fold(text)
-    parts = F.split(low, r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
+    """Positions from 0 at which the folded term begins, without overlaps: a running sum over the stretches between them."""
+    parts = F.split(fold(text), r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
     n = len(term)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * n,
-    )
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(state: Column, part: Column) -> Column:
+        at = state["at"] + F.length(part)
+        return F.struct((at + n).alias("at"), F.array_append(state["found"], at).alias("found"))
+
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), begin, step, lambda s: s["found"])
 
 
 def highlights(text: Column, terms: list[str]) -> Column:
@@ -101,6 +121,8 @@ def snippet(text: Column, terms: list[str], size: int = 36, before: int = 6) ->
 
 def markdown_to_text(text: Column) -> Column:
     """Plain text of Markdown, blocks parted by blank lines: no marks of headings and quotes, table cells by tabs, labels for links."""
+    for k, c in enumerate(ESCAPED):  # an escaped sign is no mark; it comes back at the end
+        text = F.replace(text, F.lit("\\" + c), F.lit(chr(0xE000 + k)))
     kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: (s != "") & ~(s.contains("|") & s.rlike(r"^[|:\- \t]+$")))
 
     def inline(s: Column) -> Column:
@@ -116,7 +138,7 @@ def markdown_to_text(text: Column) -> Column:
         cells = F.array_join(F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), lambda c: inline(F.trim(c))), "\t")
         return F.when(s.rlike(r"^\|.*\|$"), cells).otherwise(inline(s))
 
-    return F.array_join(F.filter(F.transform(kept, block), lambda s: s != ""), "\n\n")
+    return F.translate(F.array_join(F.filter(F.transform(kept, block), lambda s: s != ""), "\n\n"), "".join(chr(0xE000 + k) for k in range(len(ESCAPED))), ESCAPED)
 
 
 def html_to_text(html: Column) -> Column:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import collapse, fold, parent
+from skein.functions.text import collapse, fold, fold_width
 
 # Fixed values.
 LOW_PRIORITY = ["csv", "tsv", "xls", "xlsx", "xlsm", "xlsb", "xlt", "xltx", "xltm", "ods", "numbers"]
 STAGED_BYTES, FILE_BYTES, TEXT_SHARE, LARGEST = 420, 700, 0.35, 100 * 1024 * 1024
 HISTORY_SECONDS, RECONCILE_SECONDS = 2, 86_400
 RESERVE = 5_000_000_000
+COPY_NAMES, COPY_WORDS, COPY_LETTERS = (" copy", " backup"), 32, 48
+CARD_CHARACTERS = 18_000
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -79,14 +81,19 @@ def embedding_queue(passages: DataFrame, files: DataFrame, model: str, limit: in
 
 
 def pending_documents(files: DataFrame, passages: DataFrame, done: DataFrame) -> DataFrame:
-    """Sources with text and without a document card: the input for one, at most 18,000 characters."""
+    """Sources with text and without a document card: the input for one, at most 18,000 characters.
+
+    A source's passages beyond those characters are left behind before any are collected.
+    """
     waiting = files.join(done.select("source_id"), "source_id", "left_anti").select("source_id", "filename", "modified_at")
-    text = passages.filter(F.length(F.trim("body")) > 0).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "passage_id", "body"))), lambda x: x["body"]), "\n").alias("text"))
-    return waiting.join(text, "source_id").withColumn("text", F.substring("text", 1, 18_000))
+    order = Window.partitionBy("source_id").orderBy("ordinal", "passage_id").rowsBetween(Window.unboundedPreceding, -1)
+    worded = passages.filter(F.length(F.trim("body")) > 0).withColumn("_before", F.coalesce(F.sum(F.length("body") + 1).over(order), F.lit(0)))
+    text = worded.filter(F.col("_before") < CARD_CHARACTERS).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "passage_id", "body"))), lambda x: x["body"]), "\n").alias("text"))
+    return waiting.join(text, "source_id").withColumn("text", F.substring("text", 1, CARD_CHARACTERS))
 
 
 def normalise_query(query: Column) -> Column:
-    return collapse(fold(query))
+    return collapse(fold(fold_width(query)))
 
 
 def coalesce_history(entries: DataFrame) -> DataFrame:
@@ -149,10 +156,11 @@ def near_duplicates(hits: DataFrame) -> DataFrame:
     """Hits (source_id, path, extension, snippet, position) with the source that leads their group: same stem, type and first 32 words."""
     from skein.functions.text import stem, tokens
 
-    words = tokens(F.col("snippet"))
-    name = F.replace(F.replace(F.lower(stem(F.col("path"))), F.lit(" copy"), F.lit("")), F.lit(" backup"), F.lit(""))
-    sign = F.concat_ws("|", name, F.lower("extension"), F.array_join(F.slice(words, 1, 32), " "))
-    sign = F.when(F.length(F.array_join(words, "")) >= 48, sign).otherwise(F.col("path"))
+    words, name = tokens(F.col("snippet")), F.lower(stem(F.col("path")))
+    for ending in COPY_NAMES:
+        name = F.replace(name, F.lit(ending), F.lit(""))
+    sign = F.concat_ws("|", name, F.lower("extension"), F.array_join(F.slice(words, 1, COPY_WORDS), " "))
+    sign = F.when(F.length(F.array_join(words, "")) >= COPY_LETTERS, sign).otherwise(F.col("path"))
     x = hits.withColumn("signature", sign)
     w = Window.partitionBy("signature").orderBy("position")
     return x.withColumn("primary", F.first("source_id").over(w)).withColumn("copy", (F.row_number().over(w) - 1).cast("long"))
@@ -182,7 +190,3 @@ def reconcile_due(last: Column, now: Column) -> Column:
 
 def purge(files: DataFrame, excluded: Column) -> DataFrame:
     return files.filter(~excluded)
-
-
-def folder_of(path: Column) -> Column:
-    return parent(path)

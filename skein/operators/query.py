@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from skein.functions.text import ACCENTED, PLAIN
 
 # Field names in queries and the fields they search.
 FIELDS = {"name": "filename", "path": "path", "title": "title"}
-_FOLD = str.maketrans(ACCENTED, PLAIN)
+_FOLD = str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, ACCENTED[len(PLAIN) :])
 
 
 class QueryError(ValueError):
@@ -43,26 +44,33 @@ def split_words(text: str) -> tuple[str, ...]:
     return tuple("".join(c if c.isalpha() or c.isnumeric() else " " for c in low).split())
 
 
+# A stretch of a query: anything but white space, or what quotation marks hold; the last mark may be missing.
+_PIECE = re.compile(r'(?:"[^"]*"?|[^\s"])+')
+# Of a stretch: whether it is excluded, its field, and what to look for.
+_PARTS = re.compile(rf"(?P<minus>-?)(?:(?P<field>{'|'.join(FIELDS)}):)?(?P<value>.*)", re.IGNORECASE | re.DOTALL)
+
+
 def pieces(text: str) -> list[str]:
     """Stretches between white space outside quotation marks; the marks stay."""
-    out, quoted = [""], False
-    for c in text:
-        quoted ^= c == '"'
-        if c.isspace() and not quoted:
-            out.append("")
-        else:
-            out[-1] += c
-    return [p for p in out if p]
-
-
-def _term(raw: str) -> Term | None:
-    head, colon, rest = raw.partition(":")
-    own = FIELDS.get(head.lower()) if colon else None
-    value = rest if own else raw
-    phrase = len(value) > 1 and value[0] == value[-1] == '"'
-    prefix = value.endswith("*") and not phrase
-    words = split_words("".join(c for c in value.strip('"*') if c.isalnum() or unicodedata.category(c)[0] == "M" or c in "_- "))
-    return Term(words, own, prefix and " " not in value) if words else None
+    return _PIECE.findall(text)
+
+
+def _indexable(c: str) -> bool:
+    """Letters, digits, their marks, and what parts words."""
+    return c in "_- " or unicodedata.category(c)[0] in "LNM"
+
+
+def _term(piece: str) -> Term | None:
+    """What one stretch looks for; nothing if no word is left of it."""
+    part = _PARTS.fullmatch(piece)
+    value = part["value"]
+    bare = value.strip('"*')
+    words = split_words("".join(filter(_indexable, bare)))
+    if not words:
+        return None
+    quoted = len(value) >= 2 and value.startswith('"') and value.endswith('"')
+    open_ended = value.endswith("*") and not quoted and " " not in value
+    return Term(words, FIELDS.get((part["field"] or "").lower()), open_ended)
 
 
 def parse(text: str) -> Query:
@@ -74,7 +82,7 @@ def parse(text: str) -> Query:
         excluded = p.startswith("-")
         if not excluded and (mark := p.partition(":")[2].strip('"*') if ":" in p else p.strip('"*')):
             marks.append(mark)
-        if term := _term(p[excluded:]):
+        if term := _term(p):
             (negatives if excluded else positives).append(term)
     if not positives:
         raise QueryError("the query has no word to look for")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import io
-import tempfile
 import zipfile
-from uuid import uuid4
 from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from skein.functions import anchors as A
 from skein.functions import text as T
 from skein.sources import extract as E
+from skein.sources.storage import shared_folder
 from skein.streaming import changes as S
 
 from . import corpus as C
@@ -145,11 +145,6 @@ def vector_checksum(s, d):
     return C.vectors(s, d).select("key", checksum("embedding").alias("sha256"))
 
 
-def _folder(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/skein-stream-{uuid4().hex}" if base else tempfile.mkdtemp(prefix="skein-stream-")
-
-
 def _feed(s, d, folder: str) -> None:
     """The changes as three files that arrive one after the other."""
     rows = C.changes(s, d).select("path", "event_id", "kind", F.col("ts").cast("timestamp").alias("ts"))
@@ -160,7 +155,7 @@ def _feed(s, d, folder: str) -> None:
 
 def stream_changes(s, d):
     """The change stream over the events, applied to an empty index; a path's row is the last change that touched it."""
-    base = _folder(s)
+    base = shared_folder(s, "stream")
     _feed(s, d, f"{base}/in")
     newest = C.changes(s, d).groupBy("path").agg(F.max("event_id").alias("event_id"))
     v = S.Versions(s, f"{base}/index", "path string, event_id long")
@@ -169,7 +164,7 @@ def stream_changes(s, d):
 
 
 def stream_watermark(s, d):
-    base = _folder(s)
+    base = shared_folder(s, "stream")
     _feed(s, d, f"{base}/in")
     name = "w" + base[-12:].replace("-", "_")
     q = S.counts_by_time(S.read(s, f"{base}/in", 10), "3650 days", "1 day").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
@@ -188,7 +183,7 @@ def parse_query(s, d):
 
 def read_text(s, d):
     """The documents' texts as files of one line each, read back as whole files."""
-    base = _folder(s)
+    base = shared_folder(s, "stream")
     C.table(s, d, "documents").filter(F.col("text").isNotNull()).select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).repartitionByRange(4, "value").write.text(f"{base}/texts")
     x = E.read_text(s, f"{base}/texts").filter(F.length("text") > 0)
     return x.select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line")).select(F.md5("line").alias("line_md5"))
@@ -200,15 +195,9 @@ def ink_ratio(s, d):
 
 
 def match_anchors(s, d):
-    """Anchors of each passage's snippet, by an Arrow UDF."""
-    from skein.functions.anchors import anchors
-
-    @F.pandas_udf("array<string>")
-    def run(snippets: pd.Series) -> pd.Series:
-        return snippets.map(lambda t: anchors(t, "ering"))
-
-    x = C.passages(s, d).filter(F.arrays_overlap(T.tokens(F.col("body")), F.array(F.lit("ering"))))
-    return x.select("passage_id", F.size(run(T.snippet(F.col("body"), ["ering"]))).alias("n_anchors"))
+    """Anchors of each passage's snippet."""
+    x = C.store(s, d).indexed.filter(F.arrays_overlap(T.tokens(F.col("body")), F.array(F.lit("ering"))))
+    return x.select("passage_id", F.size(A.anchors(T.snippet(F.col("body"), ["ering"]), F.lit("ering"))).alias("n_anchors"))
 
 
 def effective_mode(s, d):

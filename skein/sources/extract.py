@@ -32,11 +32,14 @@ def looks_binary(content: Column) -> Column:
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 where valid, UTF-16 by its mark, else Latin-1."""
+    """UTF-16 by its mark, or by zero bytes where a third of the head are such; UTF-8 where valid; else Latin-1."""
     text = F.decode(content, "UTF-8")
     mark = F.hex(F.substring(content, 1, 2))
+    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    zeros = 3 * (F.length(head) - F.length(F.replace(head, F.lit("\0"), F.lit("")))) >= F.length(head)
+    bare = F.when((F.octet_length(content) > 1) & zeros & (mark.endswith("00") != mark.startswith("00")), F.when(mark.endswith("00"), F.decode(content, "UTF-16LE")).otherwise(F.decode(content, "UTF-16BE")))
     other = F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.coalesce(other, text))
+    return F.when(bare.isNotNull(), bare).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.coalesce(other, text))
 
 
 def read_text(spark: SparkSession, root: str) -> DataFrame:

@@ -142,7 +142,40 @@ def test_texts(spark):
     assert [tuple(h) for h in r["h"]] == [(3, 5), (9, 5)]
     assert int(r["k"]) == 14695981039346656037 | 1 << 63
     assert to_utf16("😀ab", 1, 1) == (2, 1)
-    assert anchors("one two three four five six seven … x", "four")[0] == "one two three four five six seven"
+    of = lambda snippet, mark: spark.range(1).select(anchors(F.lit(snippet), F.lit(mark))).first()[0]
+    assert of("one two three four five six seven … x", "four")[0] == "one two three four five six seven"
+    long = " ".join(f"w{i:02d}" for i in range(60))
+    got = of(f"some other words here ... {long}", "w30")
+    assert len(got) == 12 and len(set(got)) == 12 and all("w30" in a and a in long for a in got)
+    assert [len(a.split()) for a in got] == [18] * 3 + [12] * 3 + [8] * 3 + [5] * 3
+    assert of("a b", "a") == [] and all(len(a) <= 180 for a in of("x" * 100 + " " + "y" * 100 + " zz", "zz"))
+
+
+def test_folding_of_any_letter(spark):
+    df = spark.createDataFrame([("Łódź āőž ĞIŞ Ａｂｃ１２ é", r"a \* b \*c\* **d** \# x")], "t string, md string")
+    r = df.select(T.fold(F.col("t")).alias("f"), T.fold_width(F.col("t")).alias("w"), T.markdown_to_text(F.col("md")).alias("m")).first()
+    assert r["f"].startswith("łodz aoz gis") and r["w"] == "Łódź āőž ĞIŞ Abc12 é" and r["m"] == "a * b *c* d # x"
+    assert parse("Łódź").positives[0].words == ("łodz",)
+    assert df.select(M.normalise_query(F.lit("  ＡＢc  É "))).first()[0] == "abc e"
+    assert chunk(" ".join(map(str, range(40))), 10, 9)[1].split()[0] == "5"
+
+
+def test_unmarked_utf16_is_read(spark):
+    from skein.sources.extract import decode_text
+
+    for code in ("utf-16-le", "utf-16-be", "utf-16", "utf-8", "latin-1"):
+        df = spark.createDataFrame([(bytearray("Grüße an alle".encode(code)),)], "c binary")
+        assert df.select(decode_text(F.col("c"))).first()[0] == "Grüße an alle", code
+
+
+def test_roots_below_hidden_folders_are_listed(spark, tmp_path):
+    from skein.sources.discovery import discover
+
+    root = tmp_path / ".hid" / "docs"
+    (root / ".secret").mkdir(parents=True)
+    (root / "a.txt").write_text("x")
+    (root / ".secret" / "b.txt").write_text("x")
+    assert [r["filename"] for r in discover(spark, str(root)).collect()] == ["a.txt"]
 
 
 def test_page_budget(spark):
@@ -189,6 +222,74 @@ def test_engine(spark, tmp_path):
     with pytest.raises(StaleCursor):
         e.search(SearchRequest("garden", cursor="7:0"))
     assert SearchRequest("x", limit=999).limit == 200
+    with pytest.raises(LookupError):
+        Engine(spark, str(tmp_path / "none")).search(SearchRequest("x"))
+
+
+def test_engine_follows_changes(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name, text in (("a.txt", "alpha budget report"), ("b.txt", "beta budget garden"), ("c.txt", "gamma stone")):
+        (docs / name).write_text(text)
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index_folder(str(docs), "r")
+    e.embed()
+    names = lambda q, mode="text", **k: [h["filename"] for h in e.search(SearchRequest(q, mode, **k)).collect()]
+    assert sorted(names("budget")) == ["a.txt", "b.txt"]
+    (docs / "b.txt").write_text("beta stone wall, changed")
+    (docs / "a.txt").unlink()
+    (docs / "d.txt").write_text("delta budget new")
+    m = e.reconcile(str(docs), "r")
+    assert names("budget") == ["d.txt"] and sorted(names("stone")) == ["b.txt", "c.txt"] and m.counts["n"] == 3
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.index_folder(str(docs), "r")
+    assert e.log.current().counts == whole.log.current().counts
+    scores = lambda x: sorted((h["filename"], round(h["score"], 9)) for h in x.search(SearchRequest("stone")).collect())
+    assert scores(e) == scores(whole)
+    assert "d.txt" not in names("delta budget new", "semantic")  # not embedded yet
+    e.embed()
+    assert names("delta budget new", "semantic", limit=1) == ["d.txt"] and "a.txt" not in names("alpha", "semantic")
+    before = e.log.current().generation
+    e.compact()
+    assert e.log.current().generation == before + 1 and len(e.log.current().segments) == 1 and scores(e) == scores(whole)
+    e.embed()
+    assert names("delta budget new", "semantic", limit=1) == ["d.txt"]
+    one = [h["filename"] for h in e.search(SearchRequest("stone budget", "hybrid", limit=1)).collect()]
+    two = [h["filename"] for h in e.search(SearchRequest("stone budget", "hybrid", limit=1, cursor=e.cursor(1))).collect()]
+    assert one and two and one != two
+    e.embed_cards(spark.createDataFrame([(r["source_id"], "zebra crossing" if r["filename"] == "c.txt" else "other") for r in e.files().collect()], "source_id string, text string"))
+    assert "c.txt" in names("zebra crossing", "semantic", limit=2)
+    assert names("stone", ranker=2, limit=5)
+
+
+def test_engine_keeps_history_and_searches(spark, tmp_path):
+    import time
+
+    e = Engine(spark, str(tmp_path / "index"))
+    for q in ("Budget", "  budget ", "garden"):
+        e.record(q)
+        time.sleep(2.1)
+    assert [r["query"] for r in e.history().collect()] == ["garden", "  budget "]
+    e.save_search("b", SearchRequest("x"))
+    e.save_search("A", SearchRequest("y", filters=X.Filters(extensions=frozenset({"md"}))))
+    e.save_search("z", SearchRequest("z"), pinned=True)
+    e.save_search("b", SearchRequest("x"), deleted=True)
+    assert [r["name"] for r in e.saved_searches().collect()] == ["z", "A"]
+    e.clear_history()
+    assert e.history().count() == 0
+
+
+def test_hits_that_the_policy_leaves_out_and_copies(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    words = " ".join(f"word{i}" for i in range(40))
+    for name in ("plan.txt", "plan copy.txt", "other.txt"):
+        (docs / name).write_text(f"budget {words}")
+    base = str(tmp_path / "index")
+    Engine(spark, base).index_folder(str(docs), "r")
+    later = Engine(spark, base, X.Policy(prefixes=(str(docs / "other.txt"),)))
+    hits = later.search(SearchRequest("budget", group_copies=True)).collect()
+    assert sorted(h["filename"] for h in hits) == ["plan copy.txt", "plan.txt"] and len({h["primary"] for h in hits}) == 1
 
 
 def test_command_line():
