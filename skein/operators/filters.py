@@ -61,7 +61,7 @@ class Filters:
 
 def resolve_roots(wanted: DataFrame, roots: DataFrame) -> DataFrame:
     """Root ids as path prefixes where the root is known, else as they are."""
-    return wanted.join(F.broadcast(roots.select("root_id", F.col("path").alias("prefix"))), "root_id", "left")
+    return wanted.join(roots.select("root_id", F.col("path").alias("prefix")), "root_id", "left")
 
 
 def longest_root(rows: DataFrame, roots: DataFrame, key: str = "source_id") -> DataFrame:

@@ -14,6 +14,7 @@ HISTORY_SECONDS, RECONCILE_SECONDS = 2, 86_400
 RESERVE = 5_000_000_000
 COPY_NAMES, COPY_WORDS, COPY_LETTERS = (" copy", " backup"), 32, 48
 CARD_CHARACTERS = 18_000
+FADED = 2_600  # 0.75 ** 2600 is below the smallest double
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -62,7 +63,7 @@ def sync_index(index: DataFrame, operations: DataFrame, passages: DataFrame) ->
 def needs_extraction(snapshot: DataFrame, files: DataFrame, recipes: DataFrame) -> DataFrame:
     """Files of a scan that are new or changed, or whose recipe is newer."""
     old = files.select("source_id", *(F.col(c).alias(f"_{c}") for c in ("path", "size", "modified_at", "extraction_version")))
-    x = snapshot.join(old, "source_id", "left").join(F.broadcast(recipes), "extension", "left")
+    x = snapshot.join(old, "source_id", "left").join(recipes, "extension", "left")
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     moved = F.coalesce(F.abs(seconds("modified_at") - seconds("_modified_at")) > 1, ~F.col("modified_at").eqNullSafe(F.col("_modified_at")))
     changed = F.col("_path").isNull() | (F.col("path") != F.col("_path")) | (F.col("size") != F.col("_size")) | moved
@@ -118,7 +119,7 @@ def coalesce_history(entries: DataFrame) -> DataFrame:
 def folder_usage(files: DataFrame, passages: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     """Files, passages and bytes of text by the first folder below each root."""
     text = passages.groupBy("source_id").agg(F.count("*").alias("passages"), F.sum(F.octet_length("body").cast("long")).alias("bytes"))
-    x = files.select("source_id", "root_id", "path").join(text, "source_id", "left").join(F.broadcast(roots.select("root_id", F.col("path").alias("root_path"), "display_name")), "root_id")
+    x = files.select("source_id", "root_id", "path").join(text, "source_id", "left").join(roots.select("root_id", F.col("path").alias("root_path"), "display_name"), "root_id")
     rest = F.split(F.substring(F.col("path"), F.length("root_path") + 2, F.length("path")), "/")
     inside = F.size(rest) > 1
     x = x.withColumn("folder", F.when(inside, F.concat_ws("/", "root_path", rest[0])).otherwise(F.col("root_path"))).withColumn("name", F.when(inside, rest[0]).otherwise(F.col("display_name")))
@@ -166,9 +167,23 @@ def near_duplicates(hits: DataFrame) -> DataFrame:
     return x.withColumn("primary", F.first("source_id").over(w)).withColumn("copy", (F.row_number().over(w) - 1).cast("long"))
 
 
-def smoothed_rate(rates: Column) -> Column:
+def smoothed_rate(rates: Column, before: Column | None = None) -> Column:
     """Three quarters of the rate so far and a quarter of the new one, from the first rate on."""
-    return F.aggregate(rates, F.lit(0.0), lambda s, x: F.when(s == 0, x).otherwise(s * 0.75 + x * 0.25))
+    return F.aggregate(rates, F.lit(0.0) if before is None else before, lambda s, x: F.when(s == 0, x).otherwise(s * 0.75 + x * 0.25))
+
+
+def recent_rates(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, rate: the smoothed rate of each key's values in order.
+
+    What lies further back than `FADED` values has a weight that no double holds; a key's list is never longer, and tasks
+    keep no more of each key before the shuffle. Whether there was any rate before these still counts.
+    """
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    last = rows.select(key, order, value).withColumn("_n", nth).filter(F.col("_n") <= FADED)
+    lists = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_x"), F.count_if(F.col(value) != 0).alias("_own"))
+    known = rows.groupBy(key).agg(F.count_if(F.col(value) != 0).alias("_all"))
+    begun = F.when(F.col("_all") > F.col("_own"), F.lit(1e-300)).otherwise(F.lit(0.0))
+    return lists.join(known, key).select(key, smoothed_rate(F.transform("_x", lambda r: r[value].cast("double")), begun).alias("rate"))
 
 
 def change_actions(changes: DataFrame, present: Column, folder: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,34 @@ def cosine_to(query: list[float]):
     return run
 
 
+def similarities(queries: DataFrame, vectors: DataFrame, block: int = 5_000) -> DataFrame:
+    """a, b, score for each query and each row of vectors(key, embedding): a pass over the vectors for each block of queries."""
+    out, held = None, []
+
+    def passed(rows) -> DataFrame:
+        keys = np.array([r["key"] for r in rows], np.int64)
+        q = np.array([r["embedding"] for r in rows], np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    m = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    scores = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, len(m))), pa.array(np.tile(b.column(0).to_numpy(), len(keys))), pa.array(scores.reshape(-1))], ["a", "b", "score"])
+
+        return vectors.select("key", "embedding").mapInArrow(run, "a long, b long, score double")
+
+    for r in queries.select("key", "embedding").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = passed(held) if out is None else out.unionByName(passed(held)), []
+    if held or out is None:
+        rest = passed(held) if held else vectors.limit(0).selectExpr("key as a", "key as b", "cast(0 as double) as score")
+        out = rest if out is None else out.unionByName(rest)
+    return out
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 

@@ -193,8 +193,8 @@ def near_dup_groups(s, d):
 
 
 def ewma_rate(s, d):
-    e = C.table(s, d, "events").groupBy((F.col("user_id") % 10).alias("worker")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
-    return e.select("worker", F.round(M.smoothed_rate(F.transform("x", lambda r: r["value"])), 6).alias("rate"))
+    e = C.table(s, d, "events").select((F.col("user_id") % 10).alias("worker"), "event_id", "value")
+    return M.recent_rates(e, "worker", "event_id", "value").select("worker", F.round("rate", 6).alias("rate"))
 
 
 EWMA_SQL = """with recursive o as (select user_id % 10 as worker, value, row_number() over (partition by user_id % 10 order by event_id) as k from events),

@@ -164,12 +164,27 @@ def stream_changes(s, d):
 
 
 def stream_watermark(s, d):
+    """Changes by day and kind, each day written once, when no more of its changes are waited for; a last change far ahead closes all days."""
     base = shared_folder(s, "stream")
     _feed(s, d, f"{base}/in")
-    name = "w" + base[-12:].replace("-", "_")
-    q = S.counts_by_time(S.read(s, f"{base}/in", 10), "3650 days", "1 day").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", "n")
+    end = C.changes(s, d).agg((F.max("ts") + F.expr("interval 7400 days")).alias("ts")).select(F.lit("/").alias("path"), F.lit(2**62).alias("event_id"), F.lit("end").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = S.counts_by_time(S.read(s, f"{base}/in", 10), "3650 days", "1 day")
+    sink = lambda: counts.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sink()
+    end.coalesce(1).write.mode("append").json(f"{base}/in")
+    sink()
+    out = s.read.schema("window struct<start:timestamp,end:timestamp>, kind string, n long").parquet(f"{base}/out")
+    return out.filter("kind <> 'end'").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", "n")
+
+
+def parse_query(s, d):
+    """What the parser makes of some queries: terms with their fields, phrases in brackets, open ends with a star."""
+    from skein.operators.query import parse
+
+    show = lambda t: f"{t.field or 'any'}:[{' '.join(t.words)}]{'*' if t.prefix else ''}"
+    texts = ['"quarterly report" budget* -draft', "udi license", "a OR b", "name:report don't", "foo:bar title:\"x y\""]
+    rows = [(t, " ".join(map(show, q.positives)), " ".join(map(show, q.negatives)), q.any_of) for t in texts for q in [parse(t)]]
+    return s.createDataFrame(rows, "query string, positives string, negatives string, any_of boolean")
 
 
 def parse_query(s, d):
@@ -190,8 +205,8 @@ def read_text(s, d):
 
 
 def ink_ratio(s, d):
-    x = C.table(s, d, "events").groupBy((F.col("user_id") % 20).alias("image")).agg(F.collect_list((F.abs("value") * 10).cast("int") % 256).alias("pixels"))
-    return x.select("image", F.round(E.ink_ratio(F.col("pixels")), 6).alias("ink"), (E.ink_ratio(F.col("pixels")) >= 0.005).alias("worth_reading"))
+    x = C.table(s, d, "events").groupBy((F.col("user_id") % 20).alias("image")).agg(E.ink_share((F.abs("value") * 10).cast("int") % 256).alias("ink"))
+    return x.select("image", F.round("ink", 6).alias("ink"), (F.col("ink") >= 0.005).alias("worth_reading"))
 
 
 def match_anchors(s, d):
@@ -208,7 +223,8 @@ def effective_mode(s, d):
 
 
 QUERIES = {
-    "parse_query": (parse_query, """select * from (values ('"quarterly report" budget* -draft', '2', '1', false), ('udi license', '2', '0', false), ('a OR b', '2', '0', true), ('name:report don''t', '2', '0', false), ('foo:bar title:"x y"', '2', '0', false)) t(query, positives, negatives, any_of)"""),
+    "parse_query": (parse_query, """select * from (values ('"quarterly report" budget* -draft', 'any:[quarterly report] any:[budget]*', 'any:[draft]', false), ('udi license', 'any:[udi] any:[license]', '', false),
+('a OR b', 'any:[a] any:[b]', '', true), ('name:report don''t', 'filename:[report] any:[dont]', '', false), ('foo:bar title:"x y"', 'any:[foobar] title:[x y]', '', false)) t(query, positives, negatives, any_of)"""),
     "read_text": (read_text, "select md5(replace(text, chr(10), ' ')) as line_md5 from documents where text is not null"),
     "ink_ratio": (ink_ratio, "select user_id % 20 as image, round(avg(((trunc(abs(value) * 10)::int % 256) < 242)::int), 6) as ink, avg(((trunc(abs(value) * 10)::int % 256) < 242)::int) >= 0.005 as worth_reading from events group by 1"),
     "match_anchors": (match_anchors, ""),

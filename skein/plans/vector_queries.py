@@ -80,9 +80,9 @@ def int8_quantize(s, d):
 
 
 def similarity_matrix(s, d):
-    v = C.vectors(s, d).filter("key < 12").select("key", "embedding")  # a report on a few representations
-    a, b = v.toDF("a", "x"), v.toDF("b", "y")
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    """Every vector whose id is divisible by 100 beside every other one."""
+    v = C.vectors(s, d).select("key", "embedding")
+    return V.similarities(v.filter("key % 100 = 0"), v).filter("a <> b").select("a", "b", F.round("score", 6).alias("score"))
 
 
 def embedding_input(s, d):
@@ -180,7 +180,7 @@ QUERIES = {
     "rebuild_decision": (rebuild_decision, "select snapshot, added, removed, (added > 0 and (added >= 10000 or added >= snapshot * 0.05)) or (removed > 0 and (removed >= 10000 or removed >= snapshot * 0.05)) as rebuild from (select count(*) filter (vec_id % 10 <> 0) as snapshot, count(*) filter (vec_id % 10 = 0) as added, count(*) filter (vec_id % 100 = 1) as removed from embeddings)"),
     "l2_normalize": (l2_normalize, _WV + "select key, round(list_sum(list_transform(range(64), lambda i: n[i + 1] * (i + 1))), 4) as checksum, round(list_dot_product(n, n), 4) as length from (select key, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as n from v)"),
     "int8_quantize": (int8_quantize, _WV + "select key, list_sum(p)::bigint as total, list_max(p)::int as largest from (select key, list_transform(e, lambda x: greatest(-127, least(127, round(round(x, 4) * 127)::int))) as p from v)"),
-    "similarity_matrix": (similarity_matrix, _WV + "select a.key as a, b.key as b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as score from v a join v b on a.key < b.key where b.key < 12"),
+    "similarity_matrix": (similarity_matrix, _WV + "select a.key as a, b.key as b, round(coalesce(list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0), 0), 6) as score from v a join v b on a.key <> b.key where a.key % 100 = 0"),
     "embedding_input": (embedding_input, C.WITH_INDEXED + "select passage_id, md5(case when t <> '' then 'Document title: ' || t || chr(10) || chr(10) else '' end || 'Document passage:' || chr(10) || b) as input_md5 from (select passage_id, trim(regexp_replace(title, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as t, trim(regexp_replace(body, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as b from indexed)"),
     "embedding_query_input": (embedding_query_input, "select item_id, 'Instruct: Find the passages that answer the query' || chr(10) || 'Query: ' || trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as input from benchmark"),
     "fnv1a_key": (fnv1a_key, """with recursive h as (select source_id, 0 as i, 14695981039346656037::uhugeint as v from (select 'doc-' || lpad(doc_id::varchar, 8, '0') as source_id from documents)

@@ -220,6 +220,11 @@ def ink_ratio(pixels: Column, dark: int = 242) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(pixels, lambda p: p < dark)), F.size(pixels)), F.lit(0.0))
 
 
+def ink_share(pixel: Column, dark: int = 242) -> Column:
+    """The same as an aggregate, for pixels that are rows."""
+    return F.coalesce(F.avg((pixel < dark).cast("int")), F.lit(0.0))
+
+
 def metadata_value(tree, key: str):
     """The value of a key wherever it is first met in nested dictionaries and lists, depth first."""
     below = tree.values() if isinstance(tree, dict) else tree if isinstance(tree, list) else ()

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.maintenance import latest
+from skein.sources.manifest import listed, remove
 
 SCHEMA = "path string, event_id long, kind string, ts timestamp"
 
@@ -28,10 +29,27 @@ def newest(batch: DataFrame) -> DataFrame:
     return latest(batch, ["path"], [F.desc("event_id")]).withColumn("action", action)
 
 
-def apply_to(index: DataFrame, actions: DataFrame, load: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The index after a batch: touched paths go, those that still exist come back as `load` reads them."""
+def ancestors(path: Column) -> Column:
+    """A path and the folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
+
+
+def apply_to(index: DataFrame, actions: DataFrame, load: Callable[[DataFrame], DataFrame], rescan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The index after a batch: touched paths go, those that still exist come back as `load` reads them.
+
+    A path to reconcile stands for all that lies below it: that goes too, and what `rescan` finds below it comes in.
+    """
     kept = index.join(actions.select("path"), "path", "left_anti")
-    return kept.unionByName(load(actions.filter("action <> 'delete'").select("path")).select(index.columns))
+    roots = actions.filter("action = 'reconcile'").select("path")
+    parts = [load(actions.filter("action = 'upsert'").select("path"))]
+    if not roots.isEmpty():
+        below = index.select("path", F.explode(ancestors(F.col("path"))).alias("_root")).join(roots.withColumnRenamed("path", "_root"), "_root", "left_semi")
+        kept = kept.join(below.select("path"), "path", "left_anti")
+        parts.append((rescan or load)(roots))
+    for rows in parts:
+        kept = kept.unionByName(rows.select(index.columns))
+    return kept.dropDuplicates(["path"])
 
 
 class Versions:
@@ -53,17 +71,42 @@ class Versions:
         return done, self.spark.read.schema(self.schema).parquet(f"{self.base}/v{done}")
 
     def publish(self, version: int, rows: DataFrame) -> None:
+        old = self.current()[0]
         rows.write.mode("overwrite").parquet(f"{self.base}/v{version}")
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.base}/done")
+        for name in listed(self.spark, self.base):  # the version before this one stays for those who read it
+            if name.startswith("v") and int(name[1:]) < old:
+                remove(self.spark, f"{self.base}/{name}")
 
 
-def run(changes: DataFrame, versions: Versions, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def run(changes: DataFrame, versions: Versions, load: Callable[[DataFrame], DataFrame], checkpoint: str, rescan: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Apply a stream to the index until all that is there has been read."""
 
     def each(batch: DataFrame, number: int) -> None:
         done, index = versions.current()
         if number > done:  # a batch that comes again has been applied
-            versions.publish(number, apply_to(index, newest(batch), load))
+            versions.publish(number, apply_to(index, newest(batch), load, rescan))
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(changes: DataFrame, engine, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Apply a stream to an engine's index: a segment a batch, not a new index. `load`(path) gives files with their texts.
+
+    A recovery names a root that the engine knows, which is scanned again; the manifest keeps the last batch's number.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        manifest = engine.log.current()
+        if number <= manifest.batch:
+            return
+        actions = newest(batch).select("path", "action")
+        roots = {r["path"] for r in actions.filter("action = 'reconcile'").filter(F.col("path").isin(*manifest.roots.values())).collect()} if manifest.roots else set()  # as many as there are roots
+        for root_id, root in manifest.roots.items():
+            if root in roots:
+                engine.reconcile(root, root_id)
+        gone = engine.files().select("source_id", "path").join(actions.filter("action = 'delete'"), "path", "left_semi") if manifest.segments else None
+        engine.apply(load(actions.filter("action = 'upsert'").select("path")), gone, batch=number)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

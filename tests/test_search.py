@@ -330,3 +330,84 @@ def test_page_routing(spark):
 
     p = spark.createDataFrame([(1, 0, "text", False, "v", True), (1, 1, " ", False, "x" * 40, True), (1, 2, None, True, "v", True), (1, 200, "t", True, "v", True)], "doc int, page int, structured string, needs_ocr boolean, viewer string, has_ink boolean")
     assert [r["route"] for r in route_pages(p).orderBy("page").collect()] == ["structured", "viewer", "ocr", "viewer"]
+
+
+def test_recovery_scans_below_its_root(spark, tmp_path):
+    from skein.streaming import changes as S
+
+    load = lambda paths: paths.withColumn("event_id", F.lit(1).cast("long"))
+    found = spark.createDataFrame([("/r/new", 9), ("/r/kept", 9)], "path string, event_id long")
+    index = spark.createDataFrame([("/r/kept", 1), ("/r/gone", 1), ("/rest", 1), ("/x", 1)], "path string, event_id long")
+    actions = spark.createDataFrame([("/r", "reconcile"), ("/x", "delete"), ("/y", "upsert")], "path string, action string")
+    got = S.apply_to(index, actions, load, lambda roots: found)
+    assert sorted(tuple(r) for r in got.collect()) == [("/r/kept", 9), ("/r/new", 9), ("/rest", 1), ("/y", 1)]
+
+
+def test_stream_of_changes_reaches_searches(spark, tmp_path):
+    from skein.streaming import changes as S
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name in ("a.txt", "b.txt"):
+        (docs / name).write_text(f"budget of {name[0]}")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index_folder(str(docs), "r")
+    load = lambda paths: e.read_folder(str(docs), "r").join(paths, "path", "left_semi")
+    write = lambda rows: spark.createDataFrame(rows, "path string, event_id long, kind string, ts string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    names = lambda q: sorted(h["filename"] for h in e.search(SearchRequest(q)).collect())
+    (docs / "a.txt").write_text("garden now")
+    (docs / "c.txt").write_text("budget of c")
+    at = "2024-01-01 00:00:00"
+    write([(f"{docs}/a.txt", 1, "upsert", at), (f"{docs}/b.txt", 2, "delete", at)])
+    S.follow(S.read(spark, str(tmp_path / "in")), e, load, str(tmp_path / "cp")).awaitTermination()
+    assert names("budget") == [] and names("garden") == ["a.txt"]
+    (docs / "b.txt").unlink()
+    write([(str(docs), 3, "recover", at)])
+    S.follow(S.read(spark, str(tmp_path / "in")), e, load, str(tmp_path / "cp")).awaitTermination()
+    assert names("budget") == ["c.txt"]
+    m = e.log.current()
+    assert e.apply(e.read_folder(str(docs), "r"), batch=m.batch).generation == m.generation  # a batch that comes again
+
+
+def test_late_changes_are_left_out(spark, tmp_path):
+    from skein.streaming import changes as S
+
+    write = lambda rows: spark.createDataFrame(rows, "path string, event_id long, kind string, ts string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def step():
+        q = S.counts_by_time(S.read(spark, str(tmp_path / "in")), "10 minutes", "5 minutes").writeStream.outputMode("append").format("parquet")
+        q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    write([("/a", 1, "upsert", "2024-01-01 00:01:00"), ("/b", 2, "upsert", "2024-01-01 01:00:00")])
+    step()
+    write([("/c", 3, "upsert", "2024-01-01 00:02:00"), ("/d", 4, "upsert", "2024-01-01 00:58:00"), ("/e", 5, "upsert", "2024-01-01 03:00:00")])
+    step()
+    rows = spark.read.schema("window struct<start:timestamp,end:timestamp>, kind string, n long").parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["window"]["start"].hour, r["window"]["start"].minute, r["n"]) for r in rows) == [(0, 0, 1), (0, 55, 1), (1, 0, 1)]
+
+
+def test_recent_rates_are_those_of_all_values(spark):
+    rng = random.Random(2)
+    rows = [(k, i, v) for k in range(3) for i, v in enumerate([0.0, 0.0] + [rng.random() for _ in range(40)])] + [(3, i, float(i == 0)) for i in range(4000)]
+    got = {r["k"]: r["rate"] for r in M.recent_rates(spark.createDataFrame(rows, "k long, i long, v double"), "k", "i", "v").collect()}
+    for k in range(4):
+        rate = 0.0
+        for _, _, v in sorted(r for r in rows if r[0] == k):
+            rate = v if rate == 0 else rate * 0.75 + v * 0.25
+        assert abs(got[k] - rate) < 1e-12
+
+
+def test_prefixes_phrases_and_fields_are_looked_up(spark, tmp_path):
+    from skein.operators import inverted as I
+
+    rng = random.Random(7)
+    vocabulary = ["alpha", "alphabet", "beta", "bet", "gamma", "del", "délta"]
+    rows = [(f"/d{i % 3}/{rng.choice(vocabulary)} {i}.txt", " ".join(rng.choice(vocabulary) for _ in range(3)), " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    p = passages(spark, rows)
+    I.write(p, str(tmp_path / "i"))
+    index = I.Index.read(spark, str(tmp_path / "i"))
+    for q in ("alpha", "alph*", '"alpha beta"', '"alpha bet" OR gamma', "title:beta -gamma", "name:alpha gamma", "path:d1 delta", "a*", '"beta beta" delta', "alpha beta gamma"):
+        query = parse(q)
+        close = lambda df: sorted((r["source_id"], round(r["score"], 9), r["best_passage"]) for r in df.collect())
+        assert close(I.search(index, query, 200)) == close(L.search(p, query, 200)), q
+        assert close(I.search_v2(index, p, query, 200)) == close(L.search_v2(p, query, 200)), q
