@@ -16,15 +16,15 @@ from skein.llm import bpe, decontamination, jaccard_join, language_id, toxicity
 from skein.llm.common import filter_rows, small_batches, work_path
 from skein.llm.queries import tokenizer_path
 
-TOXIC, WIDTH, OVER, UNDER, FEW = 0.7, 5, 80, 100, 200_000
+TOXIC, FOREIGN, WIDTH, OVER, UNDER, FEW = 0.7, 0.5, 5, 80, 100, 200_000
 ORACLE_SQL = None  # classifiers and a tokenizer are not SQL
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that could be learnt stay; without a letter, or without a text, a row goes."""
+    """Texts in a language that could be learnt stay; without a text or a letter, or with most letters in scripts that no learnt language is written in, a row goes."""
     small_batches(spark)
     model = language_id.learn(docs, F.lit(True))
-    return filter_rows(docs, "text", lambda texts: [name != language_id.UNKNOWN for name in model.predict(texts)[0]])
+    return filter_rows(docs, "text", lambda texts: [name != language_id.UNKNOWN and odd <= FOREIGN for name, odd in zip(model.predict(texts)[0], model.foreign(texts))])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
