@@ -186,5 +186,55 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, U64), dtype=U64)
 
 
+# --- counters of hashes -----------------------------------------------------------------------------------------------
+
+COUNTERS, CHUNKS = 20, 64  # bits of a counter's number, pieces in which the counters are summed
+
+
+def counter(hashes: np.ndarray) -> np.ndarray:
+    """The counter of a hash."""
+    return (hashes & U64((1 << COUNTERS) - 1)).astype(np.int64)
+
+
+class Tally:
+    """A task's counters: how much was counted for hashes of each."""
+
+    SCHEMA = "piece int, at binary, count binary"
+
+    def __init__(self):
+        self.totals = np.zeros(1 << COUNTERS, np.int64)
+
+    def add(self, at: np.ndarray, weights: np.ndarray | None = None) -> None:
+        self.totals += np.bincount(at, weights=weights, minlength=len(self.totals)).astype(np.int64)
+
+    def rows(self):
+        size = len(self.totals) // CHUNKS
+        for k in range(CHUNKS):
+            own = self.totals[k * size : (k + 1) * size]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes(np.diff(at, prepend=0).astype(np.int32))]), pa.array([planes(own[at])])], ["piece", "at", "count"])
+
+
+def _sum_pieces(batches):
+    totals: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, at, count in zip(*(c.to_pylist() for c in b.columns)):
+            own = totals.setdefault(k, np.zeros((1 << COUNTERS) // CHUNKS, np.int64))
+            own[np.cumsum(unplanes(at, np.int32))] += unplanes(count, np.int64)
+    for k, own in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], ["piece", "totals"])
+
+
+def sum_tallies(tallies: DataFrame, times: float = 1.0) -> np.ndarray:
+    """Which counters stand out over all tasks: above 5 robust deviations over the median, and `times` the median. The driver gets 2**COUNTERS sums."""
+    totals = np.zeros((CHUNKS, (1 << COUNTERS) // CHUNKS), np.int64)
+    for r in tallies.repartition(CHUNKS, "piece").mapInArrow(_sum_pieces, "piece int, totals binary").toLocalIterator():
+        totals[r["piece"]] = np.frombuffer(r["totals"], np.int64)
+    middle = np.median(totals)
+    spread = max(1.4826 * np.median(np.abs(totals - middle)), middle**0.5, 1.0)
+    return totals.reshape(-1) > max(middle + 5 * spread, times * middle)
+
+
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, in_blocks, mix, planes, tidy, unplanes
+from .common import U64, Tally, Words, counter, cut, in_blocks, mix, planes, sum_tallies, tidy, unplanes
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
 PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 12_000_000, 24_000_000, 6_000_000, 200_000
-COUNTERS, CHUNKS, SHARDS, CENTRES = 20, 64, 48, 4  # bits of a counter's number, pieces of the counters, least shards, sets beside each part
+SHARDS, CENTRES = 48, 4  # the least shards, and the sets beside each part of a large family
 SALTS, OFTEN = 16, 500
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -86,48 +86,21 @@ class Sets:
 
 
 def _tally(width: int):
-    """Per task: how many different sets hold a shingle of each counter, in pieces."""
+    """Per task: how many different sets hold a shingle of each counter."""
 
     def run(batches):
-        counts = np.zeros(1 << COUNTERS, np.int64)
+        totals = Tally()
         for _, texts in in_blocks(batches, PART_CHARS, 2):
             sets = Sets(texts, width)
-            first = np.unique(sets.nodes, return_index=True)[1]
-            counts += np.bincount(_counter(sets.flat(first)[1]), minlength=len(counts))
-        piece = len(counts) // CHUNKS
-        for k in range(CHUNKS):
-            own = counts[k * piece : (k + 1) * piece]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes(np.diff(at, prepend=0).astype(np.int32))]), pa.array([planes(own[at])])], ["piece", "at", "count"])
+            totals.add(counter(sets.flat(np.unique(sets.nodes, return_index=True)[1])[1]))
+        yield from totals.rows()
 
     return run
 
 
-def _sum_tallies(batches):
-    piece = (1 << COUNTERS) // CHUNKS
-    totals: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, at, count in zip(*(c.to_pylist() for c in b.columns)):
-            own = totals.setdefault(k, np.zeros(piece, np.int64))
-            own[np.cumsum(unplanes(at, np.int32))] += unplanes(count, np.int64)
-    for k, own in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()])], ["piece", "totals"])
-
-
-def _counter(values: np.ndarray) -> np.ndarray:
-    return (values & U64((1 << COUNTERS) - 1)).astype(np.int64)
-
-
 def common_counters(docs: DataFrame, width: int) -> np.ndarray:
-    """Which counters stand out: over 5 robust deviations above the median. The driver gets 2**COUNTERS sums, whatever the corpus."""
-    tallies = docs.mapInArrow(_tally(width), "piece int, at binary, count binary")
-    totals = np.zeros((CHUNKS, (1 << COUNTERS) // CHUNKS), np.int64)
-    for r in tallies.repartition(CHUNKS, "piece").mapInArrow(_sum_tallies, "piece int, totals binary").toLocalIterator():
-        totals[r["piece"]] = np.frombuffer(r["totals"], np.int64)
-    middle = np.median(totals)
-    spread = max(1.4826 * np.median(np.abs(totals - middle)), middle**0.5, 1.0)
-    return totals.reshape(-1) > middle + 5 * spread
+    """Which counters stand out."""
+    return sum_tallies(docs.mapInArrow(_tally(width), Tally.SCHEMA))
 
 
 # --- signatures -------------------------------------------------------------------------------------------------------
@@ -161,7 +134,7 @@ class Scheme:
         """
         owner, values = sets.flat(chosen)
         sums = np.concatenate(([U64(0)], np.cumsum(mix(values), dtype=U64)))
-        rare = np.ones(len(values), bool) if common is None else ~common[_counter(values)]
+        rare = np.ones(len(values), bool) if common is None else ~common[counter(values)]
         spoken = np.concatenate(([0], np.cumsum(rare)))
         own = self.classes(sets.sizes[chosen])
         nothing = mix(np.zeros(1, U64))[0]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, quality, queries, token_files, toxicity
-from skein.llm.common import Words, filter_rows, id_remainder
+from skein.llm.common import COUNTERS, Words, filter_rows, id_remainder, mix
 from skein.llm.components import _by_rounds, components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,46 +41,79 @@ def prose(n, seed=1, vocabulary=60):
 # --- 1: language-model scoring -----------------------------------------------------------------------------------------
 
 
-def brute_lm(texts, training):
+def brute_lm(texts, training, order=3):
     docs = [words(t) + ["</s>"] for t in texts]
-    uni, bi = Counter(), Counter()
+    n_grams = {k: Counter() for k in range(1, order + 1)}
+    hashes = {"</s>": lm_scoring.END} | {w: Words([w]).hashes[0] for d in docs for w in d[:-1]}
+
+    def bigram(a, b):
+        with np.errstate(over="ignore"):
+            return int(mix(np.array([hashes[a] * np.uint64(0xD6E8FEB86659FD93) + hashes[b]]))[0]) & (1 << COUNTERS) - 1
+
+    counters = Counter()
     for d, learn in zip(docs, training):
         if learn:
-            uni.update(d)
-            bi.update(zip(["</s>", *d], d))
-    n, v = sum(uni.values()), len(uni)
-    of = lambda c: lm_scoring.discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4)))
-    d1, d2 = of(uni), of(bi)
-    spare = sum(d1[min(c, 3)] for c in uni.values()) / n if n else 1
-    arcs = Counter()
-    for (h, _), c in bi.items():
-        arcs[h] += d2[min(c, 3)]
-
-    def word(w):
-        return (max(uni[w] - d1[min(uni[w], 3)], 0) / n if n else 0) + spare / (v + 1)
+            for a, b in zip(["</s>", *d], d):
+                counters[bigram(a, b)] += 1
+    common = lambda a, b: counters[bigram(a, b)] > 5  # noqa: E731  # the usual counter is 0 in so few texts
 
-    out = []
-    for d in docs:
-        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in d)
-        score = 0.0
-        for h, w in zip(["</s>", *d], d):
-            p = word(w)
-            if uni[h]:
-                p = max(bi[h, w] - d2[min(bi[h, w], 3)], 0) / uni[h] + arcs[h] / uni[h] * p
-            score += math.log10(p)
-        out.append((len(d), sum(uni[w] > 0 for w in d), n, base, score))
-    return out
+    def arc(h, w):
+        """Whether the words h, then w, can be an arc of their state."""
+        return len(h) == 1 or (h[-1] != "</s>" and common(*h) and common(h[-1], w))
 
+    def history(d, i, k):
+        line = ["</s>", *d]
+        h = tuple(line[max(0, i + 1 - k) : i + 1])
+        return h if len(h) == k else None
 
-@pytest.mark.parametrize("chars", [300, 10**7])
-def test_lm_scores_are_the_models(spark, chars):
-    texts = prose(60) + ODD
+    for d, learn in zip(docs, training):
+        for i, w in enumerate(d):
+            if learn:
+                n_grams[1][(w,)] += 1
+                for k in range(1, order):
+                    if (h := history(d, i, k)) and arc(h, w):
+                        n_grams[k + 1][(*h, w)] += 1
+    n, v = sum(n_grams[1].values()), len(n_grams[1])
+    ds = {k: lm_scoring.discounts(*(sum(x == c for x in g.values()) for c in (1, 2, 3, 4))) for k, g in n_grams.items()}
+    spare = sum(ds[1][min(c, 3)] for c in n_grams[1].values()) / n if n else 1
+    left = {k: Counter() for k in range(1, order)}  # of each state, what its arcs leave
+    for k in range(1, order):
+        for g, c in n_grams[k + 1].items():
+            left[k][g[:-1]] += min(c, ds[k + 1][min(c, 3)]) - c
+
+    def p(h, w):
+        if not h:
+            c = n_grams[1][(w,)]
+            return (max(c - ds[1][min(c, 3)], 0) / n if n else 0) + spare / (v + 1)
+        whole = n_grams[len(h)][h]
+        if not whole or (len(h) > 1 and (h[-1] == "</s>" or not common(*h))):
+            return p(h[1:], w)
+        c = n_grams[len(h) + 1][(*h, w)]
+        return max(c - ds[len(h) + 1][min(c, 3)], 0) / whole + (whole + left[len(h)][h]) / whole * p(h[1:], w)
+
+    out = []
+    for d in docs:
+        base = sum(math.log10((n_grams[1][(w,)] + 1) / (n + v + 1)) for w in d)
+        score = sum(math.log10(p(next(h for k in range(order - 1, 0, -1) if (h := history(d, i, k))), w)) for i, w in enumerate(d))
+        out.append((len(d), sum(n_grams[1][(w,)] > 0 for w in d), n, base, score))
+    known = [w for (w,) in n_grams[1]]
+    states = [h for k in range(1, order) for h in list({g[:-1] for g in n_grams[k + 1]})[:5]]
+    sums = [sum(p(h, w) for w in known) + spare / (v + 1) * math.prod((n_grams[len(x)][x] + left[len(x)][x]) / n_grams[len(x)][x] for x in (h[i:] for i in range(len(h)))) for h in states]
+    return out, sums
+
+
+@pytest.mark.parametrize("chars, order", [(300, 3), (10**7, 3), (2000, 2)])
+def test_lm_scores_are_the_models(spark, chars, order):
+    texts = prose(150) + ["one of the usual lines", "one of the usual words"] * 8 + ODD
     training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-    got = {r["doc_id"]: r for r in lm_scoring.score(table(spark, texts), id_remainder(7) != 2, chars, 2000).collect()}
-    for i, (n, known, total, base, score) in enumerate(brute_lm(texts, training)):
+    got = {r["doc_id"]: r for r in lm_scoring.score(table(spark, texts), id_remainder(7) != 2, chars, 2000, order).collect()}
+    want, sums = brute_lm(texts, training, order)
+    for i, (n, known, total, base, score) in enumerate(want):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, not training[i])
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+    assert sums == pytest.approx([1] * len(sums)) and len(sums) >= 5 * (order - 1)
+    assert (sum(r["n_long_arcs"] for r in got.values()) > 100) == (order > 2)
 
 
 def test_lm_cases(spark):
@@ -88,19 +121,8 @@ def test_lm_cases(spark):
     r = lm_scoring.score(table(spark, ["a b"]), F.lit(False)).first()
     assert (r["n_known"], r["base_score"], r["score"], r["held_out"]) == (0, 0.0, 0.0, True)
     assert lm_scoring.score(table(spark, ["a", "a"], [None, None]), id_remainder(7) != 2).filter("held_out").count() == 0
-
-
-def test_lm_probabilities_sum_to_one():
-    totals, left, right = np.array([3, 2, 1]), np.array([0, 0, 1]), np.array([1, 2, 0])
-    bigrams = np.array([2, 1, 1])
-    arcs = np.zeros((3, 3))
-    np.add.at(arcs, (np.minimum(bigrams, 3) - 1, left), 1)
-    a = lm_scoring.Automaton(totals, arcs, bigrams, left, right, 6, 3, [1, 1, 1, 0], [0, 0, 0, 0])
-    unknown = (1 - (10 ** a.root).sum())
-    steps, _ = a.traverse(np.array([0, 1, 2]), np.zeros(3, int), 0)
-    assert 0 < unknown < 1 and len(steps) == 3
-    after0 = sum(10 ** a.weight[k] for k in (0, 1)) + 10 ** a.failure[0] * (10 ** a.root[0] + unknown)
-    assert after0 == pytest.approx(1)
+    with pytest.raises(ValueError):
+        lm_scoring.score(table(spark, ["a"]), F.lit(True), order=1)
 
 
 # --- 2, 5, 10: classifiers ----------------------------------------------------------------------------------------------
