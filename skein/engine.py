@@ -32,7 +32,7 @@ MODES = ("text", "semantic", "hybrid")
 IMAGES = ("png", "jpg", "jpeg", "heic", "tif", "tiff")
 SEGMENTS = 8  # with more than so many, a change is followed by a merge
 FEW = 200_000  # rows that may be sent to all
-CELLED, PROBED = 50_000, 0.25  # vectors from which a snapshot is searched by cells, and the share of cells
+CELLED, PROBED = 50_000, 0.35  # vectors from which a snapshot is searched by cells, and the share of cells
 
 
 @dataclass(frozen=True)
@@ -224,8 +224,7 @@ class Engine:
         """A manifest with the vectors as its snapshot, stored by cells."""
         name = f"vectors-{uuid4().hex}"
         n = vectors.count()
-        number = max(1, min(1024, n // 1000))
-        centres = V.train_cells(vectors.withColumn("key", F.col("passage_id")), number) if n else None
+        centres = V.train_cells(vectors.withColumn("key", F.col("passage_id")), V.cell_number(n)) if n else None
         celled = V.cells(vectors, centres) if n else vectors.withColumn("cell", F.lit(0))
         celled.repartitionByRange("cell", "passage_id").write.partitionBy("cell").parquet(f"{self.base}/{name}")
         kept = tuple(tuple(map(float, c)) for c in centres) if n else ()

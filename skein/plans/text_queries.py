@@ -187,15 +187,6 @@ def parse_query(s, d):
     return s.createDataFrame(rows, "query string, positives string, negatives string, any_of boolean")
 
 
-def parse_query(s, d):
-    """What the parser makes of some queries."""
-    from skein.operators.query import parse
-
-    texts = ['"quarterly report" budget* -draft', "udi license", "a OR b", "name:report don't", "foo:bar title:\"x y\""]
-    rows = [(t, str(len(q.positives)), str(len(q.negatives)), q.any_of) for t in texts for q in [parse(t)]]
-    return s.createDataFrame(rows, "query string, positives string, negatives string, any_of boolean")
-
-
 def read_text(s, d):
     """The documents' texts as files of one line each, read back as whole files."""
     base = shared_folder(s, "stream")

@@ -8,6 +8,8 @@ from skein.functions import text as T
 from skein.operators import inverted as I
 from skein.operators import lexical as L
 from skein.operators import vectors as V
+from skein.sources import journal as J
+from skein.sources.storage import shared_folder
 
 from . import corpus as C
 from .lexical_queries import CANDIDATES, PAIR, _matched, _with
@@ -35,8 +37,8 @@ def vector_exact_topk(s, d):
 
 def vector_ann(s, d):
     v = C.vectors(s, d)
-    centres = V.train_cells(v, 16)
-    return V.approximate_top(V.cells(v, centres), centres, probe(s, d), 10, 13).select("key", F.round("score", 6).alias("score"))
+    centres = V.train_cells(v, V.cell_number(v.count()))
+    return V.approximate_top(V.cells(v, centres), centres, probe(s, d), 10, round(0.35 * len(centres))).select("key", F.round("score", 6).alias("score"))
 
 
 def _scored(s, d):
@@ -160,8 +162,12 @@ def snippet_merge(s, d):
 
 
 def journal_replay(s, d):
-    e = C.table(s, d, "events").select((F.col("user_id") % 40).alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("tombstoned"))
-    return e.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("tombstoned", "seq").alias("tombstoned"))
+    """A journal of the events, with lines that can't be read among them, and what is left of it."""
+    e = C.table(s, d, "events").select((F.col("user_id") % 40).alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("tombstoned"), F.array(F.col("value").cast("float")).alias("embedding"))
+    at = shared_folder(s, "journal")
+    J.append(e, at)
+    s.range(3).select(F.concat(F.lit('{"key": '), F.col("id").cast("string")).alias("value")).write.mode("append").text(at)
+    return J.replay(s, at).select("key", "seq", "tombstoned")
 
 
 _WV = C.with_(SQL_V)

@@ -411,3 +411,16 @@ def test_prefixes_phrases_and_fields_are_looked_up(spark, tmp_path):
         close = lambda df: sorted((r["source_id"], round(r["score"], 9), r["best_passage"]) for r in df.collect())
         assert close(I.search(index, query, 200)) == close(L.search(p, query, 200)), q
         assert close(I.search_v2(index, p, query, 200)) == close(L.search_v2(p, query, 200)), q
+
+
+def test_journal(spark, tmp_path):
+    from skein.sources import journal as J
+
+    at = str(tmp_path / "journal")
+    rows = spark.createDataFrame([(1, 1, False, [0.5, 1.0]), (1, 2, False, [0.25, 2.0]), (2, 3, False, [1.0, 1.0]), (2, 4, True, None)], "key long, seq long, tombstoned boolean, embedding array<float>")
+    J.append(rows, at)
+    broken = '{"key":1,"seq":9,"tombstoned":false,"payload":"AAA=","sha256":"x"}'
+    spark.createDataFrame([(broken,), ("{",), ('{"key":',)], "value string").write.mode("append").text(at)
+    snapshot = spark.createDataFrame([(3, 0, False, [3.0])], "key long, seq long, tombstoned boolean, embedding array<float>")
+    got = sorted((r["key"], r["seq"], r["tombstoned"], r["embedding"]) for r in J.replay(spark, at, snapshot).collect())
+    assert got == [(1, 2, False, [0.25, 2.0]), (2, 4, True, None), (3, 0, False, [3.0])]
