@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def filter_rows(df: DataFrame, column: str, judge) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            yield part.filter(pa.array(judge(part.column(column).to_pylist()), pa.bool_()))
+            for own in by_size(part, column):
+                yield own.filter(pa.array(judge(own.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -146,6 +148,16 @@ def slices(batches, rows: int = 400):
     tidy()
 
 
+def by_size(part: pa.RecordBatch, column: str, size: int = 1_000_000):
+    """A batch in parts of about `size` bytes of text at most; one text is not cut."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    number = np.maximum(ends - 1, 0) // size
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), part.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield part.slice(a, b - a)
+
+
 def in_blocks(batches, size: int, columns: int):
     """Group rows of Arrow batches (the second column is the text) into lists of about `size` characters."""
     rows: list[list] = [[] for _ in range(columns)]

@@ -36,7 +36,7 @@ from .common import U64, Tally, Words, counter, cut, in_blocks, mix, planes, sum
 from .components import components
 
 WIDTH, OVER, UNDER = 4, 85, 100
-PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_500_000, 12_000_000, 24_000_000, 6_000_000, 200_000
+PART_CHARS, BLOCK_CHARS, SHARD_BYTES, FAMILY_BYTES, FEW = 1_000_000, 8_000_000, 20_000_000, 6_000_000, 200_000
 SHARDS, CENTRES = 48, 4  # the least shards, and the sets beside each part of a large family
 SALTS, OFTEN = 16, 500
 _MESSAGE = "kind int, shard int, block long, ids array<long>, a binary, b binary, c binary"

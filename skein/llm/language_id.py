@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFr
 
     def run(batches):
         kind = pa.struct([pa.field(n, _KINDS[c.split()[1]]) for n, c in zip(names, keep.split(", "))])
-        for rows, texts in in_blocks(batches, 1_500_000, 2):
+        for rows, texts in in_blocks(batches, 1_000_000, 2):
             languages, share = model.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(languages), pa.array(share)], ["_row", "lang_pred", "score"])
 
