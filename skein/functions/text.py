@@ -30,8 +30,9 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents. Texts that are all ASCII have none to look for."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def fold_width(text: Column) -> Column:
@@ -88,9 +89,9 @@ def short_excerpt(body: Column, size: int = 420) -> Column:
     return F.when(F.length(flat) > size, F.concat(F.substring(flat, 1, size - 3), F.lit("…"))).otherwise(flat)
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """Positions from 0 at which the folded term begins, without overlaps: a running sum over the stretches between them."""
-    parts = F.split(fold(text), r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
+def occurrences(low: Column, term: str) -> Column:
+    """Positions from 0 at which the folded term begins in a folded text, without overlaps: a running sum over the stretches between them."""
+    parts = F.split(low, r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E", -1)
     n = len(term)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
@@ -104,11 +105,12 @@ def occurrences(text: Column, term: str) -> Column:
 def highlights(text: Column, terms: list[str]) -> Column:
     """(location, length) of every occurrence of every term, by location; overlaps stay. Code points."""
 
-    def spans(term: str) -> Column:
-        found = F.transform(occurrences(text, term), lambda p: F.struct(p.cast("int").alias("location"), F.lit(len(term)).alias("length")))
-        return F.when(F.contains(fold(text), F.lit(term)), found).otherwise(F.array().cast("array<struct<location:int,length:int>>"))
+    def spans(low: Column, term: str) -> Column:
+        found = F.transform(occurrences(low, term), lambda p: F.struct(p.cast("int").alias("location"), F.lit(len(term)).alias("length")))
+        return F.when(F.contains(low, F.lit(term)), found).otherwise(F.array().cast("array<struct<location:int,length:int>>"))
 
-    return F.array_sort(F.concat(*map(spans, terms)))
+    # the text is folded once
+    return F.transform(F.array(fold(text)), lambda low: F.array_sort(F.concat(*(spans(low, t) for t in terms))))[0]
 
 
 def snippet(text: Column, terms: list[str], size: int = 36, before: int = 6) -> Column:

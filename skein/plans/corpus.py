@@ -82,6 +82,11 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[key]
 
 
+def stored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages as the stored index keeps them; `passages` cuts the texts anew."""
+    return store(spark, sf_dir).indexed.select("passage_id", "source_id", "doc_id", "ordinal", "body", "location_kind", "embedding_model")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
 

@@ -80,11 +80,11 @@ def longest_root_match(s, d):
 
 
 def semantic_no_images(s, d):
-    return C.passages(s, d).filter("location_kind <> 'image'").select("passage_id")
+    return C.stored_passages(s, d).filter("location_kind <> 'image'").select("passage_id")
 
 
 def semantic_eligible(s, d):
-    return C.passages(s, d).select("passage_id", (F.length(F.trim("body")) > 0).alias("eligible"))
+    return C.stored_passages(s, d).select("passage_id", (F.length(F.trim("body")) > 0).alias("eligible"))
 
 
 def _snapshot(s, d):
@@ -117,11 +117,11 @@ def type_group_counts(s, d):
 
 
 def folder_usage(s, d):
-    return M.folder_usage(C.files(s, d), C.passages(s, d), roots(s), 50)
+    return M.folder_usage(C.files(s, d), C.stored_passages(s, d), roots(s), 50)
 
 
 def embedding_queue(s, d):
-    return M.embedding_queue(C.passages(s, d), C.files(s, d), "core", 40)
+    return M.embedding_queue(C.stored_passages(s, d), C.files(s, d), "core", 40)
 
 
 def _done(s, d):
@@ -129,11 +129,11 @@ def _done(s, d):
 
 
 def pending_documents(s, d):
-    return M.pending_documents(C.files(s, d), C.passages(s, d), _done(s, d)).select("source_id", "filename")
+    return M.pending_documents(C.files(s, d), C.stored_passages(s, d), _done(s, d)).select("source_id", "filename")
 
 
 def document_card_input(s, d):
-    return M.pending_documents(C.files(s, d), C.passages(s, d), _done(s, d)).select("source_id", F.md5("text").alias("text_md5"))
+    return M.pending_documents(C.files(s, d), C.stored_passages(s, d), _done(s, d)).select("source_id", F.md5("text").alias("text_md5"))
 
 
 def reconcile_deletions(s, d):
@@ -142,7 +142,7 @@ def reconcile_deletions(s, d):
 
 
 def cascade_delete(s, d):
-    return M.cascade(C.files(s, d).filter("root_id = 'src3'").select("source_id"), C.files(s, d), C.passages(s, d))[2]
+    return M.cascade(C.files(s, d).filter("root_id = 'src3'").select("source_id"), C.files(s, d), C.stored_passages(s, d))[2]
 
 
 def remove_root(s, d):
@@ -154,18 +154,18 @@ def retry_candidates(s, d):
 
 
 def semantic_counts(s, d):
-    return C.passages(s, d).agg(F.count_if(F.length(F.trim("body")) > 0).alias("total"), F.count_if((F.length(F.trim("body")) > 0) & (F.coalesce("embedding_model", F.lit("")) == "core")).alias("embedded"))
+    return C.stored_passages(s, d).agg(F.count_if(F.length(F.trim("body")) > 0).alias("total"), F.count_if((F.length(F.trim("body")) > 0) & (F.coalesce("embedding_model", F.lit("")) == "core")).alias("embedded"))
 
 
 def document_counts(s, d):
-    p = C.passages(s, d)
+    p = C.stored_passages(s, d)
     return p.agg(F.countDistinct("source_id").alias("n_sources"), F.countDistinct(F.when(F.col("embedding_model") == "core", F.col("source_id"))).alias("n_embedded"))
 
 
 def index_health(s, d):
     errors = s.createDataFrame([("src1", 2), ("src2", 3)], "root_id string, discovery_error_count long")
     f = C.files(s, d)
-    return M.health(f, C.passages(s, d), f.filter("doc_id % 4 = 0"), errors)
+    return M.health(f, C.stored_passages(s, d), f.filter("doc_id % 4 = 0"), errors)
 
 
 def index_issues(s, d):
@@ -186,7 +186,7 @@ def disk_reserve(s, d):
 
 
 def near_dup_groups(s, d):
-    p = C.passages(s, d).filter("ordinal = 0").select("source_id", F.col("body").alias("snippet"), "doc_id")
+    p = C.stored_passages(s, d).filter("ordinal = 0").select("source_id", F.col("body").alias("snippet"), "doc_id")
     f = C.files(s, d).select("source_id", F.regexp_replace("path", r"doc_\d+", "doc").alias("path"), "extension")
     hits = p.join(f, "source_id").withColumn("position", F.col("doc_id"))
     return M.near_duplicates(hits).select("source_id", "primary", "copy")
@@ -280,7 +280,7 @@ def merge_upsert(s, d):
 
 
 def upsert_files(s, d):
-    p = C.passages(s, d).select("source_id", "passage_id")
+    p = C.stored_passages(s, d).select("source_id", "passage_id")
     new = p.filter("passage_id % 2 = 0").withColumn("passage_id", F.col("passage_id") + 1_000_000_000)
     return M.upsert(p, new, ["source_id"])
 
@@ -310,13 +310,13 @@ def oplog_replay(s, d):
 
 
 def lexical_sync(s, d):
-    p = C.passages(s, d).select("source_id", "passage_id")
+    p = C.stored_passages(s, d).select("source_id", "passage_id")
     ops = C.files(s, d).filter("doc_id % 4 = 0").select("source_id", F.when(F.col("doc_id") % 8 == 0, "delete").otherwise("upsert").alias("operation"))
     return M.sync_index(p.filter("passage_id % 3 <> 0"), ops, p)
 
 
 def mark_embedded(s, d):
-    p = C.passages(s, d)
+    p = C.stored_passages(s, d)
     done = p.filter("passage_id % 5 = 0").select("passage_id")
     return p.join(done.withColumn("now_done", F.lit(True)), "passage_id", "left").select("passage_id", F.when(F.col("now_done"), "core").otherwise(F.col("embedding_model")).alias("embedding_model"))
 

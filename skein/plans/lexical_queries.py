@@ -119,7 +119,7 @@ reranked as (
 
 
 def _toks(s, d, path="folder"):
-    return L.with_tokens(C.indexed(s, d), path)
+    return L.with_tokens(C.store(s, d).indexed, path)
 
 
 def _match_query(q):
@@ -138,14 +138,17 @@ def tokenize(s, d):
     return C.table(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("tokens_md5"))
 
 
+def _body_places(s, d):
+    """Where each term stands in the bodies, from the stored index."""
+    return C.store(s, d).index.rows.select("term", "passage_id", F.filter("at", lambda x: x < 1 << I.SHIFT).alias("at")).filter(F.size("at") > 0)
+
+
 def postings(s, d):
-    p = C.passages(s, d).select("passage_id", F.posexplode(T.tokens(F.col("body"))).alias("pos", "term"))
-    return p.groupBy("term", "passage_id").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_position"), F.max("pos").cast("long").alias("last_position"))
+    return _body_places(s, d).select("term", "passage_id", F.size("at").cast("long").alias("tf"), F.element_at("at", 1).cast("long").alias("first_position"), F.element_at("at", -1).cast("long").alias("last_position"))
 
 
 def doc_freq(s, d):
-    p = C.passages(s, d).select(F.explode(F.array_distinct(T.tokens(F.col("body")))).alias("term"))
-    return p.groupBy("term").agg(F.count("*").alias("df"))
+    return _body_places(s, d).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(s, d):
@@ -202,11 +205,11 @@ def rerank_v2(s, d):
 
 
 def excerpt(s, d):
-    return C.passages(s, d).select("passage_id", T.excerpt(F.col("body"), ["ering", "onth"]).alias("excerpt"))
+    return C.stored_passages(s, d).select("passage_id", T.excerpt(F.col("body"), ["ering", "onth"]).alias("excerpt"))
 
 
 def semantic_excerpt(s, d):
-    return C.passages(s, d).select("passage_id", T.short_excerpt(F.col("body")).alias("excerpt"))
+    return C.stored_passages(s, d).select("passage_id", T.short_excerpt(F.col("body")).alias("excerpt"))
 
 
 def highlights(s, d):
@@ -215,7 +218,7 @@ def highlights(s, d):
 
 
 def snippet(s, d):
-    x = C.passages(s, d)
+    x = C.stored_passages(s, d)
     return x.filter(F.arrays_overlap(T.tokens(F.col("body")), F.array(F.lit("ering")))).select("passage_id", T.snippet(F.col("body"), ["ering"]).alias("snippet"))
 
 

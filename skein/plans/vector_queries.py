@@ -90,7 +90,7 @@ def similarity_matrix(s, d):
 def embedding_input(s, d):
     title = F.regexp_replace(T.collapse(F.col("title")), "^$", "")
     t = F.concat(F.when(title != "", F.concat(F.lit("Document title: "), title, F.lit("\n\n"))).otherwise(""), F.lit("Document passage:\n"), T.collapse(F.col("body")))
-    return C.indexed(s, d).select("passage_id", F.md5(t).alias("input_md5"))
+    return C.store(s, d).indexed.select("passage_id", F.md5(t).alias("input_md5"))
 
 
 def embedding_query_input(s, d):
