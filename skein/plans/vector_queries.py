@@ -150,9 +150,9 @@ def lane_fusion(s, d):
 def hybrid_rrf(s, d):
     x = C.store(s, d)
     hits = I.search(x.index, PAIR)
-    named = x.indexed.select(F.col("passage_id").alias("best_passage"), "body").join(F.broadcast(hits), "best_passage")  # at most 20 rows
-    lexical = V.positions(named.select("source_id", "score", "body"))
-    exact = F.contains(F.lower("body"), F.lit("onth"))
+    named = x.indexed.select(F.col("passage_id").alias("best_passage"), F.concat_ws("\n", F.lower("filename"), F.lower("body")).alias("seen")).join(F.broadcast(hits), "best_passage")  # at most 20 rows
+    lexical = V.positions(named.select("source_id", "score", "seen"))
+    exact = F.contains("seen", F.lit("onth"))
     return V.fuse(lexical, V.positions(_semantic(s, d)), 0.35, 20, exact).select("source_id", "exact", F.round("score", 8).alias("score"))
 
 
@@ -197,7 +197,7 @@ select source_id, (v | 9223372036854775808::uhugeint)::varchar as key from h whe
     "semantic_search": (semantic_search, _WS + "select source_id, passage_id, round(score, 6) as score from sem"),
     "document_lane": (document_lane, C.with_(C.SQL_FILES, C.SQL_PASSAGES, SQL_V) + f"select source_id, passage_id, round(score, 6) as score from (select 'doc-' || lpad(key::varchar, 8, '0') as source_id, {_COS} as score from v, q) join (select source_id, passage_id from passages where ordinal = 0) using (source_id) order by score desc, source_id limit 30"),
     "lane_fusion": (lane_fusion, C.with_(C.SQL_FILES, C.SQL_PASSAGES, C.SQL_INDEXED, SQL_V, SQL_SEM, _SEMPOS, f"lane as (select *, row_number() over (order by score desc, source_id) as pos from (select 'doc-' || lpad(key::varchar, 8, '0') as source_id, {_COS} as score from v, q order by score desc, source_id limit 20))") + "select source_id, round(coalesce(0.5 / (60 + a.pos), 0) + coalesce(0.5 / (60 + b.pos), 0), 8)::double as score from sempos a full join lane b using (source_id) order by coalesce(0.5 / (60 + a.pos), 0) + coalesce(0.5 / (60 + b.pos), 0) desc, source_id limit 20"),
-    "hybrid_rrf": (hybrid_rrf, _with(*_LEX, SQL_V, SQL_SEM, _SEMPOS, "fused as (select coalesce(l.source_id, m.source_id) as source_id, coalesce(contains(lower(body), 'onth'), false) as exact, coalesce(0.65::double / (60 + l.pos), 0) + coalesce(0.35::double / (60 + m.pos), 0) as score from (select lex.*, body from lex join passages on passage_id = best_passage) l full join sempos m on l.source_id = m.source_id)") + "select source_id, exact, round(score, 8) as score from fused order by exact desc, fused.score desc, source_id limit 20"),
+    "hybrid_rrf": (hybrid_rrf, _with(*_LEX, SQL_V, SQL_SEM, _SEMPOS, "fused as (select coalesce(l.source_id, m.source_id) as source_id, coalesce(contains(lower(seen), 'onth'), false) as exact, coalesce(0.65::double / (60 + l.pos), 0) + coalesce(0.35::double / (60 + m.pos), 0) as score from (select lex.*, filename || chr(10) || body as seen from lex join indexed on passage_id = best_passage) l full join sempos m on l.source_id = m.source_id)") + "select source_id, exact, round(score, 8) as score from fused order by exact desc, fused.score desc, source_id limit 20"),
     "snippet_merge": (snippet_merge, "select doc_id, md5(array_to_string(list_concat(a, list_filter(b, lambda x: not list_contains(a, x)))[1:3], '|')) as snippets_md5 from (select doc_id, string_split(text, chr(10))[1:2] as a, string_split(text, chr(10))[2:4] as b from documents)"),
     "journal_replay": (journal_replay, "select user_id % 40 as key, max(event_id) as seq, arg_max(event_type = 'error', event_id) as tombstoned from events group by 1"),
 }
