@@ -23,6 +23,9 @@ def small_batches(spark: SparkSession, rows: int = 400) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table in the shared folder named by spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +33,20 @@ def work_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="skein-")  # a single machine
-    return f"{base.rstrip('/')}/skein-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/skein-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def work_tables(spark: SparkSession, keep: str | None = None):
+    """Within it, work tables are temporary: at the end all that were made go, but for those that the list it gives names."""
+    first, kept = len(_made), [keep]
+    yield kept
+    for path in _made[first:]:
+        if path not in kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[first:] = [p for p in kept if p]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

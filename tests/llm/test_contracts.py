@@ -1,5 +1,6 @@
 """The thin queries' contracts, and the defined cases of every operator and stage: empty tables, nulls, repeated rows, clashing names."""
 
+import os
 import random
 import zlib
 
@@ -95,7 +96,10 @@ def test_pipeline_is_its_stages_by_brute_force(spark, folders):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {i for i in kept if find(i) == i} | ({None} if None in left else set())
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
     got = p.run(spark, folders[None]).collect()
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert len(left) == 1 and "pipeline-bpe" in left.pop()  # no other work table stays
     assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, want))
 
 
