@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, decontamination, jaccard_join, language_id, toxicity
-from skein.llm.common import filter_rows, small_batches, work_path
+from skein.llm.common import filter_rows, small_batches, work_path, work_tables
 from skein.llm.queries import tokenizer_path
 
 TOXIC, FOREIGN, WIDTH, OVER, UNDER, FEW = 0.7, 0.5, 5, 80, 100, 200_000
@@ -69,11 +69,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each one's rows are a table in the shared folder."""
+    """All stages on documents; each one's rows are a table in the shared folder, which goes once the next one is written, as all other work tables do."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = work_path(spark, f"pipeline-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    with work_tables(spark) as last:
+        for name, stage in STAGES:
+            with work_tables(spark) as kept:
+                out = stage(spark, docs, sf_dir)
+                kept.append(path := work_path(spark, f"pipeline-{name}"))
+                out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        last.append(path)
     return docs
