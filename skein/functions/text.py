@@ -123,8 +123,10 @@ def snippet(text: Column, terms: list[str], size: int = 36, before: int = 6) ->
 
 def markdown_to_text(text: Column) -> Column:
     """Plain text of Markdown, blocks parted by blank lines: no marks of headings and quotes, table cells by tabs, labels for links."""
+    escapes, bare = F.contains(text, F.lit("\\")), text
     for k, c in enumerate(ESCAPED):  # an escaped sign is no mark; it comes back at the end
-        text = F.replace(text, F.lit("\\" + c), F.lit(chr(0xE000 + k)))
+        bare = F.replace(bare, F.lit("\\" + c), F.lit(chr(0xE000 + k)))
+    text = F.when(escapes, bare).otherwise(text)
     kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: (s != "") & ~(s.contains("|") & s.rlike(r"^[|:\- \t]+$")))
 
     def inline(s: Column) -> Column:
@@ -140,7 +142,8 @@ def markdown_to_text(text: Column) -> Column:
         cells = F.array_join(F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), lambda c: inline(F.trim(c))), "\t")
         return F.when(s.rlike(r"^\|.*\|$"), cells).otherwise(inline(s))
 
-    return F.translate(F.array_join(F.filter(F.transform(kept, block), lambda s: s != ""), "\n\n"), "".join(chr(0xE000 + k) for k in range(len(ESCAPED))), ESCAPED)
+    out = F.array_join(F.filter(F.transform(kept, block), lambda s: s != ""), "\n\n")
+    return F.when(escapes, F.translate(out, "".join(chr(0xE000 + k) for k in range(len(ESCAPED))), ESCAPED)).otherwise(out)
 
 
 def html_to_text(html: Column) -> Column:
