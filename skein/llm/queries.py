@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, quality, token_files, toxicity
+from . import bpe, decontamination, filter_audit, fingerprints, hard_negatives, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, quality, token_files, toxicity
 from .common import id_remainder, small_batches
 
 
@@ -70,6 +70,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -88,8 +100,14 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op7_license_scan": license_scan.oracle(),
     "op8_decontamination": decontamination.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_line_dedup": line_dedup.ORACLE,
 }
