@@ -2,8 +2,9 @@
 
 An index is what its newest manifest names. Each build or change writes a new segment (files, passages, postings) and a
 table of tombstones, then the manifest, so a search sees one generation whole and a failed job leaves the last one as it
-was. Statistics are kept exact: what a change takes away is counted before it goes. `compact` merges segments and removes
-what no manifest in use names. Vectors are a snapshot, stored by cells, and what was embedded since.
+was. A manifest is published only where no other writer was first; else the change is made anew on top of the other's.
+Statistics are kept exact: what a change takes away is counted before it goes. `compact` merges segments and removes
+what no manifest in use names. Vectors are a snapshot, a quantised index, and what was embedded since.
 """
 
 from __future__ import annotations
@@ -23,16 +24,20 @@ from skein.functions.embedding import DIMENSIONS, embed_column, embed_texts
 from skein.operators import filters as X
 from skein.operators import inverted
 from skein.operators import maintenance as M
+from skein.operators import quantised
 from skein.operators import vectors as V
 from skein.operators.query import parse
 from skein.sources import discovery, extract
-from skein.sources.manifest import Log, Manifest, listed, remove
+from skein.sources.manifest import Conflict, Log, Manifest, listed, remove  # noqa: F401
 
 MODES = ("text", "semantic", "hybrid")
 IMAGES = ("png", "jpg", "jpeg", "heic", "tif", "tiff")
 SEGMENTS = 8  # with more than so many, a change is followed by a merge
 FEW = 200_000  # rows that may be sent to all
-CELLED, PROBED = 50_000, 0.35  # vectors from which a snapshot is searched by cells, and the share of cells
+NAMED = 20_000  # changed files that are read by their names; more are read by a scan of their root
+
+
+NO_VECTORS = {"snapshot": None, "deltas": (), "n_snapshot": 0, "embedded": 0}
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,7 @@ class SearchRequest:
     cursor: str | None = None
     ranker: int = 1
     group_copies: bool = False
+    exact: bool = False  # compare all vectors; else those that the quantised index of the snapshot puts nearest
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -67,9 +73,12 @@ def effective_mode(requested: str, ready: bool) -> str:
 class Engine:
     """An index below `base`."""
 
-    def __init__(self, spark: SparkSession, base: str, policy: X.Policy | None = None):
+    def __init__(self, spark: SparkSession, base: str, policy: X.Policy | None = None, recipes: dict[str, int] | None = None):
+        """recipes: the version of extraction by file type, 0 where there is none; files extracted by an older one are read again."""
         self.spark, self.base, self.policy = spark, base.rstrip("/"), policy or X.Policy()
+        self.recipes = extract.RECIPES if recipes is None else recipes
         self.log = Log(spark, self.base)
+        self._snapshots: dict[str, quantised.Index] = {}  # of the last snapshot searched
 
     def generation(self) -> int:
         return self.log.current().generation
@@ -108,19 +117,29 @@ class Engine:
         m = self.index(self.read_folder(root, root_id, parser), {root_id: discovery.plain_path(root)})
         return m.generation
 
-    def read_folder(self, root: str, root_id: str = "root", parser: Callable = extract.parse) -> DataFrame:
-        """Files and their texts. Contents are read where the listing is, in one scan; files over the size limit aren't read at all."""
-        kept = discovery.discover(self.spark, root, root_id, content=True).filter(~self.policy.excluded(F.col("path"), F.lit(discovery.plain_path(root))))
+    def read_folder(self, root: str, root_id: str = "root", parser: Callable = extract.parse, paths: list[str] | None = None) -> DataFrame:
+        """Files and their texts, of all below a folder or of some paths. Contents are read where the listing is, in one scan, so a date belongs to its text; files over the size limit aren't read at all."""
+        kept = discovery.discover(self.spark, root, root_id, content=True, paths=paths).filter(~self._left_out(root))
         plain = F.when(~extract.looks_binary(F.col("content")), extract.decode_text(F.col("content")))
         rows = extract.extract_structured(kept.drop("availability"), parser).drop("availability")
         rows = rows.withColumn("text", F.coalesce("text", F.when(F.col("error") == "unsupported", plain)))
         rows = rows.withColumn("availability", extract.extraction_status(F.when(F.col("error") != "unsupported", F.col("error")), F.col("text")))
-        return rows.drop("content", "error").withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz"))
+        return rows.drop("content", "error").withColumns({"modified_at": F.col("modified_at").cast("timestamp_ntz"), "extraction_version": self._recipe()})
+
+    def _left_out(self, root: str) -> Column:
+        return self.policy.excluded(F.col("path"), F.lit(discovery.plain_path(root)))
+
+    def _recipe(self) -> Column:
+        out = F.lit(0)
+        for ext, version in self.recipes.items():
+            out = F.when(F.lower("extension") == ext, version).otherwise(out)
+        return out
 
     def _segment(self, rows: DataFrame, name: str) -> dict[str, int]:
         """Write a segment from files with their texts, and count it."""
         at = f"{self.base}/{name}"
         title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ")
+        rows = rows if "extraction_version" in rows.columns else rows.withColumn("extraction_version", self._recipe())
         rows.drop("error").withColumn("title", title).withColumn("folder", T.parent(F.col("path"))).write.parquet(f"{at}/source")
         source = self.spark.read.parquet(f"{at}/source")
         files = source.drop("text")
@@ -138,74 +157,124 @@ class Engine:
 
     def index(self, rows: DataFrame, roots: dict[str, str] | None = None) -> Manifest:
         """Build anew from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text."""
-        m, name = self.log.current(), f"segment-{uuid4().hex}"
+        name = f"segment-{uuid4().hex}"
         counts = self._segment(rows, name)
-        fresh = Manifest(generation=m.generation, batch=m.batch)
-        return self.log.publish(fresh.after(sequence=m.sequence + 1, segments={name: m.sequence + 1}, counts=counts, roots=(m.roots | roots) if roots else m.roots))
+
+        def change(m: Manifest) -> Manifest:
+            fresh = Manifest(generation=m.generation, batch=m.batch)
+            return fresh.after(sequence=m.sequence + 1, segments={name: m.sequence + 1}, counts=counts, roots=(m.roots | roots) if roots else m.roots)
+
+        return self.log.advance(change)
 
     def apply(self, rows: DataFrame | None = None, gone: DataFrame | None = None, batch: int | None = None) -> Manifest:
         """Put in files with their texts, in place of what is there of the same source, and take out the sources `gone`(source_id)."""
-        m, name = self.log.current(), f"segment-{uuid4().hex}"
+        m = self.log.current()
         if batch is not None and batch <= m.batch:
             return m  # a batch that comes again has been applied
-        if not m.segments:
-            return self.index(rows) if rows is not None else m
-        parts = [x.select("source_id") for x in (rows, gone) if x is not None]
-        at = f"tombstones-{uuid4().hex}"
-        dead = reduce(DataFrame.unionByName, parts).withColumn("upto", F.lit(m.sequence))
-        if m.tombstones:
-            dead = dead.unionByName(self.spark.read.parquet(f"{self.base}/{m.tombstones}"))
-        dead.groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{at}")
-        number = self.spark.read.parquet(f"{self.base}/{at}").count()
-        touched = self.spark.read.parquet(f"{self.base}/{at}").filter(F.col("upto") == m.sequence).select("source_id")
-        old = inverted.statistics(self._table("passages", m).join(touched, "source_id", "left_semi")).first().asDict()
-        counts = {k: m.counts[k] - old[k] for k in m.counts}
-        segments = dict(m.segments)
-        if rows is not None:
-            new = self._segment(rows, name)
-            counts = {k: counts[k] + new[k] for k in counts}
-            segments[name] = m.sequence + 1
-        out = self.log.publish(m.after(sequence=m.sequence + 1, segments=segments, counts=counts, tombstones=at, n_tombstones=number, batch=m.batch if batch is None else batch))
-        return self.compact() if len(segments) > SEGMENTS else out
-
-    def reconcile(self, root: str, root_id: str = "root", parser: Callable = extract.parse, complete: bool = True, batch: int | None = None) -> Manifest:
-        """Bring the index in line with a scan of a root: new and changed files come in, missing ones go if the scan was complete."""
+        if not m.segments and rows is None:
+            return m
+        name, at = f"segment-{uuid4().hex}", f"tombstones-{uuid4().hex}"
+        new = self._segment(rows, name) if rows is not None else None
+        if new is not None and not new["n"]:  # a segment of nothing
+            remove(self.spark, f"{self.base}/{name}")
+            rows = new = None
+        touched = [self.spark.read.parquet(f"{self.base}/{name}/files").select("source_id")] if new else []
+        touched += [gone.select("source_id")] if gone is not None else []
+        tries = iter(range(1000))
+
+        def change(m: Manifest) -> Manifest:
+            if batch is not None and batch <= m.batch:
+                return m
+            segments, counts, dead, number = dict(m.segments), dict(m.counts), m.tombstones, m.n_tombstones
+            if m.segments and touched:
+                mine = f"{at}-{next(tries)}"
+                ids = reduce(DataFrame.unionByName, touched).distinct()
+                own = self._table("files", m).select("source_id").join(ids, "source_id", "left_semi").withColumn("upto", F.lit(m.sequence))
+                before = [self.spark.read.parquet(f"{self.base}/{m.tombstones}")] if m.tombstones else []
+                reduce(DataFrame.unionByName, [own, *before]).groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{mine}")
+                stones = self.spark.read.parquet(f"{self.base}/{mine}")
+                fresh = stones.filter(F.col("upto") == m.sequence).select("source_id")
+                old = inverted.statistics(self._table("passages", m).join(fresh, "source_id", "left_semi")).first().asDict()
+                counts, dead, number = {k: counts[k] - old[k] for k in counts}, mine, stones.count()
+                if number == m.n_tombstones and not new and batch is None:  # nothing that is there goes
+                    remove(self.spark, f"{self.base}/{mine}")
+                    return m
+            if new:
+                counts = {k: counts.get(k, 0) + new[k] for k in new}
+                segments[name] = m.sequence + 1
+            elif batch is None and dead == m.tombstones:
+                return m
+            return m.after(sequence=m.sequence + 1, segments=segments, counts=counts, tombstones=dead, n_tombstones=number, batch=m.batch if batch is None else batch)
+
+        out = self.log.advance(change)
+        return self.compact() if len(out.segments) > SEGMENTS else out
+
+    def reconcile(self, root: str, root_id: str = "root", parser: Callable = extract.parse, complete: bool = True, batch: int | None = None, retry: bool = False) -> Manifest:
+        """Bring the index in line with a scan of a root: new and changed files come in, missing ones go if the scan saw everything.
+
+        Only the listing is read of what hasn't changed; with nothing changed nothing is published. Files are read again if
+        their size or date differs, if a newer recipe extracts them, or, with `retry`, if their extraction failed. A scan
+        that met errors, or of which the caller knows that it isn't complete, removes only what the policy excludes.
+        """
         m = self.log.current()
-        rows = self.read_folder(root, root_id, parser)
         if not m.segments:
-            return self.index(rows, {root_id: discovery.plain_path(root)})
-        known = self._table("files", m).filter(F.col("root_id") == root_id)
-        seen = known.select("source_id", F.col("size").alias("_s"), F.col("modified_at").alias("_m"))
-        changed = rows.join(seen, "source_id", "left").filter(~(F.col("size").eqNullSafe(F.col("_s")) & F.col("modified_at").eqNullSafe(F.col("_m")))).drop("_s", "_m")
-        gone = M.reconcile(known, discovery.discover(self.spark, root, root_id), complete, self.policy.excluded(F.col("path"), F.lit(discovery.plain_path(root))))
-        return self.apply(changed, gone.select("source_id"), batch)
+            return self.index(self.read_folder(root, root_id, parser), {root_id: discovery.plain_path(root)})
+        stage = f"{self.base}/scan-{uuid4().hex}"
+        try:
+            skip = tuple(f.lower() for f in self.policy.folders)
+            discovery.scan(self.spark, root, root_id, skip).write.parquet(stage)
+            seen = self.spark.read.schema(discovery.SCANNED).parquet(stage)
+            complete = complete and seen.filter("kind = 'error'").isEmpty()
+            here = seen.filter((F.col("kind") == "file") & (F.col("availability") == "available") & ~self._left_out(root)).withColumn("modified_at", F.col("modified_at").cast("timestamp_ntz"))
+            known = self._table("files", m).filter(F.col("root_id") == root_id)
+            recipes = self.spark.createDataFrame(list(self.recipes.items()), "extension string, version int")
+            todo = M.needs_extraction(here.select("source_id", "path", "size", "modified_at", "extension"), known, recipes).select("source_id", "path")
+            if retry:
+                failed = known.filter("availability = 'extractionFailed'").select("source_id")
+                todo = todo.unionByName(here.join(failed, "source_id", "left_semi").select("source_id", "path")).distinct()
+            kept = seen.filter("kind = 'file'")  # a placeholder is there, though it can't be read
+            gone = M.reconcile(known, kept, complete, self._left_out(root)).select("source_id")
+            paths = [r["path"] for r in todo.select("path").limit(NAMED + 1).collect()]
+            if not paths and batch is None and gone.isEmpty():
+                return m
+            rows = None
+            if len(paths) > NAMED:
+                rows = self.read_folder(root, root_id, parser).join(todo.select("source_id"), "source_id", "left_semi")
+            elif paths:
+                rows = self.read_folder(root, root_id, parser, paths)
+            return self.apply(rows, gone, batch)
+        finally:
+            remove(self.spark, stage)
+
+    def purge(self) -> Manifest:
+        """Take out what the policy of now excludes, without a scan."""
+        m = self.log.current()
+        return self.apply(None, self._table("files", m).filter(self._excluded(m)).select("source_id")) if m.segments else m
 
     def compact(self, keep: int = 2) -> Manifest:
         """Merge all segments into one, without what is gone, and remove folders that the last `keep` generations don't name."""
-        m, name = self.log.current(), f"segment-{uuid4().hex}"
-        number, at = m.sequence + 1, f"{self.base}/{name}"
-        self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
-        self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-        keys = ["bucket", "term", "passage_id"]
-        self._table("postings", m, inverted.POSTINGS).drop("sequence").repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(f"{at}/postings")
-        vectors = self._vectors(m)
-        out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
-        if vectors is not None:
+
+        def change(m: Manifest) -> Manifest:
+            name = f"segment-{uuid4().hex}"
+            number, at = m.sequence + 1, f"{self.base}/{name}"
+            self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
+            self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
+            inverted.merge(self._table("postings", m, inverted.POSTINGS).drop("sequence"), at)
+            vectors = self._vectors(m)
+            out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
+            if vectors is None:
+                return out
             if m.embedded >= max(m.segments.values()):
-                out = replace(self._with_snapshot(out, vectors.withColumn("sequence", F.lit(number))), embedded=number)
-            else:  # some passages of the merged segment have none yet: all are embedded again
-                out = replace(out, snapshot=None, deltas=(), centres=(), n_snapshot=0, embedded=0)
-        out = self.log.publish(out)
+                return replace(self._with_snapshot(out, vectors.withColumn("sequence", F.lit(number))), embedded=number)
+            return replace(out, **NO_VECTORS)  # some passages of the merged segment have none yet: all are embedded again
+
+        out = self.log.advance(change)
         self.clean(keep)
         return out
 
     def clean(self, keep: int = 2) -> None:
-        """Remove folders that none of the last `keep` generations names; a search that began earlier fails."""
-        rows = self.log._rows().orderBy(F.desc("generation")).limit(max(1, keep)).collect()
-        named = set()
-        for r in rows:
-            x = json.loads(r["body"])
-            named |= Manifest(**x | {"deltas": tuple(x["deltas"]), "centres": ()}).folders()
+        """Remove generations but the last `keep`, and folders that none of these names; a search that began earlier fails."""
+        named = set().union(*(m.folders() for m in self.log.trim(max(1, keep))))
         for f in listed(self.spark, self.base):
             if f.split("-")[0] in ("segment", "tombstones", "vectors", "cards") and f not in named:
                 remove(self.spark, f"{self.base}/{f}")
@@ -214,43 +283,56 @@ class Engine:
 
     def _vectors(self, m: Manifest) -> DataFrame | None:
         """passage_id, source_id, sequence, embedding of all live vectors."""
-        sets = [s for s in (m.snapshot, *m.deltas) if s]
+        sets = [*([f"{m.snapshot}/vectors"] if m.snapshot else []), *m.deltas]
         if not sets:
             return None
         parts = [self.spark.read.parquet(f"{self.base}/{s}").select("passage_id", "source_id", "sequence", "embedding") for s in sets]
         return self._live(m, reduce(DataFrame.unionByName, parts))
 
     def _with_snapshot(self, m: Manifest, vectors: DataFrame) -> Manifest:
-        """A manifest with the vectors as its snapshot, stored by cells."""
-        name = f"vectors-{uuid4().hex}"
-        n = vectors.count()
-        centres = V.train_cells(vectors.withColumn("key", F.col("passage_id")), V.cell_number(n)) if n else None
-        celled = V.cells(vectors, centres) if n else vectors.withColumn("cell", F.lit(0))
-        celled.repartitionByRange("cell", "passage_id").write.partitionBy("cell").parquet(f"{self.base}/{name}")
-        kept = tuple(tuple(map(float, c)) for c in centres) if n else ()
-        return replace(m, snapshot=name if n else None, deltas=(), centres=kept, n_snapshot=n)
-
-    def embed(self, embed: Callable[[list[str]], list] | None = None) -> Manifest:
-        """Vectors of all passages with text that have none yet. They are added beside the snapshot; a new one is made where enough has changed."""
-        m = self.log.current()
+        """A manifest with the vectors as its snapshot."""
         name = f"vectors-{uuid4().hex}"
-        p = self._table("passages", m).filter((F.length("body") > 0) & (F.col("sequence") > m.embedded))
-        p.select("passage_id", "source_id", "sequence", embed_column(F.col("body"), embed).alias("embedding")).write.parquet(f"{self.base}/{name}")
-        out = replace(m, deltas=(*m.deltas, name), embedded=m.sequence)
-        live = self._vectors(out)
-        counts = live.agg(F.count("*")).first()[0], sum(self.spark.read.parquet(f"{self.base}/{d}").count() for d in out.deltas)
-        old = m.n_snapshot
-        removed = max(0, old + counts[1] - counts[0])
-        facts = self.spark.range(1).select(V.rebuild_needed(F.lit(old), F.lit(counts[1]), F.lit(removed))).first()[0]
-        if facts:
-            out = self._with_snapshot(out, live)
-        return self.log.publish(replace(out, generation=m.generation + 1))
+        n = quantised.write(vectors.select("passage_id", "source_id", "sequence", "embedding"), f"{self.base}/{name}", "passage_id")
+        return replace(m, snapshot=name if n else None, deltas=(), n_snapshot=n)
+
+    def embed(self, embed: Callable[[list[str]], list] | None = None, model: str = "") -> Manifest:
+        """Vectors of all passages with text that have none yet; of all anew, if those there are of another model.
+
+        They are added beside the snapshot; a new one is made where enough has changed.
+        """
+
+        def change(m: Manifest) -> Manifest:
+            if m.model != model and (m.snapshot or m.deltas):
+                m = replace(m, **NO_VECTORS, cards=None)
+            elif m.segments and m.embedded >= max(m.segments.values()):
+                return m
+            name = f"vectors-{uuid4().hex}"
+            p = self._table("passages", m).filter((F.length("body") > 0) & (F.col("sequence") > m.embedded))
+            p.select("passage_id", "source_id", "sequence", embed_column(F.col("body"), embed).alias("embedding")).write.parquet(f"{self.base}/{name}")
+            out = replace(m, deltas=(*m.deltas, name), embedded=m.sequence, model=model)
+            live = self._vectors(out)
+            counts = live.agg(F.count("*")).first()[0], sum(self.spark.read.parquet(f"{self.base}/{d}").count() for d in out.deltas)
+            removed = max(0, m.n_snapshot + counts[1] - counts[0])
+            facts = self.spark.range(1).select(V.rebuild_needed(F.lit(m.n_snapshot), F.lit(counts[1]), F.lit(removed))).first()[0]
+            return (self._with_snapshot(out, live) if facts else out).after()
+
+        return self.log.advance(change)
+
+    def reset_embeddings(self) -> Manifest:
+        """Forget all vectors; searches are text searches until `embed` has made new ones."""
+        return self.log.advance(lambda m: m.after(**NO_VECTORS, cards=None, model=None) if m.snapshot or m.deltas or m.cards else m)
 
     def embed_cards(self, cards: DataFrame, embed: Callable[[list[str]], list] | None = None) -> Manifest:
-        """The document lane: cards(source_id, text), one for a source; with it, semantic searches fuse both lanes."""
-        name = f"cards-{uuid4().hex}"
-        cards.select("source_id", embed_column(F.col("text"), embed).alias("embedding")).write.parquet(f"{self.base}/{name}")
-        return self.log.publish(self.log.current().after(cards=name))
+        """The document lane: cards(source_id, text), one for a source, in place of what it had; with it, semantic searches fuse both lanes."""
+        new = cards.select("source_id", embed_column(F.col("text"), embed).alias("embedding"))
+
+        def change(m: Manifest) -> Manifest:
+            name = f"cards-{uuid4().hex}"
+            rows = M.upsert(self.spark.read.parquet(f"{self.base}/{m.cards}"), new, ["source_id"]) if m.cards else new
+            rows.write.parquet(f"{self.base}/{name}")
+            return m.after(cards=name)
+
+        return self.log.advance(change)
 
     def ready(self) -> bool:
         m = self.log.current()
@@ -268,8 +350,8 @@ class Engine:
         if mode == "text":
             hits = self._lexical(m, query, request, most)
         else:
-            near = self._semantic(m, request, embed, most)
-            hits = near if mode == "semantic" else self._hybrid(m, self._lexical(m, query, request, most), near, request, most)
+            near = self._few(self._semantic(m, request, embed, most))
+            hits = near if mode == "semantic" else self._hybrid(m, self._few(self._lexical(m, query, request, most)), near, request, most)
         first = [F.desc("exact")] if "exact" in hits.columns else []
         order = [*first, F.desc("score"), F.asc("source_id")]
         hits = hits.orderBy(*order).offset(offset).limit(request.limit)
@@ -280,6 +362,10 @@ class Engine:
         out = out.select("source_id", "score", "path", "filename", "extension", "modified_at", snippet.alias("snippet"), T.highlights(snippet, terms).alias("highlights") if terms else F.array().alias("highlights"), *(["exact"] if first else []))
         return self._grouped(out, first) if request.group_copies else out.drop("exact")
 
+    def _few(self, hits: DataFrame) -> DataFrame:
+        """A list cut to its limit as rows at hand: what made it runs once, though it is used again and again."""
+        return self.spark.createDataFrame(hits.collect(), hits.schema)
+
     def _grouped(self, out: DataFrame, first: list[Column]) -> DataFrame:
         """With the source that leads a group of near copies, and which copy of it a hit is. At most 200 rows."""
         placed = out.withColumn("position", F.row_number().over(Window.orderBy(*first, F.desc("score"), "source_id")))
@@ -310,15 +396,14 @@ class Engine:
     def _semantic(self, m: Manifest, request: SearchRequest, embed, limit: int) -> DataFrame:
         vector = [float(x) for x in (embed or embed_texts)([request.query])[0]]
         k = max(limit, V.CANDIDATES_FILTERED if request.filters != X.Filters() else V.CANDIDATES)
-        columns = ["passage_id", "source_id", "sequence", "embedding"]
-        parts = [self.spark.read.parquet(f"{self.base}/{d}").select(columns) for d in m.deltas]
+        parts = []
+        if m.deltas:
+            new = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.base}/{d}").select("passage_id", "source_id", "sequence", "embedding") for d in m.deltas))
+            parts.append(self._live(m, new).select("passage_id", V.cosine_to(vector)("embedding").alias("score")))
         if m.snapshot:
-            rows = self.spark.read.parquet(f"{self.base}/{m.snapshot}")
-            if m.n_snapshot >= CELLED:
-                rows = rows.filter(F.col("cell").isin(*V.nearest_cells(m.centres, vector, PROBED)))
-            parts.append(rows.select(columns))
-        scored = self._live(m, reduce(DataFrame.unionByName, parts)).select("passage_id", V.cosine_to(vector)("embedding").alias("score"))
-        top = scored.orderBy(F.desc("score"), "passage_id").limit(k)
+            alive = (lambda rows: self._live(m, rows)) if m.tombstones else None
+            parts.append(self._snapshot(m).search(vector, k, exact=request.exact, alive=alive).select("passage_id", "score"))
+        top = reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "passage_id").limit(k)
         passages = self._table("passages", m)
         images = bool(request.filters.extensions & set(IMAGES))
         near = V.semantic_search(top, passages, request.filters.column(), images, limit).withColumnRenamed("passage_id", "best_passage")
@@ -332,6 +417,11 @@ class Engine:
         best = fused.join(near.select("source_id", "best_passage"), "source_id", "left").join(heads, "source_id", "left")
         return best.select("source_id", "score", F.coalesce("best_passage", "_head").alias("best_passage"))
 
+    def _snapshot(self, m: Manifest) -> quantised.Index:
+        if m.snapshot not in self._snapshots:
+            self._snapshots = {m.snapshot: quantised.Index(self.spark, f"{self.base}/{m.snapshot}")}
+        return self._snapshots[m.snapshot]
+
     def _hybrid(self, m: Manifest, lexical: DataFrame, near: DataFrame, request: SearchRequest, limit: int) -> DataFrame:
         """Both lists fused by rank; hits whose name or text holds the query as it stands come first."""
         plain = request.query.strip().strip('"').lower()

@@ -61,6 +61,12 @@ def write(indexed: DataFrame, path: str) -> None:
     statistics(indexed).coalesce(1).write.parquet(f"{path}/statistics")
 
 
+def merge(rows: DataFrame, path: str) -> None:
+    """Postings of several segments as one."""
+    keys = ["bucket", "term", "passage_id"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
 class Index:
     """Postings and statistics that a search reads."""
 

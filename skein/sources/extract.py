@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # Limits of extraction, and the share of control bytes from which a file isn't text.
 SOURCE_BYTES, CHARACTERS, OCR_PAGES, PAGE_CHARS = 100 * 1024 * 1024, 20_000_000, 100, 32
 SNIFFED, CONTROL_SHARE = 8192, 0.02
+# Fixed value: the version of extraction by file type; types that aren't named have 0.
+RECIPES = dict.fromkeys("doc docx docm odt rtf ppt pps pot pptx pptm ppsx ppsm odp xls xlsx xlsm xlsb ods epub pdf".split(), 1)
 
 
 def looks_binary(content: Column) -> Column:
