@@ -89,7 +89,7 @@ class Engine:
         """rows(source_id, sequence, ...) without those that a later change replaced or deleted."""
         if not m.tombstones:
             return rows
-        dead = self.spark.read.parquet(f"{self.base}/{m.tombstones}")
+        dead = self.spark.read.parquet(f"{self.base}/{m.tombstones}/sources")
         dead = F.broadcast(dead) if m.n_tombstones <= FEW else dead
         return rows.join(dead.withColumnRenamed("source_id", "_gone"), (F.col("source_id") == F.col("_gone")) & (F.col("sequence") <= F.col("upto")), "left_anti")
 
@@ -108,7 +108,14 @@ class Engine:
         return self._table("passages")
 
     def index_of(self, m: Manifest) -> inverted.Index:
-        return inverted.Index(self._table("postings", m, inverted.POSTINGS), m.counts)
+        rows = self._table("postings", m, inverted.POSTINGS)
+        blocks = reduce(DataFrame.unionByName, (self.spark.read.schema(inverted.BLOCKS).parquet(f"{self.base}/{s}/blocks") for s in m.segments))
+        return inverted.Index(rows, m.counts, self._dictionary(m), blocks)
+
+    def _dictionary(self, m: Manifest) -> DataFrame:
+        """All segments' terms, and those of what is gone from them with counts below zero."""
+        at = [*m.segments, *([f"{m.tombstones}"] if m.tombstones else [])]
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(inverted.TERMS).parquet(f"{self.base}/{x}/terms") for x in at))
 
     # --- building ---
 
@@ -190,11 +197,13 @@ class Engine:
                 mine = f"{at}-{next(tries)}"
                 ids = reduce(DataFrame.unionByName, touched).distinct()
                 own = self._table("files", m).select("source_id").join(ids, "source_id", "left_semi").withColumn("upto", F.lit(m.sequence))
-                before = [self.spark.read.parquet(f"{self.base}/{m.tombstones}")] if m.tombstones else []
-                reduce(DataFrame.unionByName, [own, *before]).groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{mine}")
-                stones = self.spark.read.parquet(f"{self.base}/{mine}")
+                before = [self.spark.read.parquet(f"{self.base}/{m.tombstones}/sources")] if m.tombstones else []
+                reduce(DataFrame.unionByName, [own, *before]).groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{mine}/sources")
+                stones = self.spark.read.parquet(f"{self.base}/{mine}/sources")
                 fresh = stones.filter(F.col("upto") == m.sequence).select("source_id")
-                old = inverted.statistics(self._table("passages", m).join(fresh, "source_id", "left_semi")).first().asDict()
+                passages = self._table("passages", m).join(fresh, "source_id", "left_semi")
+                old = inverted.statistics(passages).first().asDict()
+                self._write_lost_terms(m, passages, f"{self.base}/{mine}/terms")
                 counts, dead, number = {k: counts[k] - old[k] for k in counts}, mine, stones.count()
                 if number == m.n_tombstones and not new and batch is None:  # nothing that is there goes
                     remove(self.spark, f"{self.base}/{mine}")
@@ -209,6 +218,15 @@ class Engine:
         out = self.log.advance(change)
         return self.compact() if len(out.segments) > SEGMENTS else out
 
+    def _write_lost_terms(self, m: Manifest, passages: DataFrame, at: str) -> None:
+        """The dictionary of all that is gone from the segments: what was, and these passages, with counts below zero."""
+        lost = inverted.dictionary(inverted.postings(passages).withColumn("block", F.lit(0)))
+        counts = [c for c in lost.columns if c.startswith("df")]
+        rows = lost.withColumns({c: -F.col(c) for c in counts})
+        if m.tombstones:
+            rows = rows.unionByName(self.spark.read.schema(inverted.TERMS).parquet(f"{self.base}/{m.tombstones}/terms"))
+        rows.groupBy("bucket", "term").agg(*(F.sum(c).alias(c) for c in counts)).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(at)
+
     def reconcile(self, root: str, root_id: str = "root", parser: Callable = extract.parse, complete: bool = True, batch: int | None = None, retry: bool = False) -> Manifest:
         """Bring the index in line with a scan of a root: new and changed files come in, missing ones go if the scan saw everything.
 
@@ -259,7 +277,7 @@ class Engine:
             number, at = m.sequence + 1, f"{self.base}/{name}"
             self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
             self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-            inverted.merge(self._table("postings", m, inverted.POSTINGS).drop("sequence"), at)
+            inverted.merge(self._table("postings", m, inverted.POSTINGS).drop("sequence"), at, m.counts["n"])
             vectors = self._vectors(m)
             out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
             if vectors is None:

@@ -5,14 +5,24 @@ integer. Rows lie in folders by a bucket of the term's first letters and are sor
 and row groups of its own terms, by prefix too. A search never sees a text: matching, BM25, coverage and proximity come
 from places and from the lengths that each row carries. Statistics of the corpus are one row.
 
+`terms` is the dictionary: how many passages hold a term, in each field and in all that the first ranker counts. A search
+looks its words up there, so the weights of words are numbers in its plan, and postings are read once.
+
+`blocks` has, for each run of postings of a term, its passages' range, the greatest weighted frequency and the least length:
+no passage of the run scores more than a passage with both. A search for the best passages sweeps over the blocks' ranges,
+reads the most promising ones first, and then only ranges that can still reach the k-th best score, of all its words: row
+groups and pages outside are skipped. What is skipped can't be among the best, so rows are those of a search of everything.
+
 Building is one shuffle of the tokens, by ranges of (bucket, term, passage), so a term that every passage holds is spread
 over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +35,11 @@ BUCKETS, SHIFT = 64, 24
 FIELDS = {"body": 0, "filename": 1, "title": 2, "folder": 3, "path": 4}
 FIRST, SECOND = ("body", "filename", "title", "folder"), ("body", "filename", "title", "path")
 _LENGTHS = [f"len_{f}" for f in FIELDS]
-POSTINGS = "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS) + ", bucket int"
+POSTINGS = "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS) + ", block long, bucket int"
+TERMS = "bucket int, term string, " + ", ".join(f"df_{f} long" for f in FIELDS) + ", df long"
+BLOCKS = "bucket int, term string, block long, first long, last long, n long, most double, least int"
+BLOCK, PAGE, TERM_BLOCKS = 10, 1024, 1 << 15  # bits of a block's rows at least, rows of a page, blocks that a term may have
+SWEPT, RANGES, AHEAD = 50_000, 200, 8  # postings from which blocks are used, ranges of passages in a scan, postings read first for each wanted one
 
 
 def bucket(term: Column) -> Column:
@@ -57,30 +71,74 @@ def statistics(indexed: DataFrame) -> DataFrame:
 
 
 def write(indexed: DataFrame, path: str) -> None:
-    postings(indexed).write.partitionBy("bucket").parquet(f"{path}/postings")
     statistics(indexed).coalesce(1).write.parquet(f"{path}/statistics")
+    n = indexed.sparkSession.read.parquet(f"{path}/statistics").first()["n"]
+    store(postings(indexed), path, n)
+
 
+def store(rows: DataFrame, path: str, passages: int) -> None:
+    """Postings, sorted by bucket, term and passage, of so many passages; the dictionary and the blocks' bounds beside them."""
+    bits = max(BLOCK, (passages // TERM_BLOCKS).bit_length())
+    blocked = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
+    blocked.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/postings")
+    stored = rows.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    dictionary(stored).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+    bounds(stored).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "block").write.parquet(f"{path}/blocks")
 
-def merge(rows: DataFrame, path: str) -> None:
+
+def merge(rows: DataFrame, path: str, passages: int) -> None:
     """Postings of several segments as one."""
     keys = ["bucket", "term", "passage_id"]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(f"{path}/postings")
+    store(rows.drop("block").repartitionByRange(*keys).sortWithinPartitions(*keys), path, passages)
+
+
+def dictionary(rows: DataFrame) -> DataFrame:
+    """TERMS of postings: how many passages hold a term in each field, and in any of the first ranker's."""
+    has = lambda k: F.exists("at", lambda x: F.shiftright(x, SHIFT) == k)
+    flagged = rows.select("bucket", "term", *(has(k).cast("int").alias(f) for f, k in FIELDS.items()))
+    return flagged.groupBy("bucket", "term").agg(*(F.sum(f).alias(f"df_{f}") for f in FIELDS), F.sum(F.greatest(*FIRST)).alias("df"))
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """BLOCKS of postings."""
+    weights = F.array(*(F.lit(_weight(f) if f in FIRST else 0.0) for f in FIELDS))
+    weighted = F.aggregate("at", F.lit(0.0), lambda t, x: t + F.element_at(weights, F.shiftright(x, SHIFT) + 1))
+    short = rows.select("bucket", "term", "block", "passage_id", weighted.alias("f"), _sum(F.col(f"len_{f}") for f in FIRST).alias("length"))
+    by = short.groupBy("bucket", "term", "block")
+    return by.agg(F.min("passage_id").alias("first"), F.max("passage_id").alias("last"), F.count("*").alias("n"), F.max("f").alias("most"), F.min("length").alias("least"))
+
+
+def _weight(field: str) -> float:
+    return L.WEIGHTS["path" if field == "folder" else field]
 
 
 class Index:
-    """Postings and statistics that a search reads."""
+    """Postings and statistics that a search reads; the dictionary and the blocks, where there are such."""
 
-    def __init__(self, rows: DataFrame, counts: dict[str, int]):
-        self.rows, self.counts = rows, counts
+    def __init__(self, rows: DataFrame, counts: dict[str, int], terms: DataFrame | None = None, blocks: DataFrame | None = None):
+        self.rows, self.counts, self.terms, self.blocks = rows, counts, terms, blocks
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics").first().asDict())
+        table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+        return cls(table("postings", POSTINGS), spark.read.parquet(f"{path}/statistics").first().asDict(), table("terms", TERMS), table("blocks", BLOCKS))
+
+    def frequencies(self, words: list[str]) -> dict[str, dict[str, int]]:
+        """What the dictionary has of some words: a row of each segment."""
+        out = {w: dict.fromkeys([*(f"df_{f}" for f in FIELDS), "df"], 0) for w in words}
+        for r in self.terms.filter(_listed(words)).collect():
+            out[r["term"]] = {k: v + r[k] for k, v in out[r["term"]].items()}
+        return out
 
     def average(self, *fields: str) -> float:
         return sum(self.counts[f"len_{f}"] for f in fields) / self.counts["n"] if self.counts["n"] else 0.0
 
 
+def _listed(words: list[str]) -> Column:
+    """Whether a row's term is one of some words; the buckets are named for the scan."""
+    return reduce(lambda a, b: a | b, ((F.col("bucket") == bucket_of(w)) & (F.col("term") == w) for w in words), F.lit(False))
+
+
 def _wanted(query: Query, ranking: bool) -> list[tuple[str, bool]]:
     """The words to look up, and whether each is the beginning of a word."""
     out: dict[tuple[str, bool], None] = {}
@@ -97,10 +155,12 @@ def _is(word: str, prefix: bool) -> Column:
     return F.startswith("term", F.lit(word)) if prefix else F.col("term") == word
 
 
-def _looked_up(index: Index, words: list[tuple[str, bool]]) -> DataFrame:
-    """A row for each passage that holds some word: lengths, and w0, w1, ... the places of each word."""
+def _looked_up(index: Index, words: list[tuple[str, bool]], ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """A row for each passage (of some ranges) that holds some word: lengths, and w0, w1, ... the places of each word."""
     one = lambda w, p: (F.col("bucket") == bucket_of(w)) & _is(w, p) if len(w) > 1 or not p else _is(w, p)
     hits = index.rows.filter(reduce(lambda a, b: a | b, (one(w, p) for w, p in words)))
+    if ranges is not None:
+        hits = hits.filter(" or ".join(f"passage_id between {a} and {b}" for a, b in ranges) or "false")
     places = [F.flatten(F.collect_list(F.when(_is(w, p), F.col("at")))) if p else F.coalesce(F.first(F.when(_is(w, p), F.col("at")), True), F.array().cast("array<int>")) for w, p in words]
     return hits.groupBy("passage_id").agg(F.first("source_id").alias("source_id"), *(F.first(n).alias(n) for n in _LENGTHS), *(c.alias(f"w{k}") for k, c in enumerate(places)))
 
@@ -157,24 +217,108 @@ def _sum(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def scored(index: Index, query: Query) -> DataFrame:
-    """Matching passages by the first ranker: bm25, body_hits, rank, and what signals need."""
+def _simple(index: Index, query: Query) -> bool:
+    """Whether the dictionary knows how many passages hold each term: words, not phrases or beginnings."""
+    return index.terms is not None and all(len(t.words) == 1 and not t.prefix for t in query.positives)
+
+
+def _field(name: str | None) -> str:
+    return "folder" if name == "path" else name  # the first ranker's path
+
+
+def _document_frequencies(index: Index, query: Query) -> list[int]:
+    """Of each positive term, by the first ranker's fields."""
+    known = index.frequencies([t.words[0] for t in query.positives])
+    return [known[t.words[0]]["df" if t.field is None else f"df_{_field(t.field)}"] if t.field is None or _field(t.field) in FIRST else 0 for t in query.positives]
+
+
+def _idf(n: int, df: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+
+
+def scored(index: Index, query: Query, ranges: list[tuple[int, int]] | None = None, dfs: list[int] | None = None) -> DataFrame:
+    """Matching passages (of some ranges) by the first ranker: bm25, body_hits, rank, and what signals need."""
     words = _wanted(query, True)
     p = _Places(words)
-    rows, found = _matched(_looked_up(index, words), p, query, FIRST)
-    n = index.counts["n"]
-    df = rows.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(query.positives))))
+    rows, found = _matched(_looked_up(index, words, ranges), p, query, FIRST)
+    n, out = index.counts["n"], rows.filter(found)
+    if dfs is None and _simple(index, query):
+        dfs = _document_frequencies(index, query)
+    if dfs is not None:
+        weights = [F.lit(_idf(n, df)) for df in dfs]
+    else:
+        df = rows.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(query.positives))))
+        out = out.crossJoin(F.broadcast(df))  # one row
+        weights = [F.greatest(F.log((F.lit(n) - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6)) for i in range(len(query.positives))]
     length = _sum(F.col(f"len_{f}") for f in FIRST)
     score = F.lit(0.0)
-    for i in range(len(query.positives)):
-        f = _sum(F.col(f"f{i}_{name}") * F.lit(L.WEIGHTS["path" if name == "folder" else name]) for name in FIRST)
-        idf = F.greatest(F.log((F.lit(n) - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
+    for i, idf in enumerate(weights):
+        f = _sum(F.col(f"f{i}_{name}") * F.lit(_weight(name)) for name in FIRST)
         score = score + idf * f * (L.K1 + 1) / (f + L.K1 * (1 - L.B + L.B * length / F.lit(index.average(*FIRST))))
-    out = rows.filter(found).crossJoin(F.broadcast(df))  # one row
     out = out.withColumn("bm25", score).withColumn("body_hits", _sum(F.col(f"f{i}_body") for i in range(len(query.positives))))
     return out.withColumn("rank", F.col("bm25") * F.when(F.col("body_hits") > 0, 1.0).otherwise(L.METADATA_ONLY))
 
 
+class Sweep:
+    """Over the blocks of a query's words: ranges of passages, and what no score within each exceeds."""
+
+    def __init__(self, index: Index, query: Query, dfs: list[int]):
+        words = [t.words[0] for t in query.positives]
+        rows = index.blocks.filter(_listed(words)).select("term", "first", "last", "n", "most", "least").collect()  # TERM_BLOCKS of a word and segment at most
+        self.total = sum(r["n"] for r in rows)
+        if self.total < SWEPT:
+            return
+        n, average = index.counts["n"], index.average(*FIRST)
+        edges = np.unique(np.array([x for r in rows for x in (r["first"], r["last"] + 1)], np.int64))
+        self.begin, self.end = edges[:-1], edges[1:] - 1
+        bound, self.size, every = np.zeros(len(self.begin)), np.zeros(len(self.begin)), np.ones(len(self.begin), bool)
+        for w, df in zip(words, dfs):
+            own = [r for r in rows if r["term"] == w]
+            f, short = np.array([r["most"] for r in own]), np.array([r["least"] for r in own], float)
+            part = _idf(n, df) * f * (L.K1 + 1) / (f + L.K1 * (1 - L.B + L.B * short / average)) if own else np.zeros(0)
+            a, b = (np.searchsorted(edges, np.array([r["first"] for r in own], np.int64)), np.searchsorted(edges, np.array([r["last"] + 1 for r in own], np.int64)))
+            at = np.concatenate([np.arange(i, j) for i, j in zip(a, b)]).astype(int) if own else np.zeros(0, int)
+            most = np.zeros(len(self.begin))
+            np.maximum.at(most, at, np.repeat(part, b - a))
+            np.add.at(self.size, at, np.repeat(np.array([r["n"] for r in own]) / np.maximum(b - a, 1), b - a))
+            bound, every = bound + most, every & (most > 0)
+        self.bound = bound if query.any_of else np.where(every, bound, 0.0)
+
+    def best(self, rows: int) -> list[tuple[int, int]]:
+        """The most promising ranges, until they have so many postings."""
+        order = np.argsort(-self.bound, kind="stable")
+        order = order[self.bound[order] > 0]
+        return self._merged(np.sort(order[: int(np.searchsorted(np.cumsum(self.size[order]), rows)) + 1]))
+
+    def reaching(self, score: float) -> list[tuple[int, int]]:
+        """The ranges that can hold a score of at least so much, but for the last digits of sums."""
+        return self._merged(np.flatnonzero((self.bound > 0) & (self.bound >= score - 1e-9 * abs(score))))
+
+    def _merged(self, at: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges in order; those with the smallest gaps are joined until there are few."""
+        if not len(at):
+            return []
+        begin, end = self.begin[at].tolist(), self.end[at].tolist()
+        gaps = [b - a for a, b in zip(end, begin[1:])]  # exact: ids may lie far apart
+        cut = sorted(sorted((k for k, g in enumerate(gaps) if g > 1), key=lambda k: -gaps[k])[: RANGES - 1])
+        return list(zip([begin[0], *(begin[k + 1] for k in cut)], [*(end[k] for k in cut), end[-1]]))
+
+
+def best_passages(index: Index, query: Query, k: int, files: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """The k best matching passages by rank; blocks that can't hold one of them aren't read."""
+    top = lambda ranges, dfs: allowed(scored(index, query, ranges, dfs), files, where).orderBy(F.desc("rank"), "passage_id").limit(k)
+    if not _simple(index, query):
+        return top(None, None)
+    dfs = _document_frequencies(index, query)
+    if index.blocks is None:
+        return top(None, dfs)
+    sweep = Sweep(index, query, dfs)
+    if sweep.total < SWEPT:
+        return top(None, dfs)
+    first = top(sweep.best(AHEAD * k), dfs).agg(F.count("*"), F.min("rank")).first()
+    return top(sweep.reaching(first[1] if first[0] == k else 0.0), dfs)
+
+
 def with_signals(rows: DataFrame, query: Query) -> DataFrame:
     """cover, the numbers of the phrases that body or heading hold, and multiplier."""
     p, phrases = _Places(_wanted(query, True)), query.ranking
@@ -199,7 +343,7 @@ def allowed(rows: DataFrame, files: DataFrame | None, where: Column | None) -> D
 
 def search(index: Index, query: Query, limit: int = 20, files: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """source_id, score, best_passage of the best `limit` sources, as `lexical.search` gives them."""
-    rows = allowed(scored(index, query), files, where).orderBy(F.desc("rank"), "passage_id").limit(max(limit * 8, 200))
+    rows = best_passages(index, query, max(limit * 8, 200), files, where)
     return L.by_source(with_signals(rows, query).withColumn("score", F.col("rank") * F.col("multiplier")), query, limit)
 
 
@@ -207,14 +351,22 @@ def scored_v2(index: Index, query: Query) -> DataFrame:
     words = _wanted(query, False)
     p = _Places(words)
     rows, found = _matched(_looked_up(index, words), p, query, SECOND)
-    df = rows.agg(*(F.count_if(F.col(f"f{i}_{f}") > 0).alias(f"df_{i}_{f}") for i in range(len(query.positives)) for f in SECOND))
-    n, score = F.lit(index.counts["n"]), F.lit(0.0)
-    for i in range(len(query.positives)):
+    n, score, out = index.counts["n"], F.lit(0.0), rows.filter(found)
+    known = index.frequencies([t.words[0] for t in query.positives]) if _simple(index, query) else None
+    if known is None:
+        df = rows.agg(*(F.count_if(F.col(f"f{i}_{f}") > 0).alias(f"df_{i}_{f}") for i in range(len(query.positives)) for f in SECOND))
+        out = out.crossJoin(F.broadcast(df))  # one row
+    for i, t in enumerate(query.positives):
         for f in SECOND:
-            tf, d = F.col(f"f{i}_{f}"), F.col(f"df_{i}_{f}")
-            idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
+            tf = F.col(f"f{i}_{f}")
+            if known is None:
+                d = F.col(f"df_{i}_{f}")
+                idf = F.log(1 + (F.lit(n) - d + 0.5) / (d + 0.5))
+            else:
+                d = known[t.words[0]][f"df_{f}"] if t.field in (None, f) else 0
+                idf = F.lit(math.log(1 + (n - d + 0.5) / (d + 0.5)))
             score = score + L.WEIGHTS[f] * idf * tf * (L.K1 + 1) / (tf + L.K1 * (1 - L.B + L.B * F.col(f"len_{f}") / F.lit(index.average(f))))
-    return rows.filter(found).crossJoin(F.broadcast(df)).withColumn("bm25", score)  # one row
+    return out.withColumn("bm25", score)
 
 
 def search_v2(index: Index, passages: DataFrame, query: Query, limit: int = 20, offset: int = 0, after: Column | None = None) -> DataFrame:

@@ -424,3 +424,82 @@ def test_journal(spark, tmp_path):
     snapshot = spark.createDataFrame([(3, 0, False, [3.0])], "key long, seq long, tombstoned boolean, embedding array<float>")
     got = sorted((r["key"], r["seq"], r["tombstoned"], r["embedding"]) for r in J.replay(spark, at, snapshot).collect())
     assert got == [(1, 2, False, [0.25, 2.0]), (2, 4, True, None), (3, 0, False, [3.0])]
+
+
+def read_rows(df):
+    """The rows, and how many the scans gave after row groups and pages were skipped."""
+
+    def given(plan):
+        name = plan.getClass().getSimpleName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return given(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return given(plan.plan())
+        if name.startswith("FileSourceScan"):
+            return plan.metrics().apply("numOutputRows").value()
+        return sum(given(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return df.collect(), given(df._jdf.queryExecution().executedPlan())
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path, monkeypatch):
+    from skein.operators import inverted as I
+
+    rng = random.Random(3)
+    vocabulary = ["stone", "wall", "river", "hill", "cloud"]
+    rows = [(f"/d{i % 7}/f{i}.txt", "", "common " * (9 if i // 100 == 20 else 1) + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30))) + (" seldom" if i // 50 == 70 else "")) for i in range(6000)]
+    p = passages(spark, rows)
+    for name, value in (("BLOCK", 5), ("PAGE", 32), ("SWEPT", 0)):
+        monkeypatch.setattr(I, name, value)
+    I.write(p, str(tmp_path / "i"))
+    index = I.Index.read(spark, str(tmp_path / "i"))
+    whole = I.Index(index.rows, index.counts)
+    assert index.blocks.filter("term = 'common'").count() > 150
+    close = lambda df: [(r["source_id"], round(r["score"], 9), r["best_passage"]) for r in df.collect()]
+    for q in ("common", "seldom", "common seldom", "common OR seldom", "common -stone", "stone wall", "stone OR wall", "title:common", "common nothere", 'common "stone wall"', "f20 OR common", "name:f2001 common"):
+        assert close(I.search(index, parse(q), 3)) == close(I.search(whole, parse(q), 3)), q
+    from pyspark.sql import functions as F
+
+    some = p.select("source_id", "filename")
+    where = F.col("filename").rlike("[05].txt$")
+    assert close(I.search(index, parse("common"), 5, some, where)) == close(I.search(whole, parse("common"), 5, some, where))
+    found, read = read_rows(I.best_passages(index, parse("common"), 30))
+    every, all_read = read_rows(I.best_passages(whole, parse("common"), 30))
+    key = lambda r: (r["passage_id"], round(r["rank"], 9))
+    assert list(map(key, found)) == list(map(key, every))
+    assert all_read >= 6000 and read < all_read / 5, (read, all_read)
+    _, read = read_rows(I.best_passages(index, parse("common seldom"), 30))
+    assert read < 1000
+
+
+def test_dictionary_stays_exact_under_changes(spark, tmp_path):
+    from skein.engine import Engine
+    from skein.operators import inverted as I
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i in range(12):
+        (docs / f"f{i}.txt").write_text(f"common {'seldom' if i % 5 == 0 else 'other'} words {i}")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index_folder(str(docs), "r")
+    (docs / "f0.txt").unlink()
+    e.reconcile(str(docs), "r")
+    (docs / "f1.txt").write_text("seldom garden")
+    (docs / "f2.txt").unlink()
+    e.reconcile(str(docs), "r")
+    (docs / "f0.txt").write_text("common again")
+    e.reconcile(str(docs), "r")
+
+    def rows(terms):
+        kept = terms.groupBy("term").agg(*(F.sum(c).alias(c) for c in terms.columns if c.startswith("df")))
+        return sorted(tuple(r) for r in kept.collect() if any(r[1:]))
+
+    from pyspark.sql import functions as F
+
+    m = e.log.current()
+    assert len(m.segments) == 3
+    exact = rows(I.dictionary(e.index_of(m).rows))
+    assert rows(e.index_of(m).terms) == exact
+    assert e.index_of(m).frequencies(["seldom", "none"])["seldom"]["df"] == 3 and e.index_of(m).frequencies(["none"])["none"]["df"] == 0
+    m = e.compact()
+    assert rows(e.index_of(m).terms) == exact
