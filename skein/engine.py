@@ -201,13 +201,13 @@ class Engine:
                 reduce(DataFrame.unionByName, [own, *before]).groupBy("source_id").agg(F.max("upto").alias("upto")).write.parquet(f"{self.base}/{mine}/sources")
                 stones = self.spark.read.parquet(f"{self.base}/{mine}/sources")
                 fresh = stones.filter(F.col("upto") == m.sequence).select("source_id")
+                if not new and batch is None and fresh.isEmpty():  # nothing that is there goes
+                    remove(self.spark, f"{self.base}/{mine}")
+                    return m
                 passages = self._table("passages", m).join(fresh, "source_id", "left_semi")
                 old = inverted.statistics(passages).first().asDict()
                 self._write_lost_terms(m, passages, f"{self.base}/{mine}/terms")
                 counts, dead, number = {k: counts[k] - old[k] for k in counts}, mine, stones.count()
-                if number == m.n_tombstones and not new and batch is None:  # nothing that is there goes
-                    remove(self.spark, f"{self.base}/{mine}")
-                    return m
             if new:
                 counts = {k: counts.get(k, 0) + new[k] for k in new}
                 segments[name] = m.sequence + 1

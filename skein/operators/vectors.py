@@ -86,49 +86,6 @@ def merge(snapshot: DataFrame, delta: DataFrame, active: DataFrame, k: int) -> D
     return both.groupBy("key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
 
-def cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """The nearest of some centres for each vector."""
-
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(v.to_numpy()) @ centres.T).argmax(1).astype("int32")) if len(v) else pd.Series([], dtype="int32")
-
-    return vectors.withColumn("cell", nearest("embedding"))
-
-
-def train_cells(vectors: DataFrame, number: int, sample: int = 20_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centres by spherical k-means on at most `sample` vectors, chosen by a hash of the key."""
-    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("embedding").toPandas()
-    m = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    c = m[rng.choice(len(m), min(number, len(m)), replace=False)]
-    for _ in range(rounds):
-        own = (m @ c.T).argmax(1)
-        sums = np.stack([np.bincount(own, weights=m[:, d], minlength=len(c)) for d in range(m.shape[1])], axis=1)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(length > 0, sums / np.maximum(length, 1e-12), c)
-    return c
-
-
-def cell_number(vectors: int) -> int:
-    """How many cells to make: eight vectors each, up to 1,024 cells. With 35 in 100 of them probed, 0.92 of the nearest ten are found."""
-    return max(1, min(1024, vectors // 8))
-
-
-def nearest_cells(centres, query: list[float], share: float) -> list[int]:
-    """The cells nearest a query, as many as the share of all says."""
-    c = np.asarray(centres, np.float64)
-    return np.argsort(-(c @ np.asarray(query)), kind="stable")[: max(1, int(np.ceil(share * len(c))))].tolist()
-
-
-def approximate_top(celled: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int) -> DataFrame:
-    """The k most similar rows of the `probes` cells nearest the query; stored by cell, only those are read."""
-    near = nearest_cells(centres, query, probes / len(centres))
-    scored = celled.filter(F.col("cell").isin(*near)).withColumn("score", cosine_to(query)("embedding"))
-    return scored.orderBy(F.desc("score"), "key").limit(k)
-
-
 def int8(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") * 127).cast("int"))))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.chunking import chunk_rows
 from skein.functions.text import parent
-from skein.operators import inverted
+from skein.operators import inverted, quantised
 from skein.sources.storage import shared_folder
 
 # File types by document number.
@@ -67,19 +67,51 @@ class Store:
     index: inverted.Index
 
 
-_stores: dict[tuple[str, str], Store] = {}
+_kept: dict[tuple, object] = {}
+
+
+def tables_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """The files of some tables with their sizes and times: what was made of them is good as long as this stays."""
+    out = []
+    for name in names:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = system.listStatus(at) if system.exists(at) else []
+        out += [(name, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in status]
+    return tuple(out)
+
+
+def kept(spark: SparkSession, sf_dir: str, what: str, names: tuple[str, ...], make):
+    """What `make` gives, made once for a session and a state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, what, tables_state(spark, sf_dir, *names))
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def build_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Index the tables in a folder."""
+    at = shared_folder(spark, "store")
+    indexed(spark, sf_dir).repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
+    rows = spark.read.parquet(f"{at}/passages")
+    inverted.write(rows, at)
+    return Store(rows, inverted.Index.read(spark, at))
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
     """The stored index of the tables in a folder; built at the first search, kept for the session's later ones."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
-        at = shared_folder(spark, "store")
-        indexed(spark, sf_dir).repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-        rows = spark.read.parquet(f"{at}/passages")
-        inverted.write(rows, at)
-        _stores[key] = Store(rows, inverted.Index.read(spark, at))
-    return _stores[key]
+    return kept(spark, sf_dir, "store", ("documents", "labels"), lambda: build_store(spark, sf_dir))
+
+
+def build_vectors(spark: SparkSession, sf_dir: str) -> quantised.Index:
+    """Index the vectors of a folder's tables."""
+    at = shared_folder(spark, "vectors")
+    quantised.write(vectors(spark, sf_dir), at)
+    return quantised.Index(spark, at)
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> quantised.Index:
+    return kept(spark, sf_dir, "vectors", ("embeddings",), lambda: build_vectors(spark, sf_dir))
 
 
 def stored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import file_queries, lexical_queries, text_queries, vector_queries
+from . import engine_queries, file_queries, lexical_queries, text_queries, vector_queries
 
-_PAIRS = lexical_queries.QUERIES | file_queries.QUERIES | vector_queries.QUERIES | text_queries.QUERIES
+_PAIRS = lexical_queries.QUERIES | file_queries.QUERIES | vector_queries.QUERIES | text_queries.QUERIES | engine_queries.QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v[0] for k, v in _PAIRS.items()}
 ORACLES: dict[str, str] = {k: v[1] for k, v in _PAIRS.items() if v[1]}

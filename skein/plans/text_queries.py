@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import anchors as A
 from skein.functions import text as T
+from skein.operators.maintenance import latest
+from skein.sources import change_log as LOG
 from skein.sources import extract as E
 from skein.sources.storage import shared_folder
 from skein.streaming import changes as S
@@ -154,13 +157,40 @@ def _feed(s, d, folder: str) -> None:
 
 
 def stream_changes(s, d):
-    """The change stream over the events, applied to an empty index; a path's row is the last change that touched it."""
+    """The events as a stream that brings them out of order: each path's last event, from the state kept over all batches."""
     base = shared_folder(s, "stream")
-    _feed(s, d, f"{base}/in")
-    newest = C.changes(s, d).groupBy("path").agg(F.max("event_id").alias("event_id"))
-    v = S.Versions(s, f"{base}/index", "path string, event_id long")
-    S.run(S.read(s, f"{base}/in", 1), v, lambda paths: newest.join(paths, "path", "left_semi"), f"{base}/checkpoint").awaitTermination()
-    return v.current()[1].select("path")
+    rows = C.changes(s, d).select("path", "event_id", "kind", F.col("ts").cast("timestamp").alias("ts"))
+    for k in (2, 0, 1):
+        rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").json(f"{base}/in")
+    out = S.newest_ever(S.read(s, f"{base}/in", 1), "36500 days").writeStream.outputMode("update")
+    out.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    told = s.read.schema("path string, event_id long, kind string").parquet(f"{base}/out")
+    return latest(told, ["path"], [F.desc("event_id")]).filter("kind <> 'delete'").select("path", "event_id", "kind")  # a path is told of again whenever a newer event came
+
+
+def stream_log(s, d):
+    """The events as a log that a stream reads by ids, what was there before it began and what came later."""
+    base = shared_folder(s, "log")
+    at = re.sub("^file:/*(?=/)", "", base)
+    e = C.changes(s, d).select("event_id", "path", "kind", "ts")
+    flags = F.when(F.col("kind") == "recover", LOG.USER_DROPPED).when(F.col("kind") == "delete", LOG.REMOVED).otherwise(0)
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), "path", flags.alias("flags"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")))
+    middle = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+
+    def write(some):
+        some.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.mode("append").text(f"{base}/in")
+
+    write(e.filter(F.col("event_id") <= middle))
+    out = S.read_log(s, f"{at}/in", 0).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    query = out.trigger(processingTime=S.LATENCY).start()
+    try:
+        query.processAllAvailable()
+        write(e.filter(F.col("event_id") > middle))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = s.read.schema(S.SCHEMA).parquet(f"{base}/out")
+    return rows.groupBy("path", "kind").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"), F.max(F.unix_seconds("ts")).alias("last_at"))
 
 
 def stream_watermark(s, d):
@@ -234,6 +264,7 @@ QUERIES = {
     "extract_structured": (extract_structured, "select doc_id, case when length(trim(replace(text, chr(10), ' '), ' ')) > 0 then 'available' else 'filenameOnly' end as availability, true as same from documents"),
     "discover_files": (discover_files, ""),
     "vector_checksum": (vector_checksum, ""),
-    "stream_changes": (stream_changes, C.WITH_CHANGES + "select path from (select path, arg_max(kind, event_id) as kind from changes group by 1) where kind <> 'delete'"),
+    "stream_changes": (stream_changes, C.WITH_CHANGES + "select path, event_id, kind from (select path, max(event_id) as event_id, arg_max(kind, event_id) as kind from changes group by 1) where kind <> 'delete'"),
+    "stream_log": (stream_log, C.WITH_CHANGES + "select path, kind, count(*) as n, max(event_id) as last_id, max(floor(epoch(ts)))::bigint as last_at from changes where event_id > 0 group by 1, 2"),
     "stream_watermark": (stream_watermark, C.WITH_CHANGES + "select date_trunc('day', ts)::timestamp as day, kind, count(*) as n from changes group by 1, 2"),
 }

@@ -36,9 +36,8 @@ def vector_exact_topk(s, d):
 
 
 def vector_ann(s, d):
-    v = C.vectors(s, d)
-    centres = V.train_cells(v, V.cell_number(v.count()))
-    return V.approximate_top(V.cells(v, centres), centres, probe(s, d), 10, round(0.35 * len(centres))).select("key", F.round("score", 6).alias("score"))
+    """The ten nearest by the stored quantised index."""
+    return C.stored_vectors(s, d).search(probe(s, d), 10).select("key", F.round("score", 6).alias("score"))
 
 
 def _scored(s, d):
@@ -178,7 +177,7 @@ _SEMPOS = "sempos as (select *, row_number() over (order by score desc, source_i
 QUERIES = {
     "cosine": (cosine, _WV + f"select key, round({_COS}, 6) as score from v, q"),
     "vector_exact_topk": (vector_exact_topk, _WV + f"select key, round({_COS}, 6) as score from v, q order by {_COS} desc, key limit 50"),
-    "vector_ann": (vector_ann, ""),
+    "vector_ann": (vector_ann, _WV + f"select key, round({_COS}, 6) as score from v, q order by {_COS} desc, key limit 10"),
     "vector_merge": (vector_merge, _WV + f"select key, round(max(score), 6) as score from (select key, {_COS} as score from v, q where key % 3 <> 0 union all select key, {_COS} + 0.01::double from v, q where key % 2 = 0) where key % 5 <> 0 group by key order by max(score) desc, key limit 40"),
     "tombstones": (tombstones, "select vec_id as key, label from embeddings where vec_id % 7 <> 0"),
     "snapshot_active": (snapshot_active, "select vec_id as key from embeddings where vec_id % 6 = 0"),

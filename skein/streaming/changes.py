@@ -1,114 +1,105 @@
-"""Incremental indexing: a stream of file changes applied to the index, batch by batch.
+"""Incremental indexing: a stream of file changes applied to an engine's index, batch by batch.
 
-The stream's position is the query's checkpoint, so a batch may come again after a failure; applying it is idempotent: the
-new version of the index is a folder named by the batch, and the pointer moves once it is complete.
+The stream's position is the query's checkpoint, so a batch may come again after a failure; applying it is idempotent, as the
+manifest keeps the number of the last batch. `newest_ever` keeps the last event of each path as state: what arrives late, in
+whatever batch, never wins over a later event.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.operators.maintenance import latest
-from skein.sources.manifest import listed, remove
+from skein.sources.change_log import ChangeLog
 
 SCHEMA = "path string, event_id long, kind string, ts timestamp"
+LATENCY = "350 milliseconds"  # fixed value
+KEEP = "7 days"  # how long a path's last event is remembered, and how late an event may come
+_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
 def read(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Changes as they are written to a folder of JSON lines; a bounded number of files a batch."""
+    """Changes as they are written to a folder of JSON lines, in any store; a bounded number of files a batch."""
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def newest(batch: DataFrame) -> DataFrame:
-    """Of each path the latest change, with what to do: a recovery calls for a whole scan."""
-    action = F.when(F.col("kind") == "recover", "reconcile").when(F.col("kind") == "delete", "delete").otherwise("upsert")
-    return latest(batch, ["path"], [F.desc("event_id")]).withColumn("action", action)
+def read_log(spark: SparkSession, folder: str, since: int = 0) -> DataFrame:
+    """The events of a mounted log after the event `since`, a task a file; the position of a stream is an event's id.
 
+    Events wait for one another as long as the query's trigger says: LATENCY is how long a watcher would hold them.
+    """
+    spark.dataSource.register(ChangeLog)
+    return spark.readStream.format("skein_changes").option("path", folder).option("since", since).load()
 
-def ancestors(path: Column) -> Column:
-    """A path and the folders above it."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
 
+def _milliseconds(interval: str) -> int:
+    n, unit = re.fullmatch(r"(\d+) (second|minute|hour|day)s?", interval).groups()
+    return int(n) * _MS[unit]
 
-def apply_to(index: DataFrame, actions: DataFrame, load: Callable[[DataFrame], DataFrame], rescan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The index after a batch: touched paths go, those that still exist come back as `load` reads them.
 
-    A path to reconcile stands for all that lies below it: that goes too, and what `rescan` finds below it comes in.
-    """
-    kept = index.join(actions.select("path"), "path", "left_anti")
-    roots = actions.filter("action = 'reconcile'").select("path")
-    parts = [load(actions.filter("action = 'upsert'").select("path"))]
-    if not roots.isEmpty():
-        below = index.select("path", F.explode(ancestors(F.col("path"))).alias("_root")).join(roots.withColumnRenamed("path", "_root"), "_root", "left_semi")
-        kept = kept.join(below.select("path"), "path", "left_anti")
-        parts.append((rescan or load)(roots))
-    for rows in parts:
-        kept = kept.unionByName(rows.select(index.columns))
-    return kept.dropDuplicates(["path"])
-
-
-class Versions:
-    """An index as one folder a version, and a table of the versions that are complete."""
-
-    def __init__(self, spark: SparkSession, base: str, schema: str):
-        self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
-
-    def current(self) -> tuple[int, DataFrame]:
-        """The last complete version's number, or -1, and its rows."""
-        try:
-            done = self.spark.read.schema("version long").parquet(f"{self.base}/done").agg(F.max("version")).first()[0]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = None
-        if done is None:
-            return -1, self.spark.createDataFrame([], self.schema)
-        return done, self.spark.read.schema(self.schema).parquet(f"{self.base}/v{done}")
-
-    def publish(self, version: int, rows: DataFrame) -> None:
-        old = self.current()[0]
-        rows.write.mode("overwrite").parquet(f"{self.base}/v{version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.base}/done")
-        for name in listed(self.spark, self.base):  # the version before this one stays for those who read it
-            if name.startswith("v") and int(name[1:]) < old:
-                remove(self.spark, f"{self.base}/{name}")
-
-
-def run(changes: DataFrame, versions: Versions, load: Callable[[DataFrame], DataFrame], checkpoint: str, rescan: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Apply a stream to the index until all that is there has been read."""
+def newest_ever(changes: DataFrame, keep: str = KEEP) -> DataFrame:
+    """Of each path the last event by id over all batches so far, where a batch brings a newer one. State that is older than `keep` goes; so do events that come later than that."""
+    kept = _milliseconds(keep)
 
-    def each(batch: DataFrame, number: int) -> None:
-        done, index = versions.current()
-        if number > done:  # a batch that comes again has been applied
-            versions.publish(number, apply_to(index, newest(batch), load, rescan))
-
-    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tops = [f.nlargest(1, "event_id") for f in frames if len(f)]
+        top = pd.concat(tops).nlargest(1, "event_id")
+        last = state.get[0] if state.exists else None
+        if last is None or int(top["event_id"].iloc[0]) > last:
+            last = int(top["event_id"].iloc[0])
+            state.update((last,))
+            yield top[["path", "event_id", "kind", "ts"]]
+        at = top["ts"].iloc[0]
+        known = int(at.timestamp() * 1000) if not pd.isna(at) else 0
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), known, 0) + kept + 1)
+
+    grouped = changes.filter("event_id is not null").withWatermark("ts", keep).groupBy("path")
+    return grouped.applyInPandasWithState(newest, SCHEMA, "event_id long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def actions_of(batch: DataFrame) -> DataFrame:
+    """What to do about each path's last event: a recovery calls for a scan."""
+    action = F.when(F.col("kind") == "recover", "reconcile").when(F.col("kind") == "delete", "delete").otherwise("upsert")
+    return batch.select("path", "event_id", action.alias("action"))
 
 
-def follow(changes: DataFrame, engine, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Apply a stream to an engine's index: a segment a batch, not a new index. `load`(path) gives files with their texts.
+def follow(changes: DataFrame, engine, load: Callable[[DataFrame], DataFrame], checkpoint: str, keep: str = KEEP) -> StreamingQuery:
+    """Apply a stream to an engine's index: a segment a batch, not a new index. `load`(path, event_id) gives files with their texts.
 
-    A recovery names a root that the engine knows, which is scanned again; the manifest keeps the last batch's number.
+    A recovery of a path above, at or below a root that the engine knows has the root scanned again; one elsewhere is a change of that path.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         manifest = engine.log.current()
         if number <= manifest.batch:
             return
-        actions = newest(batch).select("path", "action")
-        roots = {r["path"] for r in actions.filter("action = 'reconcile'").filter(F.col("path").isin(*manifest.roots.values())).collect()} if manifest.roots else set()  # as many as there are roots
-        for root_id, root in manifest.roots.items():
-            if root in roots:
-                engine.reconcile(root, root_id)
-        gone = engine.files().select("source_id", "path").join(actions.filter("action = 'delete'"), "path", "left_semi") if manifest.segments else None
-        engine.apply(load(actions.filter("action = 'upsert'").select("path")), gone, batch=number)
-
-    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        try:
+            actions = actions_of(batch)
+            touches = {root_id: (F.col("path") == root) | F.startswith("path", F.lit(root + "/")) | F.startswith(F.lit(root), F.concat("path", F.lit("/"))) for root_id, root in manifest.roots.items()}
+            known = F.lit(False)
+            if touches:
+                hit = actions.filter("action = 'reconcile'").agg(*(F.max(c).alias(r) for r, c in touches.items())).first()
+                for root_id, c in touches.items():
+                    known = known | c
+                    if hit[root_id]:
+                        engine.reconcile(manifest.roots[root_id], root_id)
+            changed = actions.filter((F.col("action") == "upsert") | ((F.col("action") == "reconcile") & ~known)).select("path", "event_id")
+            gone = engine.files().select("source_id", "path").join(actions.filter("action = 'delete'"), "path", "left_semi") if manifest.segments else None
+            engine.apply(load(changed), gone, batch=number)
+        finally:
+            batch.unpersist()
+
+    return newest_ever(changes, keep).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def counts_by_time(changes: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -52,22 +52,6 @@ def test_top_k_is_planned_as_one(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_neighbours_are_found_in_cells(spark):
-    from skein.operators import vectors as V
-    from skein.plans import corpus as C
-    from skein.plans.vector_queries import probe
-
-    v = C.vectors(spark, SF).cache()
-    centres = V.train_cells(v, 16)
-    celled = V.cells(v, centres).cache()
-    found = 0
-    for key in range(0, 50, 10):
-        q = probe(spark, SF, key)
-        exact = {r["key"] for r in V.exact_top(v, q, 10).collect()}
-        found += len(exact & {r["key"] for r in V.approximate_top(celled, centres, q, 10, 13).collect()})
-    assert found >= 45  # of 50
-
-
 def test_whole_texts_are_decoded(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -303,18 +303,60 @@ def test_command_line():
         parser().parse_args(["q", "--limit", "201"])
 
 
-def test_stream_resumes(spark, tmp_path):
+def test_last_events_win_over_all_batches(spark, tmp_path):
     from skein.streaming import changes as S
 
-    load = lambda paths: paths.withColumn("event_id", F.lit(1).cast("long"))
-    v = S.Versions(spark, str(tmp_path / "index"), "path string, event_id long")
+    at = lambda hour: f"2024-01-0{1 + hour // 24} {hour % 24:02}:00:00"
     write = lambda rows: spark.createDataFrame(rows, "path string, event_id long, kind string, ts string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    write([("/a", 1, "upsert", "2024-01-01 00:00:00"), ("/b", 2, "upsert", "2024-01-01 00:00:01")])
-    S.run(S.read(spark, str(tmp_path / "in")), v, load, str(tmp_path / "cp")).awaitTermination()
-    assert {r["path"] for r in v.current()[1].collect()} == {"/a", "/b"}
-    write([("/a", 3, "delete", "2024-01-01 00:00:02"), ("/c", 4, "delete", "2024-01-01 00:00:03"), ("/c", 5, "upsert", "2024-01-01 00:00:04")])
-    S.run(S.read(spark, str(tmp_path / "in")), v, load, str(tmp_path / "cp")).awaitTermination()
-    assert {r["path"] for r in v.current()[1].collect()} == {"/b", "/c"}
+    told = []
+
+    def step():
+        out = S.newest_ever(S.read(spark, str(tmp_path / "in")), "2 hours").writeStream.outputMode("update")
+        out.foreachBatch(lambda batch, n: told.append(sorted((r["path"], r["event_id"], r["kind"]) for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return [r for rows in told for r in rows], told.clear()
+
+    write([("/a", 5, "delete", at(10)), ("/a", 4, "upsert", at(10)), ("/b", 2, "upsert", at(10)), ("/b", None, "delete", at(10))])
+    assert step()[0] == [("/a", 5, "delete"), ("/b", 2, "upsert")]
+    write([("/a", 3, "upsert", at(10)), ("/b", 7, "delete", at(10)), ("/c", 6, "upsert", at(10))])  # an older event of /a in a later batch
+    assert step()[0] == [("/b", 7, "delete"), ("/c", 6, "upsert")]
+    write([("/d", 8, "upsert", at(30))])
+    step()
+    write([("/a", 1, "upsert", at(10)), ("/d", 9, "upsert", at(31))])  # later than state is kept: left out
+    assert step()[0] == [("/d", 9, "upsert")]
+    write([("/a", 10, "upsert", at(31))])
+    assert step()[0] == [("/a", 10, "upsert")]
+
+
+def test_a_log_is_read_on_after_the_last_event_committed(spark, tmp_path):
+    import json
+
+    from skein.sources import change_log as LOG
+    from skein.streaming import changes as S
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def write(name, events, end="\n", mode="w"):
+        with open(log / name, mode) as f:
+            f.write("\n".join(json.dumps({"id": i, "path": p, "flags": k, "at": 1.7e9 + i}) for i, p, k in events) + end)
+
+    def step(since=0):
+        q = S.read_log(spark, str(log), since).writeStream.format("parquet").option("path", str(tmp_path / f"out{since}")).option("checkpointLocation", str(tmp_path / f"cp{since}")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r["event_id"], r["path"], r["kind"]) for r in spark.read.schema(S.SCHEMA).parquet(str(tmp_path / f"out{since}")).collect())
+
+    write("1.jsonl", [(3, "/a", 0), (4, "/b", LOG.REMOVED)])
+    write("2.jsonl", [(6, "/c", LOG.REMOVED | LOG.KERNEL_DROPPED)])
+    first = [(3, "/a", "upsert"), (4, "/b", "delete"), (6, "/c", "recover")]
+    assert step() == first
+    write("2.jsonl", [(7, "/d", 0), (8, "/half", 0)], end="", mode="a")  # the last line isn't whole
+    write("3.jsonl", [(9, "/e", 0)])
+    write(".hidden", [(99, "/x", 0)])
+    later = [(7, "/d", "upsert"), (9, "/e", "upsert")]
+    assert step() == first + later  # each event once
+    assert step() == first + later
+    assert step(6) == later
 
 
 def test_metadata(spark):
@@ -332,17 +374,6 @@ def test_page_routing(spark):
     assert [r["route"] for r in route_pages(p).orderBy("page").collect()] == ["structured", "viewer", "ocr", "viewer"]
 
 
-def test_recovery_scans_below_its_root(spark, tmp_path):
-    from skein.streaming import changes as S
-
-    load = lambda paths: paths.withColumn("event_id", F.lit(1).cast("long"))
-    found = spark.createDataFrame([("/r/new", 9), ("/r/kept", 9)], "path string, event_id long")
-    index = spark.createDataFrame([("/r/kept", 1), ("/r/gone", 1), ("/rest", 1), ("/x", 1)], "path string, event_id long")
-    actions = spark.createDataFrame([("/r", "reconcile"), ("/x", "delete"), ("/y", "upsert")], "path string, action string")
-    got = S.apply_to(index, actions, load, lambda roots: found)
-    assert sorted(tuple(r) for r in got.collect()) == [("/r/kept", 9), ("/r/new", 9), ("/rest", 1), ("/y", 1)]
-
-
 def test_stream_of_changes_reaches_searches(spark, tmp_path):
     from skein.streaming import changes as S
 
@@ -489,6 +520,10 @@ def test_dictionary_stays_exact_under_changes(spark, tmp_path):
     e.reconcile(str(docs), "r")
     (docs / "f0.txt").write_text("common again")
     e.reconcile(str(docs), "r")
+    gone = e.files().filter("filename in ('f1.txt', 'f3.txt')").select("source_id").collect()
+    gone = spark.createDataFrame(gone, "source_id string")
+    e.apply(None, gone)  # f1 has a tombstone of an earlier change already
+    assert e.apply(None, gone) == e.log.current() and sorted(h["filename"] for h in e.search(SearchRequest("seldom")).collect()) == ["f10.txt", "f5.txt"]
 
     def rows(terms):
         kept = terms.groupBy("term").agg(*(F.sum(c).alias(c) for c in terms.columns if c.startswith("df")))
@@ -500,6 +535,6 @@ def test_dictionary_stays_exact_under_changes(spark, tmp_path):
     assert len(m.segments) == 3
     exact = rows(I.dictionary(e.index_of(m).rows))
     assert rows(e.index_of(m).terms) == exact
-    assert e.index_of(m).frequencies(["seldom", "none"])["seldom"]["df"] == 3 and e.index_of(m).frequencies(["none"])["none"]["df"] == 0
+    assert e.index_of(m).frequencies(["seldom", "none"])["seldom"]["df"] == 2 and e.index_of(m).frequencies(["none"])["none"]["df"] == 0
     m = e.compact()
     assert rows(e.index_of(m).terms) == exact
