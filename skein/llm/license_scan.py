@@ -5,7 +5,7 @@ small letter goes on the one before) are normalised to lower-case words, with sp
 looked up among known licence sentences. The identifiers found, in order, are matched against the rules: a rule is a
 sequence of identifiers that must follow one another among those found. Rules are tried in their order, longer sequences
 first; what a rule matches is taken out of the sequence, so no later rule sees it: the three clauses of a BSD-3-Clause text
-are not a BSD-2-Clause one too. Rules without a name take sentences that say nothing by themselves, as disclaimers do.
+are not a BSD-2-Clause one too. A mark stays in its place, so what stood on either side of it does not follow one another. Rules without a name take sentences that say nothing by themselves, as disclaimers do.
 Every known sentence holds a trigger word, so texts without any are not cut up at all.
 
 Defined cases: a null or empty text has no sentences and no licences; a rule met twice counts once; licences are listed in
@@ -120,9 +120,25 @@ RULES += [
     ("Zlib", ["zlib-warranty", "zlib-grant", "zlib-altered", "zlib-notice"]), ("Zlib", ["zlib-warranty", "zlib-grant"]),
     *(("", [x]) for x in ("as-is-apache", "bsd-warranty", "bsd-liability", "gnu-received-gpl", "gnu-received-lgpl", "gnu-see", "gnu-see-lesser", "gnu-warranty", "isc-warranty", "mit-warranty", "mit-liability", "mpl2-copy", "zlib-warranty", "zlib-altered", "zlib-notice")),
 ]
+# A sentence from the body of licences whose full text may come without its title.
+BODIES = {
+    "GPL-3.0": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "AGPL-3.0": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "LGPL-3.0": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
+    "GPL-2.0": "this general public license applies to most of the free software foundation s software and to any other program whose authors commit to using it",
+    "LGPL-2.1": "this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it",
+    "Apache-2.0": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "MPL-2.0": "means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "CC-BY-4.0": "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution 4 0 international public license public license",
+    "CC-BY-SA-4.0": "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution sharealike 4 0 international public license public license",
+    "CC-BY-NC-4.0": "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution noncommercial 4 0 international public license public license",
+}
+for _name, _text in BODIES.items():
+    SENTENCES[f"body-{_name.lower()}"] = _text
+    RULES.append((_name, [f"body-{_name.lower()}"]))
 # One-line references are made from a licence's names and the ways to refer to it.
 REFERRED = {
-    "MIT": ["mit"], "Apache-2.0": ["apache 2 0", "apache license 2 0", "apache license version 2 0", "apache"], "BSD-2-Clause": ["bsd 2 clause", "simplified bsd"],
+    "MIT": ["mit"], "Apache-2.0": ["apache 2 0", "apache license 2 0", "apache license version 2 0"], "Apache": ["apache"], "BSD-2-Clause": ["bsd 2 clause", "simplified bsd"],
     "BSD-3-Clause": ["bsd 3 clause", "new bsd", "modified bsd"], "BSD": ["bsd"], "ISC": ["isc"], "Zlib": ["zlib"], "MPL-2.0": ["mozilla public license 2 0", "mozilla public license version 2 0", "mpl 2 0"],
     "EPL-2.0": ["eclipse public license 2 0", "epl 2 0"], "GPL-2.0": ["gpl 2 0", "gplv2", "gnu gpl v2", "gnu general public license version 2"], "GPL-3.0": ["gpl 3 0", "gplv3", "gnu gpl v3", "gnu general public license version 3"],
     "LGPL-2.1": ["lgpl 2 1", "gnu lesser general public license version 2 1"], "LGPL-3.0": ["lgpl 3 0", "gnu lesser general public license version 3"], "AGPL-3.0": ["agpl 3 0", "gnu affero general public license version 3"],
@@ -144,6 +160,9 @@ for _pattern, _plain in ALIKE:
     SENTENCES = {_i: re.sub(_pattern, _plain, _s) for _i, _s in SENTENCES.items()}
 
 
+TAKEN = "<>"  # what stays of a match in a sequence of identifiers
+
+
 def ordered(rules: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
     """Longer sequences first, else as given."""
     return sorted(rules, key=lambda r: -len(r[1]))
@@ -190,7 +209,7 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES
     def take(state: Column, rule: Column) -> Column:
         here = F.contains(state["left"], rule["need"])
         met = F.when(here & (rule["name"] != ""), F.array_append(state["met"], rule["name"])).otherwise(state["met"])
-        return F.struct(F.when(here, F.replace(state["left"], rule["need"], F.lit(""))).otherwise(state["left"]).alias("left"), met.alias("met"))
+        return F.struct(F.when(here, F.replace(state["left"], rule["need"], F.lit(TAKEN))).otherwise(state["left"]).alias("left"), met.alias("met"))
 
     met = F.array_sort(F.array_distinct(F.aggregate(table, begin, take, lambda s: s["met"])))
     return found.select("doc_id", "found", F.when(F.size("found") > 0, met).otherwise(F.array().cast("array<string>")).alias("licences"))
@@ -241,7 +260,7 @@ lists as (
 walk as (
   select r, 0 as k, seq as left_, []::varchar[] as met from lists
   union all
-  select w.r, w.k + 1, replace(left_, need, ''), case when contains(left_, need) and licence <> '' then list_append(met, licence) else met end
+  select w.r, w.k + 1, replace(left_, need, '{TAKEN}'), case when contains(left_, need) and licence <> '' then list_append(met, licence) else met end
   from walk w join rules on rules.k = w.k + 1),
 met as (select r, array_to_string(list_sort(list_distinct(met)), ' ') as licences from walk where k = (select max(k) from rules))
 select d.doc_id, coalesce(n, 0)::bigint as n_sentences, coalesce(sentences, '') as sentences, coalesce(licences, '') as licences

@@ -28,7 +28,7 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHARS, DOCUMENTS = 20, 3
 HOT, HOTTEST, CLASSES = 5_000, 1 << 14, 1 << 16
-FEW = 300_000  # bitmaps sent to the texts
+SENT = 32 << 20  # bytes of bitmaps that are sent to the texts
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -88,10 +88,11 @@ def keep_bitmaps(docs: DataFrame, chars: int = CHARS, documents: int = DOCUMENTS
     return cut(held.select(*one, F.filter(kept, lambda s: s["length"] > 0).alias("kept")), "bitmaps")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, few: int = FEW) -> DataFrame:
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, sent: int = SENT) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left of each row."""
     maps = bitmaps.select(F.col("doc_id").alias("its_id"), F.col("tie").alias("its_tie"), "kept")
-    maps = F.broadcast(maps) if maps.count() <= few else maps
+    size = bitmaps.agg(F.sum(64 + 16 * F.size("kept").cast("long"))).first()[0] or 0  # as rows in memory
+    maps = F.broadcast(maps) if size <= sent else maps
     own = _own(docs)
     both = own.join(maps, own.doc_id.eqNullSafe(maps.its_id) & (own.tie == maps.its_tie), "left")
     lines = both.select("doc_id", "text", "kept", _split("text").alias("lines"))

@@ -182,8 +182,8 @@ def test_line_dedup_is_that_of_brute_force(spark, hot):
     rows += [rows[0]] * 5 + [(rows[1][0], "another text of the same id\n" + texts[0]), (None, texts[0]), (None, texts[0]), (None, texts[150]), (10**12, texts[150])]
     docs = table(spark, [r[1] for r in rows], [r[0] for r in rows]).withColumnsRenamed({"node": "lines", "block": "place", "score": "kept"})
     maps = line_dedup.keep_bitmaps(docs, hot=hot)
-    for few in (10**6, 0):  # bitmaps sent, or joined
-        left = line_dedup.apply_bitmaps(docs, maps, few)
+    for sent in (10**9, 0):  # bitmaps sent, or joined
+        left = line_dedup.apply_bitmaps(docs, maps, sent)
         got = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in left.collect())
         assert got == brute_lines(rows)
     assert Counter(map(tuple, line_dedup.report(docs).collect())) == brute_lines(rows)

@@ -367,6 +367,17 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_rules_do_not_reach_across_what_was_taken(spark):
+    known = license_scan.SENTENCES
+    say = lambda *ids: "\n".join(known[i].capitalize() + "." for i in ids)
+    bsd = ("bsd-conditions", "bsd-source", "bsd-binary")
+    texts = [say("mit-grant", *bsd, "mit-notice"), say("mit-grant", "mit-notice", *bsd), "Released under the Apache license.", "Released under the Apache License 2.0.", "A text of some words.\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n  Not a title."]
+    got = {r["doc_id"]: r["licences"] for r in license_scan.report(table(spark, texts)).collect()}
+    assert [got[i] for i in range(5)] == ["BSD-2-Clause", "BSD-2-Clause MIT", "Apache", "Apache-2.0", "GPL-3.0"]
+    bodies = {r["doc_id"]: r["licences"] for r in license_scan.report(table(spark, [t.capitalize() + "." for t in license_scan.BODIES.values()])).collect()}
+    assert [bodies[i] for i in range(len(bodies))] == list(license_scan.BODIES)
+
+
 def sets(texts, width):
     out = []
     for t in texts:
@@ -508,7 +519,7 @@ def test_query_matches_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     rel = c.sql(queries.ORACLES[name])
