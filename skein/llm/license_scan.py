@@ -145,7 +145,7 @@ REFERRED = {
     "BSL-1.0": ["boost software license 1 0", "boost software license version 1 0"], "CC0-1.0": ["cc0", "cc0 1 0"], "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international"],
     "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international"], "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
 }
-WAYS = ["licensed under the {} license", "licensed under {}", "licensed under the {}", "released under the {} license", "distributed under the {} license", "this project is licensed under the {} license", "this work is licensed under the {}"]
+WAYS = ["licensed under the {} license", "released under the {}", "licensed under {}", "licensed under the {}", "released under the {} license", "distributed under the {} license", "this project is licensed under the {} license", "this work is licensed under the {}"]
 for _name, _forms in REFERRED.items():
     for _form in _forms:
         for _way in WAYS:
