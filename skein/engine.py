@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.chunking import chunk_rows
 from skein.functions.embedding import DIMENSIONS, embed_column, embed_texts
+from skein.operators import expression
 from skein.operators import filters as X
 from skein.operators import inverted
 from skein.operators import maintenance as M
 from skein.operators import quantised
 from skein.operators import vectors as V
-from skein.operators.query import parse
+from skein.operators.query import Query, parse
 from skein.sources import discovery, extract
 from skein.sources.manifest import Conflict, Log, Manifest, listed, remove  # noqa: F401
 
@@ -65,6 +66,12 @@ class StaleCursor(ValueError):
     """The index has changed since the cursor was given."""
 
 
+def _worded(text: str) -> Query:
+    """What snippets of an expression show: its words and phrases but for exclusions."""
+    found = [" ".join(x.words) for x in expression.leaves(expression.parse(text))]
+    return Query((), highlights=tuple(found))
+
+
 def effective_mode(requested: str, ready: bool) -> str:
     """Without vectors every search is a text search."""
     return requested if ready else "text"
@@ -362,7 +369,8 @@ class Engine:
         """source_id, score, path, filename, extension, modified_at, snippet; best first."""
         m = self.log.current()
         mode = effective_mode(request.mode, bool(m.snapshot or m.deltas))
-        query = parse(request.query) if mode != "semantic" else None
+        query = parse(request.query) if mode != "semantic" and request.ranker == 1 else None
+        words = query or (_worded(request.query) if mode != "semantic" else None)
         offset = self._offset(request.cursor, m)
         most = request.limit + offset
         if mode == "text":
@@ -373,7 +381,7 @@ class Engine:
         first = [F.desc("exact")] if "exact" in hits.columns else []
         order = [*first, F.desc("score"), F.asc("source_id")]
         hits = hits.orderBy(*order).offset(offset).limit(request.limit)
-        terms = [w for p in query.ranking for w in p] if query else []
+        terms = [w for p in words.ranking for w in p] if words else []
         info = self._read_passages(m, hits)
         snippet = T.snippet(F.col("body"), terms) if terms else T.short_excerpt(F.col("body"))
         out = info.filter(~self._excluded(m)).orderBy(*order)
@@ -408,7 +416,7 @@ class Engine:
         filtered = request.filters != X.Filters()
         if request.ranker == 2:
             where = request.filters.column_v2() if filtered else None
-            return inverted.search_v2(self.index_of(m), self._table("passages", m), query, limit, 0, where)
+            return expression.search(self.index_of(m), self._table("passages", m), expression.parse(request.query), limit, 0, where)
         return inverted.search(self.index_of(m), query, limit, self._table("files", m) if filtered else None, request.filters.column() if filtered else None)
 
     def _semantic(self, m: Manifest, request: SearchRequest, embed, limit: int) -> DataFrame:

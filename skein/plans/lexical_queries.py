@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import expression as X
 from skein.operators import inverted as I
 from skein.operators import lexical as L
 from skein.operators.query import parse
@@ -197,6 +198,14 @@ def text_search_v2(s, d):
     return I.search_v2(x.index, x.indexed, PAIR).select("source_id", _r("score"), "best_passage")
 
 
+NESTED = '(ering OR "of the"~3) +(filename:doc OR title:the^2) -(onth OR "in a")'
+
+
+def match_nested(s, d):
+    """A query of nested groups, with slop, weights and exclusions."""
+    return X.scored(C.store(s, d).index, X.parse(NESTED)).select("passage_id", _r("bm25"))
+
+
 def rerank_v2(s, d):
     x = C.store(s, d)
     best = I.scored_v2(x.index, PAIR).orderBy(F.desc("bm25"), "passage_id").limit(2000).select("passage_id", "bm25")
@@ -237,6 +246,27 @@ def match_reason(s, d):
     return _toks(s, d).select("passage_id", reason.alias("reason"))
 
 
+def _sloppy(words, t: str, slop: int) -> str:
+    """Where the first of two words stands with the second one at most `slop` places beyond the next."""
+    return f"list_filter(range(1, len({t}) + 1), lambda i: {t}[i] = '{words[0]}' and list_contains({t}[i + 1:i + 1 + {slop}], '{words[1]}'))"
+
+
+def _nested() -> str:
+    """NESTED: frequencies by field, what matches, and the sum of its parts' scores."""
+    fields = list(L.WEIGHTS)
+    word = lambda w: lambda t: f"len(list_filter({t}, lambda x: x = '{w}'))"
+    each = {  # name: its frequency in a field, the field it is limited to, its weight
+        "e": (word("ering"), None, 1.0), "o": (lambda t: f"len({_sloppy(('of', 'the'), t, 3)})", None, 1.0), "d": (word("doc"), "filename", 1.0),
+        "h": (word("the"), "title", 2.0), "n": (word("onth"), None, 0.0), "a": (lambda t: f"len({_starts(('in', 'a'), t)})", None, 0.0),
+    }
+    tf = ", ".join(f"{of(f'{f}_t') if own in (None, f) else '0'} as {k}_{f}" for k, (of, own, _) in each.items() for f in fields)
+    has = {k: "(" + " + ".join(f"{k}_{f}" for f in fields) + ") > 0" for k in each}
+    df = ", ".join(f"count(*) filter ({k}_{f} > 0) as df_{k}_{f}" for k in each for f in fields) + "".join(f", avg(len({f}_t)) as avg_{f}" for f in fields)
+    score = " + ".join(f"{weight * L.WEIGHTS[f]} * ln(1 + (n - df_{k}_{f} + 0.5) / (df_{k}_{f} + 0.5)) * {k}_{f} * 2.2 / ({k}_{f} + 1.2 * (0.25 + 0.75 * len({f}_t) / avg_{f}))" for k, (_, _, weight) in each.items() if weight for f in fields)
+    return f"""tfs as materialized (select *, {tf} from toks), stats as (select count(*) as n, {df} from tfs)
+select passage_id, round({score}, 6) as bm25 from tfs, stats where ({has['e']} or {has['o']}) and ({has['d']} or {has['h']}) and not ({has['n']} or {has['a']})"""
+
+
 _MD5 = "md5(array_to_string(t, ' '))"
 QUERIES = {
     "tokenize": (tokenize, f"select doc_id, len(t) as n_tokens, {_MD5} as tokens_md5 from (select doc_id, {_tokens_sql('text')} as t from documents)"),
@@ -256,6 +286,7 @@ from (select passage_id, unnest(t) as term, unnest(range(len(t))) as pos from (s
     "text_search": (text_search, _with(_matched(PAIR), CANDIDATES, _signals(PAIR), "scored as (select *, rank * multiplier as score from signals)", _roll("scored", "score"), _COVERAGE) + "select source_id, round(total * case when covered = 2 then 1.8 else 1.0 + 0.25 * covered / 2 end, 6) as score, best_passage from rolled join coverage using (source_id) order by total * case when covered = 2 then 1.8 else 1.0 + 0.25 * covered / 2 end desc, source_id limit 20"),
     "text_search_v2": (text_search_v2, _with(_v2(), _roll("reranked", "score"), path="path") + "select source_id, round(total, 6) as score, best_passage from rolled order by total desc, source_id limit 20"),
     "rerank_v2": (rerank_v2, _with(_v2(), path="path") + "select passage_id, round(score, 6) as score from reranked"),
+    "match_nested": (match_nested, _with(_nested().split("\nselect ")[0], path="path") + "select " + _nested().split("\nselect ")[1]),
     "excerpt": (excerpt, C.WITH_PASSAGES + """select passage_id, case when length(body) <= 500 then body else case when st > 0 then '… ' else '' end || substring(body, st + 1, 500) || case when st + 500 < length(body) then ' …' else '' end end as excerpt
 from (select *, greatest(0, coalesce(least(nullif(strpos(strip_accents(lower(body)), 'ering'), 0), nullif(strpos(strip_accents(lower(body)), 'onth'), 0)), 1) - 101) as st from passages)"""),
     "semantic_excerpt": (semantic_excerpt, C.WITH_PASSAGES + "select passage_id, case when length(b) > 420 then substring(b, 1, 417) || '…' else b end as excerpt from (select passage_id, trim(regexp_replace(body, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as b from passages)"),

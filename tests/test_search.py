@@ -538,3 +538,65 @@ def test_dictionary_stays_exact_under_changes(spark, tmp_path):
     assert e.index_of(m).frequencies(["seldom", "none"])["seldom"]["df"] == 2 and e.index_of(m).frequencies(["none"])["none"]["df"] == 0
     m = e.compact()
     assert rows(e.index_of(m).terms) == exact
+
+
+def test_expressions_nest(spark, tmp_path):
+    from skein.operators import expression as E
+    from skein.operators import inverted as I
+    from skein.operators.query import QueryError, split_words
+
+    assert E.parse("a b") == E.Group((E.Leaf(("a",)), E.Leaf(("b",)))) and E.parse("(((a)))") == E.Leaf(("a",))
+    assert E.parse('title:(x OR "y z"~2)^2') == E.Group((), (E.Leaf(("x",), "title"), E.Leaf(("y", "z"), "title", 2)), boost=2.0)
+    assert E.parse("a OR b c OR -d") == E.Group((), (E.Leaf(("a",)), E.Group((E.Leaf(("b",)), E.Leaf(("c",))))), (E.Leaf(("d",)),))
+    assert E.parse("+a OR b").must == (E.Leaf(("a",)),) and E.parse("http://x.y") == E.Leaf(("http", "x", "y"))
+    for odd in ("", "()", "-", "OR", "^2", '""', "-a"):
+        with pytest.raises(QueryError):
+            E.parse(odd)
+    for odd in ("title:", "a)", "(a", 'a "b', "a ^3 b", "((a OR ) b", "a AND AND b", ") a ("):
+        assert E.parse(odd)
+
+    rng = random.Random(11)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 9))] for _ in range(90)]
+    p = passages(spark, [(f"/d/{rng.choice(vocabulary)}.txt", rng.choice(vocabulary), " ".join(t)) for t in texts])
+    I.write(p, str(tmp_path / "i"))
+    index = I.Index.read(spark, str(tmp_path / "i"))
+    stored = {r["passage_id"]: {f: split_words(r[f] or "") for f in E.FIELDS} for r in p.collect()}
+
+    def count(leaf, words):
+        def fits(at):
+            end = at
+            for w in leaf.words[1:]:
+                end = next((k for k in range(end + 1, len(words)) if words[k] == w), None)
+                if end is None:
+                    return False
+            return end - at - (len(leaf.words) - 1) <= leaf.slop
+
+        return sum(words[k] == leaf.words[0] and fits(k) for k in range(len(words)))
+
+    def holds(node, row):
+        if isinstance(node, E.Leaf):
+            return any(count(node, row[f]) for f in E.FIELDS if node.field in (None, f))
+        if any(holds(x, row) for x in node.never):
+            return False
+        return all(holds(x, row) for x in node.must) if node.must else any(holds(x, row) for x in node.may)
+
+    def made(depth=2):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(["", "", "title:", "filename:"]) + rng.choice(vocabulary)
+        if kind < 0.5:
+            return f'"{rng.choice(vocabulary)} {rng.choice(vocabulary)}"' + rng.choice(["", "~1", "~4"])
+        parts = [rng.choice(["", "", "", "-", "+"]) + made(depth - 1) for _ in range(rng.randint(2, 3))]
+        return "(" + rng.choice([" ", " OR ", " AND "]).join(parts) + ")" + rng.choice(["", "^2"])
+
+    for _ in range(14):
+        text = made()
+        try:
+            node = E.parse(text)
+        except QueryError:
+            continue
+        got = {r["passage_id"]: r["bm25"] for r in E.scored(index, node).collect()}
+        assert set(got) == {k for k, row in stored.items() if holds(node, row)}, text
+    one, two = (E.scored(index, E.parse(q)).collect() for q in ("alpha", "alpha^2"))
+    assert {r["passage_id"]: round(2 * r["bm25"], 9) for r in one} == {r["passage_id"]: round(r["bm25"], 9) for r in two}
