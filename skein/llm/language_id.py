@@ -3,13 +3,14 @@
 A word's script is read off its bytes; the languages of which at least a hundredth of the training letters are in that
 script are its candidates. A word's score for a language is the sum of smoothed log-probabilities of its byte n-grams
 (hashed tables). The best path over a text's words pays `SWITCH` for each change of language, so single odd words don't
-break a span and mixed texts get several. A text's language is the one with most letters on the path; its score is that
-share of the letters.
+break a span and mixed texts get several: (first word, word after the last, language). A text's language is the one with most
+letters on the path; its score is that share of the letters.
 
 The tables are fitted on a bounded sample, `rows` rows and `chars` characters of each language and `total` characters in
-all, whatever the corpus (`learn`); more than `MOST` languages are refused. Texts of any length are labelled whole.
+all, whatever the corpus (`learn`); more than `MOST` languages are refused, and each takes a megabyte of the model, which the
+driver holds. Texts of any length are labelled whole.
 
-Defined cases: a text that is null or has no letter is `und` with score 0, as is any text if nothing could be learnt; ties
+Defined cases: a text that is null or has no letter is `und` with score 0 and no spans, as is any text if nothing could be learnt; ties
 go to the language first in the alphabet; repeated rows give a row each; null ids are never held out; rows without a
 language teach nothing; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,7 +32,7 @@ ROWS, CHARS, TOTAL, MOST = 1_500, 3_000_000, 100_000_000, 2_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
-# Scripts by the first byte of a letter's UTF-8 form (E0 and E3 are told apart by the second byte).
+# Scripts by the first byte of a letter's UTF-8 form, some told apart by the second or third byte.
 LATIN, GREEK, CYRILLIC, ARMENIAN, HEBREW, ARABIC, INDIC, THAI, KANA, HAN, HANGUL, OTHER = range(1, 13)
 
 
@@ -47,13 +48,18 @@ _SCRIPT = _scripts()
 
 
 def scripts(data: np.ndarray) -> np.ndarray:
-    """Of each byte, the script of the letter that begins there, or 0."""
+    """Of each byte, the script of the letter that begins there, or 0. Letters of rarer blocks are OTHER, signs are none."""
     out = _SCRIPT[data]
     if (data >= 0xE0).any():
         after = np.append(data[1:], np.uint8(0))
+        third = np.append(data[2:], np.zeros(2, np.uint8))[: len(data)]
         out = np.where((data == 0xE0) & (after >= 0xB8), np.uint8(THAI), out)
+        out = np.where((data == 0xE1) & (after >= 0xB8), np.where(after < 0xBC, np.uint8(LATIN), np.uint8(GREEK)), out)  # U+1E00, U+1F00
         out = np.where((data == 0xE3) & (after >= 0x90), np.uint8(HAN), out)
         out = np.where((data == 0xE2) | ((data == 0xE3) & (after < 0x81)), np.uint8(0), out)
+        rare = (data == 0xE2) & (after >= 0xB0) & (after < 0xB8)  # U+2C00 to U+2DFF: Glagolitic, Latin C, Coptic, Tifinagh, supplements
+        out = np.where(rare, np.where((after == 0xB1) & (third >= 0xA0), np.uint8(LATIN), np.uint8(OTHER)), out)
+        out = np.where((data == 0xF0) & (after != 0x9F), np.where(after >= 0xA0, np.uint8(HAN), np.uint8(OTHER)), out)  # U+1F000 on are pictures
     return out
 
 
@@ -66,16 +72,20 @@ class Model:
     def word_scores(self, buffer: Buffer) -> tuple[np.ndarray, np.ndarray]:
         """[word, language] scores, and letters of each word."""
         size = len(buffer.bytes) - 6
-        sums = [np.zeros(size, np.float32) for _ in self.languages]
+        ids = {}
         for n in SIZES:
-            ids, inside = buffer.ngrams(n, BITS)
-            ids = np.where(inside, ids, np.uint32(1 << BITS))  # the last row is all 0
-            for k, total in enumerate(sums):
-                total += self.tables[n][k][ids]
+            at, inside = buffer.ngrams(n, BITS)
+            ids[n] = np.where(inside, at, np.uint32(1 << BITS))  # the last row is all 0
+        words = []
+        for k in range(len(self.languages)):  # one at a time: a language's sums are as long as the texts
+            total = np.zeros(size, np.float32)
+            for n in SIZES:
+                total += self.tables[n][k][ids[n]]
+            words.append(buffer.word_sums(total))
         script = scripts(buffer.bytes[:size])
         letters = buffer.word_sums((script > 0).astype(np.int64))
         own = np.maximum.reduceat(script, buffer.starts - 1) if len(buffer.starts) else script[:0]
-        scores = np.stack([buffer.word_sums(t) for t in sums], axis=1)
+        scores = np.stack(words, axis=1)
         scores = np.where(letters[:, None] > 0, scores, 0)
         return scores + np.where(self.allowed[own], 0, -100.0), letters
 
@@ -87,11 +97,7 @@ class Model:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, word after the last, language) of a text's spans."""
-        if not self.languages or not text or not text.strip():
-            return []
-        path, _, _ = self.paths([text])
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-        return [(a, b, self.languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
+        return [tuple(x.values()) for x in self.label([text])[2].to_pylist()[0]]
 
     def foreign(self, texts: list[str | None]) -> np.ndarray:
         """Of each text, the share of letters in words of a script that no learnt language is written in; 0 without letters."""
@@ -105,19 +111,34 @@ class Model:
         return odd / np.maximum(total, 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Each text's language, and its share of the letters."""
+        return self.label(texts)[:2]
+
+    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, pa.Array]:
+        """Languages, shares, and the spans of each text."""
         names, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
-            return names, share
+            return names, share, pa.array([[]] * len(texts), SPANS)
         path, letters, buffer = self.paths(texts)
         k = len(self.languages)
         owner = np.repeat(np.arange(len(texts)), buffer.counts)
         votes = np.bincount(owner * k + path, weights=letters, minlength=len(texts) * k).reshape(-1, k)
         best, total = votes.argmax(1), votes.sum(1)
-        for i, t in enumerate(texts):
-            if t and _LETTER.search(t):
-                names[i] = self.languages[best[i]]
-                share[i] = votes[i, best[i]] / total[i] if total[i] else 1.0 / k
-        return names, share
+        lettered = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        for i in np.flatnonzero(lettered):
+            names[i] = self.languages[best[i]]
+            share[i] = votes[i, best[i]] / total[i] if total[i] else 1.0 / k
+        begin = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+        end = np.append(begin[1:], len(path))
+        begin, end = begin[lettered[owner[begin]]], end[lettered[owner[begin]]]
+        first = np.cumsum(buffer.counts) - buffer.counts
+        parts = [pa.array((x - first[owner[begin]]).astype(np.int32)) for x in (begin, end)]
+        spoken = pa.DictionaryArray.from_arrays(pa.array(path[begin].astype(np.int32)), pa.array(self.languages)).dictionary_decode()
+        ends = np.cumsum(np.bincount(owner[begin], minlength=len(texts)))
+        return names, share, pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.StructArray.from_arrays([*parts, spoken], ["first", "end", "lang"]))
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray:
@@ -195,14 +216,15 @@ def learn(docs: DataFrame, usable, rows: int = ROWS, chars: int = CHARS, total:
 
 
 def identify(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame:
-    """docs -> the columns of `keep`, which are passed on, lang_pred and score."""
+    """docs -> the columns of `keep`, which are passed on, lang_pred, score and spans."""
     names = [c.split()[0] for c in keep.split(", ")]
-    schema = f"_row struct<{', '.join(c.replace(' ', ':', 1) for c in keep.split(', '))}>, lang_pred string, score double"
+    schema = f"_row struct<{', '.join(c.replace(' ', ':', 1) for c in keep.split(', '))}>, lang_pred string, score double, spans array<struct<first:int, end:int, lang:string>>"
+    size = 16_000_000 // max(16, len(model.languages))  # characters at a time: a word has a score for each language
 
     def run(batches):
         kind = pa.struct([pa.field(n, _KINDS[c.split()[1]]) for n, c in zip(names, keep.split(", "))])
-        for rows, texts in in_blocks(batches, 1_000_000, 2):
-            languages, share = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(languages), pa.array(share)], ["_row", "lang_pred", "score"])
+        for rows, texts in in_blocks(batches, size, 2):
+            languages, share, spans = model.label(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(languages), pa.array(share), spans], ["_row", "lang_pred", "score", "spans"])
 
-    return docs.select(F.struct(*names).alias("_row"), "text").mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
+    return docs.select(F.struct(*names).alias("_row"), "text").mapInArrow(run, schema).select("_row.*", "lang_pred", "score", "spans")

@@ -167,6 +167,56 @@ def test_foreign_scripts_are_told_by_the_learnt_ones():
     assert model.foreign(["plain words", "слова тут", "plain слова", None, "12"]).tolist() == [0, 1, 0.5, 0, 0]
 
 
+def test_scripts_of_rare_blocks():
+    model = language_id.fit(["plain words only here", "ganz andere worte da"], ["en", "de"])
+    assert model.foreign(["ⰀⰁⰂ ⰃⰄ", "ⲀⲂ", "ⴰⴱⴳ", "𐌰𐌱", "한국어", "ខ្មែរ"]).tolist() == [1] * 6
+    assert model.foreign(["Tiếng Việt ṩẇ ⱥⱦ", "— “…” →", "😀 😀", "plain ⰀⰁⰂⰃⰄ"]).tolist() == [0, 0, 0, 0.5]
+    letter = lambda c: language_id.scripts(np.frombuffer((c + "     ").encode(), np.uint8))[0]
+    assert [letter(c) for c in "aéαἀяքאعกあ漢𠀀가ⰀጀⲀ"] == [1, 1, 2, 2, 3, 4, 5, 6, 8, 9, 10, 10, 11, 12, 12, 12]
+    assert [letter(c) for c in "—→ 1、😀"] == [0] * 6
+
+
+def test_word_scores_are_sums_over_their_ngrams():
+    rng = random.Random(9)
+    make = lambda v: " ".join(rng.choice(v) for _ in range(200))
+    model = language_id.fit([make(["alpha", "beta", "gäm", "d"]), make(["omega", "psi", "слово"])], ["aa", "bb"])
+    texts = ["alpha psi", "  слово ", None, "d\tgäm 12", "unseen"]
+    buffer = subwords.Buffer([t or "" for t in texts])
+    scores, letters = model.word_scores(buffer)
+    tables = {n: {} for n in language_id.SIZES}
+    for n in language_id.SIZES:  # the bucket of each n-gram, by what it is in a text of its own
+        for w in " ".join(t or "" for t in texts).split():
+            data = f" {w} ".encode()
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                if n == 1 and gram == b" " or n == 2 and gram.strip() == b"":
+                    continue
+                one = subwords.Buffer(["x"])
+                one.bytes = np.frombuffer(gram + b"          ", np.uint8)
+                one.space = one.bytes == 32
+                tables[n][gram] = int(one.ngrams(n, language_id.BITS)[0][0])
+    k, at = 0, [w for t in texts for w in (t or "").split()]
+    assert len(scores) == len(at)
+    for word, got, n_letters in zip(at, scores, letters):
+        data = f" {word} ".encode()
+        want = [sum(float(model.tables[n][lang][tables[n][data[i : i + n]]]) for n in language_id.SIZES for i in range(len(data) - n + 1) if not (n == 1 and data[i : i + 1] == b" ")) for lang in range(2)]
+        assert n_letters == sum(c.isalpha() for c in word)
+        script = {True: 3, False: 1}["с" in word or "о" in word]
+        off = [0 if model.allowed[script][lang] else -100.0 for lang in range(2)]
+        assert got.tolist() == pytest.approx([w + o if n_letters else got[i] for i, (w, o) in enumerate(zip(want, off))], abs=1e-3), word
+
+
+def test_spans_are_a_column_of_the_query(spark, folders):
+    texts, _, _ = corpus()
+    rows = queries.op5_language_id(spark, folders[None]).collect()
+    for r in rows:
+        n = len((texts[r["doc_id"]] if r["doc_id"] is not None else "null id") and (texts[r["doc_id"]] if r["doc_id"] is not None else "null id").split() or [])
+        if r["lang_pred"] == "und":
+            assert r["spans"] == []
+        else:
+            assert r["spans"][0]["first"] == 0 and r["spans"][-1]["end"] == n and all(a["end"] == b["first"] and a["lang"] != b["lang"] for a, b in zip(r["spans"], r["spans"][1:]))
+
+
 def test_small_samples_are_fitted():
     for texts, y in (["a b", "c d", "e f", "g h", "fine"], [1, 1, 1, 1, 0]), ([" ", " "], [0, 1]), (["bad", "good"], [1, 0]), ([" ", "bad", "bad", "bad"], [0, 1, 1, 1]):
         s = toxicity.fit(texts, np.array(y)).score([*texts, None, ""])
