@@ -29,7 +29,7 @@ from skein.operators import quantised
 from skein.operators import vectors as V
 from skein.operators.query import Query, parse
 from skein.sources import discovery, extract
-from skein.sources.manifest import Conflict, Log, Manifest, listed, remove  # noqa: F401
+from skein.sources.manifest import Log, Manifest, listed, remove
 
 MODES = ("text", "semantic", "hybrid")
 IMAGES = ("png", "jpg", "jpeg", "heic", "tif", "tiff")
@@ -385,7 +385,7 @@ class Engine:
         info = self._read_passages(m, hits)
         snippet = T.snippet(F.col("body"), terms) if terms else T.short_excerpt(F.col("body"))
         out = info.filter(~self._excluded(m)).orderBy(*order)
-        out = out.select("source_id", "score", "path", "filename", "extension", "modified_at", snippet.alias("snippet"), T.highlights(snippet, terms).alias("highlights") if terms else F.array().alias("highlights"), *(["exact"] if first else []))
+        out = out.select("source_id", "score", "path", "filename", "extension", "modified_at", snippet.alias("snippet"), T.with_utf16(T.highlights(snippet, terms), snippet).alias("highlights") if terms else F.array().alias("highlights"), *(["exact"] if first else []))
         return self._grouped(out, first) if request.group_copies else out.drop("exact")
 
     def _few(self, hits: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Where to look for a snippet in the text that it came from: runs of its words, as columns; UTF-16 offsets."""
+"""Where to look for a snippet in the text that it came from: runs of its words, as columns."""
 
 from __future__ import annotations
 
@@ -11,15 +11,6 @@ from skein.functions.text import collapse, tokens
 SIZES, LONGEST, SHORTEST, MOST = (18, 12, 8, 5), 180, 12, 12
 
 
-def utf16_length(text: str) -> int:
-    return len(text.encode("utf-16-le")) // 2
-
-
-def to_utf16(text: str, location: int, length: int) -> tuple[int, int]:
-    """A range of code points as one of UTF-16 units."""
-    return utf16_length(text[:location]), utf16_length(text[location : location + length])
-
-
 def anchors(snippet: Column, highlight: Column) -> Column:
     """Runs of words to search for, longest first: of each stretch between ellipses that holds the highlight, those that hold it.
 

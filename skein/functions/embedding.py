@@ -37,13 +37,3 @@ def embed_column(text: Column, embed: Callable[[list[str]], list] | None = None)
         return pd.Series(list(m.astype(np.float32)))
 
     return run(text)
-
-
-def score_column(query: str, text: Column, score: Callable[[str, list[str]], list[float]]) -> Column:
-    """A reranker's scores of texts for a query, a batch at a time."""
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(query, texts.fillna("").tolist()), dtype=float)
-
-    return run(text)

@@ -113,6 +113,27 @@ def highlights(text: Column, terms: list[str]) -> Column:
     return F.transform(F.array(fold(text)), lambda low: F.array_sort(F.concat(*(spans(low, t) for t in terms))))[0]
 
 
+def wide_places(text: Column) -> Column:
+    """Where in a text, from 0, the code points beyond U+FFFF stand: a sum over the stretches between them."""
+    parts = F.split(text, r"[\x{10000}-\x{10FFFF}]", -1)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.array_append(s["found"], s["at"] + F.length(p)).alias("found"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), begin, step, lambda s: s["found"])
+
+
+def with_utf16(ranges: Column, text: Column) -> Column:
+    """Ranges (location, length) in code points, with the same in UTF-16 units: those beyond U+FFFF are two units each."""
+    wide = F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), wide_places(text)).otherwise(F.array().cast("array<int>"))
+
+    def both(r: Column, places: Column) -> Column:
+        before = F.size(F.filter(places, lambda p: p < r["location"]))
+        within = F.size(F.filter(places, lambda p: (p >= r["location"]) & (p < r["location"] + r["length"])))
+        return F.struct(r["location"].alias("location"), r["length"].alias("length"), (r["location"] + before).alias("location16"), (r["length"] + within).alias("length16"))
+
+    # the text is looked at once
+    return F.transform(F.array(wide), lambda places: F.transform(ranges, lambda r: both(r, places)))[0]
+
+
 def snippet(text: Column, terms: list[str], size: int = 36, before: int = 6) -> Column:
     """A run of `size` words beginning at most `before` ahead of the first one that is a term; cut ends get ` … `."""
     words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))

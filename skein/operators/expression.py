@@ -9,7 +9,6 @@ A part that doesn't match as a whole adds nothing to a score. A group of exclusi
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import extension
+from skein.functions.text import extension, fold_width
 
 
 def under(path: Column, prefix: str) -> Column:
@@ -94,7 +94,7 @@ class Policy:
     def excluded(self, path: Column, root: Column) -> Column:
         """Whether a file is left out of the index of a root."""
         inside = F.startswith(path, F.concat(root, F.lit("/")))
-        relative = F.lower(F.substring(path, F.length(root) + 2, F.length(path)))
+        relative = F.lower(fold_width(F.substring(path, F.length(root) + 2, F.length(path))))
         parts = F.split(relative, "/")
         folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
         joined = F.concat(F.lit("/"), F.array_join(folders, "/"), F.lit("/"))

@@ -175,8 +175,8 @@ def smoothed_rate(rates: Column, before: Column | None = None) -> Column:
 def recent_rates(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """key, rate: the smoothed rate of each key's values in order.
 
-    What lies further back than `FADED` values has a weight that no double holds; a key's list is never longer, and tasks
-    keep no more of each key before the shuffle. Whether there was any rate before these still counts.
+    What lies further back than `FADED` values has a weight that no double holds; a key's list is never longer. Whether there
+    was any rate before these still counts. A key's rows are ranked in one task: keys are workers, not sources.
     """
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     last = rows.select(key, order, value).withColumn("_n", nth).filter(F.col("_n") <= FADED)

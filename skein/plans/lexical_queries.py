@@ -226,6 +226,13 @@ def highlights(s, d):
     return x.select("doc_id", F.col("h.location").cast("long").alias("location"), F.col("h.length").cast("long").alias("length"))
 
 
+def highlights_utf16(s, d):
+    """The same in UTF-16 units, over the documents with a letter beyond U+FFFF after each first word."""
+    text = F.regexp_replace("text", r"^(\S+)", "$1 \U0001d4b3")
+    x = C.table(s, d, "documents").select("doc_id", F.explode(T.with_utf16(T.highlights(text, ["ering", "onth"]), text)).alias("h"))
+    return x.select("doc_id", *(F.col(f"h.{c}").cast("long").alias(c) for c in ("location", "location16", "length16")))
+
+
 def snippet(s, d):
     x = C.stored_passages(s, d)
     return x.filter(F.arrays_overlap(T.tokens(F.col("body")), F.array(F.lit("ering")))).select("passage_id", T.snippet(F.col("body"), ["ering"]).alias("snippet"))
@@ -294,6 +301,12 @@ from (select *, greatest(0, coalesce(least(nullif(strpos(strip_accents(lower(bod
 w as (select doc_id, x, unnest(['ering', 'onth']) as w from t),
 p as (select doc_id, w, string_split(x, w) as ps from w)
 select doc_id, (list_sum(list_transform(ps[1:k], lambda q: length(q))) + (k - 1) * length(w))::bigint as location, length(w) as length
+from (select *, unnest(range(1, len(ps))) as k from p)"""),
+    "highlights_utf16": (highlights_utf16, """with t as (select doc_id, strip_accents(lower(regexp_replace(text, '^(\\S+)', '\\1 𝒳'))) as x from documents),
+w as (select doc_id, x, unnest(['ering', 'onth']) as w from t),
+p as (select doc_id, w, string_split(x, w) as ps from w)
+select doc_id, (list_sum(list_transform(ps[1:k], lambda q: length(q))) + (k - 1) * length(w))::bigint as location, length(w) as length16,
+  (list_sum(list_transform(ps[1:k], lambda q: length(q) + length(regexp_replace(q, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))) + (k - 1) * length(w))::bigint as location16
 from (select *, unnest(range(1, len(ps))) as k from p)"""),
     "snippet": (snippet, C.WITH_PASSAGES + f"""select passage_id, case when st > 1 then ' … ' else '' end || array_to_string(ws[st:st + 35], ' ') || case when st + 35 < len(ws) then ' … ' else '' end as snippet
 from (select *, greatest(1, greatest(1, list_position(list_transform(ws, lambda w: list_contains({_tokens_sql('w')}, 'ering')), true)) - 6) as st

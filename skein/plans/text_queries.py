@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import zipfile
 from xml.sax.saxutils import escape
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -17,8 +15,10 @@ from skein.functions import text as T
 from skein.operators.maintenance import latest
 from skein.sources import change_log as LOG
 from skein.sources import extract as E
+from skein.sources.journal import half
 from skein.sources.storage import shared_folder
 from skein.streaming import changes as S
+from skein.streaming.progress import Progress
 
 from . import corpus as C
 
@@ -138,14 +138,8 @@ def discover_files(s, d):
 
 
 def vector_checksum(s, d):
-    import hashlib
-
-    import numpy as np
-    @F.pandas_udf("string")
-    def checksum(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: hashlib.sha256(np.asarray(x, "<f2").tobytes()).hexdigest())
-
-    return C.vectors(s, d).select("key", checksum("embedding").alias("sha256"))
+    """What a journal's line holds each vector to: the SHA-256 of its half floats."""
+    return C.vectors(s, d).select("key", F.sha2(F.pandas_udf(half, "binary")("embedding"), 256).alias("sha256"))
 
 
 def _feed(s, d, folder: str) -> None:
@@ -193,6 +187,31 @@ def stream_log(s, d):
     return rows.groupBy("path", "kind").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"), F.max(F.unix_seconds("ts")).alias("last_at"))
 
 
+def stream_progress(s, d):
+    """What a listener knows of a stream over the events in three files, at its end."""
+    base = shared_folder(s, "stream")
+    _feed(s, d, f"{base}/in")
+    listener = Progress()
+    s.streams.addListener(listener)
+    try:
+        out = S.newest_ever(S.read(s, f"{base}/in", 1), "36500 days").writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{base}/out"))
+        query = out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = listener.wait(query.id)
+    finally:
+        s.streams.removeListener(listener)
+    return s.createDataFrame([(state.phase, state.found, state.done, state.fraction)], "phase string, found long, done long, fraction double")
+
+
+def nested_value(s, d):
+    """A key looked for in documents made of the conversations: below other keys and lists, in some not at all."""
+    x = C.table(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    leaf = F.struct(F.col("turn").alias("n"), F.when(F.col("turn") % 3 > 0, F.struct(F.col("text").alias("answer"))).alias("b"))
+    other = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("struct<answer:string>").alias("b"))
+    body = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.array(other, leaf).alias("items"), F.col("role")))).otherwise(F.to_json(F.struct(F.struct(leaf.alias("deep")).alias("meta"), F.col("role"))))
+    return E.nested_text(x.select("conv_id", "turn", body.alias("document")), "document", "answer").select("conv_id", "turn", F.md5("found").alias("found_md5"))
+
+
 def stream_watermark(s, d):
     """Changes by day and kind, each day written once, when no more of its changes are waited for; a last change far ahead closes all days."""
     base = shared_folder(s, "stream")
@@ -265,6 +284,8 @@ QUERIES = {
     "discover_files": (discover_files, ""),
     "vector_checksum": (vector_checksum, ""),
     "stream_changes": (stream_changes, C.WITH_CHANGES + "select path, event_id, kind from (select path, max(event_id) as event_id, arg_max(kind, event_id) as kind from changes group by 1) where kind <> 'delete'"),
+    "stream_progress": (stream_progress, "select 'finished' as phase, count(*) as found, count(*) as done, 1.0::double as fraction from events"),
+    "nested_value": (nested_value, "select conv_id, turn, md5(case when turn % 3 > 0 then text end) as found_md5 from conversations"),
     "stream_log": (stream_log, C.WITH_CHANGES + "select path, kind, count(*) as n, max(event_id) as last_id, max(floor(epoch(ts)))::bigint as last_at from changes where event_id > 0 group by 1, 2"),
     "stream_watermark": (stream_watermark, C.WITH_CHANGES + "select date_trunc('day', ts)::timestamp as day, kind, count(*) as n from changes group by 1, 2"),
 }

@@ -227,19 +227,27 @@ def ink_share(pixel: Column, dark: int = 242) -> Column:
     return F.coalesce(F.avg((pixel < dark).cast("int")), F.lit(0.0))
 
 
-def metadata_value(tree, key: str):
-    """The value of a key wherever it is first met in nested dictionaries and lists, depth first."""
-    below = tree.values() if isinstance(tree, dict) else tree if isinstance(tree, list) else ()
-    if isinstance(tree, dict) and key in tree:
-        return tree[key]
-    return next((v for b in below if (v := metadata_value(b, key)) is not None), None)
-
-
-def metadata_text(document: Column, key: str) -> Column:
-    """The same for a column of JSON documents; the value as text."""
-
-    @F.pandas_udf("string")
-    def run(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: None if d is None or (v := metadata_value(json.loads(d), key)) is None else v if isinstance(v, str) else json.dumps(v))
-
-    return run(document)
+def nested_text(rows: DataFrame, document: str, key: str, deepest: int = 64) -> DataFrame:
+    """rows with `found`: the value of a key wherever it is first met in JSON documents, as text; null where it isn't met.
+
+    An object's own keys come before what is below them, and that in the keys' order or the list's. Documents are walked as
+    variants, a level at a time, as far as any goes; no level needs more than the one above it, and values are picked before
+    they are dealt out, one for each row. Text that isn't JSON holds nothing.
+    """
+    spark, path = rows.sparkSession, "$." + json.dumps(key) if not re.fullmatch(r"\w+", key) else f"$.{key}"
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    level = numbered.select("_row", F.try_parse_json(document).alias("_v"), F.array().cast("array<int>").alias("_at")).filter("_v is not null")
+    found = None
+    for _ in range(deepest):
+        kind = F.schema_of_variant("_v")
+        own = F.when(kind.startswith("OBJECT"), F.try_variant_get("_v", path, "string"))
+        here = level.withColumn("_found", own)
+        hits = here.filter("_found is not null").select("_row", F.struct(F.col("_at").alias("at"), F.col("_found").alias("value")).alias("hit"))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = here.filter(F.col("_found").isNull() & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        if open_.isEmpty():
+            break
+        below = open_.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        level = below.select("_row", F.col("value").alias("_v"), F.concat("_at", F.array("pos")).alias("_at"))
+    first = found.groupBy("_row").agg(F.min("hit").alias("hit"))
+    return numbered.join(first, "_row", "left").select(*rows.columns, F.col("hit.value").alias("found"))

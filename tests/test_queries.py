@@ -64,3 +64,24 @@ def test_whole_texts_are_decoded(spark, tmp_path, monkeypatch):
     decode = Q.E.decode_text
     monkeypatch.setattr(Q.E, "decode_text", lambda c: F.substring(decode(c), 1, 400))
     assert got() == dict.fromkeys(range(6), False)
+
+
+def test_queries_without_sql_over_a_table(spark, duck):
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from skein.plans import text_queries as Q
+    from skein.sources.extract import html_text
+
+    vectors = dict(duck.execute("select vec_id, embedding from embeddings").fetchall())
+    got = {r["key"]: r["sha256"] for r in Q.vector_checksum(spark, SF).collect()}
+    assert got == {k: hashlib.sha256(np.array(v, np.float32).astype("<f2").tobytes()).hexdigest() for k, v in vectors.items()}
+    sums = {r["page_id"]: r for r in Q.html_documents(spark, SF).collect()}
+    pages = dict(duck.execute("select page_id, html from pages").fetchall())
+    assert {k: r["n_chars"] for k, r in sums.items()} == {k: len(html_text(v)) for k, v in pages.items()} and len(sums) > 10
+    anchors = {r["passage_id"]: r["n_anchors"] for r in Q.match_anchors(spark, SF).collect()}
+    bodies = duck.execute(registry.ORACLES["snippet"]).fetchall()
+    assert set(anchors) == {k for k, _ in bodies} and all(0 <= n <= 12 for n in anchors.values()) and any(anchors.values())
+    assert all(anchors[k] > 0 for k, text in bodies if re.search(r"\bering\b", text) and len(text) > 60)

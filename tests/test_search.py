@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.engine import Engine, SearchRequest, StaleCursor, effective_mode
 from skein.functions import text as T
-from skein.functions.anchors import anchors, to_utf16
+from skein.functions.anchors import anchors
 from skein.functions.chunking import chunk
 from skein.operators import filters as X
 from skein.operators import lexical as L
@@ -103,6 +103,8 @@ def test_policy(spark):
     got = {(r["path"], r["root"]): r["x"] for r in policy_cases(spark).withColumn("x", X.Policy(home="/home/me", prefixes=("/home/me/skip",)).excluded(F.col("path"), F.col("root"))).collect()}
     kept = {k for k, v in got.items() if not v}
     assert kept == {("/home/me/Documents/notes.txt", "/home/me"), ("/home/me/Library/CloudStorage/Drive/report.txt", "/home/me"), ("/home/me/go/pkg/mod/x/doc.txt", "/home/me/go/pkg/mod"), ("/home/me/venv.md", "/home/me")}
+    wide = spark.createDataFrame([("/r/ｎｏｄｅ＿ｍｏｄｕｌｅｓ/a.txt", "/r"), ("/r/NODE_MODULES/a.txt", "/r"), ("/r/ｎotes/a.txt", "/r")], "path string, root string")
+    assert [r["x"] for r in wide.coalesce(1).select(X.Policy().excluded(F.col("path"), F.col("root")).alias("x")).collect()] == [True, True, False]
     code = spark.createDataFrame([("/r/a.swift", "/r"), ("/r/b.txt", "/r")], "path string, root string")
     assert code.filter(~X.Policy(exclude_source_code=False).excluded(F.col("path"), F.col("root"))).count() == 2
 
@@ -141,7 +143,6 @@ def test_texts(spark):
     assert r["m"] == "Report\n\nName\tValue\n\nAlpha\t42"
     assert [tuple(h) for h in r["h"]] == [(3, 5), (9, 5)]
     assert int(r["k"]) == 14695981039346656037 | 1 << 63
-    assert to_utf16("😀ab", 1, 1) == (2, 1)
     of = lambda snippet, mark: spark.range(1).select(anchors(F.lit(snippet), F.lit(mark))).first()[0]
     assert of("one two three four five six seven … x", "four")[0] == "one two three four five six seven"
     long = " ".join(f"w{i:02d}" for i in range(60))
@@ -359,12 +360,74 @@ def test_a_log_is_read_on_after_the_last_event_committed(spark, tmp_path):
     assert step(6) == later
 
 
-def test_metadata(spark):
-    from skein.sources.extract import metadata_text
+def test_keys_are_found_in_nested_documents(spark):
+    import json
+
+    from skein.sources.extract import nested_text
+
+    rng = random.Random(6)
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.25:
+            return rng.choice([1, "x", None, True, 2.5, "ä"])
+        if kind < 0.5:
+            return [tree(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {k: tree(depth - 1) for k in rng.sample(["a", "b", "key", "zz"], rng.randint(0, 3))}
+
+    def first(node):
+        if isinstance(node, dict) and node.get("key") is not None:
+            return node["key"]
+        below = [node[k] for k in sorted(node)] if isinstance(node, dict) else node if isinstance(node, list) else []
+        return next((v for x in below if (v := first(x)) is not None), None)
+
+    rows = [(i, json.dumps(tree(5)), i) for i in range(120)] + [(500, "not json", 1), (501, None, 1), (502, "", 1), (503, '{"key": "one"}', 1), (503, '{"key": "one"}', 1)]
+    got = nested_text(spark.createDataFrame(rows, "id long, d string, value long"), "d", "key")
+    assert got.columns == ["id", "d", "value", "found"]
+    say = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    want = sorted((i, say(first(json.loads(t))) if t and t != "not json" else None) for i, t, _ in rows)
+    assert sorted((r["id"], r["found"]) for r in got.collect()) == want
+    assert nested_text(spark.createDataFrame([], "d string"), "d", "key").count() == 0
 
-    rows = [('{"a": [{"b": 1}, {"text": "found"}]}',), ('{"a": 2}',), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "d string").coalesce(1).select(metadata_text(F.col("d"), "text")).collect()]
-    assert got == ["found", None, None]
+
+def test_highlights_in_code_points_and_utf16_units(spark):
+    import re
+
+    rng = random.Random(4)
+    texts = ["😀ab 𝒳ab", "ab", "", None, "AB😀", "äb😀", *("".join(rng.choice("ab😀𝒳é ") for _ in range(30)) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("t", T.with_utf16(T.highlights(F.col("t"), ["ab", "b"]), F.col("t")).alias("h")).collect()
+    units = lambda s: len(s.encode("utf-16-le")) // 2
+    for r in rows:
+        t = r["t"]
+        if t is None:
+            assert r["h"] == []
+            continue
+        low = t.lower().replace("é", "e").replace("ä", "a")
+        want = sorted((m.start(), len(w)) for w in ("ab", "b") for m in re.finditer(w, low))
+        assert [(h["location"], h["length"]) for h in r["h"]] == want
+        assert [(h["location16"], h["length16"]) for h in r["h"]] == [(units(t[:a]), units(t[a : a + n])) for a, n in want]
+
+
+def test_a_listener_knows_how_far_a_stream_is(spark, tmp_path):
+    from skein.streaming import changes as S
+    from skein.streaming.progress import Progress
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        for k, n in enumerate((3, 5)):
+            spark.createDataFrame([(f"/{i}", 10 * k + i, "upsert", "2024-01-01 00:00:00") for i in range(n)], "path string, event_id long, kind string, ts string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = S.read(spark, str(tmp_path / "in"), 1).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        state = listener.wait(q.id)
+        assert (state.phase, state.found, state.done, state.batches, state.fraction) == ("finished", 8, 8, 2, 1.0)
+        bad = S.read(spark, str(tmp_path / "in"), 1).writeStream.foreachBatch(lambda b, n: 1 / 0).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        with pytest.raises(Exception):
+            bad.awaitTermination()
+        assert listener.wait(bad.id).phase == "failed" and listener.state(bad.id).done == 0
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.state("none").fraction == 1.0
 
 
 def test_page_routing(spark):
