@@ -43,32 +43,27 @@ def cosine_to(query: list[float]):
     return run
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, block: int = 5_000) -> DataFrame:
-    """a, b, score for each query and each row of vectors(key, embedding): a pass over the vectors for each block of queries."""
-    out, held = None, []
-
-    def passed(rows) -> DataFrame:
-        keys = np.array([r["key"] for r in rows], np.int64)
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    m = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    scores = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, len(m))), pa.array(np.tile(b.column(0).to_numpy(), len(keys))), pa.array(scores.reshape(-1))], ["a", "b", "score"])
-
-        return vectors.select("key", "embedding").mapInArrow(run, "a long, b long, score double")
-
-    for r in queries.select("key", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = passed(held) if out is None else out.unionByName(passed(held)), []
-    if held or out is None:
-        rest = passed(held) if held else vectors.limit(0).selectExpr("key as a", "key as b", "cast(0 as double) as score")
-        out = rest if out is None else out.unionByName(rest)
-    return out
+def similarities(queries: DataFrame, vectors: DataFrame, rows: int = 4_096, at_once: int = 256) -> DataFrame:
+    """a, b, score for each query and each row of vectors(key, embedding): both are dealt into blocks, and each pair of blocks is a task's group."""
+    number = lambda df, size: max(1, -(-df.count() // size))
+    n, m = number(vectors, rows), number(queries, at_once)
+    block = lambda count: F.pmod(F.xxhash64("key"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = [F.col("key").cast("long").alias("key"), F.col("embedding").alias("embedding")]
+    x = vectors.select(*own, block(n).alias("i"), every(m).alias("j"))
+    q = queries.select(*own, block(m).alias("j"), every(n).alias("i"))
+
+    def unit(table: pa.Table) -> np.ndarray:
+        v = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def products(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        a, b = right.column("key").to_numpy(), left.column("key").to_numpy()
+        return pa.table({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "score": (unit(right) @ unit(left).T).reshape(-1)})
+
+    return x.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInArrow(products, "a long, b long, score double")
 
 
 def literal(vector: list[float]) -> Column:

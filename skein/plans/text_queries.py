@@ -132,9 +132,11 @@ def make_docx(paragraphs: list[str]) -> bytes:
 
 
 def discover_files(s, d):
-    from skein.sources.discovery import discover
+    """The files of the tables, and what of their folder can't be looked at."""
+    from skein.sources.discovery import scan
 
-    return discover(s, d, pattern="*.parquet").select("filename", "extension", "availability")
+    rows = scan(s, d).filter((F.col("kind") == "error") | F.col("filename").endswith(".parquet"))
+    return rows.select("filename", "extension", "availability", "kind", "error")
 
 
 def vector_checksum(s, d):
