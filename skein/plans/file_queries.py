@@ -41,7 +41,9 @@ def filter_modified(s, d):
 
 
 def resolve_roots(s, d):
-    wanted = s.createDataFrame([("src1",), ("missing",)], "root_id string")
+    """Each source of the documents, and one like it that isn't a root."""
+    known = C.table(s, d, "documents").select(F.col("source").alias("root_id"))
+    wanted = known.unionByName(known.select(F.concat("root_id", F.lit("-gone")).alias("root_id"))).distinct()
     return X.resolve_roots(wanted, roots(s)).select("root_id", "prefix")
 
 
@@ -109,7 +111,8 @@ def outdated_extractions(s, d):
 
 
 def date_presets(s, d):
-    return s.range(1).select(F.explode(X.date_presets(F.lit(NOW).cast("timestamp_ntz"))).alias("preset", "earliest"))
+    """What each preset means at the time of each event."""
+    return C.table(s, d, "events").select("event_id", F.explode(X.date_presets(F.col("ts").cast("timestamp_ntz"))).alias("preset", "earliest"))
 
 
 def type_group_counts(s, d):
@@ -217,22 +220,26 @@ def indexing_priority(s, d):
     return f.orderBy(F.desc("supported"), F.col("modified_at").desc_nulls_last(), "size", "path").limit(100).select("source_id", "supported")
 
 
-def _saved(s):
-    return s.createDataFrame([(1, "alpha", False, '{"query":"a","limit":20}'), (2, "zulu", True, '{"query":"z","limit":500}'), (3, "Beta", False, '{"query":"b"}')], "id long, name string, pinned boolean, request string")
+def _saved(s, d):
+    """Saved searches made of the benchmark's texts; some without a limit, some with one out of bounds."""
+    limit = F.when(F.col("item_id") % 3 > 0, (F.col("item_id") % 5 * 100 - 50).cast("int"))
+    name = F.when(F.col("item_id") % 2 == 0, F.translate(F.substring("text", 1, 12), "aeiou", "AEIOU")).otherwise(F.substring("text", 1, 12))
+    return C.table(s, d, "benchmark").select(F.col("item_id").alias("id"), name.alias("name"), (F.col("item_id") % 4 == 1).alias("pinned"), F.to_json(F.struct(F.col("text").alias("query"), limit.alias("limit"))).alias("request"))
 
 
-SQL_SAVED = """with saved(id, name, pinned, request) as (values (1::bigint, 'alpha', false, '{"query":"a","limit":20}'), (2, 'zulu', true, '{"query":"z","limit":500}'), (3, 'Beta', false, '{"query":"b"}')) """
+SQL_SAVED = """with saved as (select item_id as id, case when item_id % 2 = 0 then translate(substring(text, 1, 12), 'aeiou', 'AEIOU') else substring(text, 1, 12) end as name, item_id % 4 = 1 as pinned,
+  text as query, case when item_id % 3 > 0 then (item_id % 5 * 100 - 50)::int end as most from benchmark) """
 
 
 def saved_searches(s, d):
     from pyspark.sql import Window
 
-    return _saved(s).select("id", "name", F.row_number().over(Window.orderBy(F.desc("pinned"), F.lower("name"), "id")).cast("long").alias("place"))
+    return _saved(s, d).select("id", "name", F.row_number().over(Window.orderBy(F.desc("pinned"), F.lower("name"), "id")).cast("long").alias("place"))
 
 
 def saved_search_json(s, d):
     r = F.from_json("request", "query string, limit int")
-    return _saved(s).select("id", r["query"].alias("query"), F.greatest(F.lit(1), F.least(F.lit(200), F.coalesce(r["limit"], F.lit(20)))).alias("limit"))
+    return _saved(s, d).select("id", r["query"].alias("query"), F.greatest(F.lit(1), F.least(F.lit(200), F.coalesce(r["limit"], F.lit(20)))).alias("limit"))
 
 
 def history_dedup(s, d):
@@ -285,20 +292,22 @@ def upsert_files(s, d):
     return M.upsert(p, new, ["source_id"])
 
 
-def _event_state(s):
-    old = s.createDataFrame([("a", 5, "2024-01-01"), ("b", 9, None), ("c", 1, "2024-01-05")], "root_id string, last_event_id long, t string")
-    new = s.createDataFrame([("a", 3, None), ("b", 12, "2024-02-01"), ("d", 7, None)], "root_id string, last_event_id long, t string")
-    ts = lambda x: x.select("root_id", "last_event_id", F.col("t").cast("timestamp_ntz").alias("last_reconciled_at"))
-    return ts(old), ts(new)
+def _event_state(s, d):
+    """Of each root, what was known up to the middle of the events, and what came after."""
+    e = C.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", F.concat(F.lit("r"), (F.col("user_id") % 12).cast("string")).alias("root_id"))
+    half = e.agg(F.max("event_id")).first()[0] // 2
+    state = lambda rows: rows.groupBy("root_id").agg(F.max("event_id").alias("last_event_id"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("last_reconciled_at"))
+    return state(e.filter((F.col("event_id") <= half) & (F.col("root_id") != "r3"))), state(e.filter((F.col("event_id") > half) & (F.col("root_id") != "r7")))
 
 
 def event_state_merge(s, d):
-    return M.merge_event_state(*_event_state(s))
+    return M.merge_event_state(*_event_state(s, d))
 
 
-EVENT_SQL = """with o(root_id, e, t) as (values ('a', 5::bigint, timestamp '2024-01-01'), ('b', 9, null), ('c', 1, timestamp '2024-01-05')),
-n(root_id, e, t) as (values ('a', 3::bigint, null::timestamp), ('b', 12, timestamp '2024-02-01'), ('d', 7, null))
-select root_id, greatest(o.e, n.e) as last_event_id, coalesce(n.t, o.t) as last_reconciled_at from o full join n using (root_id)"""
+EVENT_SQL = """with e as (select event_id, ts, event_type, 'r' || (user_id % 12) as root_id, event_id <= (select max(event_id) // 2 from events) as early from events),
+o as (select root_id, max(event_id) as e, max(ts) filter (event_type = 'error') as t from e where early and root_id <> 'r3' group by 1),
+n as (select root_id, max(event_id) as e, max(ts) filter (event_type = 'error') as t from e where not early and root_id <> 'r7' group by 1)
+select root_id, greatest(o.e, n.e) as last_event_id, coalesce(n.t, o.t)::timestamp as last_reconciled_at from o full join n using (root_id)"""
 
 
 def _log(s, d):
@@ -322,9 +331,11 @@ def mark_embedded(s, d):
 
 
 def preferences(s, d):
-    x = s.createDataFrame([('{"excludeSourceCode":false,"excludedFolderPaths":["/a//b/","/c"]}',), ("{}",)], "value string")
-    p = F.from_json("value", "excludeSourceCode boolean, excludedFolderPaths array<string>")
-    return x.select(F.coalesce(p["excludeSourceCode"], F.lit(True)).alias("exclude_source_code"), F.coalesce(F.array_join(F.transform(p["excludedFolderPaths"], T.canonical_path), ","), F.lit("")).alias("folders"))
+    """Preferences as JSON, one for each document: some are empty, some leave one out, paths aren't tidy."""
+    folders = F.array(F.concat(F.lit("/"), "source", F.lit("//"), "lang", F.lit("/")), F.concat(F.lit("/private/tmp/./"), "lang"))
+    value = F.when(F.col("doc_id") % 3 == 0, "{}").otherwise(F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit(False)).alias("excludeSourceCode"), folders.alias("excludedFolderPaths"))))
+    p = F.from_json(value, "excludeSourceCode boolean, excludedFolderPaths array<string>")
+    return C.table(s, d, "documents").select("doc_id", F.coalesce(p["excludeSourceCode"], F.lit(True)).alias("exclude_source_code"), F.coalesce(F.array_join(F.transform(p["excludedFolderPaths"], T.canonical_path), ","), F.lit("")).alias("folders"))
 
 
 def stable_reads(s, d):
@@ -351,7 +362,7 @@ QUERIES = {
     "filter_location_or": _filter(X.Filters(root_ids=frozenset({"src1"}), path_prefixes=frozenset({"/corpus/src2/en"})), "root_id = 'src1' or starts_with(path, '/corpus/src2/en/')"),
     "filter_v2": (filter_v2, C.WITH_FILES + "select source_id from files where root_id in ('src1', 'src2') and (starts_with(path, '/corpus/src1/en/') or starts_with(path, '/corpus/src2/')) and extension in ('txt', 'md') and coalesce(modified_at, timestamp '1970-01-01') between timestamp '1970-01-01' and timestamp '2024-01-20'"),
     "filter_modified": (filter_modified, C.WITH_FILES + "select source_id, modified_at from files where modified_at between timestamp '2024-01-03 02:00:00' and timestamp '2024-01-09 05:00:00'"),
-    "resolve_roots": (resolve_roots, "with " + SQL_ROOTS + ", w(root_id) as (values ('src1'), ('missing')) select root_id, path as prefix from w left join roots using (root_id)"),
+    "resolve_roots": (resolve_roots, "with " + SQL_ROOTS + ", w as (select distinct source as root_id from documents union select distinct source || '-gone' from documents) select root_id, path as prefix from w left join roots using (root_id)"),
     "exclusion_policy": (exclusion_policy, EXCLUSION_SQL),
     "longest_root_match": (longest_root_match, C.with_(C.SQL_FILES, SQL_NESTED) + "select source_id, arg_max(matched_root, length(root_path)) as matched_root from files join nested on starts_with(path, root_path || '/') group by source_id"),
     "semantic_no_images": (semantic_no_images, C.WITH_PASSAGES + "select passage_id from passages where location_kind <> 'image'"),
@@ -361,7 +372,7 @@ left join (values ('docx', 2), ('xlsx', 2), ('pdf', 1)) r(extension, version) on
 where n.doc_id % 11 <> 0 and (o.path is null or n.doc_id % 5 = 0 or o.doc_id % 3 < coalesce(version, 0))"""),
     "outdated_extractions": (outdated_extractions, C.WITH_FILES + """select distinct f.extension, (doc_id % 3)::int as extraction_version, version from files f
 join (values ('docx', 2), ('xlsx', 2), ('pdf', 1)) r(extension, version) on r.extension = f.extension where doc_id % 7 <> 0 and doc_id % 3 < version"""),
-    "date_presets": (date_presets, f"select * from (values ('day', {_CUT} - interval 1 day), ('week', {_CUT} - interval 7 days), ('month', {_CUT} - interval 1 month), ('year', {_CUT} - interval 1 year)) t(preset, earliest)"),
+    "date_presets": (date_presets, "select event_id, preset, (case preset when 'day' then ts - interval 1 day when 'week' then ts - interval 7 days when 'month' then ts - interval 1 month else ts - interval 1 year end)::timestamp as earliest from events, (select unnest(['day', 'week', 'month', 'year']) as preset)"),
     "type_group_counts": (type_group_counts, C.WITH_FILES + "select case extension when 'pdf' then 'PDF' when 'docx' then 'DOC / DOCX' when 'xlsx' then 'XLS / XLSX' when 'md' then 'MD' when 'txt' then 'TXT' when 'png' then 'PNG' else 'other' end as type_group, count(*) as n from files group by 1"),
     "folder_usage": (folder_usage, WITH_ROOTS + """select root_id, r.path || '/' || lang as folder, lang as name, count(*) as n_files, sum(coalesce(n, 0))::bigint as n_passages, sum(coalesce(b, 0))::bigint as text_bytes
 from files f left join (select source_id, count(*) as n, sum(strlen(body)) as b from passages group by 1) using (source_id) join roots r using (root_id) group by 1, 2, 3 order by text_bytes desc, n_files desc, folder limit 50"""),
@@ -390,7 +401,7 @@ select source_id, first_value(source_id) over (partition by g order by doc_id) a
     "change_actions": (change_actions, C.WITH_CHANGES + "select path, event_id, case when kind = 'recover' or path like '%0' then 'reconcile' when kind = 'delete' then 'delete' else 'upsert' end as action from (select path, max(event_id) as event_id, arg_max(kind, event_id) as kind from changes group by 1)"),
     "indexing_priority": (indexing_priority, C.WITH_FILES + "select source_id, extension in ('txt', 'md', 'pdf', 'docx') as supported from files order by supported desc, modified_at desc nulls last, size, path limit 100"),
     "saved_searches": (saved_searches, SQL_SAVED + "select id, name, row_number() over (order by pinned desc, lower(name), id) as place from saved"),
-    "saved_search_json": (saved_search_json, SQL_SAVED + "select id, request->>'$.query' as query, greatest(1, least(200, coalesce((request->>'$.limit')::int, 20)))::int as \"limit\" from saved"),
+    "saved_search_json": (saved_search_json, SQL_SAVED + "select id, query, greatest(1, least(200, coalesce(most, 20)))::int as \"limit\" from saved"),
     "history_dedup": (history_dedup, C.WITH_HISTORY + """select id, query, searched_at from (select *, lead(normalized_query) over w as nq, lead(searched_at) over w as nt, row_number() over (partition by normalized_query order by searched_at desc, id desc) as k from history window w as (order by searched_at, id))
 where k = 1 and not coalesce(nq <> normalized_query and nt - searched_at < interval 2 seconds, false)"""),
     "history_migrate": (history_migrate, C.WITH_HISTORY + "select id, normalized_query from history qualify row_number() over (partition by normalized_query order by searched_at desc, id desc) = 1"),
@@ -407,7 +418,7 @@ where k = 1 and not coalesce(nq <> normalized_query and nt - searched_at < inter
     "oplog_replay": (oplog_replay, C.WITH_CHANGES + "select path as source_id, max(event_id) as generation, arg_max(kind, event_id) as operation from changes where kind <> 'recover' group by 1 having max(event_id) > 400"),
     "lexical_sync": (lexical_sync, C.WITH_PASSAGES + "select source_id, passage_id from passages where (doc_id % 4 <> 0 and passage_id % 3 <> 0) or doc_id % 8 = 4"),
     "mark_embedded": (mark_embedded, C.WITH_PASSAGES + "select passage_id, case when passage_id % 5 = 0 then 'core' else embedding_model end as embedding_model from passages"),
-    "preferences": (preferences, "select * from (values (false, '/a/b,/c'), (true, '')) t(exclude_source_code, folders)"),
+    "preferences": (preferences, "select doc_id, case when doc_id % 3 > 0 and doc_id % 2 = 0 then false else true end as exclude_source_code, case when doc_id % 3 > 0 then '/' || source || '/' || lang || ',/tmp/' || lang else '' end as folders from documents"),
     "stable_reads": (stable_reads, C.WITH_FILES + "select source_id, doc_id % 9 <> 0 and doc_id % 6 <> 0 as stable from files"),
     "reconcile_due": (reconcile_due, C.WITH_FILES + "select source_id, modified_at is null or epoch(timestamp '2024-01-05 07:30:00') - epoch(modified_at) >= 86400 as due from files"),
     "progress": (progress, "select user_id % 10 as root, count(*) as discovered, count(*) filter (event_type <> 'error') as done, count(*) filter (event_type <> 'error') / count(*) as fraction from events group by 1"),

@@ -76,7 +76,7 @@ def _pages(s, d):
     x = C.table(s, d, "conversations")
     return x.select(
         F.col("conv_id").alias("doc"), (F.col("turn") * 30).cast("int").alias("page"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("structured"), (F.col("turn") % 3 == 1).alias("needs_ocr"),
-        F.substring("text", 1, 40).alias("viewer"), (F.length("text") % 2 == 0).alias("has_ink"),
+        F.col("text").alias("viewer"), (F.length("text") % 2 == 0).alias("has_ink"),
     )
 
 
@@ -84,7 +84,7 @@ def pdf_page_routing(s, d):
     return E.route_pages(_pages(s, d)).select("doc", "page", "route", F.md5(F.coalesce("text", F.lit("-"))).alias("text_md5"))
 
 
-ROUTE_SQL = """with p as (select conv_id as doc, (turn * 30)::int as page, case when turn % 4 <> 3 then text end as structured, turn % 3 = 1 as needs_ocr, substring(text, 1, 40) as viewer, length(text) % 2 = 0 as has_ink from conversations),
+ROUTE_SQL = """with p as (select conv_id as doc, (turn * 30)::int as page, case when turn % 4 <> 3 then text end as structured, turn % 3 = 1 as needs_ocr, text as viewer, length(text) % 2 = 0 as has_ink from conversations),
 r as (select *, case when not needs_ocr and length(trim(coalesce(structured, ''), ' ')) > 0 then 'structured' when length(trim(coalesce(viewer, ''), ' ')) >= 32 then 'viewer' when page < 100 and has_ink then 'ocr' else 'viewer' end as route from p)
 select doc, page, route, md5(coalesce(case route when 'structured' then structured when 'viewer' then viewer end, '-')) as text_md5 from r"""
 
@@ -229,13 +229,26 @@ def stream_watermark(s, d):
 
 
 def parse_query(s, d):
-    """What the parser makes of some queries: terms with their fields, phrases in brackets, open ends with a star."""
-    from skein.operators.query import parse
+    """What the parser makes of queries from the first words of the benchmark's texts: terms with fields, open ends with a star, exclusions, OR."""
+    from skein.operators.query import QueryError, parse
 
     show = lambda t: f"{t.field or 'any'}:[{' '.join(t.words)}]{'*' if t.prefix else ''}"
-    texts = ['"quarterly report" budget* -draft', "udi license", "a OR b", "name:report don't", "foo:bar title:\"x y\""]
-    rows = [(t, " ".join(map(show, q.positives)), " ".join(map(show, q.negatives)), q.any_of) for t in texts for q in [parse(t)]]
-    return s.createDataFrame(rows, "query string, positives string, negatives string, any_of boolean")
+
+    @F.pandas_udf("positives string, negatives string, any_of boolean")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            try:
+                q = parse(t)
+                out.append((" ".join(map(show, q.positives)), " ".join(map(show, q.negatives)), q.any_of))
+            except QueryError:
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["positives", "negatives", "any_of"])
+
+    words = F.regexp_extract_all(F.regexp_replace("text", '[":*-]', " "), F.lit(r"\S+"), F.lit(0))
+    w = lambda k: F.coalesce(F.try_element_at(words, F.lit(k)), F.lit(""))
+    query = F.concat(w(1), F.lit(" "), w(2), F.lit("* -"), w(3), F.lit(" title:"), w(4), F.when(F.col("item_id") % 2 == 0, F.lit(" or ")).otherwise(F.lit(" ")), F.lit('"'), w(5), F.lit(" "), w(6), F.lit('"'))
+    return C.table(s, d, "benchmark").select("item_id", parsed(query).alias("q")).select("item_id", "q.*")
 
 
 def read_text(s, d):
@@ -258,19 +271,31 @@ def match_anchors(s, d):
 
 
 def effective_mode(s, d):
+    """The mode that a search gets, by the labels: what is asked for, and whether there are vectors."""
     from skein.engine import MODES
     from skein.engine import effective_mode as effective
 
-    return s.createDataFrame([(m, r, effective(m, r)) for m in MODES for r in (True, False)], "requested string, ready boolean, effective string")
+    asked = F.element_at(F.array(*map(F.lit, MODES)), (F.col("doc_id") % len(MODES) + 1).cast("int"))
+    x = C.table(s, d, "labels").select("doc_id", asked.alias("requested"), (F.col("quality") == 1).alias("ready"))
+    given = lambda ready: F.create_map(*(F.lit(v) for m in MODES for v in (m, effective(m, ready))))[F.col("requested")]
+    return x.withColumn("effective", F.when(F.col("ready"), given(True)).otherwise(given(False)))
+
+
+def _plain(x: str) -> str:
+    """The words of a stretch, folded, parted by blanks."""
+    return f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+PARSE_SQL = f"""with w as (select item_id, regexp_extract_all(regexp_replace(text, '[":*-]', ' ', 'g'), '\\S+') as ws from benchmark),
+p as (select item_id, list_transform(range(1, 7), lambda k: {_plain("coalesce(ws[k], '')")}) as t from w)
+select item_id, concat_ws(' ', nullif('any:[' || t[1] || ']', 'any:[]'), nullif('any:[' || t[2] || ']*', 'any:[]*'), nullif('title:[' || t[4] || ']', 'title:[]'), nullif('any:[' || trim(t[5] || ' ' || t[6]) || ']', 'any:[]')) as positives,
+  coalesce(nullif('any:[' || t[3] || ']', 'any:[]'), '') as negatives, item_id % 2 = 0 as any_of from p"""
 QUERIES = {
-    "parse_query": (parse_query, """select * from (values ('"quarterly report" budget* -draft', 'any:[quarterly report] any:[budget]*', 'any:[draft]', false), ('udi license', 'any:[udi] any:[license]', '', false),
-('a OR b', 'any:[a] any:[b]', '', true), ('name:report don''t', 'filename:[report] any:[dont]', '', false), ('foo:bar title:"x y"', 'any:[foobar] title:[x y]', '', false)) t(query, positives, negatives, any_of)"""),
+    "parse_query": (parse_query, PARSE_SQL),
     "read_text": (read_text, "select md5(replace(text, chr(10), ' ')) as line_md5 from documents where text is not null"),
     "ink_ratio": (ink_ratio, "select user_id % 20 as image, round(avg(((trunc(abs(value) * 10)::int % 256) < 242)::int), 6) as ink, avg(((trunc(abs(value) * 10)::int % 256) < 242)::int) >= 0.005 as worth_reading from events group by 1"),
     "match_anchors": (match_anchors, ""),
-    "effective_mode": (effective_mode, "select requested, ready, case when ready then requested else 'text' end as effective from (values ('text'), ('semantic'), ('hybrid')) a(requested), (values (true), (false)) b(ready)"),
+    "effective_mode": (effective_mode, "select doc_id, requested, ready, case when ready then requested else 'text' end as effective from (select doc_id, ['text', 'semantic', 'hybrid'][doc_id % 3 + 1] as requested, quality = 1 as ready from labels)"),
     "markdown_to_text": (markdown_to_text, MARKDOWN_SQL),
     "extract_html": (extract_html, HTML_SQL),
     "html_documents": (html_documents, ""),
