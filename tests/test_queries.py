@@ -85,3 +85,21 @@ def test_queries_without_sql_over_a_table(spark, duck):
     bodies = duck.execute(registry.ORACLES["snippet"]).fetchall()
     assert set(anchors) == {k for k, _ in bodies} and all(0 <= n <= 12 for n in anchors.values()) and any(anchors.values())
     assert all(anchors[k] > 0 for k, text in bodies if re.search(r"\bering\b", text) and len(text) > 60)
+
+
+def beside_sql(spark, at, name):
+    """Rows of a query and of its SQL over the tables in a folder."""
+    c = duckdb.connect()
+    for f in glob.glob(f"{at}/*.parquet"):
+        c.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}/*.parquet'")
+    df = registry.QUERIES[name](spark, at)
+    rel = c.sql(registry.ORACLES[name])
+    order = [rel.columns.index(n) for n in df.columns]
+    return sorted(repr(tuple(plain(v) for v in r)) for r in df.collect()), sorted(repr(tuple(plain(r[i]) for i in order)) for r in rel.fetchall())
+
+
+def test_markdown_lines_keep_their_ends(spark, tmp_path):
+    texts = ["0 zero 0", "a\n\n b 6\n c 7 \n8 d\n9", "  x  ", r"\\ \_ \[a](b) \|", "* a\r* | b\u2028~~c\u0085d~~\n|e|\u2028", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, wanted = beside_sql(spark, str(tmp_path), "markdown_to_text")
+    assert got == wanted
