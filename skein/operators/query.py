@@ -73,7 +73,8 @@ def _term(piece: str) -> Term | None:
     return Term(words, FIELDS.get((part["field"] or "").lower()), open_ended)
 
 
-def parse(text: str) -> Query:
+def read(text: str) -> Query:
+    """What a query says; there may be nothing in it to look for."""
     positives, negatives, marks, any_of = [], [], [], False
     for p in pieces(text):
         if p.upper() == "OR":
@@ -84,6 +85,12 @@ def parse(text: str) -> Query:
             marks.append(mark)
         if term := _term(p):
             (negatives if excluded else positives).append(term)
-    if not positives:
-        raise QueryError("the query has no word to look for")
     return Query(tuple(positives), tuple(negatives), any_of, tuple(marks))
+
+
+def parse(text: str) -> Query:
+    """The query that a text is; without a word to look for it is an error."""
+    query = read(text)
+    if not query.positives:
+        raise QueryError("the query has no word to look for")
+    return query

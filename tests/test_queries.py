@@ -103,3 +103,11 @@ def test_markdown_lines_keep_their_ends(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got, wanted = beside_sql(spark, str(tmp_path), "markdown_to_text")
     assert got == wanted
+
+
+def test_texts_that_begin_with_or_are_words(spark, tmp_path):
+    texts = ["or a b c d e", "OR a b c d e", "Or, a or or or or", "or", "", None, "- a b", "a b c OR or oR", "! ? b"]
+    rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in (0, 1)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got, wanted = beside_sql(spark, str(tmp_path), "parse_query")
+    assert got == wanted
