@@ -44,11 +44,12 @@ def decode_text(content: Column) -> Column:
     return F.when(bare.isNotNull(), bare).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.coalesce(other, text))
 
 
-def read_text(spark: SparkSession, root: str) -> DataFrame:
-    """path, text and availability of the plain texts below a folder."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= SOURCE_BYTES)
-    binary = looks_binary(F.col("content"))
-    return rows.select("path", F.when(~binary, F.substring(decode_text(F.col("content")), 1, CHARACTERS)).alias("text"), F.when(binary, "unsupported").otherwise("available").alias("availability"))
+def read_text(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
+    """path, text and availability of the plain texts below a folder. With `whole` files of any size are read, and none is cut."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = rows if whole else rows.filter(F.col("length") <= SOURCE_BYTES)
+    binary, text = looks_binary(F.col("content")), decode_text(F.col("content"))
+    return rows.select("path", F.when(~binary, text if whole else F.substring(text, 1, CHARACTERS)).alias("text"), F.when(binary, "unsupported").otherwise("available").alias("availability"))
 
 
 def extraction_status(error: Column, text: Column) -> Column:

@@ -111,3 +111,14 @@ def test_texts_that_begin_with_or_are_words(spark, tmp_path):
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got, wanted = beside_sql(spark, str(tmp_path), "parse_query")
     assert got == wanted
+
+
+def test_files_of_any_size_are_read_whole(spark, tmp_path, monkeypatch):
+    from skein.plans import text_queries as Q
+
+    texts = ["", "", None, "a\n\nb", "c " * 300, "last", "end\n", "ä日本", *["copy"] * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Q.E, "CHARACTERS", 100)  # what is bigger is cut elsewhere
+    monkeypatch.setattr(Q.E, "SOURCE_BYTES", 200)
+    got, wanted = beside_sql(spark, str(tmp_path), "read_text")
+    assert got == wanted
