@@ -227,7 +227,7 @@ class Engine:
 
     def _write_lost_terms(self, m: Manifest, passages: DataFrame, at: str) -> None:
         """The dictionary of all that is gone from the segments: what was, and these passages, with counts below zero."""
-        lost = inverted.dictionary(inverted.postings(passages).withColumn("block", F.lit(0)))
+        lost = inverted.dictionary(inverted.placed(passages))
         counts = [c for c in lost.columns if c.startswith("df")]
         rows = lost.withColumns({c: -F.col(c) for c in counts})
         if m.tombstones:

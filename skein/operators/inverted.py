@@ -13,8 +13,8 @@ no passage of the run scores more than a passage with both. A search for the bes
 reads the most promising ones first, and then only ranges that can still reach the k-th best score, of all its words: row
 groups and pages outside are skipped. What is skipped can't be among the best, so rows are those of a search of everything.
 
-Building is one shuffle of the tokens, by ranges of (bucket, term, passage), so a term that every passage holds is spread
-over as many tasks as it needs.
+Building is one shuffle of the postings, by ranges of (bucket, term, passage), so a term that every passage holds is spread
+over as many tasks as it needs. A passage's tokens lie in one row, so its postings are made there, before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ _LENGTHS = [f"len_{f}" for f in FIELDS]
 POSTINGS = "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS) + ", block long, bucket int"
 TERMS = "bucket int, term string, " + ", ".join(f"df_{f} long" for f in FIELDS) + ", df long"
 BLOCKS = "bucket int, term string, block long, first long, last long, n long, most double, least int"
+AT_ONCE = 1000  # passages whose postings are made at once
 BLOCK, PAGE, TERM_BLOCKS = 10, 1024, 1 << 15  # bits of a block's rows at least, rows of a page, blocks that a term may have
 SWEPT, RANGES, AHEAD = 50_000, 200, 8  # postings from which blocks are used, ranges of passages in a scan, postings read first for each wanted one
 
@@ -52,17 +54,41 @@ def bucket_of(term: str) -> int:
     return (code(term[:1]) * 31 + code(term[1:2])) % BUCKETS
 
 
+def _place(part: pa.RecordBatch) -> pa.RecordBatch:
+    """passage_id, source_id and the terms of each field -> a row for each term of each passage, with its places in order."""
+    lists = part.columns[2:]
+    lengths = [np.diff(x.offsets.to_numpy()) for x in lists]
+    terms = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    owner = np.concatenate([np.repeat(np.arange(part.num_rows), n) for n in lengths])
+    at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << SHIFT) for k, n in enumerate(lengths)]).astype(np.int32)
+    codes = terms.indices.to_numpy().astype(np.int64)
+    key = owner * max(1, len(terms.dictionary)) + codes
+    order = np.argsort(key, kind="stable")  # fields come in order, and each one's places too
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    rows = pa.array(owner[order[first]])
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order]))
+    sizes = [pa.array(n.astype(np.int32)).take(rows) for n in lengths]
+    columns = [terms.dictionary.take(pa.array(codes[order[first]])), part.column(0).take(rows), part.column(1).take(rows), places, *sizes]
+    return pa.RecordBatch.from_arrays(columns, ["term", "passage_id", "source_id", "at", *_LENGTHS])
+
+
+def placed(indexed: DataFrame) -> DataFrame:
+    """indexed(passage_id, source_id, body, filename, title, folder, path), a row for each passage -> POSTINGS without blocks, in no order."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):
+                yield _place(b.slice(i, AT_ONCE))
+
+    rows = indexed.select(F.col("passage_id").cast("long"), "source_id", *(tokens(F.col(f)).alias(f) for f in FIELDS))
+    found = rows.mapInArrow(run, "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS))
+    return found.withColumn("bucket", bucket(F.col("term")))
+
+
 def postings(indexed: DataFrame) -> DataFrame:
-    """indexed(passage_id, source_id, body, filename, title, folder, path) -> POSTINGS."""
-    terms = {f: tokens(F.col(f)) for f in FIELDS}
-    rows = indexed.select("passage_id", "source_id", *(t.alias(f) for f, t in terms.items()))
-    rows = rows.select("passage_id", "source_id", *FIELDS, *(F.size(f).alias(f"len_{f}") for f in FIELDS))
-    place = lambda n: lambda t, i: F.struct(t.alias("term"), (i + F.lit(n << SHIFT)).alias("at"))
-    placed = F.concat(*(F.transform(f, place(n)) for f, n in FIELDS.items()))
-    rows = rows.select("passage_id", "source_id", *_LENGTHS, F.explode(placed).alias("p")).select("p.term", bucket(F.col("p.term")).alias("bucket"), "passage_id", "source_id", "p.at", *_LENGTHS)
+    """The same by bucket, term and passage."""
     keys = ["bucket", "term", "passage_id"]
-    grouped = rows.repartitionByRange(*keys).groupBy(*keys).agg(F.first("source_id").alias("source_id"), F.array_sort(F.collect_list("at")).alias("at"), *(F.first(n).alias(n) for n in _LENGTHS))
-    return grouped.sortWithinPartitions(*keys)
+    return placed(indexed).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def statistics(indexed: DataFrame) -> DataFrame:

@@ -663,3 +663,24 @@ def test_expressions_nest(spark, tmp_path):
         assert set(got) == {k for k, row in stored.items() if holds(node, row)}, text
     one, two = (E.scored(index, E.parse(q)).collect() for q in ("alpha", "alpha^2"))
     assert {r["passage_id"]: round(2 * r["bm25"], 9) for r in one} == {r["passage_id"]: round(r["bm25"], 9) for r in two}
+
+
+def test_postings_of_a_passage_are_made_in_its_row(spark, tmp_path, monkeypatch):
+    from skein.operators import inverted as I
+
+    bodies = ["b a b Ä", "", "a 日本 b", "c " * 5, None, "x1 y2 x1"]
+    rows = spark.createDataFrame([(10 * i, f"s{i}", b, f"f{i}.txt", "A title a", "/x", f"/x/f{i}.txt") for i, b in enumerate(bodies)], "passage_id long, source_id string, body string, filename string, title string, folder string, path string")
+    monkeypatch.setattr(I, "AT_ONCE", 2)
+    plan = I.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange rangepartitioning") == 1
+    own = {f: T.tokens(F.col(f)) for f in I.FIELDS}
+    wanted = {}
+    for r in rows.select("passage_id", *(c.alias(f) for f, c in own.items())).collect():
+        for f, k in I.FIELDS.items():
+            for i, t in enumerate(r[f]):
+                wanted.setdefault((t, r["passage_id"]), []).append((k << I.SHIFT) + i)
+    I.write(rows, str(tmp_path / "at"))
+    index = I.Index.read(spark, str(tmp_path / "at"))
+    got = {(r["term"], r["passage_id"]): r["at"] for r in index.rows.collect()}
+    assert got == wanted and index.rows.count() == len(wanted)
+    assert index.counts == I.statistics(rows).first().asDict()
