@@ -371,8 +371,8 @@ class Engine:
         mode = effective_mode(request.mode, bool(m.snapshot or m.deltas))
         query = parse(request.query) if mode != "semantic" and request.ranker == 1 else None
         words = query or (_worded(request.query) if mode != "semantic" else None)
-        offset = self._offset(request.cursor, m)
-        most = request.limit + offset
+        offset, depth = self._offset(request.cursor, m)
+        most = max(request.limit + offset, depth)
         if mode == "text":
             hits = self._lexical(m, query, request, most)
         else:
@@ -457,16 +457,17 @@ class Engine:
         best = lexical.select("source_id", F.col("best_passage").alias("a")).join(near.select("source_id", F.col("best_passage").alias("b")), "source_id", "full_outer")
         return fused.join(best, "source_id").select("source_id", "score", F.coalesce("a", "b").alias("best_passage"), "exact")
 
-    def cursor(self, offset: int) -> str:
-        return f"{self.generation()}:{offset}"
+    def cursor(self, offset: int, depth: int = 0) -> str:
+        """Where a page begins. Pages whose cursors name one depth, how many hits they reach in all, are parts of one list."""
+        return f"{self.generation()}:{offset}:{depth}"
 
-    def _offset(self, cursor: str | None, m: Manifest) -> int:
+    def _offset(self, cursor: str | None, m: Manifest) -> tuple[int, int]:
         if not cursor:
-            return 0
-        generation, _, offset = cursor.partition(":")
+            return 0, 0
+        generation, offset, depth = [*cursor.split(":"), "0"][:3]
         if int(generation) != m.generation:
             raise StaleCursor("the index has changed; search again")
-        return int(offset)
+        return int(offset), int(depth)
 
     # --- history and saved searches ---
 

@@ -45,9 +45,9 @@ def engine_search(s, d):
 
 
 def engine_cursor(s, d):
-    """Three pages, each by the cursor after the one before."""
+    """Three pages of one list, each by the cursor after the one before."""
     e = _engine(s, d)
-    pages = [e.search(SearchRequest(EITHER_TEXT, limit=60, cursor=e.cursor(60 * k))).select(F.lit(k).alias("page"), "source_id", F.round("score", 6).alias("score")) for k in range(3)]
+    pages = [e.search(SearchRequest(EITHER_TEXT, limit=60, cursor=e.cursor(60 * k, 180))).select(F.lit(k).alias("page"), "source_id", F.round("score", 6).alias("score")) for k in range(3)]
     return pages[0].unionByName(pages[1]).unionByName(pages[2])
 
 

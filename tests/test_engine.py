@@ -243,3 +243,14 @@ def test_small_odd_and_hot_vectors(spark, tmp_path):
     assert Q.Index(spark, str(tmp_path / "b")).search([1.0], 3).count() == 0
     with pytest.raises(Exception, match="3 components"):
         Q.write(rows.filter("key < 5002").unionByName(spark.createDataFrame([(9, [1.0])], "key long, embedding array<float>")), str(tmp_path / "c"))
+
+
+def test_pages_are_parts_of_one_list(spark, tmp_path):
+    texts = [" ".join(["pine"] * (1 + i % 7) + ["oak"] * (1 + i % 5) + [f"w{j}" for j in range(i % 90)]) + (" pine" if i % 3 else " rare pine") for i in range(400)]
+    rows = [(f"s{i}", "r", f"/r/f{i}.txt", f"f{i}.txt", "txt", None, len(t), "available", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "source_id string, root_id string, path string, filename string, extension string, modified_at timestamp_ntz, size long, availability string, text string")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index(docs)
+    page = lambda k, n, depth: [r["source_id"] for r in e.search(SearchRequest("pine oak rare OR", limit=n, cursor=e.cursor(k, depth))).collect()]
+    whole = page(0, 90, 0)
+    assert len(whole) == 90 and page(0, 30, 90) == whole[:30] and page(60, 30, 90) == whole[60:]
