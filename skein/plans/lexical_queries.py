@@ -120,7 +120,7 @@ reranked as (
 
 
 def _toks(s, d, path="folder"):
-    return L.with_tokens(C.store(s, d).indexed, path)
+    return L.with_tokens(C.stored_indexed(s, d), path)
 
 
 def _match_query(q):

@@ -89,7 +89,7 @@ def similarity_matrix(s, d):
 def embedding_input(s, d):
     title = F.regexp_replace(T.collapse(F.col("title")), "^$", "")
     t = F.concat(F.when(title != "", F.concat(F.lit("Document title: "), title, F.lit("\n\n"))).otherwise(""), F.lit("Document passage:\n"), T.collapse(F.col("body")))
-    return C.store(s, d).indexed.select("passage_id", F.md5(t).alias("input_md5"))
+    return C.stored_indexed(s, d).select("passage_id", F.md5(t).alias("input_md5"))
 
 
 def embedding_query_input(s, d):
@@ -116,7 +116,7 @@ def _matches(s, d, k=500):
 
 
 def _semantic(s, d, limit=20):
-    return V.semantic_search(_matches(s, d), C.store(s, d).indexed, F.col("extension").isin("txt", "md", "pdf", "png"), False, limit)
+    return V.semantic_search(_matches(s, d), C.stored_indexed(s, d), F.col("extension").isin("txt", "md", "pdf", "png"), False, limit)
 
 
 def semantic_search(s, d):
@@ -133,7 +133,7 @@ def document_lane(s, d):
     """The document lane: one card a source, by label; the first passage stands for it."""
     lane = _scored(s, d).select(C.source_id("key").alias("source_id"), "score")
     first = L.Window.partitionBy("source_id").orderBy("ordinal", "passage_id")
-    passages = C.store(s, d).indexed.select("source_id", "passage_id", "ordinal")
+    passages = C.stored_indexed(s, d).select("source_id", "passage_id", "ordinal")
     top = lane.join(passages.select("source_id"), "source_id", "left_semi").orderBy(F.desc("score"), "source_id").limit(30)
     p = passages.join(F.broadcast(top), "source_id")  # 30 rows
     p = p.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
