@@ -152,7 +152,7 @@ class Engine:
     def _segment(self, rows: DataFrame, name: str) -> dict[str, int]:
         """Write a segment from files with their texts, and count it."""
         at = f"{self.base}/{name}"
-        title = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ")
+        title = T.first_words(F.col("text"), 6)
         rows = rows if "extraction_version" in rows.columns else rows.withColumn("extraction_version", self._recipe())
         rows.drop("error").withColumn("title", title).withColumn("folder", T.parent(F.col("path"))).write.parquet(f"{at}/source")
         source = self.spark.read.parquet(f"{at}/source")
@@ -284,7 +284,7 @@ class Engine:
             number, at = m.sequence + 1, f"{self.base}/{name}"
             self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
             self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-            inverted.merge(self._table("postings", m, inverted.POSTINGS).drop("sequence"), at, m.counts["n"])
+            inverted.write(self.spark.read.parquet(f"{at}/passages"), at)
             vectors = self._vectors(m)
             out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
             if vectors is None:

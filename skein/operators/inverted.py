@@ -1,9 +1,10 @@
 """The stored inverted index, and the two rankers over it.
 
 `postings` has a row for each term of each passage, with the places where it stands: a field's number and a position in one
-integer. Rows lie in folders by a bucket of the term's first letters and are sorted by term, so a search reads the folders
-and row groups of its own terms, by prefix too. A search never sees a text: matching, BM25, coverage and proximity come
-from places and from the lengths that each row carries. Statistics of the corpus are one row.
+integer. A task makes the postings of a range of passages, `AT_ONCE` of them at a time, sorted by a bucket of the term's first
+letters, term and passage, and writes them as they come, in small row groups: a search reads the groups and pages of its own
+terms, by prefix too. A search never sees a text: matching, BM25, coverage and proximity come from places and from the
+lengths that each row carries. Statistics of the corpus are one row.
 
 `terms` is the dictionary: how many passages hold a term, in each field and in all that the first ranker counts. A search
 looks its words up there, so the weights of words are numbers in its plan, and postings are read once.
@@ -13,8 +14,8 @@ no passage of the run scores more than a passage with both. A search for the bes
 reads the most promising ones first, and then only ranges that can still reach the k-th best score, of all its words: row
 groups and pages outside are skipped. What is skipped can't be among the best, so rows are those of a search of everything.
 
-Building is one shuffle of the postings, by ranges of (bucket, term, passage), so a term that every passage holds is spread
-over as many tasks as it needs. A passage's tokens lie in one row, so its postings are made there, before the shuffle.
+Building shuffles the passages, by ranges, and never their postings, which are many times as many; what is sorted at once is
+bounded. A term that every passage holds is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,59 +38,79 @@ BUCKETS, SHIFT = 64, 24
 FIELDS = {"body": 0, "filename": 1, "title": 2, "folder": 3, "path": 4}
 FIRST, SECOND = ("body", "filename", "title", "folder"), ("body", "filename", "title", "path")
 _LENGTHS = [f"len_{f}" for f in FIELDS]
-POSTINGS = "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS) + ", block long, bucket int"
-TERMS = "bucket int, term string, " + ", ".join(f"df_{f} long" for f in FIELDS) + ", df long"
+POSTINGS = "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS) + ", fields int, weight double, bucket int, block long"
+_FREQUENCIES = [*(f"df_{f}" for f in FIELDS), "df"]
+TERMS = "bucket int, term string, " + ", ".join(f"{c} long" for c in _FREQUENCIES)
 BLOCKS = "bucket int, term string, block long, first long, last long, n long, most double, least int"
-AT_ONCE = 1000  # passages whose postings are made at once
+AT_ONCE, AT_ONCE_BYTES, HANDED = 8192, 1 << 26, 1 << 16  # passages, or bytes of terms, whose postings are made at once, about; rows handed on at once
+GROUP = 4 << 20  # bytes of a row group, about
+LEAD = 1 << len(FIELDS)  # in `fields`, beside a bit for each field that holds the term: a row that stands for its passage
 BLOCK, PAGE, TERM_BLOCKS = 10, 1024, 1 << 15  # bits of a block's rows at least, rows of a page, blocks that a term may have
 SWEPT, RANGES, AHEAD = 50_000, 200, 8  # postings from which blocks are used, ranges of passages in a scan, postings read first for each wanted one
 
 
-def bucket(term: Column) -> Column:
-    """A number by the first two letters, or that of one letter by itself."""
-    return F.pmod(F.ascii(term) * 31 + F.ascii(F.substring(term, 2, 1)), F.lit(BUCKETS)).cast("int")
-
-
 def bucket_of(term: str) -> int:
+    """A number by the first two letters, or that of one letter by itself."""
     code = lambda c: ord(c) if c else 0
     return (code(term[:1]) * 31 + code(term[1:2])) % BUCKETS
 
 
 def _place(part: pa.RecordBatch) -> pa.RecordBatch:
-    """passage_id, source_id and the terms of each field -> a row for each term of each passage, with its places in order."""
+    """passage_id, source_id and the terms of each field -> POSTINGS but for blocks, by bucket, term and passage."""
     lists = part.columns[2:]
     lengths = [np.diff(x.offsets.to_numpy()) for x in lists]
     terms = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    heads = pc.utf8_slice_codeunits(terms.dictionary, 0, 2).dictionary_encode()
+    buckets = np.array([bucket_of(h) for h in heads.dictionary.to_pylist()], np.int32)[heads.indices.to_numpy()]
+    sorted_ = pc.sort_indices(pa.table({"bucket": buckets, "term": terms.dictionary}), [("bucket", "ascending"), ("term", "ascending")]).to_numpy()
+    rank = np.empty(len(sorted_), np.int64)
+    rank[sorted_] = np.arange(len(sorted_))
     owner = np.concatenate([np.repeat(np.arange(part.num_rows), n) for n in lengths])
-    at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (k << SHIFT) for k, n in enumerate(lengths)]).astype(np.int32)
-    codes = terms.indices.to_numpy().astype(np.int64)
-    key = owner * max(1, len(terms.dictionary)) + codes
+    field = np.repeat(np.arange(len(lengths), dtype=np.int32), [n.sum() for n in lengths])
+    at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in lengths]).astype(np.int32) + (field << SHIFT)
+    key = rank[terms.indices.to_numpy()] * part.num_rows + owner
     order = np.argsort(key, kind="stable")  # fields come in order, and each one's places too
-    first = np.flatnonzero(np.diff(key[order], prepend=-1))
-    rows = pa.array(owner[order[first]])
+    key, field = key[order], field[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    own, code = key[first] % part.num_rows, sorted_[key[first] // part.num_rows]
+    fields = np.bitwise_or.reduceat(1 << field, first) if len(first) else np.zeros(0, np.int32)
+    fields[np.unique(own, return_index=True)[1]] |= LEAD
+    weight = np.add.reduceat(np.array([_weight(f) if f in FIRST else 0.0 for f in FIELDS])[field], first) if len(first) else np.zeros(0)
+    rows = pa.array(own)
     places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order]))
     sizes = [pa.array(n.astype(np.int32)).take(rows) for n in lengths]
-    columns = [terms.dictionary.take(pa.array(codes[order[first]])), part.column(0).take(rows), part.column(1).take(rows), places, *sizes]
-    return pa.RecordBatch.from_arrays(columns, ["term", "passage_id", "source_id", "at", *_LENGTHS])
+    more = [pa.array(fields.astype(np.int32)), pa.array(weight), pa.array(buckets[code])]
+    columns = [terms.dictionary.take(pa.array(code)), part.column(0).take(rows), part.column(1).take(rows), places, *sizes, *more]
+    return pa.RecordBatch.from_arrays(columns, ["term", "passage_id", "source_id", "at", *_LENGTHS, "fields", "weight", "bucket"])
 
 
 def placed(indexed: DataFrame) -> DataFrame:
-    """indexed(passage_id, source_id, body, filename, title, folder, path), a row for each passage -> POSTINGS without blocks, in no order."""
+    """indexed(passage_id, source_id, body, filename, title, folder, path), a row for each passage -> POSTINGS without blocks, a run of passages after the other."""
+    at_once, at_most, handed = AT_ONCE, AT_ONCE_BYTES, HANDED
+
+    def made(parts):
+        rows = _place(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+        for i in range(0, rows.num_rows, handed):
+            yield rows.slice(i, handed)
 
     def run(batches):
+        held = []
         for b in batches:
-            for i in range(0, b.num_rows, AT_ONCE):
-                yield _place(b.slice(i, AT_ONCE))
+            for i in range(0, b.num_rows, at_once):
+                held.append(b.slice(i, at_once))
+                if sum(x.num_rows for x in held) >= at_once or sum(x.nbytes for x in held) >= at_most:
+                    yield from made(held)
+                    held = []
+        if held:
+            yield from made(held)
 
     rows = indexed.select(F.col("passage_id").cast("long"), "source_id", *(tokens(F.col(f)).alias(f) for f in FIELDS))
-    found = rows.mapInArrow(run, "term string, passage_id long, source_id string, at array<int>, " + ", ".join(f"{n} int" for n in _LENGTHS))
-    return found.withColumn("bucket", bucket(F.col("term")))
+    return rows.mapInArrow(run, POSTINGS.removesuffix(", block long"))
 
 
 def postings(indexed: DataFrame) -> DataFrame:
-    """The same by bucket, term and passage."""
-    keys = ["bucket", "term", "passage_id"]
-    return placed(indexed).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """The same, the passages dealt by ranges before."""
+    return placed(indexed.select("passage_id", "source_id", *FIELDS).repartitionByRange("passage_id").sortWithinPartitions("passage_id"))
 
 
 def statistics(indexed: DataFrame) -> DataFrame:
@@ -97,41 +119,35 @@ def statistics(indexed: DataFrame) -> DataFrame:
 
 
 def write(indexed: DataFrame, path: str) -> None:
-    statistics(indexed).coalesce(1).write.parquet(f"{path}/statistics")
-    n = indexed.sparkSession.read.parquet(f"{path}/statistics").first()["n"]
-    store(postings(indexed), path, n)
-
-
-def store(rows: DataFrame, path: str, passages: int) -> None:
-    """Postings, sorted by bucket, term and passage, of so many passages; the dictionary and the blocks' bounds beside them."""
-    bits = max(BLOCK, (passages // TERM_BLOCKS).bit_length())
-    blocked = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
-    blocked.write.partitionBy("bucket").option("parquet.page.row.count.limit", PAGE).parquet(f"{path}/postings")
-    stored = rows.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
-    dictionary(stored).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+    """The index of passages: postings, the dictionary, the blocks' bounds and the statistics, all from one pass over the texts."""
+    spark, n = indexed.sparkSession, indexed.count()
+    bits = max(BLOCK, (n // TERM_BLOCKS).bit_length())
+    blocked = postings(indexed).withColumn("block", F.shiftright(F.monotonically_increasing_id(), bits))
+    blocked.write.option("parquet.page.row.count.limit", PAGE).option("parquet.block.size", GROUP).parquet(f"{path}/postings")
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    lengths = stored.filter(F.col("fields").bitwiseAND(LEAD) > 0).agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in _LENGTHS))
+    lengths.select(F.lit(n).cast("long").alias("n"), *_LENGTHS).coalesce(1).write.parquet(f"{path}/statistics")
     bounds(stored).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "block").write.parquet(f"{path}/blocks")
+    found = spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(*(F.sum(c).alias(c) for c in _FREQUENCIES))
+    found.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
 
 
-def merge(rows: DataFrame, path: str, passages: int) -> None:
-    """Postings of several segments as one."""
-    keys = ["bucket", "term", "passage_id"]
-    store(rows.drop("block").repartitionByRange(*keys).sortWithinPartitions(*keys), path, passages)
+def _held() -> list[Column]:
+    """How many rows have the term in each field, and in any of the first ranker's."""
+    count = lambda bits: F.count_if(F.col("fields").bitwiseAND(bits) > 0)
+    return [*(count(1 << k).alias(f"df_{f}") for f, k in FIELDS.items()), count(sum(1 << FIELDS[f] for f in FIRST)).alias("df")]
 
 
 def dictionary(rows: DataFrame) -> DataFrame:
     """TERMS of postings: how many passages hold a term in each field, and in any of the first ranker's."""
-    has = lambda k: F.exists("at", lambda x: F.shiftright(x, SHIFT) == k)
-    flagged = rows.select("bucket", "term", *(has(k).cast("int").alias(f) for f, k in FIELDS.items()))
-    return flagged.groupBy("bucket", "term").agg(*(F.sum(f).alias(f"df_{f}") for f in FIELDS), F.sum(F.greatest(*FIRST)).alias("df"))
+    return rows.groupBy("bucket", "term").agg(*_held())
 
 
 def bounds(rows: DataFrame) -> DataFrame:
-    """BLOCKS of postings."""
-    weights = F.array(*(F.lit(_weight(f) if f in FIRST else 0.0) for f in FIELDS))
-    weighted = F.aggregate("at", F.lit(0.0), lambda t, x: t + F.element_at(weights, F.shiftright(x, SHIFT) + 1))
-    short = rows.select("bucket", "term", "block", "passage_id", weighted.alias("f"), _sum(F.col(f"len_{f}") for f in FIRST).alias("length"))
+    """BLOCKS of postings, and what the dictionary counts in each."""
+    short = rows.select("bucket", "term", "block", "passage_id", "fields", "weight", _sum(F.col(f"len_{f}") for f in FIRST).alias("length"))
     by = short.groupBy("bucket", "term", "block")
-    return by.agg(F.min("passage_id").alias("first"), F.max("passage_id").alias("last"), F.count("*").alias("n"), F.max("f").alias("most"), F.min("length").alias("least"))
+    return by.agg(F.min("passage_id").alias("first"), F.max("passage_id").alias("last"), F.count("*").alias("n"), F.max("weight").alias("most"), F.min("length").alias("least"), *_held())
 
 
 def _weight(field: str) -> float:
@@ -151,7 +167,7 @@ class Index:
 
     def frequencies(self, words: list[str]) -> dict[str, dict[str, int]]:
         """What the dictionary has of some words: a row of each segment."""
-        out = {w: dict.fromkeys([*(f"df_{f}" for f in FIELDS), "df"], 0) for w in words}
+        out = {w: dict.fromkeys(_FREQUENCIES, 0) for w in words}
         for r in self.terms.filter(_listed(words)).collect():
             out[r["term"]] = {k: v + r[k] for k, v in out[r["term"]].items()}
         return out

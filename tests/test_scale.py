@@ -19,3 +19,35 @@ def test_queries_over_passages_make_no_index_of_words(spark, monkeypatch, name):
     monkeypatch.setattr(corpus, "_kept", {})
     monkeypatch.setattr(inverted, "write", never)
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Passages are dealt by ranges, and a task makes and writes the postings of its own, sorted, some passages at a time."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import inverted as I
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda k: F.concat(F.lit("w"), ((F.col("id") * 7 + k * k) % 3000).cast("string"))), " ")
+    rows = spark.range(3000).select(F.col("id").alias("passage_id"), F.concat(F.lit("s"), "id").alias("source_id"), words.alias("body"), F.lit("f.txt").alias("filename"), F.lit("a title").alias("title"), F.lit("/x").alias("folder"), F.lit("/x/f.txt").alias("path"))
+    plan = I.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # the plan's top comes first
+    monkeypatch.setattr(I, "AT_ONCE", 500)
+    I.write(rows, str(tmp_path / "at"))
+    got = spark.read.schema(I.POSTINGS).parquet(str(tmp_path / "at/postings"))
+    assert got.count() > 150_000
+    own = [(r["bucket"], r["term"], r["passage_id"]) for r in I.placed(rows.limit(400).coalesce(1)).collect()]
+    assert own == sorted(own) and all(b == I.bucket_of(t) for b, t, _ in own)
+    assert I.Index.read(spark, str(tmp_path / "at")).counts == I.statistics(rows).first().asDict()
+    terms = lambda df: sorted(tuple(r) for r in df.select("bucket", "term", *I._FREQUENCIES).collect())
+    assert terms(spark.read.parquet(str(tmp_path / "at/terms"))) == terms(I.dictionary(got))
+
+
+def test_first_words_are_those_of_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    from skein.functions.text import first_words
+
+    texts = ["", " ", None, "one", " a\tb\nc ", "a b c d e f", "a b c d e f ", "  a b c d e f g h", "x" * 5000, "日 本 語 x", "a\n\nb  c d\re f g"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ")
+    assert all(r[0] == r[1] for r in rows.select(first_words(F.col("text"), 6), whole).collect())
