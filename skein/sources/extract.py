@@ -14,7 +14,6 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -208,11 +207,11 @@ def parse(data: bytes, ext: str) -> tuple[str | None, str | None]:
 
 
 def extract_structured(files: DataFrame, parser: Callable[[bytes, str], tuple[str | None, str | None]] = parse) -> DataFrame:
-    """files(content, extension, ...) with text, error and availability."""
+    """files(content, extension, ...) with text, error and availability. Files go to Python by the hundred, not in Arrow's batches of thousands."""
 
-    @F.pandas_udf("text string, error string")
-    def run(content: pd.Series, ext: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parser(bytes(c), e) if c is not None else (None, "missing") for c, e in zip(content, ext)], columns=["text", "error"])
+    @F.udf("text string, error string", useArrow=False)
+    def run(content: bytes | None, ext: str | None) -> tuple[str | None, str | None]:
+        return tuple(parser(bytes(content), ext)) if content is not None else (None, "missing")
 
     x = files.withColumn("_x", run("content", "extension"))
     return x.select(*files.columns, "_x.text", "_x.error", extraction_status(F.col("_x.error"), F.col("_x.text")).alias("availability"))

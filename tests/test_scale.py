@@ -51,3 +51,16 @@ def test_first_words_are_those_of_the_whole_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     whole = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ")
     assert all(r[0] == r[1] for r in rows.select(first_words(F.col("text"), 6), whole).collect())
+
+
+def test_files_go_to_the_parser_by_the_hundred(spark):
+    """Arrow would hold thousands of files and their texts in each worker at once."""
+    from skein.plans import registry
+    from skein.sources import extract
+
+    rows = spark.createDataFrame([(1, b"ab", "rtf"), (2, None, "rtf"), (3, b"x", "xyz"), (4, b"cd", None)], "id int, content binary, extension string")
+    got = extract.extract_structured(rows, lambda data, ext: (data.decode(), None) if ext == "rtf" else (None, "unsupported"))
+    assert [tuple(r) for r in got.select("id", "text", "error").orderBy("id").collect()] == [(1, "ab", None), (2, None, "missing"), (3, None, "unsupported"), (4, None, "unsupported")]
+    for df in (got, registry.QUERIES["extract_structured"](spark, SF)) if os.path.isdir(SF) else (got,):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
