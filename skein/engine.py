@@ -4,7 +4,8 @@ An index is what its newest manifest names. Each build or change writes a new se
 table of tombstones, then the manifest, so a search sees one generation whole and a failed job leaves the last one as it
 was. A manifest is published only where no other writer was first; else the change is made anew on top of the other's.
 Statistics are kept exact: what a change takes away is counted before it goes. `compact` merges segments and removes
-what no manifest in use names. Vectors are a snapshot, a quantised index, and what was embedded since.
+what no manifest in use names. Vectors are a snapshot, a quantised index, and what was embedded since. An index for
+semantic searches alone can be built without words: it has no postings, which are most of the work, and refuses text searches.
 """
 
 from __future__ import annotations
@@ -115,6 +116,8 @@ class Engine:
         return self._table("passages")
 
     def index_of(self, m: Manifest) -> inverted.Index:
+        if not m.words:
+            raise LookupError("this index was built without words; it answers semantic searches only")
         rows = self._table("postings", m, inverted.POSTINGS)
         blocks = reduce(DataFrame.unionByName, (self.spark.read.schema(inverted.BLOCKS).parquet(f"{self.base}/{s}/blocks") for s in m.segments))
         return inverted.Index(rows, m.counts, self._dictionary(m), blocks)
@@ -149,8 +152,8 @@ class Engine:
             out = F.when(F.lower("extension") == ext, version).otherwise(out)
         return out
 
-    def _segment(self, rows: DataFrame, name: str) -> dict[str, int]:
-        """Write a segment from files with their texts, and count it."""
+    def _segment(self, rows: DataFrame, name: str, words: bool = True) -> dict[str, int]:
+        """Write a segment from files with their texts, with postings or without, and count it."""
         at = f"{self.base}/{name}"
         title = T.first_words(F.col("text"), 6)
         rows = rows if "extraction_version" in rows.columns else rows.withColumn("extraction_version", self._recipe())
@@ -165,17 +168,25 @@ class Engine:
         kind = F.when(F.col("extension").isin(*IMAGES), "image").otherwise("section")
         p = p.withColumn("passage_id", F.xxhash64("source_id", "ordinal")).join(files.select("source_id", "root_id", "path", "filename", "title", "folder", "extension", "modified_at", "availability"), "source_id").withColumn("location_kind", kind)
         p.repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-        inverted.write(self.spark.read.parquet(f"{at}/passages"), at)
         remove(self.spark, f"{at}/source")
+        return self._words(name) if words else {"n": self.spark.read.parquet(f"{at}/passages").count()}
+
+    def _words(self, name: str) -> dict[str, int]:
+        """Write the postings of a segment's passages, and count it."""
+        at = f"{self.base}/{name}"
+        inverted.write(self.spark.read.parquet(f"{at}/passages"), at)
         return inverted.Index.read(self.spark, at).counts
 
-    def index(self, rows: DataFrame, roots: dict[str, str] | None = None) -> Manifest:
-        """Build anew from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text."""
+    def index(self, rows: DataFrame, roots: dict[str, str] | None = None, words: bool = True) -> Manifest:
+        """Build anew from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text.
+
+        Without words no postings are made, then or by later changes: for semantic searches alone.
+        """
         name = f"segment-{uuid4().hex}"
-        counts = self._segment(rows, name)
+        counts = self._segment(rows, name, words)
 
         def change(m: Manifest) -> Manifest:
-            fresh = Manifest(generation=m.generation, batch=m.batch)
+            fresh = Manifest(generation=m.generation, batch=m.batch, words=words)
             return fresh.after(sequence=m.sequence + 1, segments={name: m.sequence + 1}, counts=counts, roots=(m.roots | roots) if roots else m.roots)
 
         return self.log.advance(change)
@@ -188,7 +199,7 @@ class Engine:
         if not m.segments and rows is None:
             return m
         name, at = f"segment-{uuid4().hex}", f"tombstones-{uuid4().hex}"
-        new = self._segment(rows, name) if rows is not None else None
+        new = self._segment(rows, name, m.words) if rows is not None else None
         if new is not None and not new["n"]:  # a segment of nothing
             remove(self.spark, f"{self.base}/{name}")
             rows = new = None
@@ -197,8 +208,11 @@ class Engine:
         tries = iter(range(1000))
 
         def change(m: Manifest) -> Manifest:
+            nonlocal new
             if batch is not None and batch <= m.batch:
                 return m
+            if new and m.words and new.keys() == {"n"}:  # another writer has built anew, with words
+                new = self._words(name)
             segments, counts, dead, number = dict(m.segments), dict(m.counts), m.tombstones, m.n_tombstones
             if m.segments and touched:
                 mine = f"{at}-{next(tries)}"
@@ -212,11 +226,12 @@ class Engine:
                     remove(self.spark, f"{self.base}/{mine}")
                     return m
                 passages = self._table("passages", m).join(fresh, "source_id", "left_semi")
-                old = inverted.statistics(passages).first().asDict()
-                self._write_lost_terms(m, passages, f"{self.base}/{mine}/terms")
+                old = inverted.statistics(passages).first().asDict() if m.words else {"n": passages.count()}
+                if m.words:
+                    self._write_lost_terms(m, passages, f"{self.base}/{mine}/terms")
                 counts, dead, number = {k: counts[k] - old[k] for k in counts}, mine, stones.count()
             if new:
-                counts = {k: counts.get(k, 0) + new[k] for k in new}
+                counts = {k: counts.get(k, 0) + new[k] for k in new if m.words or k == "n"}
                 segments[name] = m.sequence + 1
             elif batch is None and dead == m.tombstones:
                 return m
@@ -284,7 +299,8 @@ class Engine:
             number, at = m.sequence + 1, f"{self.base}/{name}"
             self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
             self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-            inverted.write(self.spark.read.parquet(f"{at}/passages"), at)
+            if m.words:
+                self._words(name)
             vectors = self._vectors(m)
             out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
             if vectors is None:

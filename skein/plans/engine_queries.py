@@ -29,14 +29,27 @@ def documents(s, d):
 
 
 def _engine(s, d) -> Engine:
+    """For text searches: without vectors."""
+
     def make():
         e = Engine(s, shared_folder(s, "engine"))
         e.index(documents(s, d))
+        return e
+
+    return C.kept(s, d, "engine", ("documents", "labels"), make)
+
+
+def _lanes(s, d) -> Engine:
+    """For semantic searches: passages and cards with their vectors, without words."""
+
+    def make():
+        e = Engine(s, shared_folder(s, "lanes"))
+        e.index(documents(s, d), words=False)
         e.embed(letters, "letters")
         e.embed_cards(documents(s, d).select("source_id", F.col("title").alias("text")), letters)
         return e
 
-    return C.kept(s, d, "engine", ("documents", "labels"), make)
+    return C.kept(s, d, "lanes", ("documents", "labels"), make)
 
 
 def engine_search(s, d):
@@ -65,7 +78,7 @@ def engine_compact(s, d):
 
 def engine_lane(s, d):
     """Semantic search over passages and cards, every vector compared, both lanes fused by rank."""
-    e = _engine(s, d)
+    e = _lanes(s, d)
     hits = e.search(SearchRequest("station", "semantic", limit=20, exact=True), letters)
     return hits.select("source_id", F.round("score", 8).alias("score"))
 

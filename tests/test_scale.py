@@ -64,3 +64,58 @@ def test_files_go_to_the_parser_by_the_hundred(spark):
     for df in (got, registry.QUERIES["extract_structured"](spark, SF)) if os.path.isdir(SF) else (got,):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_each_engine_makes_only_what_its_searches_read(spark, monkeypatch):
+    """Semantic searches need no postings, and text searches no vectors."""
+    from skein.operators import inverted, quantised
+    from skein.plans import corpus, registry
+
+    def never(*_):
+        raise AssertionError("it was made")
+
+    for module, name, rows in ((inverted, "engine_lane", 20), (quantised, "engine_search", 1)):
+        with monkeypatch.context() as patch:
+            patch.setattr(corpus, "_kept", {})
+            patch.setattr(module, "write", never)
+            assert registry.QUERIES[name](spark, SF).count() >= rows
+
+
+def test_an_index_without_words_changes_and_merges_as_one_with_them(spark, tmp_path):
+    from skein.engine import Engine, SearchRequest
+
+    kind = "source_id string, root_id string, path string, filename string, extension string, modified_at timestamp_ntz, size long, availability string, text string"
+    row = lambda i, text: (f"s{i}", "r", f"/r/f{i}.txt", f"f{i}.txt", "txt", None, len(text), "available", text)
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    gone = spark.createDataFrame([("s3",)], "source_id string")
+    found = {}
+    for words in (True, False):
+        e = Engine(spark, str(tmp_path / f"{words}"))
+        e.index(rows(*(row(i, f"stone wall {'budget ' * i}") for i in range(8))), words=words)
+        e.embed()
+        e.apply(rows(row(1, "budget stone"), row(9, "stone")), gone)
+        e.embed()
+        near = lambda: [(h["source_id"], round(h["score"], 9)) for h in e.search(SearchRequest("stone", "semantic", exact=True)).collect()]  # noqa: B023, E731
+        before = near()
+        assert e.compact().words == words and near() == before and len(before) == 8
+        found[words] = before, e.log.current().counts["n"]
+    assert found[True] == found[False]
+    assert not any("postings" in f for f, _, _ in os.walk(tmp_path / "False"))
+    for mode in ("text", "hybrid"):
+        with pytest.raises(LookupError, match="without words"):
+            e.search(SearchRequest("stone", mode))
+    publish, first = e.log.publish, []
+
+    def late(manifest):  # another writer builds anew with words, before a change of the index without is published
+        if not first:
+            first.append(1)
+            Engine(spark, e.base).index(rows(row(20, "granite")))
+        return publish(manifest)
+
+    e.log.publish = late
+    e.apply(rows(row(21, "granite stone"), row(22, "wall")))
+    assert sorted(h["source_id"] for h in e.search(SearchRequest("granite")).collect()) == ["s20", "s21"]
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.index(rows(row(20, "granite"), row(21, "granite stone"), row(22, "wall")))
+    assert e.log.current().counts == whole.log.current().counts
