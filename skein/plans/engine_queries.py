@@ -46,7 +46,7 @@ def _lanes(s, d) -> Engine:
         e = Engine(s, shared_folder(s, "lanes"))
         e.index(documents(s, d), words=False)
         e.embed(letters, "letters")
-        e.embed_cards(documents(s, d).select("source_id", F.col("title").alias("text")), letters)
+        e.embed_cards(e.files().select("source_id", F.col("title").alias("text")), letters)  # as stored: texts aren't read again
         return e
 
     return C.kept(s, d, "lanes", ("documents", "labels"), make)

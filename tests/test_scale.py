@@ -82,6 +82,16 @@ def test_each_engine_makes_only_what_its_searches_read(spark, monkeypatch):
             assert registry.QUERIES[name](spark, SF).count() >= rows
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_the_texts_are_read_once_for_both_lanes(spark, monkeypatch):
+    from skein.plans import corpus, engine_queries
+
+    read, documents = [], engine_queries.documents
+    monkeypatch.setattr(corpus, "_kept", {})
+    monkeypatch.setattr(engine_queries, "documents", lambda *a: read.append(1) or documents(*a))
+    assert engine_queries.engine_lane(spark, SF).count() == 20 and len(read) == 1
+
+
 def test_an_index_without_words_changes_and_merges_as_one_with_them(spark, tmp_path):
     from skein.engine import Engine, SearchRequest
 
