@@ -441,11 +441,11 @@ class Engine:
         parts = []
         if m.deltas:
             new = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.base}/{d}").select("passage_id", "source_id", "sequence", "embedding") for d in m.deltas))
-            parts.append(self._live(m, new).select("passage_id", V.cosine_to(vector)("embedding").alias("score")))
+            parts.append(self._live(m, new).select("passage_id", "source_id", V.cosine_to(vector)("embedding").alias("score")))
         if m.snapshot:
             alive = (lambda rows: self._live(m, rows)) if m.tombstones else None
-            parts.append(self._snapshot(m).search(vector, k, exact=request.exact, alive=alive).select("passage_id", "score"))
-        top = reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "passage_id").limit(k)
+            parts.append(self._snapshot(m).search(vector, k, exact=request.exact, alive=alive, ties=("source_id",)).select("passage_id", "source_id", "score"))
+        top = reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "source_id", "passage_id").limit(k).drop("source_id")  # a passage's number is a hash
         passages = self._table("passages", m)
         images = bool(request.filters.extensions & set(IMAGES))
         near = V.semantic_search(top, passages, request.filters.column(), images, limit).withColumnRenamed("passage_id", "best_passage")

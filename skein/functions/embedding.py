@@ -27,13 +27,12 @@ def embed_texts(texts: list[str]) -> list[list[float]]:
 
 
 def embed_column(text: Column, embed: Callable[[list[str]], list] | None = None) -> Column:
-    """Vectors of a column of texts, a batch at a time; `embed` takes and returns lists, and is normalised."""
+    """Vectors of a column of texts, a batch at a time, as `embed`, which takes and returns lists, gives them: at length 1 whole numbers would be rounded, and equal cosines differ."""
     model = embed or embed_texts
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         m = np.asarray(model(texts.fillna("").tolist()), np.float64).reshape(len(texts), -1)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         return pd.Series(list(m.astype(np.float32)))
 
     return run(text)

@@ -213,15 +213,15 @@ class Index:
         found = self._codes.filter(F.col("coarse").isin(near)).select("coarse", "cell", "block", "codes").mapInArrow(scan, "coarse int, block long, place int, about float")
         return found.orderBy(F.desc("about"), "block", "place").limit(most)
 
-    def search(self, query, k: int, share: float = SHARE, most: int | None = None, exact: bool = False, alive=None) -> DataFrame:
-        """The vectors' own columns and score of the k most similar rows; ties by the first column.
+    def search(self, query, k: int, share: float = SHARE, most: int | None = None, exact: bool = False, alive=None, ties: tuple[str, ...] = ()) -> DataFrame:
+        """The vectors' own columns and score of the k most similar rows; ties by some columns, then by the first.
 
         alive(rows): leaves out rows that are gone; if too few candidates are left then, four times as many are looked at."""
         alive = alive or (lambda rows: rows)
         if not self.number:
             return alive(self.vectors_of_nothing()).limit(0)
         key = self.vectors().columns[0]
-        rank = lambda rows: rows.withColumn("score", V.cosine_to(list(query))("embedding")).orderBy(F.desc("score"), key).limit(k)
+        rank = lambda rows: rows.withColumn("score", V.cosine_to(list(query))("embedding")).orderBy(F.desc("score"), *ties, key).limit(k)
         most = most or max(k + 200, min(self.number // PART, MOST))
         while not exact and most < self.number:
             rows = self.fetched(self.candidates(query, most, share))

@@ -254,3 +254,28 @@ def test_pages_are_parts_of_one_list(spark, tmp_path):
     page = lambda k, n, depth: [r["source_id"] for r in e.search(SearchRequest("pine oak rare OR", limit=n, cursor=e.cursor(k, depth))).collect()]
     whole = page(0, 90, 0)
     assert len(whole) == 90 and page(0, 30, 90) == whole[:30] and page(60, 30, 90) == whole[60:]
+
+
+def test_equal_cosines_are_ties_and_close_ones_are_not(spark, tmp_path):
+    """Scores are SQL's to the last digit where a model counts: ties go by source, at the cut of candidates too."""
+    from math import sqrt
+
+    from skein.plans.engine_queries import letters
+
+    rng = np.random.default_rng(5)
+    counted = lambda *n: "".join(c * int(k) for c, k in zip("aionst", n))
+    texts = [counted(*rng.permutation([1, 2, 3, 4, 5]), 6) for _ in range(200)]  # the query has these letters once and two t
+    texts += [counted(*[3001] * 5, n) for n in range(6000, 6040)]
+    texts += ["station"] * 600  # more than there are candidates
+    ids = [f"s{x:04d}" for x in rng.permutation(len(texts))]
+    rows = spark.createDataFrame([(i, "r", f"/r/{i}.txt", f"{i}.txt", "txt", None, len(t), "available", t) for i, t in zip(ids, texts)], "source_id string, root_id string, path string, filename string, extension string, modified_at timestamp_ntz, size long, availability string, text string")
+    q = letters(["station"])[0]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    score = lambda t: dot(v := letters([t])[0], q) / (sqrt(dot(v, v)) * sqrt(dot(q, q)))
+    best = sorted((-score(t), i) for i, t in zip(ids, texts))
+    for part, name in ((rows, "all"), (rows.filter("text <> 'station'"), "some")):
+        e = Engine(spark, str(tmp_path / name))
+        e.index(part.repartition(3), words=False)
+        e.embed(letters, "letters")
+        got = [(-h["score"], h["source_id"]) for h in e.search(SearchRequest("station", "semantic", limit=200, exact=True), letters).collect()]
+        assert got == [b for b in best if name == "all" or texts[ids.index(b[1])] != "station"][:200]
