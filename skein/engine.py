@@ -6,6 +6,7 @@ was. A manifest is published only where no other writer was first; else the chan
 Statistics are kept exact: what a change takes away is counted before it goes. `compact` merges segments and removes
 what no manifest in use names. Vectors are a snapshot, a quantised index, and what was embedded since. An index for
 semantic searches alone can be built without words: it has no postings, which are most of the work, and refuses text searches.
+One that is loaded by several changes before its first search can be built so too, and get its words when it is merged.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ class Engine:
     def index(self, rows: DataFrame, roots: dict[str, str] | None = None, words: bool = True) -> Manifest:
         """Build anew from files with their texts: source_id, root_id, path, filename, extension, modified_at, size, availability, text.
 
-        Without words no postings are made, then or by later changes: for semantic searches alone.
+        Without words no postings are made, then or by later changes: for semantic searches alone, or until `compact` makes them.
         """
         name = f"segment-{uuid4().hex}"
         counts = self._segment(rows, name, words)
@@ -291,18 +292,21 @@ class Engine:
         m = self.log.current()
         return self.apply(None, self._table("files", m).filter(self._excluded(m)).select("source_id")) if m.segments else m
 
-    def compact(self, keep: int = 2) -> Manifest:
-        """Merge all segments into one, without what is gone, and remove folders that the last `keep` generations don't name."""
+    def compact(self, keep: int = 2, words: bool = False) -> Manifest:
+        """Merge all segments into one, without what is gone, and remove folders that the last `keep` generations don't name.
+
+        With `words` an index that was built without gets them, and the statistics of them: made once, of what is left.
+        """
 
         def change(m: Manifest) -> Manifest:
             name = f"segment-{uuid4().hex}"
             number, at = m.sequence + 1, f"{self.base}/{name}"
             self._table("files", m).drop("sequence").write.parquet(f"{at}/files")
             self._table("passages", m).drop("sequence").repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.parquet(f"{at}/passages")
-            if m.words:
-                self._words(name)
+            worded = m.words or words
+            counts = self._words(name) if worded else m.counts
             vectors = self._vectors(m)
-            out = m.after(sequence=number, segments={name: number}, tombstones=None, n_tombstones=0)
+            out = m.after(sequence=number, segments={name: number}, counts=counts, tombstones=None, n_tombstones=0, words=worded)
             if vectors is None:
                 return out
             if m.embedded >= max(m.segments.values()):

@@ -129,3 +129,29 @@ def test_an_index_without_words_changes_and_merges_as_one_with_them(spark, tmp_p
     whole = Engine(spark, str(tmp_path / "whole"))
     whole.index(rows(row(20, "granite"), row(21, "granite stone"), row(22, "wall")))
     assert e.log.current().counts == whole.log.current().counts
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_words_are_made_once_by_the_merge(spark, tmp_path, monkeypatch):
+    """An index loaded by several changes: no segment's words are made that the merge would make again."""
+    from skein.engine import Engine, SearchRequest
+    from skein.operators import inverted
+    from skein.plans import registry
+
+    made, write = [], inverted.write
+    with monkeypatch.context() as patch:
+        patch.setattr(inverted, "write", lambda *a: made.append(1) or write(*a))
+        patch.setattr(inverted, "dictionary", lambda *_: pytest.fail("terms of what is gone were counted"))
+        assert registry.QUERIES["engine_compact"](spark, SF).count() > 0 and len(made) == 1
+    kind = "source_id string, root_id string, path string, filename string, extension string, modified_at timestamp_ntz, size long, availability string, text string"
+    rows = lambda *r: spark.createDataFrame([(f"s{i}", "r", f"/r/f{i}.txt", f"f{i}.txt", "txt", None, len(t), "available", t) for i, t in r], kind)
+    found = []
+    for words in (True, False):
+        e = Engine(spark, str(tmp_path / f"{words}"))
+        e.index(rows(*((i, f"stone wall {'budget ' * i}") for i in range(8))), words=words)
+        e.apply(rows((1, "budget stone"), (9, "stone")), spark.createDataFrame([("s3",)], "source_id string"))
+        m = e.compact(words=True)
+        assert m.words and len(m.segments) == 1
+        e.apply(rows((10, "granite wall")), spark.createDataFrame([("s2",)], "source_id string"))
+        found.append((m.counts, e.log.current().counts, [(h["source_id"], round(h["score"], 9)) for h in e.search(SearchRequest("budget OR wall")).collect()]))
+    assert found[0] == found[1] and len(found[0][2]) == 7
